@@ -5,7 +5,8 @@ only the low two bits are kept, packed into three longs, and XOR and bit counts
 corrected for chance collisions. Pairs whose estimate is clearly too low go; the rest are confirmed on full sets.
 
 All pairs of a bucket are never made: every set is compared with the smallest id of each of its buckets, what links is
-one component, and only sets of different components that still share a bucket are compared after that.
+one component. Sets of different components that still share a bucket are compared after that, in blocks, unless too many
+of their shingles are their own.
 """
 
 from __future__ import annotations
@@ -117,6 +118,75 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return materialize(full.select("u", "v", "uz", "vz").mapInArrow(_confirm(k, percent), "u long, v long"), "near-links")
 
 
+def mixed(entries: DataFrame) -> DataFrame:
+    """Entries (rep, key, component) of the buckets that hold more than one component."""
+    keys = entries.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    return entries.join(keys, "key")
+
+
+def own_shingles(docs: DataFrame, k: int) -> DataFrame:
+    """(doc, own): how many shingles of a document no other one of docs has. No link can count these as common."""
+
+    def run(batches):
+        cache = WordHashes()
+        for ids, texts in batches_of(batches, ["doc", "content"]):
+            for doc, text in zip(ids, texts, strict=True):
+                s = shingle_set(text.lower(), k, cache)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), doc, np.int64)), pa.array(s.view(np.int64))], ["doc", "s"])
+
+    seen = docs.dropDuplicates(["doc"]).mapInArrow(run, "doc long, s long").groupBy("s").agg(F.count("*").alias("n"), F.min("doc").alias("doc"))
+    return seen.where("n = 1").groupBy("doc").agg(F.count("*").alias("own"))
+
+
+def _across(k: int, percent: int, floor: float):
+    """Links between components in one pair of blocks. What has linked is one component at once, so each two components
+    are compared only until their first link."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cache, z = WordHashes(), zstandard.ZstdDecompressor()
+        rep, n, own, side = (table.column(c).to_numpy() for c in ("rep", "n", "own", "side"))
+        sig = np.array(table.column("sig").to_pylist(), np.int64).view(np.uint64)
+        _, comp = np.unique(table.column("component").to_numpy(), return_inverse=True)
+        packed, sets = table.column("z"), {}
+
+        def of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_set(z.decompress(packed[i].as_py()).lower(), k, cache)
+            return sets[i]
+
+        u, v = [], []
+        for i in range(len(rep)):
+            other = np.flatnonzero((comp != comp[i]) & ((side != side[i]) if side.min() != side.max() else True) & (np.arange(len(rep)) > i))
+            most = np.minimum(n[other] - own[other], n[i] - own[i])
+            other = other[(100 + percent) * most >= percent * (n[other] + n[i])]
+            x = sig[other] ^ sig[i]
+            odd = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1)
+            for j in other[(1 - odd / PERMUTATIONS - _C) / (1 - _C) >= floor].tolist():
+                if comp[i] != comp[j]:
+                    both = len(np.intersect1d(of(i), of(j), assume_unique=True))
+                    if 100 * both >= percent * (n[i] + n[j] - both):
+                        comp[comp == comp[j]] = comp[i]
+                        u.append(rep[i])
+                        v.append(rep[j])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
+def crossed(open_: DataFrame, texts: DataFrame, k: int, percent: int, floor: float, block: int = 256) -> DataFrame:
+    """Links that join components within each cluster of open_(rep, cluster, component, n, own, sig).
+
+    A cluster is dealt by hash to blocks of about `block` sets, and each pair of blocks is one group of at most about two
+    blocks, whatever the cluster's size. Only links leave a group. A cluster of m blocks sends each set to m groups.
+    """
+    sizes = open_.groupBy("cluster").agg(F.count("*").alias("size"), F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+    x = materialize(open_.join(sizes.select("cluster", F.ceil(F.col("size") / block).cast("int").alias("m")), "cluster"), "near-blocks")
+    z = semi_by_size(texts, x.select(F.col("rep").alias("doc")), "doc").dropDuplicates(["doc"]).mapInArrow(_squeeze, "doc long, z binary")
+    x = x.join(z, x["rep"] == z["doc"]).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("m")).cast("int"))
+    x = x.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("i", F.least("side", "to")).withColumn("j", F.greatest("side", "to"))
+    return materialize(x.select("cluster", "i", "j", "side", "rep", "component", "n", "own", "sig", "z").groupBy("cluster", "i", "j").applyInArrow(_across(k, percent, floor), "u long, v long"), "near-links")
+
+
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, margin: float = 0.22) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -147,14 +217,15 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, margin: floa
     links = confirmed(stars, d, words, percent)
     parts = materialize(connected_components(links), "near-parts")
 
-    # What still shares a bucket across components.
-    open_ = shared.select("rep", "key").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = open_.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    e = materialize(open_.join(mixed, "key").join(reps.select("rep", "n", "sig"), "rep"), "near-open")
-    left = e.select("key", F.col("rep").alias("u"), F.col("component").alias("uc"), F.col("n").alias("un"), F.col("sig").alias("us"))
-    right = e.select("key", F.col("rep").alias("v"), F.col("component").alias("vc"), F.col("n").alias("vn"), F.col("sig").alias("vs"))
-    crossed = left.join(right, (left["key"] == right["key"]) & (F.col("uc") < F.col("vc")) & F.expr(sized) & (estimate("us", "vs") >= floor)).select("u", "v").distinct()
-    more = confirmed(crossed, d, words, percent)
+    # What still shares a bucket across components, without the sets that can link with none.
+    open_ = materialize(mixed(shared.select("rep", "key").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))), "near-open")
+    alone = own_shingles(semi_by_size(d, open_.select(F.col("rep").alias("doc")).distinct(), "doc"), words)
+    facts = open_.select("rep", "component").distinct().join(reps.select("rep", "n", "sig"), "rep").join(alone.withColumnRenamed("doc", "rep"), "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    facts = materialize(facts.where(f"100 * (n - own) >= {percent} * n"), "near-facts")
+    open_ = mixed(open_.join(facts.select("rep"), "rep", "left_semi"))
+    hubs = open_.groupBy("key").agg(F.min("rep").alias("v"))
+    clusters = materialize(connected_components(open_.select("key", F.col("rep").alias("u")).join(hubs, "key").select("u", "v").distinct(), "near-clusters"), "near-clusters")
+    more = crossed(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(facts, "rep"), d, words, percent, floor)
     parts = materialize(connected_components(links.union(more)), "near-parts")
 
     named = least.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("dig", F.coalesce("component", "rep").alias("component"))
