@@ -97,15 +97,19 @@ class Block:
 def _shut(e: np.ndarray) -> bytes:
     """Entries as bytes: hashes and positions as they are, documents as indexes into the distinct ones."""
     who, which = np.unique(e[["doc", "tag"]], return_inverse=True)
+    who = np.array(who.tolist(), [("doc", "<i8"), ("tag", "<i8")])
     small = np.uint8 if len(who) < 256 else np.uint16 if len(who) < 65536 else np.uint32
     wide = np.uint16 if int(e["at"].max()) < 65536 else np.uint32
-    head = np.array([len(e), len(who), np.dtype(small).itemsize, np.dtype(wide).itemsize], np.int32)
-    return b"".join(x.tobytes() for x in (head, e["h"], who["doc"], who["tag"], which.astype(small), e["at"].astype(wide), np.packbits(e["many"])))
+    low = int(who["doc"].min())
+    doc = np.uint32 if int(who["doc"].max()) - low < 2**32 else np.uint64
+    head = np.array([len(e), len(who), np.dtype(small).itemsize, np.dtype(wide).itemsize, np.dtype(doc).itemsize, 0], np.int32)
+    offset = (who["doc"].view(np.uint64) - np.int64(low).view(np.uint64)).astype(doc)
+    return b"".join(x.tobytes() for x in (head, np.array([low]), e["h"], who["tag"], offset, which.astype(small), e["at"].astype(wide), np.packbits(e["many"])))
 
 
 def _open(body: bytes) -> np.ndarray:
-    n, m, small, wide = np.frombuffer(body, np.int32, 4)
-    e, p = np.empty(n, _ENTRY), 16
+    n, m, small, wide, size, _ = np.frombuffer(body, np.int32, 6)
+    e, p = np.empty(n, _ENTRY), 24
 
     def take(kind, count):
         nonlocal p
@@ -113,7 +117,9 @@ def _open(body: bytes) -> np.ndarray:
         p += x.nbytes
         return x
 
-    e["h"], doc, tag = take(np.uint64, n), take(np.int64, m), take(np.int64, m)
+    low = take(np.int64, 1)
+    e["h"], tag = take(np.uint64, n), take(np.int64, m)
+    doc = (take(f"<u{size}", m).astype(np.uint64) + low.view(np.uint64)).view(np.int64)
     which = take(f"<u{small}", n)
     e["doc"], e["tag"], e["at"] = doc[which], tag[which], take(f"<u{wide}", n)
     e["many"] = np.unpackbits(take(np.uint8, (n + 7) // 8), count=n).astype(bool)
@@ -249,7 +255,7 @@ def repeated_windows(docs: DataFrame, window: int = 20, anchor: int = 8) -> Data
         raise ValueError("two equal windows need not share an anchor if window < anchor + 12")
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = 32 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(utf8("text")).alias("tag"), utf8("text").alias("content"))
     z = d.mapInArrow(_squeeze, "doc long, tag long, z binary")
 
