@@ -29,12 +29,32 @@ _COVERED = np.isin(np.arange(PERIOD), COVER)
 _ENTRY = np.dtype([("h", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("at", "<i4"), ("many", "?")])
 #: Kinds of packed rows: entries to match by hash, and positions of a document that are settled already.
 _ASK, _SETTLED = 0, 1
-_PACKED = "kind byte, bucket int, doc long, tag long, body binary"
+_PACKED = "kind byte, bucket int, body binary"
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    kind, bucket, doc, tag, body = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), pa.array(bucket, pa.int32()), pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(body, pa.binary())], ["kind", "bucket", "doc", "tag", "body"])
+    kind, bucket, body = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), pa.array(bucket, pa.int32()), pa.array(body, pa.binary())], ["kind", "bucket", "body"])
+
+
+def _dealt(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Places packed for each bucket of documents: counts, distinct documents, positions of each in order."""
+    bucket = mix(np.ascontiguousarray(doc).view(np.uint64)) % np.uint64(buckets)
+    order = np.lexsort((at, tag, doc, bucket))
+    doc, tag, at, bucket = doc[order], tag[order], at[order].astype(np.int32), bucket[order]
+    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    for a, b in zip(starts, [*starts[1:], len(doc)], strict=True):
+        d, t = doc[a:b], tag[a:b]
+        new = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])))
+        n = np.diff(np.append(new, b - a)).astype(np.int32)
+        yield int(bucket[a]), b"".join(x.tobytes() for x in (np.array([b - a, len(new)]), d[new], t[new], n, at[a:b]))
+
+
+def _places(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, m = np.frombuffer(body, np.int64, 2)
+    doc, tag = np.frombuffer(body, np.int64, m, 16), np.frombuffer(body, np.int64, m, 16 + 8 * m)
+    times = np.frombuffer(body, np.int32, m, 16 + 16 * m)
+    return np.repeat(doc, times), np.repeat(tag, times), np.frombuffer(body, np.int32, n, 16 + 20 * m)
 
 
 class Block:
@@ -73,11 +93,8 @@ class Block:
         local = order[many[group] & (~first if self.later else True)]
         rows: list[tuple] = []
         if len(local):
-            local.sort()
-            cuts = np.flatnonzero(np.diff(owner[local])) + 1
-            for piece in np.split(local, cuts):
-                doc, tag = ids[owner[piece[0]]]
-                rows.append((_SETTLED, int(mix(np.array([doc], np.int64).view(np.uint64))[0] % np.uint64(self.buckets)), int(doc), int(tag), at[piece].tobytes()))
+            doc, tag = ids[owner[local]].T
+            rows += [(_SETTLED, bucket, body) for bucket, body in _dealt(doc, tag, at[local], self.buckets)]
         e = np.empty(len(heads), _ENTRY)
         e["h"], e["at"], e["many"] = h[heads], at[heads], many
         e["doc"], e["tag"] = ids[owner[heads]].T
@@ -86,7 +103,7 @@ class Block:
         e, bucket = e[order], bucket[order]
         starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         for a, b in zip(starts, [*starts[1:], len(e)], strict=True):
-            rows.append((_ASK, int(bucket[a]), 0, 0, _shut(e[a:b])))
+            rows.append((_ASK, int(bucket[a]), _shut(e[a:b])))
             if len(rows) >= 4000:
                 yield _packed(rows)
                 rows = []
@@ -126,10 +143,11 @@ def _open(body: bytes) -> np.ndarray:
     return e
 
 
-def _match(later: bool) -> Callable:
-    """Over rows sorted by bucket: the places of each hash that more than one block has, or that are not the earliest."""
+def _match(later: bool, buckets: int, most: int = 2_000_000) -> Callable:
+    """Over rows sorted by bucket: the places of each hash that more than one block has, or that are not the earliest,
+    dealt to the buckets of their documents."""
 
-    def settle(bodies: list[bytes]) -> Iterator[tuple]:
+    def settle(bodies: list[bytes]) -> tuple:
         e = np.concatenate([_open(b) for b in bodies])
         e = e[np.lexsort((e["at"], e["tag"], e["doc"], e["h"]))] if later else e[np.argsort(e["h"], kind="stable")]
         first = np.append(True, e["h"][1:] != e["h"][:-1])
@@ -138,44 +156,74 @@ def _match(later: bool) -> Callable:
             hit = e[~first & ~same]
         else:
             # a hash that repeats within its one block has been settled there
-            hit = e[(np.bincount(np.cumsum(first) - 1) > 1)[np.cumsum(first) - 1] & ~e["many"]]
-        if len(hit):
-            hit = hit[np.lexsort((hit["at"], hit["tag"], hit["doc"]))]
-            cuts = np.flatnonzero((np.diff(hit["doc"]) != 0) | (np.diff(hit["tag"]) != 0)) + 1
-            for piece in np.split(hit, cuts):
-                yield int(piece["doc"][0]), int(piece["tag"][0]), piece["at"].tobytes()
+            group = np.cumsum(first) - 1
+            hit = e[(np.bincount(group) > 1)[group] & ~e["many"]]
+        return hit["doc"], hit["tag"], hit["at"]
 
     def run(batches):
-        out: list[tuple] = []
+        found: list[tuple] = []
         held: list[bytes] = []
-        now = None
-
-        def ready(force=False):
-            if out and (force or len(out) >= 4000):
-                doc, tag, body = zip(*out, strict=True)
-                out.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(body, pa.binary())], ["doc", "tag", "body"])
-
-        for cols in batches_of(batches, ["kind", "bucket", "doc", "tag", "body"]):
-            for kind, bucket, doc, tag, body in zip(*cols, strict=True):
+        now, size = None, 0
+
+        def ready():
+            nonlocal size
+            if size:
+                rows = [(_SETTLED, *x) for x in _dealt(*(np.concatenate(x) for x in zip(*found, strict=True)), buckets)]
+                found.clear()
+                size = 0
+                for i in range(0, len(rows), 2000):
+                    yield _packed(rows[i : i + 2000])
+
+        def add(places):
+            nonlocal size
+            found.append(places)
+            size += len(places[0])
+
+        for cols in batches_of(batches, ["kind", "bucket", "body"]):
+            for kind, bucket, body in zip(*cols, strict=True):
                 if bucket != now:
                     if held:
-                        out.extend(settle(held))
+                        add(settle(held))
                         held = []
-                        yield from ready()
                     now = bucket
                 if kind == _SETTLED:
-                    out.append((doc, tag, body))
+                    add(_places(body))
                 else:
                     held.append(body)
-            yield from ready()
+                if size >= most:
+                    yield from ready()
         if held:
-            out.extend(settle(held))
-        yield from ready(True)
+            add(settle(held))
+        yield from ready()
 
     return run
 
 
+def _gather(batches):
+    """Over rows sorted by bucket: one row for each document with all its places."""
+
+    def rows(bodies: list[bytes]):
+        doc, tag, at = (np.concatenate(x) for x in zip(*map(_places, bodies), strict=True))
+        order = np.lexsort((at, tag, doc))
+        doc, tag, at = doc[order], tag[order], at[order]
+        new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])))
+        ends = [*new[1:].tolist(), len(doc)]
+        for i in range(0, len(new), 4000):
+            own = new[i : i + 4000]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(tag[own]), pa.array([at[a:b].tobytes() for a, b in zip(own.tolist(), ends[i : i + 4000], strict=True)], pa.binary())], ["doc", "tag", "body"])
+
+    held, now = [], None
+    for buckets, bodies in batches_of(batches, ["bucket", "body"]):
+        for bucket, body in zip(buckets, bodies, strict=True):
+            if bucket != now and held:
+                yield from rows(held)
+                held = []
+            now = bucket
+            held.append(body)
+    if held:
+        yield from rows(held)
+
+
 def _anchors(k: int, buckets: int, window: int):
     def run(batches):
         cache, block = WordHashes(), Block(buckets, later=False)
@@ -195,10 +243,10 @@ def _windows(k: int, buckets: int, window: int):
 
     def run(batches):
         cache, block, z = WordHashes(), Block(buckets, later=True), zstandard.ZstdDecompressor()
-        for docs, tags, texts, found in batches_of(batches, ["doc", "tag", "z", "bodies"]):
-            for doc, tag, packed, bodies in zip(docs, tags, texts, found, strict=True):
+        for docs, tags, texts, found in batches_of(batches, ["doc", "tag", "z", "body"]):
+            for doc, tag, packed, body in zip(docs, tags, texts, found, strict=True):
                 h = hash_words(z.decompress(packed).split(), cache)
-                at = np.frombuffer(b"".join(bodies), np.int32)
+                at = np.frombuffer(body, np.int32)
                 cover = np.zeros(len(h) + 1, np.int64)
                 np.add.at(cover, np.maximum(at - (window - k), 0), 1)
                 np.add.at(cover, at + 1, -1)
@@ -219,13 +267,13 @@ def _squeeze(batches):
 def _keep(window: int):
     def run(batches):
         z = zstandard.ZstdDecompressor()
-        for docs, texts, found in batches_of(batches, ["doc", "z", "bodies"]):
+        for docs, texts, found in batches_of(batches, ["doc", "z", "body"]):
             n, gone, sha, left = [], [], [], []
-            for packed, bodies in zip(texts, found, strict=True):
+            for packed, body in zip(texts, found, strict=True):
                 words = z.decompress(packed).split()
                 n.append(len(words))
-                if bodies:
-                    at = np.frombuffer(b"".join(bodies), np.int32)
+                if body:
+                    at = np.frombuffer(body, np.int32)
                     cover = np.zeros(len(words) + 1, np.int64)
                     np.add.at(cover, at, 1)
                     np.add.at(cover, at + window, -1)
@@ -261,11 +309,11 @@ def repeated_windows(docs: DataFrame, window: int = 20, anchor: int = 8) -> Data
 
     def answers(asked: DataFrame, later: bool, name: str) -> DataFrame:
         dealt = asked.repartition("bucket").sortWithinPartitions("bucket")
-        found = dealt.mapInArrow(_match(later), "doc long, tag long, body binary")
-        return materialize(found.groupBy("doc", "tag").agg(F.collect_list("body").alias("bodies")), name)
+        found = dealt.mapInArrow(_match(later, buckets), _PACKED).repartition("bucket").sortWithinPartitions("bucket")
+        return materialize(found.mapInArrow(_gather, "doc long, tag long, body binary"), name)
 
     seen_twice = answers(d.mapInArrow(_anchors(anchor, buckets, window), _PACKED), False, "anchors")
     candidates = z.join(seen_twice, ["doc", "tag"]).dropDuplicates(["doc", "tag"])
     later = answers(candidates.mapInArrow(_windows(anchor, buckets, window), _PACKED), True, "windows")
-    out = z.join(later, ["doc", "tag"], "left").select("doc", "z", "bodies").mapInArrow(_keep(window), "doc long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    out = z.join(later, ["doc", "tag"], "left").select("doc", "z", "body").mapInArrow(_keep(window), "doc long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text")
