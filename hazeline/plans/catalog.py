@@ -1,11 +1,371 @@
-"""The registered queries and their SQL."""
+"""The registered queries over detections, tracks and stored events, each with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from hazeline.functions import geodesy as geo
+from hazeline.functions import geometry as g
+from hazeline.functions import rules
+from hazeline.operators import learn, matching, solve, store
+from hazeline.sources.detections import SQL, detections
+from hazeline.streaming import alerts, tracks
+
+_SQL: dict[str, str] = {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+LAT0, LON0, H0 = 36.4127, 128.7043, 620.0
+UNITS = [("north", 36.4420, 128.6900), ("south", 36.3850, 128.7480)]
+SLOPES = ["area_growth_rate", "centroid_rise_rate", "drift_rate", "aspect_growth_rate", "confidence_slope"]
+
+
+def query(sql: str | None = None):
+    def take(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return take
+
+
+def _r(c, digits: int = 6):
+    return F.round(c, digits)
+
+
+def _rounded(t: DataFrame, columns: list[str]) -> DataFrame:
+    """Slopes are scaled before rounding, so that the last bits of two engines don't show."""
+    return t.withColumns({c: _r(F.col(c) * 1e4) if c in SLOPES else _r(F.col(c), 9 if c == "confidence_mean" else 6) for c in columns})
+
+
+@query(f"WITH {SQL} SELECT det_id, round(x2 - x1, 6) AS width, round(y2 - y1, 6) AS height, round((x2 - x1) * (y2 - y1), 6) AS area, round((x1 + x2) / 2, 6) AS cx, round((y1 + y2) / 2, 6) AS cy, round(y2, 6) AS base_y FROM d")
+def box_algebra(spark, sf_dir):
+    x, y = g.center()
+    return detections(spark, sf_dir).select("det_id", _r(g.width()).alias("width"), _r(g.height()).alias("height"), _r(g.area()).alias("area"), _r(x).alias("cx"), _r(y).alias("cy"), _r(F.col("y2")).alias("base_y"))
+
+
+@query(f"WITH {SQL} SELECT lane, count(*) AS n, round(avg(confidence), 6) AS mean FROM d WHERE confidence >= 2e-1 + 30 * 78e-4 GROUP BY lane")
+def confidence_filter(spark, sf_dir):
+    return detections(spark, sf_dir).where(F.col("confidence") >= 0.20 + 30 * 0.0078).groupBy("lane").agg(F.count("*").alias("n"), _r(F.avg("confidence")).alias("mean"))
+
+
+_PAIR = "greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0)"
+_AREA = "({0}.x2 - {0}.x1) * ({0}.y2 - {0}.y1)"
+
+
+@query(f"WITH {SQL}, p AS (SELECT a.det_id AS left_id, b.det_id AS right_id, {_PAIR} AS x, {_AREA.format('a')} AS m, {_AREA.format('b')} AS n FROM d a JOIN d b ON a.seq_id = b.seq_id AND a.frame_index = b.frame_index AND a.det_id < b.det_id) SELECT left_id, right_id, round(CASE WHEN m + n - x > 0 THEN x / (m + n - x) ELSE 0 END, 6) AS iou FROM p")
+def iou_pairs(spark, sf_dir):
+    d = detections(spark, sf_dir)
+    box = lambda p: d.select("seq_id", "frame_index", *(F.col(c).alias(p + c) for c in ("det_id", "x1", "y1", "x2", "y2")))
+    pairs = box("a_").join(box("b_"), ["seq_id", "frame_index"]).where("a_det_id < b_det_id")
+    return pairs.select(F.col("a_det_id").alias("left_id"), F.col("b_det_id").alias("right_id"), _r(g.iou("a_", "b_")).alias("iou"))
+
+
+_AFF = "CASE WHEN iou >= 1e-1 THEN 1 + iou WHEN far <= 15e-1 * greatest(sqrt(m), 1) THEN 1 - far / (15e-1 * greatest(sqrt(m), 1)) ELSE 0 END"
+
+
+@query(f"WITH {SQL}, p AS (SELECT a.det_id AS from_id, b.det_id AS to_id, {_PAIR} AS x, {_AREA.format('a')} AS m, {_AREA.format('b')} AS n, sqrt(power((a.x1 + a.x2) / 2 - (b.x1 + b.x2) / 2, 2) + power((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2, 2)) AS far FROM d a JOIN d b ON a.seq_id = b.seq_id AND a.frame_index + 1 = b.frame_index), q AS (SELECT *, x / (m + n - x) AS iou FROM p), r AS (SELECT from_id, to_id, round({_AFF}, 6) AS affinity FROM q) SELECT * FROM r WHERE affinity > 0")
+def frame_affinity(spark, sf_dir):
+    d = detections(spark, sf_dir)
+    box = lambda p, shift: d.select("seq_id", (F.col("frame_index") + shift).alias("frame"), *(F.col(c).alias(p + c) for c in ("det_id", "x1", "y1", "x2", "y2")))
+    pairs = box("a_", 1).join(box("b_", 0), ["seq_id", "frame"])
+    return pairs.select(F.col("a_det_id").alias("from_id"), F.col("b_det_id").alias("to_id"), _r(g.affinity("a_", "b_")).alias("affinity")).where("affinity > 0")
+
+
+@query(f"WITH {SQL}, s AS (SELECT det_id, x2 - x1 AS w, y2 - y1 AS h, least(1024e0 / ((x2 - x1) * 4), 1024e0 / ((y2 - y1) * 3)) AS k FROM d) SELECT det_id, round(k, 6) AS scale, CAST(floor((1024 - round_even(w * 4 * k, 0)) / 2) AS BIGINT) AS pad_x, CAST(floor((1024 - round_even(h * 3 * k, 0)) / 2) AS BIGINT) AS pad_y FROM s")
+def letterbox(spark, sf_dir):
+    k, x, y = g.letterbox(g.width() * 4, g.height() * 3)
+    return detections(spark, sf_dir).select("det_id", _r(k).alias("scale"), x.cast("long").alias("pad_x"), y.cast("long").alias("pad_y"))
+
+
+@query(f"WITH {SQL}, tm AS (SELECT DISTINCT seq_id, offset_s FROM d), st AS (SELECT seq_id, offset_s - lag(offset_s) OVER (PARTITION BY seq_id ORDER BY offset_s) AS step FROM tm), m AS (SELECT *, min(step) OVER (PARTITION BY seq_id) AS least FROM st WHERE step > 0) SELECT t.seq_id, coalesce(max(c), 1) AS cadence_s FROM (SELECT DISTINCT seq_id FROM tm) t LEFT JOIN (SELECT seq_id, quantile_cont(step, 0.5) AS c FROM m WHERE step <= 2 * least GROUP BY seq_id) USING (seq_id) GROUP BY t.seq_id")
+def cadence(spark, sf_dir):
+    """Median of the positive steps of at most twice the least; 1 where there is none."""
+    t = detections(spark, sf_dir).select("seq_id", "offset_s").distinct()
+    step = t.withColumn("step", F.col("offset_s") - F.lag("offset_s").over(Window.partitionBy("seq_id").orderBy("offset_s")))
+    least = step.where("step > 0").withColumn("least", F.min("step").over(Window.partitionBy("seq_id")))
+    c = least.where("step <= 2 * least").groupBy("seq_id").agg(F.percentile("step", 0.5).alias("cadence_s"))
+    return t.select("seq_id").distinct().join(c, "seq_id", "left").select("seq_id", F.coalesce("cadence_s", F.lit(1.0)).alias("cadence_s"))
+
+
+_OBS = f"""{SQL},
+o AS (SELECT *, greatest((x2 - x1) * (y2 - y1), 1) AS area, (x1 + x2) / 2 AS ox, (y1 + y2) / 2 AS oy, ln(greatest(y2 - y1, 1) / greatest(x2 - x1, 1)) AS aspect FROM d),
+w AS (SELECT *, CASE WHEN lag(area) OVER q IS NULL THEN NULL WHEN area > lag(area) OVER q THEN 1e0 ELSE 0e0 END AS grew FROM o WINDOW q AS (PARTITION BY seq_id, lane ORDER BY offset_s, det_id))"""
+
+
+def _features_sql(over: str = "") -> str:
+    s = lambda y: f"CASE WHEN count(*){over} >= 2 AND var_pop(offset_s){over} * count(*){over} >= 1e-12 THEN regr_slope({y}, offset_s){over} ELSE 0 END"
+    return f"""count(*){over} AS n, max(offset_s){over} - min(offset_s){over} AS duration, avg(sqrt(area)){over} AS side, {s('ln(area)')} AS growth, {s('ox')} AS dx, {s('oy')} AS dy,
+ {s('aspect')} AS asp, {s('confidence')} AS cs, avg(confidence){over} AS cm, coalesce(avg(grew){over}, 0) AS mono"""
+
+
+_NAMED = """SELECT {key}, n, duration, least(1, n / greatest(1, duration / 60 + 1)) AS persistence, growth AS area_growth_rate, mono AS area_monotonicity, -dy / greatest(side, 1) AS centroid_rise_rate,
+ abs(dx) / greatest(side, 1) AS drift_rate, sqrt(dx * dx + dy * dy) / greatest(side, 1) / (abs(growth) + 1e-3) AS translation_over_growth, asp AS aspect_growth_rate, cm AS confidence_mean, cs AS confidence_slope FROM {source}"""
+_OUT = """n, round(duration, 6) + 0e0 AS duration, round(persistence, 6) + 0e0 AS persistence, round(area_growth_rate * 1e4, 6) + 0e0 AS area_growth_rate, round(area_monotonicity, 6) + 0e0 AS area_monotonicity,
+ round(centroid_rise_rate * 1e4, 6) + 0e0 AS centroid_rise_rate, round(drift_rate * 1e4, 6) + 0e0 AS drift_rate, round(CASE WHEN n >= 2 THEN translation_over_growth ELSE 0 END, 6) + 0e0 AS translation_over_growth,
+ round(aspect_growth_rate * 1e4, 6) + 0e0 AS aspect_growth_rate, round(confidence_mean, 9) + 0e0 AS confidence_mean, round(confidence_slope * 1e4, 6) + 0e0 AS confidence_slope"""
+_MET = "CAST(centroid_rise_rate >= 1e-4 AS INT) + CAST(area_growth_rate >= 1e-4 AND area_monotonicity >= 55e-2 AS INT)"
+_LOGIT = "-5e-1 + 12e-1 * (persistence - 5e-1) / 3e-1 + area_growth_rate / 1e-3 + 8e-1 * (area_monotonicity - 5e-1) / 25e-2 + 8e-1 * centroid_rise_rate / 1e-3 - 7e-1 * CASE WHEN n >= 2 THEN translation_over_growth ELSE 0 END / 50 + 3e-1 * aspect_growth_rate / 1e-3 - 4e-1 - 3e-1 * 5e-1 / 2e-1 + 8e-1 * (confidence_mean - 4e-1) / 2e-1 + 3e-1 * confidence_slope / 1e-3"
+_TRACKS = f"""{_OBS}, t AS (SELECT seq_id, lane, {_features_sql()} FROM w GROUP BY seq_id, lane), v AS ({_NAMED.format(key='seq_id, lane', source='t')}),
+u AS (SELECT *, {_MET} AS met, 1 / (1 + exp(-least(greatest({_LOGIT}, -50), 50))) AS score, CASE WHEN {_MET} = 2 AND n >= 3 THEN 'FLARE' WHEN {_MET} >= 1 THEN 'GLOW' ELSE 'SPARK' END AS tier FROM v)"""
+
+
+def _tracks(spark, sf_dir) -> DataFrame:
+    t = rules.observations(detections(spark, sf_dir)).groupBy("seq_id", "lane").agg(*(c.alias(k) for k, c in rules.features().items()))
+    motion, area, enough = rules.criteria()
+    return t.withColumns({"score": rules.score(), "tier": rules.tier(motion, area, enough, F.lit(True)), "met": motion.cast("int") + area.cast("int")})
+
+
+@query(f"WITH {_TRACKS} SELECT seq_id, lane, {_OUT}, met, round(score, 6) AS score, tier FROM u")
+def keyed_tracks(spark, sf_dir):
+    """Features, rule, score and tier of every track."""
+    t = _tracks(spark, sf_dir)
+    return _rounded(t, [c for c in t.columns if c not in ("seq_id", "lane", "n", "tier", "met")])
+
+
+@query(f"WITH {_OBS}, t AS (SELECT det_id, {_features_sql(' OVER (PARTITION BY seq_id, lane ORDER BY offset_s, det_id ROWS UNBOUNDED PRECEDING)')} FROM w), v AS ({_NAMED.format(key='det_id', source='t')}) SELECT det_id, {_OUT}, CASE WHEN {_MET} = 2 AND n >= 3 THEN 'FLARE' WHEN {_MET} >= 1 THEN 'GLOW' ELSE 'SPARK' END AS tier FROM v")
+def prefix_features(spark, sf_dir):
+    """Features at every observation from those so far, as an online run sees them."""
+    past = Window.partitionBy("seq_id", "lane").orderBy("offset_s", "det_id").rowsBetween(Window.unboundedPreceding, 0)
+    t = rules.observations(detections(spark, sf_dir)).select("det_id", *(c.alias(k) for k, c in rules.features(over=past).items()))
+    return _rounded(t.withColumn("tier", rules.tier(*rules.criteria(), F.lit(True))), [c for c in t.columns if c not in ("det_id", "n")])
+
+
+@query(f"WITH {_OBS}, l AS (SELECT *, max(offset_s) OVER (PARTITION BY seq_id, lane) AS latest FROM w) SELECT seq_id, lane, count(*) AS n, round(avg(confidence), 6) AS confidence_mean, round(max(area), 6) AS peak_area FROM l WHERE offset_s >= latest - 300 GROUP BY seq_id, lane")
+def trailing_window(spark, sf_dir):
+    """The last 300 seconds of each track, counted from its last observation, inclusive."""
+    o = rules.observations(detections(spark, sf_dir)).withColumn("latest", F.max("offset_s").over(Window.partitionBy("seq_id", "lane")))
+    return o.where(F.col("offset_s") >= F.col("latest") - 300).groupBy("seq_id", "lane").agg(F.count("*").alias("n"), _r(F.avg("confidence")).alias("confidence_mean"), _r(F.max("area")).alias("peak_area"))
+
+
+@query(f"WITH {_TRACKS}, parts AS (SELECT unnest(['persistence', 'area_growth_rate', 'area_monotonicity', 'centroid_rise_rate', 'translation_over_growth', 'aspect_growth_rate', 'confidence_mean', 'confidence_slope']) AS feature, unnest([12e-1 * (persistence - 5e-1) / 3e-1, area_growth_rate / 1e-3, 8e-1 * (area_monotonicity - 5e-1) / 25e-2, 8e-1 * centroid_rise_rate / 1e-3, -7e-1 * CASE WHEN n >= 2 THEN translation_over_growth ELSE 0 END / 50, 3e-1 * aspect_growth_rate / 1e-3, 8e-1 * (confidence_mean - 4e-1) / 2e-1, 3e-1 * confidence_slope / 1e-3]) AS part, seq_id, lane FROM u), ranked AS (SELECT *, row_number() OVER (PARTITION BY seq_id, lane ORDER BY round(abs(part), 6) DESC, feature) AS place FROM parts) SELECT seq_id, lane, feature, round(part, 6) + 0e0 AS part, place FROM ranked WHERE place <= 3")
+def top_contributions(spark, sf_dir):
+    """The three features that move each track's score most."""
+    parts = {k: c for k, c in rules.contributions().items() if k not in ("intensity_flicker", "edge_softness")}
+    x = _tracks(spark, sf_dir).select("seq_id", "lane", F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), c.alias("part")) for k, c in parts.items()))).alias("x")).select("seq_id", "lane", "x.*")
+    place = F.row_number().over(Window.partitionBy("seq_id", "lane").orderBy(_r(F.abs("part")).desc(), "feature"))
+    return x.withColumn("place", place.cast("long")).where("place <= 3").withColumn("part", _r(F.col("part")))
+
+
+_EVENTS = f"""{_TRACKS}, e AS (SELECT last.det_id AS id, u.seq_id, u.lane, tier, round(score, 6) AS score, last.offset_s AS at, last.lat, last.lon, last.k, CASE WHEN last.k % 10 < 3 THEN 'confirmed' WHEN last.k % 10 < 6 THEN 'false_positive' ELSE 'unlabelled' END AS label
+  FROM u JOIN (SELECT *, row_number() OVER (PARTITION BY seq_id, lane ORDER BY offset_s DESC, det_id DESC) AS nth FROM d) last ON u.seq_id = last.seq_id AND u.lane = last.lane AND nth = 1)"""
+
+
+def stored_events(spark, sf_dir) -> DataFrame:
+    """One stored event a track: its last detection, tier, score and operator label."""
+    d = detections(spark, sf_dir)
+    last = d.groupBy("seq_id", "lane").agg(F.max_by(F.struct("det_id", "offset_s", "lat", "lon", "k"), F.struct("offset_s", "det_id")).alias("x")).select("seq_id", "lane", "x.*")
+    t = _tracks(spark, sf_dir).select("seq_id", "lane", "tier", _r(F.col("score")).alias("score"))
+    mark = F.col("k") % 10
+    label = F.when(mark < 3, "confirmed").when(mark < 6, "false_positive").otherwise("unlabelled")
+    return t.join(last, ["seq_id", "lane"]).select(F.col("det_id").alias("id"), "seq_id", "lane", "tier", "score", F.col("offset_s").alias("at"), "lat", "lon", "k", label.alias("label"))
+
+
+@query(f"WITH {_EVENTS} SELECT id, tier, score, label FROM e WHERE tier = 'FLARE' ORDER BY id DESC LIMIT 200")
+def event_list(spark, sf_dir):
+    return store.listed(stored_events(spark, sf_dir), tier="FLARE").select("id", "tier", "score", "label")
+
+
+@query(f"WITH {_EVENTS} SELECT tier, count(*) AS n FROM e GROUP BY tier")
+def counts_by_tier(spark, sf_dir):
+    return store.counts_by_tier(stored_events(spark, sf_dir))
+
+
+@query(f"WITH {_EVENTS} SELECT seq_id, id, lane, tier FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY id DESC) AS nth FROM e) WHERE nth = 1")
+def latest_for_sequence(spark, sf_dir):
+    return store.latest(stored_events(spark, sf_dir), ["seq_id"]).select("seq_id", "id", "lane", "tier")
+
+
+@query(f"WITH {_EVENTS} SELECT id, label, tier, score FROM e WHERE label <> 'unlabelled'")
+def labelled_events(spark, sf_dir):
+    return stored_events(spark, sf_dir).where("label <> 'unlabelled'").select("id", "label", "tier", "score")
+
+
+@query(f"WITH {SQL} SELECT seq_id, lane, label, n_changes FROM (SELECT seq_id, lane, CASE WHEN k % 10 < 3 THEN 'confirmed' WHEN k % 10 < 6 THEN 'false_positive' ELSE 'unlabelled' END AS label, count(*) OVER (PARTITION BY seq_id, lane) AS n_changes, row_number() OVER (PARTITION BY seq_id, lane ORDER BY offset_s DESC, det_id DESC) AS nth FROM d) WHERE nth = 1")
+def label_overlay(spark, sf_dir):
+    """The current label of each track from an append-only label log: the last entry stands."""
+    d = detections(spark, sf_dir)
+    log = d.select("seq_id", "lane", F.when(F.col("k") % 10 < 3, "confirmed").when(F.col("k") % 10 < 6, "false_positive").otherwise("unlabelled").alias("label"), F.struct("offset_s", "det_id").alias("seq"))
+    return store.current(log, ["seq_id", "lane"], "label", "seq")
+
+
+@query(f"WITH {SQL}, l AS (SELECT seq_id, lane, det_id, k % 4 AS status, offset_s + 30 * (k % 4) AS said FROM d), m AS (SELECT *, max(status) OVER (PARTITION BY seq_id, lane ORDER BY said, det_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM l) SELECT seq_id, lane, max(status) AS status, count(*) FILTER (WHERE status > coalesce(best, 0)) AS n_changes, max(said) FILTER (WHERE status > coalesce(best, 0)) AS changed_at FROM m GROUP BY seq_id, lane")
+def response_log(spark, sf_dir):
+    """Responses only move forward: entries that don't raise the status are refused."""
+    log = detections(spark, sf_dir).select("seq_id", "lane", "det_id", (F.col("k") % 4).alias("status"), (F.col("offset_s") + 30 * (F.col("k") % 4)).alias("at"))
+    return store.responses(log, ["seq_id", "lane"])
+
+
+_ENU = """(SELECT *, radians(lat) AS p, radians(lon) AS q, radians(3641270e-5) AS p0, radians(12870430e-5) AS q0 FROM {src})"""
+_ECEF = """(SELECT *, 6378137e0 / sqrt(1 - 6694379990141317e-18 * sin(p) * sin(p)) AS nn, 6378137e0 / sqrt(1 - 6694379990141317e-18 * sin(p0) * sin(p0)) AS n0 FROM {src})"""
+_DELTA = """(SELECT *, nn * cos(p) * cos(q) - (n0 + {h}) * cos(p0) * cos(q0) AS gx, nn * cos(p) * sin(q) - (n0 + {h}) * cos(p0) * sin(q0) AS gy, nn * (1 - 6694379990141317e-18) * sin(p) - (n0 * (1 - 6694379990141317e-18) + {h}) * sin(p0) AS gz FROM {src})"""
+
+
+def _enu_sql(src: str, h: str) -> str:
+    inner = _DELTA.format(h=h, src=_ECEF.format(src=_ENU.format(src=src)))
+    return f"(SELECT *, -sin(q0) * gx + cos(q0) * gy AS east, -sin(p0) * cos(q0) * gx - sin(p0) * sin(q0) * gy + cos(p0) * gz AS north, cos(p0) * cos(q0) * gx + cos(p0) * sin(q0) * gy + sin(p0) * gz AS up FROM {inner})"
+
+
+@query(f"WITH {SQL} SELECT det_id, round(east, 3) AS east, round(north, 3) AS north, round(up, 3) AS up FROM {_enu_sql('d', '620e0')}")
+def ground_enu(spark, sf_dir):
+    e, n, u = geo.to_enu(F.col("lat"), F.col("lon"), F.lit(0.0), LAT0, LON0, H0)
+    return detections(spark, sf_dir).select("det_id", _r(e, 3).alias("east"), _r(n, 3).alias("north"), _r(u, 3).alias("up"))
+
+
+@query(f"WITH {SQL} SELECT det_id, round(lat, 8) AS lat, round(lon, 8) AS lon FROM d")
+def enu_round_trip(spark, sf_dir):
+    """Geodetic to east-north-up and back."""
+    d = detections(spark, sf_dir)
+    d = d.withColumns(dict(zip(("e", "n", "u"), geo.to_enu(F.col("lat"), F.col("lon"), F.lit(0.0), LAT0, LON0, H0), strict=True)))
+    lat, lon, _ = geo.from_enu(F.col("e"), F.col("n"), F.col("u"), LAT0, LON0, H0)
+    return d.select("det_id", _r(lat, 8).alias("lat"), _r(lon, 8).alias("lon"))
+
+
+@query(f"WITH {SQL} SELECT det_id, round(sqrt(east * east + north * north) / 1000, 3) AS km FROM {_enu_sql('d', '0e0')} WHERE sqrt(east * east + north * north) <= 15000")
+def radius_search(spark, sf_dir):
+    return store.within(detections(spark, sf_dir), LAT0, LON0, 15_000.0).select("det_id", _r(F.col("metres") / 1000, 3).alias("km"))
+
+
+@query(f"""WITH {SQL}, p AS (SELECT det_id, d.lat, d.lon, unit, ulat, ulon, 6378137e0 / sqrt(1 - 6694379990141317e-18 * sin(radians(d.lat)) * sin(radians(d.lat))) AS n, 6378137e0 / sqrt(1 - 6694379990141317e-18 * sin(radians(ulat)) * sin(radians(ulat))) AS m FROM d, (VALUES ('north', 36442e-3, 12869e-2), ('south', 36385e-3, 128748e-3)) t(unit, ulat, ulon)),
+x AS (SELECT det_id, unit, radians(ulat) AS p0, radians(ulon) AS q0, n * cos(radians(lat)) * cos(radians(lon)) - m * cos(radians(ulat)) * cos(radians(ulon)) AS gx, n * cos(radians(lat)) * sin(radians(lon)) - m * cos(radians(ulat)) * sin(radians(ulon)) AS gy, (1 - 6694379990141317e-18) * (n * sin(radians(lat)) - m * sin(radians(ulat))) AS gz FROM p),
+k AS (SELECT det_id, unit, sqrt(power(-sin(q0) * gx + cos(q0) * gy, 2) + power(-sin(p0) * cos(q0) * gx - sin(p0) * sin(q0) * gy + cos(p0) * gz, 2)) / 1000 AS km FROM x)
+SELECT det_id, unit, round(km, 3) AS km FROM (SELECT *, row_number() OVER (PARTITION BY det_id ORDER BY km, unit) AS nth FROM k) WHERE nth = 1""")
+def nearest_unit(spark, sf_dir):
+    """The nearest of the site's response units: two literals, so the distance to each is a column and no join is needed."""
+    d = detections(spark, sf_dir)
+    far = [F.struct((F.hypot(*geo.to_enu(F.col("lat"), F.col("lon"), F.lit(0.0), lat, lon, 0.0)[:2]) / 1000).alias("km"), F.lit(name).alias("unit")) for name, lat, lon in UNITS]
+    return d.select("det_id", F.least(*far).alias("x")).select("det_id", "x.unit", _r(F.col("x.km"), 3).alias("km"))
+
+
+@query(f"WITH {SQL} SELECT round(min(lat) - 12e-3, 6) AS south, round(max(lat) + 12e-3, 6) AS north, round(min(lon) - 12e-3, 6) AS west, round(max(lon) + 12e-3, 6) AS east FROM (SELECT lat, lon FROM d UNION ALL VALUES (36442e-3, 12869e-2), (36385e-3, 128748e-3))")
+def map_bounds(spark, sf_dir):
+    d = detections(spark, sf_dir).agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"))
+    lats, lons = [F.lit(u[1]) for u in UNITS], [F.lit(u[2]) for u in UNITS]
+    return d.select(_r(F.least("s", *lats) - 0.012).alias("south"), _r(F.greatest("n", *lats) + 0.012).alias("north"), _r(F.least("w", *lons) - 0.012).alias("west"), _r(F.greatest("e", *lons) + 0.012).alias("east"))
+
+
+@query(f"WITH {SQL}, r AS (SELECT det_id, ((x1 + x2) / 2 - 960) / (960 / tan(radians(737e-1) / 2)) AS a, ((y1 + y2) / 2 - 540) / (960 / tan(radians(737e-1) / 2)) AS b, radians(k * 36e-1) AS y, radians(-k * 5e-1) AS p FROM d), s AS (SELECT *, sqrt(a * a + b * b + 1) AS n FROM r) SELECT det_id, round((a * cos(y) + b * sin(y) * sin(p) + sin(y) * cos(p)) / n, 6) AS east, round((-a * sin(y) + b * cos(y) * sin(p) + cos(y) * cos(p)) / n, 6) AS north, round(degrees(asin(least(1, greatest(-1, (b * cos(p) - sin(p)) / n)))), 6) AS depression FROM s")
+def pixel_rays(spark, sf_dir):
+    """Box centres as rays in east-north-up, and their depression."""
+    x, y = g.center()
+    ray = geo.rotate(geo.pixel_ray(x, y, geo.focal(1920, 73.7), 960, 540), F.col("k") * 3.6, -F.col("k") * 0.5, F.lit(0.0))
+    return detections(spark, sf_dir).select("det_id", _r(ray[0]).alias("east"), _r(ray[1]).alias("north"), _r(geo.depression(ray)).alias("depression"))
+
+
+@query(f"WITH {SQL} SELECT det_id, round(CASE WHEN k % 5 > 0 THEN (k % 5) * 30e0 ELSE 0 END * -sin(radians(k * 36e-1 + 180)), 6) + 0e0 AS east, round(CASE WHEN k % 5 > 0 THEN (k % 5) * 30e0 ELSE 0 END * -cos(radians(k * 36e-1 + 180)), 6) + 0e0 AS north, round(CASE WHEN k % 5 > 0 THEN (k % 5) * 30e0 ELSE 0 END, 6) + 0e0 AS metres FROM d")
+def wind_correction(spark, sf_dir):
+    e, n, m = geo.wind_shift((F.col("k") % 5).cast("double"), F.col("k") * 3.6, 30.0)
+    return detections(spark, sf_dir).select("det_id", _r(e).alias("east"), _r(n).alias("north"), _r(m).alias("metres"))
+
+
+_SN = "(ln(cos(radians(30)) / cos(radians(60))) / ln(tan(pi() / 4 + radians(60) / 2) / tan(pi() / 4 + radians(30) / 2)))"
+
+
+@query(f"WITH {SQL}, cone AS (SELECT {_SN} AS sn), s AS (SELECT sn, 637100877e-5 / 5 * power(tan(pi() / 4 + radians(30) / 2), sn) * cos(radians(30)) / sn AS f FROM cone), x AS (SELECT det_id, f / power(tan(pi() / 4 + radians(lat) / 2), sn) AS ra, f / power(tan(pi() / 4 + radians(38) / 2), sn) AS ro, (radians(lon) - radians(126)) * sn AS turn FROM d, s) SELECT det_id, CAST(trunc(ra * sin(turn) + 43 + 5e-1) AS INT) AS nx, CAST(trunc(ro - ra * cos(turn) + 136 + 5e-1) AS INT) AS ny FROM x")
+def forecast_grid(spark, sf_dir):
+    nx, ny = geo.forecast_cell(F.col("lat"), F.col("lon"))
+    return detections(spark, sf_dir).select("det_id", nx.alias("nx"), ny.alias("ny"))
+
+
+@query("SELECT strftime(CASE WHEN minute(ts) < 40 THEN ts + INTERVAL 8 HOUR ELSE ts + INTERVAL 9 HOUR END, '%Y%m%d %H00') AS base, count(*) AS n FROM events GROUP BY 1")
+def forecast_base_hours(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.groupBy(geo.forecast_base(F.col("ts")).alias("base")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_TRACKS}, p AS (SELECT seq_id, count(*) AS frames, count(*) FILTER (WHERE hits > 0) AS hit_frames, sum(hits) AS raw FROM (SELECT seq_id, frame_index, count(*) AS hits FROM d WHERE offset_s < 0 GROUP BY seq_id, frame_index) GROUP BY seq_id), b AS (SELECT seq_id, count(*) FILTER (WHERE born < 0) AS dedup FROM (SELECT seq_id, lane, min(offset_s) AS born FROM d GROUP BY seq_id, lane) GROUP BY seq_id) SELECT b.seq_id, coalesce(frames, 0) AS frames, CAST(coalesce(raw, 0) AS BIGINT) AS raw, dedup FROM b LEFT JOIN p USING (seq_id)")
+def sequence_outcomes(spark, sf_dir):
+    """Before ignition: frames, raw detections, and tracks born."""
+    d = detections(spark, sf_dir)
+    pre = d.groupBy("seq_id").agg(F.count_distinct(F.when(F.col("offset_s") < 0, F.col("frame_index"))).alias("frames"), F.count_if(F.col("offset_s") < 0).alias("raw"))
+    born = d.groupBy("seq_id", "lane").agg(F.min("offset_s").alias("born")).groupBy("seq_id").agg(F.count_if(F.col("born") < 0).alias("dedup"))
+    return pre.join(born, "seq_id")
+
+
+_FIRST = f"""{_OBS}, t AS (SELECT seq_id, lane, offset_s, {_features_sql(' OVER (PARTITION BY seq_id, lane ORDER BY offset_s, det_id ROWS UNBOUNDED PRECEDING)')} FROM w),
+v AS (SELECT seq_id, lane, offset_s, n, growth AS area_growth_rate, mono AS area_monotonicity, -dy / greatest(side, 1) AS centroid_rise_rate FROM t),
+first AS (SELECT seq_id, lane, min(offset_s) AS flare FROM v WHERE n >= 3 AND {_MET} = 2 GROUP BY seq_id, lane)"""
+
+
+@query(f"WITH {_FIRST}, pre AS (SELECT count(*) AS raw, (SELECT count(*) FROM (SELECT DISTINCT seq_id, frame_index FROM d WHERE offset_s < 0)) AS frames FROM d WHERE offset_s < 0), s AS (SELECT (SELECT count(DISTINCT seq_id) FROM d) AS sequences, (SELECT count(*) FROM (SELECT seq_id, lane, min(offset_s) AS b FROM d GROUP BY seq_id, lane) WHERE b < 0) AS dedup, (SELECT count(*) FROM first WHERE flare < 0) AS verified, (SELECT count(DISTINCT seq_id) FROM first WHERE flare >= 0) AS detected, (SELECT median(m) FROM (SELECT min(flare) AS m FROM first WHERE flare >= 0 GROUP BY seq_id)) AS ttf) SELECT frames, round(frames / 60e0, 6) AS hours, round(raw / (frames / 60e0), 6) AS raw_per_hour, round(dedup / (frames / 60e0), 6) AS dedup_per_hour, round(verified / (frames / 60e0), 6) AS verified_per_hour, round(detected / CAST(sequences AS DOUBLE), 6) AS detection_rate, round(ttf, 6) AS median_time_to_flare FROM pre, s")
+def false_alarm_rates(spark, sf_dir):
+    """False alarms an hour before ignition under three policies, and the share of sequences found after it."""
+    past = Window.partitionBy("seq_id", "lane").orderBy("offset_s", "det_id").rowsBetween(Window.unboundedPreceding, 0)
+    d = detections(spark, sf_dir)
+    t = rules.observations(d).select("seq_id", "lane", "offset_s", *(c.alias(k) for k, c in rules.features(over=past).items()))
+    flare = t.withColumn("tier", rules.tier(*rules.criteria(), F.lit(True)))
+    track = flare.groupBy("seq_id", "lane").agg(F.min("offset_s").alias("born"), F.min(F.when(F.col("tier") == "FLARE", F.col("offset_s"))).alias("flare"))
+    seq = track.groupBy("seq_id").agg(F.count_if(F.col("born") < 0).alias("dedup"), F.count_if(F.col("flare") < 0).alias("verified"), F.min(F.when(F.col("flare") >= 0, F.col("flare"))).alias("ttf"))
+    pre = d.groupBy("seq_id").agg(F.count_if(F.col("offset_s") < 0).alias("raw"), F.count_distinct(F.when(F.col("offset_s") < 0, F.col("frame_index"))).alias("frames"))
+    a = seq.join(pre, "seq_id").agg(F.sum("frames").alias("frames"), F.sum("raw").alias("raw"), F.sum("dedup").alias("dedup"), F.sum("verified").alias("verified"), F.count("ttf").alias("detected"), F.count("*").alias("sequences"), F.percentile("ttf", 0.5).alias("ttf"))
+    hours = F.col("frames") / 60.0
+    rate = lambda c: _r(F.coalesce(F.try_divide(F.col(c), hours), F.lit(0.0))).alias(f"{c}_per_hour")
+    return a.select("frames", _r(hours).alias("hours"), rate("raw"), rate("dedup"), rate("verified"), _r(F.col("detected") / F.col("sequences")).alias("detection_rate"), _r(F.col("ttf")).alias("median_time_to_flare"))
+
+
+@query(f"WITH {SQL} SELECT seq_id, CASE WHEN (dense_rank() OVER (ORDER BY seq_id) - 1) % 2 = 0 THEN 'train' ELSE 'test' END AS part FROM (SELECT DISTINCT seq_id FROM d)")
+def holdout_split(spark, sf_dir):
+    """Sequences in order, every other one for testing: even places train, odd ones test."""
+    return learn.split(detections(spark, sf_dir).select("seq_id").distinct())
+
+
+@query()
+def nms(spark, sf_dir):
+    return matching.suppressed(detections(spark, sf_dir))
+
+
+@query()
+def ground_truth_match(spark, sf_dir):
+    """Detections against boxes a third of which stand shifted as ground truth."""
+    d = detections(spark, sf_dir)
+    shift = (F.col("k") % 11) - 5
+    truth = d.where("k % 3 = 0").select("seq_id", "frame_index", F.col("det_id").alias("truth_id"), *((F.col(c) + shift).alias(c) for c in ("x1", "y1", "x2", "y2")))
+    return matching.matched(d, truth)
+
+
+@query()
+def pr_curve(spark, sf_dir):
+    d = detections(spark, sf_dir)
+    return matching.pr_curve(ground_truth_match(spark, sf_dir), d.where("k % 3 = 0").count())
+
+
+@query()
+def average_precision(spark, sf_dir):
+    d = detections(spark, sf_dir)
+    return matching.average_precision(ground_truth_match(spark, sf_dir), d.where("k % 3 = 0").count())
+
+
+@query()
+def linked_tracks(spark, sf_dir):
+    return tracks.linked(detections(spark, sf_dir))
+
+
+@query()
+def routed_alerts(spark, sf_dir):
+    return alerts.routed(stored_events(spark, sf_dir).withColumn("site", F.col("seq_id") % 20))
+
+
+@query()
+def scorer_fit(spark, sf_dir):
+    return learn.fitted(_tracks(spark, sf_dir).join(stored_events(spark, sf_dir).select("seq_id", "lane", "label"), ["seq_id", "lane"]))
+
+
+@query()
+def georeference(spark, sf_dir):
+    return solve.located(detections(spark, sf_dir))
+
+
+@query()
+def cep_sweep(spark, sf_dir):
+    return solve.cep_by_depression(solve.located(detections(spark, sf_dir)))
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
