@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: WGS84.
@@ -40,10 +40,19 @@ def to_enu(lat: Column, lon: Column, h: Column, lat0: float, lon0: float, h0: fl
     return -u * dx + v * dy, -s * v * dx - s * u * dy + c * dz, c * v * dx + c * u * dy + s * dz
 
 
-def from_enu(e: Column, n: Column, up: Column, lat0: float, lon0: float, h0: float) -> tuple[Column, Column, Column]:
+def enu_to_ecef(e: Column, n: Column, up: Column, lat0: float, lon0: float, h0: float) -> tuple[Column, Column, Column]:
     x0, y0, z0 = _origin(lat0, lon0, h0)
     s, c, u, v = math.sin(math.radians(lat0)), math.cos(math.radians(lat0)), math.sin(math.radians(lon0)), math.cos(math.radians(lon0))
-    return geodetic(x0 - u * e - s * v * n + c * v * up, y0 + v * e - s * u * n + c * u * up, z0 + c * n + s * up)
+    return x0 - u * e - s * v * n + c * v * up, y0 + v * e - s * u * n + c * u * up, z0 + c * n + s * up
+
+
+def from_enu(d: DataFrame, e: Column, n: Column, up: Column, lat0: float, lon0: float, h0: float) -> DataFrame:
+    """d with lat and lon of a point in east, north, up. Earth-centred coordinates are columns of their own on the way, so
+    that the closed form doesn't repeat them."""
+    x, y, z = enu_to_ecef(e, n, up, lat0, lon0, h0)
+    d = d.withColumns({"_x": x, "_y": y, "_z": z})
+    lat, lon, _ = geodetic(F.col("_x"), F.col("_y"), F.col("_z"))
+    return d.withColumns({"lat": lat, "lon": lon}).drop("_x", "_y", "_z")
 
 
 def _origin(lat: float, lon: float, h: float) -> tuple[float, float, float]:

@@ -126,8 +126,9 @@ def located(d: DataFrame, above_ground: float = 900.0, hfov: float = 73.7) -> Da
     refused = grazing.select("det_id", "depression", F.lit("GRAZING").alias("reason"), *(none.alias(c) for c in ("e", "n", "up", "range_m", "cep50_m", "cep90_m")))
     solved = aimed.where(F.col("depression") >= GRAZING).mapInPandas(run, out)
     number = lambda c: F.when(~F.isnan(c), F.col(c))
-    lat, lon, _ = geo.from_enu(number("e"), number("n"), number("up"), 36.4127, 128.7043, 620.0)
-    return solved.union(refused).select("det_id", "depression", "reason", lat.alias("lat"), lon.alias("lon"), number("range_m").alias("range_m"), "cep50_m", "cep90_m")
+    fixes = solved.union(refused).withColumns({c: number(c) for c in ("e", "n", "up", "range_m")})
+    placed = geo.from_enu(fixes, F.col("e"), F.col("n"), F.col("up"), 36.4127, 128.7043, 620.0)
+    return placed.select("det_id", "depression", "reason", "lat", "lon", "range_m", "cep50_m", "cep90_m")
 
 
 def cep_by_depression(fixes: DataFrame) -> DataFrame:

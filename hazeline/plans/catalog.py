@@ -220,8 +220,8 @@ def enu_round_trip(spark, sf_dir):
     """Geodetic to east-north-up and back."""
     d = detections(spark, sf_dir)
     d = d.withColumns(dict(zip(("e", "n", "u"), geo.to_enu(F.col("lat"), F.col("lon"), F.lit(0.0), LAT0, LON0, H0), strict=True)))
-    lat, lon, _ = geo.from_enu(F.col("e"), F.col("n"), F.col("u"), LAT0, LON0, H0)
-    return d.select("det_id", _r(lat, 8).alias("lat"), _r(lon, 8).alias("lon"))
+    back = geo.from_enu(d.select("det_id", "e", "n", "u"), F.col("e"), F.col("n"), F.col("u"), LAT0, LON0, H0)
+    return back.select("det_id", _r(F.col("lat"), 8).alias("lat"), _r(F.col("lon"), 8).alias("lon"))
 
 
 @query(f"WITH {SQL} SELECT det_id, round(sqrt(east * east + north * north) / 1000, 3) AS km FROM {_enu_sql('d', '0e0')} WHERE sqrt(east * east + north * north) <= 15000")
