@@ -102,7 +102,8 @@ def located(d: DataFrame, above_ground: float = 900.0, hfov: float = 73.7) -> Da
     f = geo.focal(1920, hfov)
     aimed = d.select("det_id", x.alias("u"), y.alias("v"), (F.col("k") * 3.6).alias("yaw"), (-F.col("k") * 0.5 - 2).alias("pitch"))
     ray = geo.rotate(geo.pixel_ray(F.col("u"), F.col("v"), f, 960, 540), F.col("yaw"), F.col("pitch"), F.lit(0.0))
-    aimed = aimed.withColumn("depression", geo.depression(ray))
+    aimed = aimed.withColumns({"rx": ray[0], "ry": ray[1], "rz": ray[2]})
+    aimed = aimed.withColumn("depression", geo.depression((F.col("rx"), F.col("ry"), F.col("rz")))).drop("rx", "ry", "rz")
     ground = spark.sparkContext.broadcast(synthetic())
     out = "det_id long, depression double, reason string, e double, n double, up double, range_m double, cep50_m double, cep90_m double"
 
