@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from hazeline.session import materialize
+
 #: Lengths up to this have a bin each; above, a bin spans at most 1/128 of its length.
 EXACT = 1024
 
@@ -25,7 +27,7 @@ def length_bin(n: Column) -> Column:
     """Largest length of the bin: n itself up to EXACT, then n rounded up to 7 leading bits. The number of bins grows with
     the logarithm of the longest length, so the histogram that reaches the driver is bounded: 1,024 bins and 128 for each doubling, under 8,100."""
     step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))) - 7).cast("long")
-    return F.when(n <= EXACT, n).otherwise(F.expr("0") + F.ceil(n / step).cast("long") * step).cast("long")
+    return F.when(n <= EXACT, n).otherwise(F.ceil(n / step).cast("long") * step).cast("long")
 
 
 def histogram(lengths: DataFrame) -> list[tuple[int, int, int]]:
@@ -80,7 +82,7 @@ def packed(docs: DataFrame, buckets: int = 8, token_budget: int = 65_536, tokens
     are dealt to shards of about shard_rows by a hash, ordered there, and start at the sum of the shards before.
     """
     n = (word_count() if tokens is None else tokens).cast("long")
-    lengths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n_tokens"))
+    lengths = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n_tokens")), "lengths")
     hist = histogram(lengths)
     ends = boundaries(hist, buckets)
     if not ends:
