@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazeline.llm.common import NO_ID, WordHashes, batches_of, hash_words, rolling, semi_by_size, small_batches, utf8
+from hazeline.session import materialize
 
 _EDGE = b".,;:!?\"'()[]{}<>"
 
@@ -146,5 +147,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, share: floa
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that leak an item. Rows without a doc_id stay."""
-    gone = leaks(docs, benchmark).where("doc_id IS NOT NULL").select("doc_id").distinct()
+    gone = materialize(leaks(docs, benchmark).where("doc_id IS NOT NULL").select("doc_id").distinct(), "leaks")
     return semi_by_size(docs, gone, "doc_id", "left_anti")

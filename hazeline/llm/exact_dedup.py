@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazeline.llm.common import NO_ID, SPACE, batches_of, semi_by_size, small_batches, utf8
+from hazeline.session import materialize
 
 _PART = "h long, content binary, n long, points long, doc long"
 
@@ -166,5 +167,5 @@ def exact_groups(docs: DataFrame, combine_bytes: int = 32 << 20, bucket_bytes: i
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_groups drops. Rows without a doc_id stay."""
-    gone = exact_groups(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id")
+    gone = materialize(exact_groups(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id"), "copies")
     return semi_by_size(docs, gone, "doc_id", "left_anti")
