@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hazeline.functions.rules import SCORER
+from hazeline.session import materialize
 
 LEAST = 8
 
@@ -32,7 +32,23 @@ def fitted(tracks: DataFrame) -> DataFrame:
     if min(positive or 0, n - (positive or 0)) < LEAST:
         raise ValueError(f"{LEAST} labels of each class are needed; {positive or 0:.0f} and {n - (positive or 0):.0f} are there")
     x = x.withColumn("weight", F.when(F.col("y") == 1, n / (2 * positive)).otherwise(n / (2 * (n - positive))))
-    v = VectorAssembler(inputCols=[f for f, _, _ in names], outputCol="v").transform(x)
-    m = LogisticRegression(featuresCol="v", labelCol="y", weightCol="weight", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=200).fit(v)
-    rows = [(f, float(w)) for (f, _, _), w in zip(names, m.coefficients, strict=True)] + [("intercept", float(m.intercept))]
+    x = materialize(x.withColumn("one", F.lit(1.0)), "labelled")
+    cols = [f for f, _, _ in names] + ["one"]
+    w, k = np.zeros(len(cols)), len(cols)
+    ridge = np.append(np.ones(k - 1), 1e-9)
+    # Newton steps on the penalised log loss: each is one aggregate of k gradient and k (k + 1) / 2 curvature sums.
+    for _ in range(25):
+        logit = sum(F.col(c) * float(v) for c, v in zip(cols, w, strict=True))
+        at = x.withColumn("p", 1 / (1 + F.exp(-logit)))
+        slope = [F.sum(F.col("weight") * (F.col("p") - F.col("y")) * F.col(c)) for c in cols]
+        curve = [F.sum(F.col("weight") * F.col("p") * (1 - F.col("p")) * F.col(cols[i]) * F.col(cols[j])) for i in range(k) for j in range(i, k)]
+        sums = list(at.agg(*slope, *curve).first())
+        h = np.zeros((k, k))
+        h[np.triu_indices(k)] = sums[k:]
+        h = h + np.triu(h, 1).T + np.diag(ridge)
+        step = np.linalg.solve(h, np.array(sums[:k]) + ridge * w)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    rows = [(f, float(v)) for f, v in zip([*cols[:-1], "intercept"], w, strict=True)]
     return tracks.sparkSession.createDataFrame(rows, "feature string, weight double")
