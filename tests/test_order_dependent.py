@@ -104,3 +104,14 @@ def test_single_observation(spark):
     d = spark.createDataFrame(row, "seq_id long, lane string, offset_s double, det_id long, x1 double, y1 double, x2 double, y2 double, confidence double")
     f = rules.observations(d).groupBy("seq_id").agg(*(c.alias(k) for k, c in rules.features().items())).first()
     assert (f.n, f.persistence, f.confidence_mean, f.area_growth_rate, f.area_monotonicity, f.translation_over_growth) == (1, 1.0, 0.5, 0.0, 0.0, 0.0)
+
+
+def test_fit_is_where_the_penalised_gradient_vanishes(spark):
+    rng = np.random.default_rng(0)
+    rows = [(float(rng.uniform()), float(rng.uniform()), "confirmed" if rng.uniform() < 0.3 else "false_positive") for _ in range(60)]
+    w = {r.feature: r.weight for r in learn.fitted(spark.createDataFrame(rows, "persistence double, confidence_mean double, label string")).collect()}
+    x = np.array([[(a - 0.5) / 0.3, (b - 0.4) / 0.2, 1.0] for a, b, _ in rows])
+    y = np.array([c == "confirmed" for *_, c in rows], float)
+    s = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    v = np.array([w["persistence"], w["confidence_mean"], w["intercept"]])
+    assert x.T @ (s * (1 / (1 + np.exp(-x @ v)) - y)) + v * [1, 1, 0] == pytest.approx([0, 0, 0], abs=1e-5)
