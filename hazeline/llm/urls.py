@@ -13,6 +13,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazeline.session import materialize
+
 #: (host, path, verdict)
 Rule = tuple[str, str, str]
 
@@ -49,8 +51,26 @@ def shape(segment: Column) -> Column:
     )
 
 
-def templates(urls: DataFrame, depth: int = 4, least: int = 20, variety: float = 0.5) -> DataFrame:
-    """urls(host, path, ...) with the column template: an array of at most depth segments, generalised level by level.
+def with_facts(x: DataFrame, facts: DataFrame, on: list[str], total: int, most: int = 256) -> DataFrame:
+    """x left-joined with facts(*on, rows, ...), one row a key; rows counts the rows of x that have the key, total all rows.
+
+    A key with more than total / most rows comes by broadcast: there are fewer than `most` of them, since their rows sum
+    to no more than total. Its rows of x are dealt by a hash of theirs in the shuffle that joins all other keys, so that
+    no task gets a hot host whole. facts is written as a table first: it is read twice, and is made from x itself.
+    """
+    facts = materialize(facts, "url-facts")
+    values = [c for c in facts.columns if c not in on and c != "rows"]
+    hot = facts.where(F.col("rows") > total / most).select(*on, F.lit(True).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in values))
+    rest = facts.where(F.col("rows") <= total / most).select(*on, F.lit(0).cast("long").alias("_deal"), *values)
+    own = F.xxhash64(*(c for c in x.columns if not c.startswith("_")))
+    x = x.join(F.broadcast(hot), on, "left").withColumn("_deal", F.when(F.col("_hot"), 1 + F.pmod(own, F.lit(4096))).otherwise(0).cast("long"))
+    x = x.join(rest, [*on, "_deal"], "left")
+    return x.withColumns({c: F.coalesce(c, f"_hot_{c}") for c in values}).drop("_deal", "_hot", *(f"_hot_{c}" for c in values))
+
+
+def templates(urls: DataFrame, total: int, depth: int = 4, least: int = 20, variety: float = 0.5) -> DataFrame:
+    """urls(host, path, ...), of total rows, with the column template: an array of at most depth segments, generalised
+    level by level.
 
     A child segment becomes {*} where its parent has at least `least` urls and more than `variety` different children a
     url. Counts of (parent, segment) are made before they are counted by parent, so a hot host is summed in every task;
@@ -62,25 +82,25 @@ def templates(urls: DataFrame, depth: int = 4, least: int = 20, variety: float =
         x = x.withColumn("_s", F.when(F.size("_seg") > level, shape(F.get("_seg", F.lit(level)))))
         children = x.where("_s IS NOT NULL").groupBy("host", "template", "_s").agg(F.count("*").alias("n"))
         parents = children.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
-        wide = parents.where((F.col("n") >= least) & (F.col("kinds") > variety * F.col("n"))).select("host", "template", F.lit(True).alias("_wide"))
-        x = x.join(wide, ["host", "template"], "left")
+        wide = (F.col("n") >= least) & (F.col("kinds") > variety * F.col("n"))
+        x = with_facts(x, parents.select("host", "template", F.col("n").alias("rows"), wide.alias("_wide")), ["host", "template"], total)
         step = F.when(F.col("_wide"), "{*}").otherwise(F.col("_s"))
         x = x.withColumn("template", F.when(F.col("_s").isNotNull(), F.concat("template", F.array(step))).otherwise(F.col("template"))).drop("_wide", "_s")
     return x.withColumn("template", F.when(F.size("_seg") > depth, F.concat("template", F.array(F.lit("{...}")))).otherwise(F.col("template"))).drop("_seg")
 
 
-def purity(labelled: DataFrame, weight: float = 4.0, prior: float = 0.5) -> DataFrame:
-    """(host, template, n, bad, share) of merged branches: labelled(host, template, n, bad) has the url counts of each
-    template. Sibling templates of a host that differ in their first segment only are merged when both have labels, and
+def purity(labelled: DataFrame, total: int, weight: float = 4.0, prior: float = 0.5) -> DataFrame:
+    """(host, template, rows, n, bad, share) of merged branches: labelled(host, template, rows, n, bad) has the url counts
+    of each template, among them those with a label and the bad ones. Sibling templates of a host that differ in their first segment only are merged when both have labels, and
     their shares differ by less than two standard errors of the pooled share; the group's share is smoothed to prior."""
     group = labelled.where("n > 0").withColumn("tail", F.concat_ws("/", F.slice("template", 2, 100)))
-    pool = group.groupBy("host", "tail").agg(F.sum("n").alias("pn"), F.sum("bad").alias("pb"))
-    g = group.join(pool, ["host", "tail"])
+    pool = group.groupBy("host", "tail").agg(F.count("*").alias("rows"), F.sum("n").alias("pn"), F.sum("bad").alias("pb"))
+    g = with_facts(group, pool, ["host", "tail"], total)
     p = F.col("pb") / F.col("pn")
     error = F.sqrt(p * (1 - p) * (1 / F.col("n") + 1 / F.col("pn")))
     alike = F.abs(F.col("bad") / F.col("n") - p) <= 2 * error
     n, bad = F.when(alike, F.col("pn")).otherwise(F.col("n")), F.when(alike, F.col("pb")).otherwise(F.col("bad"))
-    return g.select("host", "template", n.alias("n"), bad.alias("bad"), ((bad + weight * prior) / (n + weight)).alias("share"))
+    return g.select("host", "template", "rows", n.alias("n"), bad.alias("bad"), ((bad + weight * prior) / (n + weight)).alias("share"))
 
 
 def judged(pages: DataFrame, rules: list[Rule], bound: float = 0.8, id_col: str = "page_id") -> DataFrame:
@@ -94,10 +114,13 @@ def judged(pages: DataFrame, rules: list[Rule], bound: float = 0.8, id_col: str
     """
     u = pages.select(F.col(id_col).alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    t = templates(u.withColumn("rule", name).withColumn("_said", verdict)).withColumn("top", F.slice("template", 1, 1))
-    counts = t.groupBy("host", "template").agg(F.count("_said").alias("n"), F.count_if(F.col("_said") == "block").alias("bad"))
-    own = purity(counts).select("host", "template", F.col("share").alias("own"))
-    above = purity(counts.groupBy("host", F.slice("template", 1, 1).alias("template")).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))).select("host", F.col("template").alias("top"), F.col("share").alias("above"))
-    x = t.join(own, ["host", "template"], "left").join(above, ["host", "top"], "left").withColumn("share", F.coalesce("own", "above"))
+    total = pages.count()
+    t = templates(u.withColumn("rule", name).withColumn("_said", verdict), total).withColumn("top", F.slice("template", 1, 1))
+    counts = t.groupBy("host", "template").agg(F.count("*").alias("rows"), F.count("_said").alias("n"), F.count_if(F.col("_said") == "block").alias("bad"))
+    counts = materialize(counts, "url-counts")
+    branches = counts.groupBy("host", F.slice("template", 1, 1).alias("template")).agg(*(F.sum(c).alias(c) for c in ("rows", "n", "bad")))
+    own = purity(counts, total).select("host", "template", "rows", F.col("share").alias("own"))
+    above = purity(branches, total).select("host", F.col("template").alias("top"), "rows", F.col("share").alias("above"))
+    x = with_facts(with_facts(t, own, ["host", "template"], total), above, ["host", "top"], total).withColumn("share", F.coalesce("own", "above"))
     method = F.when(F.col("share") >= bound, "block").otherwise("allow")
     return x.select("page_id", "host", "path", "rule", F.coalesce("_said", method).alias("verdict"), F.concat(F.lit("/"), F.concat_ws("/", "template")).alias("template"), "share")

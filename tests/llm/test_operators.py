@@ -266,7 +266,7 @@ def test_rules(spark):
 def test_templates_and_purity(spark):
     rows = [("s.org", f"/ads/{k}", "block" if k < 30 else None) for k in range(60)] + [("s.org", f"/blog/post-{chr(97 + k % 26)}{k}", "allow" if k < 30 else None) for k in range(60)]
     d = spark.createDataFrame(rows, "host string, path string, said string")
-    t = urls.templates(d)
+    t = urls.templates(d, d.count())
     assert {tuple(r.template) for r in t.collect()} == {("ads", "{n}"), ("blog", "{*}")}
     rules = [("s.org", f"/ads/{k}", "block") for k in range(10, 40)]
     pages = spark.createDataFrame([(i, f"http://s.org/ads/{i}") for i in range(100, 130)] + [(k, f"http://s.org/ads/{k}") for k in range(10, 40)] + [(999, "http://s.org/blog/a")], "page_id long, url string")
