@@ -72,6 +72,13 @@ def pixel_ray(u: Column, v: Column, f: float, cx: float, cy: float) -> tuple[Col
     return x / n, y / n, 1 / n
 
 
+def distort(x: Column, y: Column, k1: float, k2: float, p1: float, p2: float, k3: float) -> tuple[Column, Column]:
+    """Normalised camera coordinates through a lens: radial k1, k2, k3 and tangential p1, p2."""
+    r2 = x * x + y * y
+    radial = 1 + k1 * r2 + k2 * r2 * r2 + k3 * r2 * r2 * r2
+    return x * radial + 2 * p1 * x * y + p2 * (r2 + 2 * x * x), y * radial + p1 * (r2 + 2 * y * y) + 2 * p2 * x * y
+
+
 def rotate(ray: tuple[Column, Column, Column], yaw: Column, pitch: Column, roll: Column) -> tuple[Column, Column, Column]:
     """A camera ray in east, north, up; yaw from north clockwise, pitch up, roll about the forward axis."""
     y, p, r = F.radians(yaw), F.radians(pitch), F.radians(roll)
@@ -113,3 +120,9 @@ def forecast_base(utc: Column) -> Column:
     """Base date and hour, Korean time: before minute 40 the hour before."""
     local = F.from_utc_timestamp(utc.cast("timestamp"), "Asia/Seoul")
     return F.date_format(F.when(F.minute(local) < 40, local - F.expr("INTERVAL 1 HOUR")).otherwise(local), "yyyyMMdd HH00")
+
+
+def tile_name(south: Column, west: Column) -> Column:
+    """File name of the one-degree elevation tile with this south-west corner; the format is fixed by the public data set."""
+    ns, ew = F.when(south >= 0, "N").otherwise("S"), F.when(west >= 0, "E").otherwise("W")
+    return F.format_string("Copernicus_DSM_COG_10_%s%02d_00_%s%03d_00_DEM", ns, F.abs(south), ew, F.abs(west))

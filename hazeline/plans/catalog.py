@@ -312,6 +312,67 @@ def holdout_split(spark, sf_dir):
     return learn.split(detections(spark, sf_dir).select("seq_id").distinct())
 
 
+@query(f"WITH {_TRACKS} SELECT seq_id, lane, CASE WHEN score >= 7e-1 AND n >= 3 THEN 'FLARE' WHEN score >= 35e-2 THEN 'GLOW' ELSE 'SPARK' END AS tier FROM u")
+def score_tiers(spark, sf_dir):
+    """Tiers by the score alone, the auxiliary grading; every place counts as located."""
+    return _tracks(spark, sf_dir).select("seq_id", "lane", rules.tier_from_score(F.lit(True)).alias("tier"))
+
+
+@query(f"WITH {_EVENTS} SELECT count(*) AS total, count(*) FILTER (WHERE tier = 'FLARE') AS flare, count(*) FILTER (WHERE tier = 'GLOW') AS glow, count(*) FILTER (WHERE tier = 'SPARK') AS spark, count(*) FILTER (WHERE label <> 'unlabelled') AS labelled, count(*) FILTER (WHERE tier = 'GLOW' AND label = 'unlabelled') AS queue FROM e")
+def event_summary(spark, sf_dir):
+    """Stored events by tier, those with a label, and the GLOW ones that wait for a label."""
+    is_ = lambda t: F.col("tier") == t
+    bare = F.col("label") == "unlabelled"
+    return stored_events(spark, sf_dir).agg(F.count("*").alias("total"), *(F.count_if(is_(t)).alias(t.lower()) for t in rules.TIERS), F.count_if(~bare).alias("labelled"), F.count_if(is_("GLOW") & bare).alias("queue"))
+
+
+@query(f"WITH {SQL}, l AS (SELECT seq_id, lane, k % 4 AS status, offset_s + 30 * (k % 4) AS said, min(offset_s) OVER (PARTITION BY seq_id, lane) AS born FROM d) SELECT seq_id, lane, status, min(said) - min(born) AS delay_s FROM l WHERE status > 0 GROUP BY seq_id, lane, status")
+def response_delays(spark, sf_dir):
+    """Seconds from a track's first detection to the first entry of each response status."""
+    d = detections(spark, sf_dir).groupBy("seq_id", "lane", (F.col("k") % 4).alias("status")).agg(F.min("offset_s").alias("first"))
+    born = F.min("first").over(Window.partitionBy("seq_id", "lane"))
+    return d.withColumn("delay_s", F.col("first") + 30 * F.col("status") - born).where("status > 0").select("seq_id", "lane", "status", "delay_s")
+
+
+@query(f"WITH {SQL}, t AS (SELECT seq_id, lane, count(*) FILTER (WHERE offset_s < 0) AS pre, count(*) FILTER (WHERE offset_s >= 0) AS post, min(offset_s) AS born FROM d GROUP BY seq_id, lane) SELECT seq_id, lane, 0 AS label, pre AS n FROM t WHERE pre >= 2 UNION ALL SELECT seq_id, lane, 1, post FROM t WHERE post >= 2 AND born >= 0")
+def training_tracks(spark, sf_dir):
+    """Rows to fit the scorer on: the part of a track before ignition counts as false, a track born after it as true."""
+    late = F.col("offset_s") >= 0
+    t = detections(spark, sf_dir).groupBy("seq_id", "lane").agg(F.count_if(~late).alias("pre"), F.count_if(late).alias("post"), F.min("offset_s").alias("born"))
+    false = t.where("pre >= 2").select("seq_id", "lane", F.lit(0).alias("label"), F.col("pre").alias("n"))
+    return false.union(t.where("post >= 2 AND born >= 0").select("seq_id", "lane", F.lit(1), "post"))
+
+
+@query(f"WITH {SQL}, o AS (SELECT seq_id, lane, det_id, row_number() OVER (PARTITION BY seq_id, lane ORDER BY offset_s, det_id) - 1 AS nth, count(*) OVER (PARTITION BY seq_id, lane) AS n FROM d), s AS (SELECT DISTINCT seq_id, lane, CAST(round_even(i * (n - 1) / CAST(13 AS DOUBLE), 0) AS BIGINT) AS nth FROM (SELECT DISTINCT seq_id, lane, n FROM o WHERE n > 14), range(14) r(i)) SELECT seq_id, lane, det_id, nth FROM o WHERE n <= 14 UNION ALL SELECT o.seq_id, o.lane, det_id, o.nth FROM o JOIN s ON o.seq_id = s.seq_id AND o.lane = s.lane AND o.nth = s.nth")
+def evenly_sampled(spark, sf_dir):
+    """At most 14 evenly spaced detections of each track, as its animation shows them."""
+    own = Window.partitionBy("seq_id", "lane")
+    x = detections(spark, sf_dir).select("seq_id", "lane", "det_id", (F.row_number().over(own.orderBy("offset_s", "det_id")) - 1).cast("long").alias("nth"), F.count("*").over(own).alias("n"))
+    places = F.transform(F.sequence(F.lit(0), F.lit(13)), lambda i: F.rint(i * (F.col("n") - 1) / 13.0).cast("long"))
+    return x.where((F.col("n") <= 14) | F.array_contains(places, F.col("nth"))).select("seq_id", "lane", "det_id", "nth")
+
+
+_R2 = "(a * a + b * b)"
+_RADIAL = f"(1 - 28e-2 * {_R2} + 7e-2 * {_R2} * {_R2} - 1e-2 * {_R2} * {_R2} * {_R2})"
+
+
+@query(f"WITH {SQL}, r AS (SELECT det_id, ((x1 + x2) / 2 - 960) / (960 / tan(radians(737e-1) / 2)) AS a, ((y1 + y2) / 2 - 540) / (960 / tan(radians(737e-1) / 2)) AS b FROM d) SELECT det_id, round(a * {_RADIAL} + 2e-3 * a * b + 5e-4 * ({_R2} + 2 * a * a), 6) + 0e0 AS x, round(b * {_RADIAL} + 1e-3 * ({_R2} + 2 * b * b) + 1e-3 * a * b, 6) + 0e0 AS y FROM r")
+def lens_distortion(spark, sf_dir):
+    """Box centres through a lens with radial and tangential distortion, in normalised camera coordinates."""
+    x, y = g.center()
+    f = geo.focal(1920, 73.7)
+    d = detections(spark, sf_dir).select("det_id", ((x - 960) / f).alias("a"), ((y - 540) / f).alias("b"))
+    u, v = geo.distort(F.col("a"), F.col("b"), -0.28, 0.07, 0.001, 0.0005, -0.01)
+    return d.select("det_id", (_r(u) + 0.0).alias("x"), (_r(v) + 0.0).alias("y"))
+
+
+@query(f"WITH {SQL}, t AS (SELECT CAST(floor(lat) AS BIGINT) AS south, CAST(floor(lon) AS BIGINT) AS west, count(*) AS n FROM d GROUP BY 1, 2) SELECT south, west, n, printf('Copernicus_DSM_COG_10_%s%02d_00_%s%03d_00_DEM', CASE WHEN south >= 0 THEN 'N' ELSE 'S' END, abs(south), CASE WHEN west >= 0 THEN 'E' ELSE 'W' END, abs(west)) AS name FROM t")
+def terrain_cells(spark, sf_dir):
+    """The one-degree terrain tiles that detections need, and the names of their files."""
+    t = detections(spark, sf_dir).groupBy(F.floor("lat").alias("south"), F.floor("lon").alias("west")).agg(F.count("*").alias("n"))
+    return t.withColumn("name", geo.tile_name(F.col("south"), F.col("west")))
+
+
 @query()
 def nms(spark, sf_dir):
     return matching.suppressed(detections(spark, sf_dir))
