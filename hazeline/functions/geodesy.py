@@ -79,17 +79,39 @@ def distort(x: Column, y: Column, k1: float, k2: float, p1: float, p2: float, k3
     return x * radial + 2 * p1 * x * y + p2 * (r2 + 2 * x * x), y * radial + p1 * (r2 + 2 * y * y) + 2 * p2 * x * y
 
 
-def rotate(ray: tuple[Column, Column, Column], yaw: Column, pitch: Column, roll: Column) -> tuple[Column, Column, Column]:
-    """A camera ray in east, north, up; yaw from north clockwise, pitch up, roll about the forward axis."""
+def undistort(x: Column, y: Column, k1: float, k2: float, p1: float, p2: float, k3: float, rounds: int = 40) -> Column:
+    """struct(x, y) whose distortion is (x, y), by fixed point; the start is the distorted point."""
+
+    def nearer(at: Column, _: Column) -> Column:
+        u, v = distort(at["x"], at["y"], k1, k2, p1, p2, k3)
+        return F.struct((at["x"] + x - u).alias("x"), (at["y"] + y - v).alias("y"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(x.alias("x"), y.alias("y")), nearer)
+
+
+def axes(yaw: Column, pitch: Column, roll: Column) -> tuple[list[Column], list[Column], list[Column]]:
+    """Right, down and forward of a camera in east, north, up; yaw from north clockwise, pitch up, roll about the forward axis."""
     y, p, r = F.radians(yaw), F.radians(pitch), F.radians(roll)
-    forward = F.sin(y) * F.cos(p), F.cos(y) * F.cos(p), F.sin(p)
+    forward = [F.sin(y) * F.cos(p), F.cos(y) * F.cos(p), F.sin(p)]
     right0 = F.cos(y), -F.sin(y), F.lit(0.0)
     down0 = F.sin(y) * F.sin(p), F.cos(y) * F.sin(p), -F.cos(p)
     right = [F.cos(r) * a + F.sin(r) * b for a, b in zip(right0, down0, strict=True)]
     down = [F.cos(r) * b - F.sin(r) * a for a, b in zip(right0, down0, strict=True)]
+    return right, down, forward
+
+
+def rotate(ray: tuple[Column, Column, Column], yaw: Column, pitch: Column, roll: Column) -> tuple[Column, Column, Column]:
+    """A camera ray in east, north, up."""
+    right, down, forward = axes(yaw, pitch, roll)
     return tuple(ray[0] * right[k] + ray[1] * down[k] + ray[2] * forward[k] for k in range(3))
 
 
+def ray_pixel(ray: tuple[Column, Column, Column], yaw: Column, pitch: Column, roll: Column, f: float, cx: float, cy: float) -> tuple[Column, Column]:
+    """Pixel of a ray in east, north, up; null where it points behind the camera."""
+    x, y, z = (sum((ray[k] * axis[k] for k in range(3)), F.lit(0.0)) for axis in axes(yaw, pitch, roll))
+    return F.when(z > 0, f * x / z + cx), F.when(z > 0, f * y / z + cy)
+
+
 def depression(ray: tuple[Column, Column, Column]) -> Column:
     """Degrees below the horizon."""
     n = F.sqrt(ray[0] * ray[0] + ray[1] * ray[1] + ray[2] * ray[2])

@@ -366,6 +366,29 @@ def lens_distortion(spark, sf_dir):
     return d.select("det_id", (_r(u) + 0.0).alias("x"), (_r(v) + 0.0).alias("y"))
 
 
+@query(f"WITH {SQL} SELECT det_id, round(((x1 + x2) / 2 - 960) / (960 / tan(radians(737e-1) / 2)), 6) + 0e0 AS x, round(((y1 + y2) / 2 - 540) / (960 / tan(radians(737e-1) / 2)), 6) + 0e0 AS y FROM d")
+def lens_round_trip(spark, sf_dir):
+    """Box centres through the lens and back."""
+    x, y = g.center()
+    f, lens = geo.focal(1920, 73.7), (-0.28, 0.07, 0.001, 0.0005, -0.01)
+    d = detections(spark, sf_dir).select("det_id", ((x - 960) / f).alias("a"), ((y - 540) / f).alias("b"))
+    d = d.withColumns(dict(zip(("u", "v"), geo.distort(F.col("a"), F.col("b"), *lens), strict=True)))
+    back = d.select("det_id", geo.undistort(F.col("u"), F.col("v"), *lens).alias("p"))
+    return back.select("det_id", (_r(F.col("p.x")) + 0.0).alias("x"), (_r(F.col("p.y")) + 0.0).alias("y"))
+
+
+@query(f"WITH {SQL}, p AS (SELECT det_id, round((x1 + x2) / 2, 6) + 0e0 AS u, round((y1 + y2) / 2, 6) + 0e0 AS v FROM d) SELECT det_id, u, v, u >= 0 AND u < 1920 AND v >= 0 AND v < 1080 AS inside FROM p")
+def pixel_round_trip(spark, sf_dir):
+    """Box centres as rays in east-north-up and projected back, and whether they lie in the image."""
+    x, y = g.center()
+    f, pose = geo.focal(1920, 73.7), (F.col("k") * 3.6, -F.col("k") * 0.5, F.col("k") * 0.1)
+    d = detections(spark, sf_dir)
+    d = d.select("det_id", "k", *(c.alias(n) for n, c in zip(("e", "n", "up"), geo.rotate(geo.pixel_ray(x, y, f, 960, 540), *pose), strict=True)))
+    u, v = geo.ray_pixel((F.col("e"), F.col("n"), F.col("up")), *pose, f, 960, 540)
+    d = d.select("det_id", (_r(u) + 0.0).alias("u"), (_r(v) + 0.0).alias("v"))
+    return d.withColumn("inside", (F.col("u") >= 0) & (F.col("u") < 1920) & (F.col("v") >= 0) & (F.col("v") < 1080))
+
+
 @query(f"WITH {SQL}, t AS (SELECT CAST(floor(lat) AS BIGINT) AS south, CAST(floor(lon) AS BIGINT) AS west, count(*) AS n FROM d GROUP BY 1, 2) SELECT south, west, n, printf('Copernicus_DSM_COG_10_%s%02d_00_%s%03d_00_DEM', CASE WHEN south >= 0 THEN 'N' ELSE 'S' END, abs(south), CASE WHEN west >= 0 THEN 'E' ELSE 'W' END, abs(west)) AS name FROM t")
 def terrain_cells(spark, sf_dir):
     """The one-degree terrain tiles that detections need, and the names of their files."""
