@@ -115,3 +115,16 @@ def test_fit_is_where_the_penalised_gradient_vanishes(spark):
     s = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
     v = np.array([w["persistence"], w["confidence_mean"], w["intercept"]])
     assert x.T @ (s * (1 / (1 + np.exp(-x @ v)) - y)) + v * [1, 1, 0] == pytest.approx([0, 0, 0], abs=1e-5)
+
+
+def test_points_behind_the_camera_have_no_pixel(spark):
+    rows = [(0.0, 1.0, 0.0), (0.0, -1.0, 0.0), (0.1, 1.0, -0.2)]
+    u, v = geodesy.ray_pixel((F.col("e"), F.col("n"), F.col("up")), F.lit(0.0), F.lit(0.0), F.lit(0.0), 1000.0, 960, 540)
+    got = spark.createDataFrame(rows, "e double, n double, up double").select(u.alias("u"), v.alias("v")).collect()
+    assert [tuple(r) for r in got][:2] == [(960.0, 540.0), (None, None)]
+    assert tuple(got[2]) == pytest.approx((1060.0, 740.0))
+
+
+def test_tile_names(spark):
+    d = spark.createDataFrame([(36, 128), (-3, -71)], "s long, w long")
+    assert [r[0][22:34] for r in d.select(geodesy.tile_name(F.col("s"), F.col("w"))).collect()] == ["N36_00_E128_", "S03_00_W071_"]
