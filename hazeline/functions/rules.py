@@ -19,6 +19,9 @@ SCORER = [
     ("flow_divergence", 0.9, 0.0, 0.5), ("flow_upward_ratio", 0.6, 0.5, 0.25), ("flow_translation_mag", -0.4, 0.0, 2.0),
 ]
 TIERS = ["SPARK", "GLOW", "FLARE"]
+#: Reasons of a verdict (too few observations; motion seen, not seen; area grows, doesn't) and the mark of sparse mode.
+REASONS = ("관측 %d회 — 시퀀스 검증에 필요한 프레임 부족", "상승·확산 운동 확인", "상승·확산 운동 미확인", "면적 단조 증가 확인", "면적 증가 미확인")
+PROXY = " (기하 대용값)"
 
 
 def slope(y: Column, t: Column, over: WindowSpec | None = None) -> Column:
@@ -79,3 +82,9 @@ def score() -> Column:
 def tier_from_score(located: Column) -> Column:
     high = F.col("score") >= FLARE_SCORE
     return F.when(high & located & (F.col("n") >= NEED_SPARSE), "FLARE").when(F.col("score") >= GLOW_SCORE, "GLOW").otherwise("SPARK")
+
+
+def reasons(motion: Column, area: Column, enough: Column) -> Column:
+    """Why a sparse track got its verdict, as an array in fixed order."""
+    few, seen, unseen, grows, not_ = REASONS
+    return F.array_compact(F.array(F.when(~enough, F.format_string(few, "n")), F.when(motion, seen + PROXY).otherwise(unseen + PROXY), F.when(area, grows).otherwise(not_)))

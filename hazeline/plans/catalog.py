@@ -312,6 +312,12 @@ def holdout_split(spark, sf_dir):
     return learn.split(detections(spark, sf_dir).select("seq_id").distinct())
 
 
+@query(f"WITH {_TRACKS} SELECT seq_id, lane, concat_ws('; ', CASE WHEN n < 3 THEN printf('{rules.REASONS[0]}', n) END, CASE WHEN centroid_rise_rate >= 1e-4 THEN '{rules.REASONS[1]}' ELSE '{rules.REASONS[2]}' END || '{rules.PROXY}', CASE WHEN area_growth_rate >= 1e-4 AND area_monotonicity >= 55e-2 THEN '{rules.REASONS[3]}' ELSE '{rules.REASONS[4]}' END) AS reasons FROM u")
+def verdict_reasons(spark, sf_dir):
+    """Why each track got its tier, in words."""
+    return _tracks(spark, sf_dir).select("seq_id", "lane", F.array_join(rules.reasons(*rules.criteria()), "; ").alias("reasons"))
+
+
 @query(f"WITH {_TRACKS} SELECT seq_id, lane, CASE WHEN score >= 7e-1 AND n >= 3 THEN 'FLARE' WHEN score >= 35e-2 THEN 'GLOW' ELSE 'SPARK' END AS tier FROM u")
 def score_tiers(spark, sf_dir):
     """Tiers by the score alone, the auxiliary grading; every place counts as located."""
