@@ -91,11 +91,13 @@ _NUMBER = "|".join(sorted(SPELLED, key=len, reverse=True))
 _RUN = re.compile(rf"(?<!\w)(?:plus[\s-]+)?(?:{_NUMBER})(?:(?:[\s,-]+|[\s]*\.[\s]*|\s+(?:dot|point|punkt|punto)\s+)(?:{_NUMBER}|[0-9]+(?!\w))){{2,}}(?!\w)", re.I)
 _ITEM = re.compile(rf"(?<!\w)({_NUMBER})(?!\w)|(?<!\w)(plus)[\s-]+|\s+(dot|point|punkt|punto)\s+|([0-9]+)|(\s*\.\s*)|([\s,-]+)", re.I)
 #: name (at) host (dot) tld; bare words count only when both at and dot are spelled.
-_AT, _DOT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*)", r"(?:\s*[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]\s*)"
+_AT_IN, _DOT_IN = r"[\[({<]\s*(?:at|@)\s*[\])}>]", r"[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]"
+_AT, _DOT = rf"(?:\s*{_AT_IN}\s*)", rf"(?:\s*{_DOT_IN}\s*)"
 _LOCALS = rf"[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT}|\s+dot\s+)[A-Za-z0-9_%+-]+)*"
 _BRACKETED = re.compile(rf"({_LOCALS})({_AT})([A-Za-z0-9-]+(?:(?:\.|{_DOT}|\s+dot\s+)[A-Za-z0-9-]+)+)", re.I)
 _BARE = re.compile(rf"({_LOCALS})(\s+at\s+|@)([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+|{_DOT}[A-Za-z0-9-]+|\s+dot\s+[A-Za-z0-9-]+)*(?:{_DOT}|\s+dot\s+)[A-Za-z0-9-]+)", re.I)
 _HOSTDOT = re.compile(rf"{_DOT}|\s+dot\s+", re.I)
+_BRACKETS, _BAREDOT = re.compile(rf"{_AT_IN}|{_DOT_IN}", re.I), re.compile(r"\sdot\s", re.I)
 _IPDOT = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:{_DOT}|\s+dot\s+|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 
 
@@ -162,11 +164,11 @@ def _addresses(text: str) -> list[tuple[int, int, str]]:
 
 
 def disguised(text: str) -> bool:
-    """Whether any transducer has something to rewrite; plain text skips them all."""
+    """Whether any transducer may have something to rewrite; plain text skips them all. Every edit of _addresses is an _AT, a
+    _DOT or a bare dot, or " at " beside one of the last two, and no text without a run or an odd character changes before it."""
     if not text.isascii() and _ODD.search(text):
         return True
-    low = text.lower()
-    return any(w in low for w in ("(at)", "[at]", "{at}", "<at>", "( at", "[ at", "{ at", "(@", "[@", " dot ", "dot)", "dot]", "dot}", "(.)", "[.]")) or bool(_RUN.search(text))
+    return bool(_BRACKETS.search(text) or "dot" in text.lower() and _BAREDOT.search(text) or _RUN.search(text))
 
 
 def deobfuscated(text: str) -> dict[str, list[tuple[int, int]]]:

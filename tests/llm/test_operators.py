@@ -235,6 +235,24 @@ def test_disguises(text, kind, hidden):
     assert [text[a:b] for a, b in full[kind]] == [hidden]
 
 
+@pytest.mark.parametrize("hidden", [
+    *(f"jane{a}{gap}{w}{gap}{b}example.org" for a, b in ("[]", "()", "{}", "<>") for gap in ("", " ", "\n") for w in ("at", "@")),
+    *(f"jane@example{a}{gap}{w}{gap}{b}org" for a, b in ("[]", "()", "{}", "<>") for gap in ("", " ", "\n") for w in ("dot", ".", "punkt", "point", "punto")),
+    "jane at example\ndot\norg", "jane at example\tdot  org", "JANE AT EXAMPLE DOT\nORG", "192(point)168(point)1(point)7", "10\ndot\n0\ndot\n0\ndot\n7",
+])
+def test_a_disguise_is_found_alone(hidden):
+    base, full = pii.spans(f"to {hidden} now")
+    assert not any(base.values()) and [f"to {hidden} now"[a:b] for own in full.values() for a, b in own] == [hidden]
+
+
+def test_texts_that_skip_the_transducers_have_nothing_to_rewrite():
+    rng = random.Random(3)
+    pieces = ["jane", "@", " at ", "(", ")", "{", "]", "<", ">", "at", "AT", "dot", "DOT", ".", "point", "punkt", "punto", " ", "\n", "ex", "org", "10", "7", "one", "nine", "plus", "о", "\u200b"]
+    for _ in range(20000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14)))
+        assert pii.disguised(text) or pii.deobfuscated(text) in (pii.detect(text), {k: [] for k in pii.KINDS}), text
+
+
 def test_clean_text_has_no_spans():
     for text in ("", "He was at home and made one, two, three stops.", "look at dot and spot", "version 1.2.3 of 2024", "привет мир"):
         assert not any(pii.spans(text)[1].values()), text
