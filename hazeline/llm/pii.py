@@ -185,13 +185,12 @@ def deobfuscated(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
-    """Base spans, and all spans: base ones and those of the rewritten text that overlap none of any kind."""
+    """Base spans, and all spans: base ones and those of the rewritten text. An added span may overlap base ones: of a partly
+    disguised identifier the base detectors see a fragment, which stays, and the rewritten text shows the whole."""
     base = detect(text)
     if not disguised(text):
         return base, base
-    taken = sorted(s for own in base.values() for s in own)
-    clear = lambda s: all(s[1] <= a or b <= s[0] for a, b in taken)
-    return base, {k: sorted({*base[k], *(s for s in own if clear(s))}) for k, own in deobfuscated(text).items()}
+    return base, {k: sorted({*base[k], *own}) for k, own in deobfuscated(text).items()}
 
 
 def _listed(found: dict[str, list[tuple[int, int]]]) -> str:
@@ -212,7 +211,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_email, n_ip, n_card, n_phone (base spans), n_added_* (spans that only
     deobfuscation shows), base_sha256, spans.
 
-    spans lists kind:start:end in code points, end exclusive, by kind and start; ties of start can't occur within a kind.
+    spans lists kind:start:end in code points, end exclusive, by kind, start and end; an added span may overlap others.
     Null text counts as empty: no spans. A null doc_id comes back as null; rows that repeat are judged each. Other
     columns are left out whatever their names; an empty table gives no rows."""
     small_batches(docs.sparkSession)
@@ -225,18 +224,17 @@ def _mask(batches):
     for docs, texts in batches_of(batches, ["doc", "content"]):
         out = []
         for text in texts:
-            cut = sorted((a, b, k) for k, own in spans(text)[1].items() for a, b in own)
             parts, p = [], 0
-            for a, b, k in cut:
+            for a, b, k in sorted(((a, b, k) for k, own in spans(text)[1].items() for a, b in own), key=lambda s: (s[0], -s[1], s[2])):
                 if a >= p:
                     parts += [text[p:a], f"<{k}>"]
-                    p = b
+                p = max(p, b)
             out.append("".join([*parts, text[p:]]))
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(out, pa.string())], ["doc", "text"])
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """doc_id and text with every span replaced by <kind>; of overlapping spans the first stands. Null text becomes empty."""
+    """doc_id and text with every span replaced by <kind>; overlapping spans go together, under the kind of the first and longest. Null text becomes empty."""
     small_batches(docs.sparkSession)
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("content"))
     return d.mapInArrow(_mask, "doc long, text string").select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "text")

@@ -245,6 +245,23 @@ def test_a_disguise_is_found_alone(hidden):
     assert not any(base.values()) and [f"to {hidden} now"[a:b] for own in full.values() for a, b in own] == [hidden]
 
 
+@pytest.mark.parametrize(("text", "kind", "fragment", "whole"), [
+    ("to jоhn@example.com now", "email", "hn@example.com", "jоhn@example.com"),
+    ("to john@example.cоm now", "email", "john@example.c", "john@example.cоm"),
+    ("to john@example.co (dot) uk now", "email", "john@example.co", "john@example.co (dot) uk"),
+    ("to +49 170 1234 ５６７８ now", "phone", "+49 170 1234", "+49 170 1234 ５６７８"),
+    ("to ４.1.2.3.4@example.com now", "email", ".1.2.3.4@example.com", "４.1.2.3.4@example.com"),
+])
+def test_partly_disguised(spark, text, kind, fragment, whole):
+    base, full = pii.spans(text)
+    assert base == base_spans(text) and fragment in [text[a:b] for a, b in base[kind]]
+    assert {fragment, whole} <= {text[a:b] for a, b in full[kind]} and all(set(base[k]) <= set(full[k]) for k in base)
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [r.text for r in pii.masked(d).collect()] == [f"to <{kind}> now"]
+    r = pii.personal_data(d).collect()[0]
+    assert (r[f"n_{kind}"], r[f"n_added_{kind}"]) == (1, 1) and r.base_sha256 == hashlib.sha256(pii._listed(base).encode()).hexdigest()
+
+
 def test_texts_that_skip_the_transducers_have_nothing_to_rewrite():
     rng = random.Random(3)
     pieces = ["jane", "@", " at ", "(", ")", "{", "]", "<", ">", "at", "AT", "dot", "DOT", ".", "point", "punkt", "punto", " ", "\n", "ex", "org", "10", "7", "one", "nine", "plus", "о", "\u200b"]
