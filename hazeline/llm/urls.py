@@ -1,9 +1,9 @@
 """URL filter: rules first, then a path-template tree, all in DataFrame functions.
 
 Each host has a tree of path segments. A segment whose shape is variable (numbers, hashes, dates), or that stands under a
-parent whose children are nearly all different, becomes a wildcard. Sibling branches with alike shapes below them and
-labelled shares that don't differ significantly are merged. A template is rejected when the smoothed share of its labelled
-urls that are bad reaches a bound; templates without labels of their own ask the branch above.
+parent whose children are nearly all different, becomes a wildcard. Sibling branches with alike counts of children form a
+group, labelled or not, and pool their labels. A template is rejected when its share of bad labels, smoothed to that of
+the branch above and so on up to the host, reaches a bound.
 """
 
 from __future__ import annotations
@@ -56,9 +56,8 @@ def with_facts(x: DataFrame, facts: DataFrame, on: list[str], total: int, most:
 
     A key with more than total / most rows comes by broadcast: there are fewer than `most` of them, since their rows sum
     to no more than total. Its rows of x are dealt by a hash of theirs in the shuffle that joins all other keys, so that
-    no task gets a hot host whole. facts is written as a table first: it is read twice, and is made from x itself.
+    no task gets a hot host whole. Write facts as a table first: it is read twice, and is made from x itself.
     """
-    facts = materialize(facts, "url-facts")
     values = [c for c in facts.columns if c not in on and c != "rows"]
     hot = facts.where(F.col("rows") > total / most).select(*on, F.lit(True).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in values))
     rest = facts.where(F.col("rows") <= total / most).select(*on, F.lit(0).cast("long").alias("_deal"), *values)
@@ -68,59 +67,102 @@ def with_facts(x: DataFrame, facts: DataFrame, on: list[str], total: int, most:
     return x.withColumns({c: F.coalesce(c, f"_hot_{c}") for c in values}).drop("_deal", "_hot", *(f"_hot_{c}" for c in values))
 
 
-def templates(urls: DataFrame, total: int, depth: int = 4, least: int = 20, variety: float = 0.5) -> DataFrame:
-    """urls(host, path, ...), of total rows, with the column template: an array of at most depth segments, generalised
-    level by level.
+def templates(urls: DataFrame, total: int, least: int = 20, variety: float = 0.5) -> DataFrame:
+    """urls(host, path, ...), of total rows, with the column template: an array of all segments, generalised level by level.
 
     A child segment becomes {*} where its parent has at least `least` urls and more than `variety` different children a
-    url. Counts of (parent, segment) are made before they are counted by parent, so a hot host is summed in every task;
-    deeper segments become one {...}.
+    url. Counts of (parent, segment) are made before they are counted by parent, so a hot host is summed in every task.
+    The first level where no parent has `least` urls ends the search: below it none has, and shapes say all.
     """
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     x = urls.withColumn("_seg", segments).withColumn("template", F.array().cast("array<string>"))
-    for level in range(depth):
-        x = x.withColumn("_s", F.when(F.size("_seg") > level, shape(F.get("_seg", F.lit(level)))))
-        children = x.where("_s IS NOT NULL").groupBy("host", "template", "_s").agg(F.count("*").alias("n"))
+    level = 0
+    while True:
+        at = x.withColumn("_s", F.when(F.size("_seg") > level, shape(F.get("_seg", F.lit(level)))))
+        children = at.where("_s IS NOT NULL").groupBy("host", "template", "_s").agg(F.count("*").alias("n"))
         parents = children.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
         wide = (F.col("n") >= least) & (F.col("kinds") > variety * F.col("n"))
-        x = with_facts(x, parents.select("host", "template", F.col("n").alias("rows"), wide.alias("_wide")), ["host", "template"], total)
+        parents = materialize(parents.select("host", "template", F.col("n").alias("rows"), wide.alias("_wide")), "url-parents")
+        if (parents.agg(F.max("rows")).first()[0] or 0) < least:
+            rest = F.transform(F.slice("_seg", level + 1, 1 << 30), shape)
+            return x.withColumn("template", F.concat("template", rest)).drop("_seg")
+        x = with_facts(at, parents, ["host", "template"], total)
         step = F.when(F.col("_wide"), "{*}").otherwise(F.col("_s"))
         x = x.withColumn("template", F.when(F.col("_s").isNotNull(), F.concat("template", F.array(step))).otherwise(F.col("template"))).drop("_wide", "_s")
-    return x.withColumn("template", F.when(F.size("_seg") > depth, F.concat("template", F.array(F.lit("{...}")))).otherwise(F.col("template"))).drop("_seg")
+        level += 1
+        if level % 4 == 0:
+            x = materialize(x, "url-levels")
 
 
-def purity(labelled: DataFrame, total: int, weight: float = 4.0, prior: float = 0.5) -> DataFrame:
-    """(host, template, rows, n, bad, share) of merged branches: labelled(host, template, rows, n, bad) has the url counts
-    of each template, among them those with a label and the bad ones. Sibling templates of a host that differ in their first segment only are merged when both have labels, and
-    their shares differ by less than two standard errors of the pooled share; the group's share is smoothed to prior."""
-    group = labelled.where("n > 0").withColumn("tail", F.concat_ws("/", F.slice("template", 2, 100)))
-    pool = group.groupBy("host", "tail").agg(F.count("*").alias("rows"), F.sum("n").alias("pn"), F.sum("bad").alias("pb"))
-    g = with_facts(group, pool, ["host", "tail"], total)
-    p = F.col("pb") / F.col("pn")
-    error = F.sqrt(p * (1 - p) * (1 / F.col("n") + 1 / F.col("pn")))
-    alike = F.abs(F.col("bad") / F.col("n") - p) <= 2 * error
-    n, bad = F.when(alike, F.col("pn")).otherwise(F.col("n")), F.when(alike, F.col("pb")).otherwise(F.col("bad"))
-    return g.select("host", "template", "rows", n.alias("n"), bad.alias("bad"), ((bad + weight * prior) / (n + weight)).alias("share"))
+def branches(counts: DataFrame, total: int, likeness: float = 0.9) -> DataFrame:
+    """(host, prefix, rows, n, bad, group, pn, pb): every branch of counts(host, template, rows, n, bad), its group of
+    siblings, and the labels of the whole group.
+
+    Siblings with the same most frequent child are compared with the largest of them, labelled or not: those whose counts
+    of children have a cosine of at least likeness with its counts join its group. Leaves have no children and stay alone.
+    """
+    cells = counts.select("*", F.posexplode("template").alias("_k", "_s")).select("host", F.slice("template", 1, F.col("_k") + 1).alias("prefix"), F.get("template", F.col("_k") + 1).alias("child"), "rows", "n", "bad")
+    cells = materialize(cells.groupBy("host", "prefix", "child").agg(*(F.sum(c).alias(c) for c in ("rows", "n", "bad"))), "url-cells")
+    inner = F.when(F.col("child").isNotNull(), F.col("rows"))
+    b = cells.groupBy("host", "prefix").agg(*(F.sum(c).alias(c) for c in ("rows", "n", "bad")), F.sqrt(F.sum(inner * inner.cast("double"))).alias("norm"), F.max_by("child", F.struct(inner, "child")).alias("top"))
+    b = materialize(b.withColumn("parent", F.slice("prefix", 1, F.size("prefix") - 1)), "url-branches")
+    first = F.struct("rows", "prefix")
+    leads = b.where("top IS NOT NULL").groupBy("host", "parent", "top").agg(F.max_by("prefix", first).alias("lead"), F.max_by("norm", first).alias("lead_norm"), F.sum("rows").alias("rows"))
+    led = materialize(with_facts(b, materialize(leads, "url-leads"), ["host", "parent", "top"], total), "url-led")
+    own = cells.where("child IS NOT NULL").select("host", "prefix", "child", F.col("rows").alias("c"))
+    x = with_facts(own, led.select("host", "prefix", "lead", "rows"), ["host", "prefix"], total)
+    shared = x.groupBy("host", "lead", "child").agg(F.sum("c").alias("rows"))
+    theirs = shared.join(own.select("host", F.col("prefix").alias("lead"), "child", F.col("c").alias("lead_c")), ["host", "lead", "child"])
+    x = with_facts(x, materialize(theirs, "url-shared"), ["host", "lead", "child"], total)
+    dots = x.groupBy("host", "prefix").agg(F.sum(F.col("c").cast("double") * F.col("lead_c")).alias("dot"))
+    g = led.join(dots, ["host", "prefix"], "left")
+    alike = F.col("dot") >= likeness * F.col("norm") * F.col("lead_norm")
+    g = materialize(g.select("host", "prefix", "rows", "n", "bad", F.when(alike, F.col("lead")).otherwise(F.col("prefix")).alias("group")), "url-groups")
+    pools = g.groupBy("host", "group").agg(F.sum("rows").alias("rows"), F.sum("n").alias("pn"), F.sum("bad").alias("pb"))
+    return with_facts(g, materialize(pools, "url-pools"), ["host", "group"], total)
+
+
+def shares(counts: DataFrame, total: int, weight: float = 4.0, prior: float = 0.5) -> DataFrame:
+    """(host, template, rows, share) of counts(host, template, rows, n, bad): the url counts of each template, among them
+    those with a label and the bad ones. share is null on a host without any label.
+
+    From the host down, each branch's share is smoothed to that of the one above. A branch counts the labels of its whole
+    group, unless its own share differs from the group's by more than two standard errors; then it counts its own. A host
+    counts each labelled group of first segments once, by its share: urls of one branch say little of unlike ones.
+    """
+    b = materialize(branches(counts, total), "url-pooled")
+    p = F.col("pb") / F.nullif("pn", F.lit(0))
+    error = F.sqrt(p * (1 - p) * (1 / F.nullif("n", F.lit(0)) + 1 / F.nullif("pn", F.lit(0))))
+    apart = F.coalesce(F.abs(F.col("bad") / F.nullif("n", F.lit(0)) - p) > 2 * error, F.lit(False))
+    b = b.withColumn("said", F.struct(F.when(apart, F.col("n")).otherwise(F.col("pn")).cast("double").alias("n"), F.when(apart, F.col("bad")).otherwise(F.col("pb")).cast("double").alias("bad")))
+    b = materialize(b.select("host", "prefix", "group", "rows", "said"), "url-said")
+    kinds = b.where((F.size("prefix") == 1) & (F.col("said.n") > 0)).groupBy("host", "group", "said").agg(F.lit(1).alias("one"))
+    hosts = kinds.groupBy("host").agg(F.count("*").alias("hn"), F.sum(F.col("said.bad") / F.col("said.n")).alias("hb"))
+    labels = counts.groupBy("host").agg(F.sum("rows").alias("rows"), F.sum("n").alias("labels"))
+    hosts = labels.join(hosts, "host", "left").select("host", "rows", "labels", ((F.coalesce("hb", F.lit(0.0)) + weight * prior) / (F.coalesce("hn", F.lit(0)) + weight)).alias("base"))
+    steps = counts.select("host", "template", F.posexplode("template").alias("_k", "_s")).withColumn("prefix", F.slice("template", 1, F.col("_k") + 1))
+    steps = with_facts(steps, b.select("host", "prefix", "rows", "said"), ["host", "prefix"], total)
+    chains = steps.groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("_k", "said"))).alias("chain"))
+    x = with_facts(counts.select("host", "template", F.col("rows").alias("urls"), "n", "bad"), materialize(hosts, "url-hosts"), ["host"], total).join(chains, ["host", "template"], "left")
+    chain = F.coalesce("chain", F.array().cast("array<struct<_k:int,said:struct<n:double,bad:double>>>"))
+    share = F.aggregate(chain, F.col("base"), lambda up, s: (s.said.bad + weight * up) / (s.said.n + weight))
+    return x.select("host", "template", F.col("urls").alias("rows"), F.when(F.col("labels") > 0, share).alias("share"))
 
 
 def judged(pages: DataFrame, rules: list[Rule], bound: float = 0.8, id_col: str = "page_id") -> DataFrame:
     """One row per row of pages(page_id, url): page_id, host, path, rule, verdict, template, share.
 
     The longest rule that fits decides. Urls that rules decide are the labels of the tree; any other url gets block when
-    the smoothed bad share of its template reaches bound, or that of its first segment where the template has no labels,
-    and allow otherwise: a template without any label is allowed. A null url, or one without ://, has empty host and path
-    and is allowed unless a rule fits. Rows that repeat are judged each; a null page_id stays null. Other columns are left
-    out whatever their names; an empty table gives no rows.
+    the smoothed bad share of its template reaches bound, and allow otherwise: a host without any label is allowed. A null
+    url, or one without ://, has empty host and path and is allowed unless a rule fits. Rows that repeat are judged each;
+    a null page_id stays null. Other columns are left out whatever their names; an empty table gives no rows.
     """
     u = pages.select(F.col(id_col).alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     total = pages.count()
-    t = templates(u.withColumn("rule", name).withColumn("_said", verdict), total).withColumn("top", F.slice("template", 1, 1))
+    t = templates(u.withColumn("rule", name).withColumn("_said", verdict), total)
     counts = t.groupBy("host", "template").agg(F.count("*").alias("rows"), F.count("_said").alias("n"), F.count_if(F.col("_said") == "block").alias("bad"))
-    counts = materialize(counts, "url-counts")
-    branches = counts.groupBy("host", F.slice("template", 1, 1).alias("template")).agg(*(F.sum(c).alias(c) for c in ("rows", "n", "bad")))
-    own = purity(counts, total).select("host", "template", "rows", F.col("share").alias("own"))
-    above = purity(branches, total).select("host", F.col("template").alias("top"), "rows", F.col("share").alias("above"))
-    x = with_facts(with_facts(t, own, ["host", "template"], total), above, ["host", "top"], total).withColumn("share", F.coalesce("own", "above"))
+    own = materialize(shares(materialize(counts, "url-counts"), total), "url-shares")
+    x = with_facts(t, own, ["host", "template"], total)
     method = F.when(F.col("share") >= bound, "block").otherwise("allow")
     return x.select("page_id", "host", "path", "rule", F.coalesce("_said", method).alias("verdict"), F.concat(F.lit("/"), F.concat_ws("/", "template")).alias("template"), "share")

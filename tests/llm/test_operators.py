@@ -309,6 +309,22 @@ def test_templates_and_purity(spark):
     assert got[125] == "block" and got[999] == "allow"
 
 
+def test_labels_reach_open_branches(spark):
+    rules = [("s.org", "/es/", "block"), ("s.org", "/old/", "allow"), ("t.org", "/a/", "block"), ("t.org", "/b/", "allow"), *(("v.org", f"/c{k}/", "block") for k in range(12))]
+    said = [f"s.org/es/{k}" for k in range(20)] + [f"s.org/old/x{k % 2}/y" for k in range(20)] + [f"t.org/{b}/{k}" for b in "ab" for k in range(20)]
+    said += [f"v.org/c{b}/k{b}/{k}" for b in range(12) for k in range(5)]
+    asked = {"s.org/en/7": "block", "s.org/de/8": "block", "s.org/old2/x0/y": "allow", "s.org/other/page/one": "allow", "t.org/c/9": "allow", "u.org/en/7": "allow", "v.org/new/page": "block", "v.org": "block"}
+    deep = [f"w.org/{'/'.join('abcde')}/{s}/{k}" for s in ("bad", "good") for k in range(30)]
+    rules += [("w.org", "/a/b/c/d/e/bad/1", "block"), ("w.org", "/a/b/c/d/e/bad/2", "block"), ("w.org", "/a/b/c/d/e/good", "allow")]
+    asked |= {"w.org/a/b/c/d/e/bad/3": "block"}
+    every = [*said, *deep, *asked]
+    d = spark.createDataFrame([(k, "http://" + u) for k, u in enumerate(every)], "page_id long, url string")
+    got = {every[r.page_id]: (r.rule, r.verdict, r.share) for r in urls.judged(d, rules).collect()}
+    assert len(got) == len(set(every)) and got["u.org/en/7"][2] is None
+    assert {u: got[u][1] for u in asked} == asked
+    assert got["w.org/a/b/c/d/e/bad/3"][0] is None
+
+
 def test_main_text(spark):
     m = html.train([])
     say = "The committee met on Tuesday to discuss the budget for the coming year, and members agreed on most points."
