@@ -86,7 +86,7 @@ def cep(terrain: Terrain, height: float, row: dict, f: float, hit: np.ndarray, t
     u, v = row["u"] + n(NOISE["pixel"]), row["v"] + n(NOISE["pixel"])
     d = rays(u, v, row["yaw"] + n(NOISE["yaw"]), row["pitch"] + n(NOISE["pitch"]), n(NOISE["roll"]), f, 960, 540)
     o = np.stack([n(NOISE["horizontal"]), n(NOISE["horizontal"]), height + n(NOISE["vertical"]) - n(NOISE["terrain"])], -1)
-    t, _ = crossing(terrain, o, d, 60.0)
+    t, _ = crossing(terrain, o, d)
     ok = ~np.isnan(t)
     if not ok.any():
         return np.inf, np.inf

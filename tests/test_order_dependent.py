@@ -93,6 +93,16 @@ def test_flat_ground_range():
     assert np.isnan(t[2])
 
 
+def test_perturbed_rays_meet_a_narrow_crest():
+    z = np.zeros((401, 401))
+    z[267] = 500.0
+    crest = solve.Terrain(z, 15.0, 3_000.0)
+    row = {"det_id": 1, "u": 960.0, "v": 540.0, "yaw": 0.0, "pitch": -14.0}
+    d = solve.rays(*(np.array([row[c]]) for c in ("u", "v", "yaw", "pitch")), np.zeros(1), 1000.0, 960, 540)
+    t, _ = solve.crossing(crest, np.array([[0.0, 0, 300]]), d)
+    assert solve.cep(crest, 300.0, row, 1000.0, np.array([0.0, 0, 300]) + t[0] * d[0])[1] < 150
+
+
 def test_fit_refuses_few_labels(spark):
     t = spark.createDataFrame([(0.1, "confirmed"), (0.2, "false_positive")], "persistence double, label string")
     with pytest.raises(ValueError, match="8 labels"):
