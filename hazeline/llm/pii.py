@@ -90,15 +90,23 @@ _NUMBER = "|".join(sorted(SPELLED, key=len, reverse=True))
 #: A run of spelled digits of at least three, with plus before and digits, dots and points between.
 _RUN = re.compile(rf"(?<!\w)(?:plus[\s-]+)?(?:{_NUMBER})(?:(?:[\s,-]+|[\s]*\.[\s]*|\s+(?:dot|point|punkt|punto)\s+)(?:{_NUMBER}|[0-9]+(?!\w))){{2,}}(?!\w)", re.I)
 _ITEM = re.compile(rf"(?<!\w)({_NUMBER})(?!\w)|(?<!\w)(plus)[\s-]+|\s+(dot|point|punkt|punto)\s+|([0-9]+)|(\s*\.\s*)|([\s,-]+)", re.I)
-#: name (at) host (dot) tld; bare words count only when both at and dot are spelled.
+#: Marks: name (at) host (dot) suffix. Bare words count only where both at and dot are spelled. A pattern that starts with
+#: white space never starts inside a run of it, so that a long run is read once.
 _AT_IN, _DOT_IN = r"[\[({<]\s*(?:at|@)\s*[\])}>]", r"[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]"
-_AT, _DOT = rf"(?:\s*{_AT_IN}\s*)", rf"(?:\s*{_DOT_IN}\s*)"
-_LOCALS = rf"[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT}|\s+dot\s+)[A-Za-z0-9_%+-]+)*"
-_BRACKETED = re.compile(rf"({_LOCALS})({_AT})([A-Za-z0-9-]+(?:(?:\.|{_DOT}|\s+dot\s+)[A-Za-z0-9-]+)+)", re.I)
-_BARE = re.compile(rf"({_LOCALS})(\s+at\s+|@)([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+|{_DOT}[A-Za-z0-9-]+|\s+dot\s+[A-Za-z0-9-]+)*(?:{_DOT}|\s+dot\s+)[A-Za-z0-9-]+)", re.I)
-_HOSTDOT = re.compile(rf"{_DOT}|\s+dot\s+", re.I)
+_MARK = re.compile(rf"(?P<framed>(?:(?<!\s)\s+)?{_AT_IN}\s*)|(?P<bare>(?<!\s)\s+at\s+)|(?P<plain>@)", re.I)
+_DOT = rf"(?:(?:(?<!\s)\s+)?{_DOT_IN}\s*)"
+_SPELLED_DOT = rf"(?:{_DOT}|(?<!\s)\s+dot\s+)"
+#: Rightwards from a mark: labels of the host. Leftwards, on the reversed text: parts of the local name.
+_HOST = re.compile(rf"[A-Za-z0-9-]++(?:(?:\.|{_SPELLED_DOT})[A-Za-z0-9-]++)*+", re.I)
+_TOD = r"\s*[\])}>]\s*(?:tod|\.|tknup|tniop|otnup)\s*[\[({<](?:\s+(?!\s))?"
+_LACOL = re.compile(rf"[A-Za-z0-9_%+-]++(?:(?:\.|{_TOD}|\s+tod\s+(?!\s))[A-Za-z0-9_%+-]++)*+", re.I)
+_HOSTDOT = re.compile(_SPELLED_DOT, re.I)
 _BRACKETS, _BAREDOT = re.compile(rf"{_AT_IN}|{_DOT_IN}", re.I), re.compile(r"\sdot\s", re.I)
-_IPDOT = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:{_DOT}|\s+dot\s+|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+_IPDOT = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:{_SPELLED_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+#: Suffixes that make an address of words with a bare "at" and one bare "dot"; country codes are two letters.
+SUFFIXES = frozenset("com org net edu gov mil int info biz name pro aero coop museum jobs mobi travel app dev blog shop site online tech store xyz cloud".split())
+COUNTRIES = frozenset("ar at au be br ca ch cl cn co cz de dk es eu fi fr gr hu ie il in io it jp kr mx nl no nz pl pt ro ru se sk tr tv ua uk us za".split())
+_ENGLISH = frozenset("at be in it no us".split())
 
 
 class Tape:
@@ -145,14 +153,36 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
 
 
 def _addresses(text: str) -> list[tuple[int, int, str]]:
+    """Spelled at and dot marks of addresses. From each at mark the local name is read leftwards and the host rightwards;
+    neither can pass another mark, so every character is read a bounded number of times."""
     edits: dict[tuple[int, int], str] = {}
-    for pattern in (_BRACKETED, _BARE):
-        for m in pattern.finditer(text):
-            if m[2] != "@":
-                edits[m.span(2)] = "@"
-            for g in (1, 3):
-                for d in _HOSTDOT.finditer(text, *m.span(g)):
-                    edits[d.span()] = "."
+    back, done = None, 0
+    for m in _MARK.finditer(text):
+        host = _HOST.match(text, m.end())
+        if not host:
+            continue
+        dots = [d.span() for d in _HOSTDOT.finditer(text, *host.span())]
+        if m["framed"]:
+            if not dots and "." not in host[0]:
+                continue
+            end = host.end()
+        else:
+            if not dots:
+                continue
+            # up to the label after the last spelled dot
+            end = _HOST_LABEL.match(text, dots[-1][1]).end()
+            if m["bare"] and not _likely(text, m.end(), end, dots):
+                continue
+        if back is None:
+            back = text[::-1]
+        local = _LACOL.match(back, len(text) - m.start(), len(text) - done)
+        if not local:
+            continue
+        if not m["plain"]:
+            edits[m.span()] = "@"
+        for d in (*dots, *(d.span() for d in _HOSTDOT.finditer(text, len(text) - local.end(), m.start()))):
+            edits[d] = "."
+        done = end
     for m in _IPDOT.finditer(text):
         for d in _HOSTDOT.finditer(text, *m.span()):
             edits[d.span()] = "."
@@ -163,9 +193,24 @@ def _addresses(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+_HOST_LABEL = re.compile(r"[A-Za-z0-9-]+")
+
+
+def _likely(text: str, start: int, end: int, dots: list[tuple[int, int]]) -> bool:
+    """Whether "name at host" may be an address: a framed or second dot says so; after a single bare dot the host must end in
+    a known suffix, and in one that isn't an English word unless no other word follows on the line."""
+    if len(dots) > 1 or "." in text[start:end] or not text[slice(*dots[0])].strip().isalpha():
+        return True
+    label = text[dots[0][1] : end].lower()
+    return label in SUFFIXES or label in COUNTRIES and (label not in _ENGLISH or not _WORD_AFTER.match(text, end))
+
+
+_WORD_AFTER = re.compile(r"[^\S\n]*\w")
+
+
 def disguised(text: str) -> bool:
-    """Whether any transducer may have something to rewrite; plain text skips them all. Every edit of _addresses is an _AT, a
-    _DOT or a bare dot, or " at " beside one of the last two, and no text without a run or an odd character changes before it."""
+    """Whether any transducer may have something to rewrite; plain text skips them all. Every edit of _addresses is a framed
+    mark or a bare dot, or " at " beside one of these, and no text without a run or an odd character changes before it."""
     if not text.isascii() and _ODD.search(text):
         return True
     return bool(_BRACKETS.search(text) or "dot" in text.lower() and _BAREDOT.search(text) or _RUN.search(text))
@@ -209,7 +254,7 @@ def _find(batches):
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_email, n_ip, n_card, n_phone (base spans), n_added_* (spans that only
-    deobfuscation shows), base_sha256, spans.
+    deobfuscation shows), n_spans (all), base_sha256, spans.
 
     spans lists kind:start:end in code points, end exclusive, by kind, start and end; an added span may overlap others.
     Null text counts as empty: no spans. A null doc_id comes back as null; rows that repeat are judged each. Other
@@ -217,7 +262,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("content"))
     out = d.mapInArrow(_find, "doc long, " + ", ".join(f"{k} long" for k in (*KINDS, *(f"more_{k}" for k in KINDS))) + ", sha string, spans string")
-    return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), *(F.col(k).alias(f"n_{k}") for k in KINDS), F.col("sha").alias("base_sha256"), "spans", *(F.col(f"more_{k}").alias(f"n_added_{k}") for k in KINDS))
+    return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), *(F.col(k).alias(f"n_{k}") for k in KINDS), F.col("sha").alias("base_sha256"), "spans", *(F.col(f"more_{k}").alias(f"n_added_{k}") for k in KINDS), sum((F.col(k) + F.col(f"more_{k}") for k in KINDS), F.lit(0)).cast("long").alias("n_spans"))
 
 
 def _mask(batches):
