@@ -5,7 +5,8 @@ features; each parent-child edge has a 2 x 2 potential. Sum-product messages, fi
 the root, give each node's marginal, and the text of blocks with a marginal of one half or more is the main text.
 
 Both parts are trained from labelled pages: the small set below, whose elements carry their label in the attribute y, and
-a bounded sample of the table's own pages that mark their article in the markup.
+a bounded sample of the table's own pages. Those are labelled by their structure alone: what stands in the page's article
+or main element is content, but for landmark elements there; blocks with names of their own are left out of training.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +23,16 @@ from pyspark.sql import functions as F
 
 from hazeline.llm.common import NO_ID, batches_of, small_batches
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg xmp noembed noframes math object canvas video audio select datalist".split())
+RAW = frozenset("script style noscript template iframe textarea title svg xmp noembed noframes select datalist".split())
 BLOCK = frozenset("html body div p article main section nav header footer aside form h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address fieldset legend details summary hr center dialog menu search hgroup button head".split())
 CLOSES_P = BLOCK - {"html", "body", "head", "button", "caption", "td", "th", "tr", "thead", "tbody", "tfoot", "legend", "summary"}
 SELF_CLOSE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr",), "tbody": ("thead", "tr"), "tfoot": ("tbody", "tr")}
+_LANDMARKS = frozenset("nav header footer aside button dialog menu search".split())
+TABLE_PARTS = frozenset("table tr td th tbody thead tfoot body html".split())
 SCOPE = frozenset("html body div article main section nav header footer aside form ul ol dl table blockquote figure details td th fieldset dialog".split())
 
 _GOOD = re.compile(r"article|content|entry|story|post(?!er)|main|body|text|prose")
@@ -62,9 +66,15 @@ def parse(page: str) -> list[Node]:
     """Block elements of the page in order, parents first; inline elements only add to the text of their block. Broken
     markup is mended the usual way: a new block closes an open p, and an end tag closes what stands open inside."""
     nodes = [Node("html", -1, "", None)]
+    #: open block elements, and for each tag the places in the stack where it stands; a tag is looked up, never searched for
     stack: list[tuple[str, int]] = [("html", 0)]
-    links = order = p = 0
-    skip = False
+    places: dict[str, list[int]] = defaultdict(list)
+    order = p = 0
+    #: depth of the stack where the open link began; 0 outside links
+    link = 0
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
 
     def say(text: str) -> None:
         nonlocal order
@@ -76,19 +86,20 @@ def parse(page: str) -> list[Node]:
                 order += 1
                 n.parts.append([order, [text]])
                 n.open = True
-            if links:
+            if link:
                 n.linked += len(text)
 
     def cut() -> None:
         nodes[stack[-1][1]].open = False
 
     def close(k: int) -> None:
-        nonlocal links
+        nonlocal link
         while len(stack) > k:
             cut()
-            tag, _ = stack.pop()
-            links -= tag == "a"
+            places[stack.pop()[0]].pop()
         cut()
+        if link > len(stack):
+            link = 0
 
     while p < len(page):
         m = _TOKEN.search(page, p)
@@ -104,17 +115,12 @@ def parse(page: str) -> list[Node]:
         if ending:
             if tag == "br":
                 say(" ")
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if tag in BLOCK:
-                        close(k)
-                    else:
-                        links -= tag == "a"
-                        del stack[k]
-                    break
-                if tag not in BLOCK and stack[k][0] in BLOCK or stack[k][0] in ("td", "th", "table") and tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            elif tag == "a":
+                link = 0
+            elif places[tag]:
+                k = places[tag][-1]
+                if tag in TABLE_PARTS or k > last(("td", "th", "table")):
+                    close(k)
             continue
         if tag in RAW:
             if not attributes.endswith("/"):
@@ -128,21 +134,13 @@ def parse(page: str) -> list[Node]:
                 say(" ")
             continue
         if tag in BLOCK:
-            if tag in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] in SCOPE:
-                        break
+            if tag in CLOSES_P and places["p"] and places["p"][-1] > last(SCOPE):
+                close(places["p"][-1])
             if tag in SELF_CLOSE:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in SELF_CLOSE[tag]:
-                        close(k)
-                    elif stack[k][0] in SCOPE and stack[k][0] not in ("td", "th"):
-                        break
+                while (k := last(SELF_CLOSE[tag])) > last(SCOPE - {"td", "th"}):
+                    close(k)
             cut()
-            if tag == "hr" or tag in ("html", "body") and len(nodes) > 1 and any(t == tag for t, _ in stack):
+            if tag == "hr" or tag in ("html", "body") and len(nodes) > 1 and (tag == "html" or places[tag]):
                 continue
             names, y = "", None
             if attributes:
@@ -154,10 +152,10 @@ def parse(page: str) -> list[Node]:
             parent = stack[-1][1]
             nodes[parent].kids += 1
             nodes.append(Node(tag, parent, names, y))
+            places[tag].append(len(stack))
             stack.append((tag, len(nodes) - 1))
-        elif not attributes.endswith("/"):
-            links += tag == "a"
-            stack.append((tag, stack[-1][1]))
+        elif tag == "a" and not attributes.endswith("/"):
+            link = len(stack)
     return nodes
 
 
@@ -178,14 +176,30 @@ def named(names: str) -> tuple[int, ...]:
     return _names_cache[names]
 
 
+def wrappers(nodes: list[Node]) -> list[bool]:
+    """Forms that wrap a page: they hold landmarks or an article, or three paragraphs and half of the page's text."""
+    n = len(nodes)
+    size = [sum(len(s) for _, parts in x.parts for s in parts) for x in nodes]
+    holds, paragraphs = [x.tag in ("article", "main", "nav", "header", "footer") for x in nodes], [x.tag == "p" for x in nodes]
+    for i in range(n - 1, 0, -1):
+        up = nodes[i].parent
+        size[up] += size[i]
+        holds[up] |= holds[i]
+        paragraphs[up] += paragraphs[i]
+    return [x.tag == "form" and (holds[i] or paragraphs[i] >= 3 and 2 * size[i] >= size[0]) for i, x in enumerate(nodes)]
+
+
 def evidence(nodes: list[Node]) -> list[list[tuple[int, float]]]:
-    """Sparse features of every node: its own tag, names and text, and the landmark elements around it."""
+    """Sparse features of every node: its own tag, names and text, and the landmark elements around it. A form that wraps
+    the page counts as a div."""
     around: list[frozenset] = []
     out = []
-    for n in nodes:
+    wrap = wrappers(nodes) if any(x.tag == "form" for x in nodes) else [False] * len(nodes)
+    for n, wrapper in zip(nodes, wrap, strict=True):
         up = around[n.parent] if n.parent >= 0 else frozenset()
-        around.append(up | {n.tag} if n.tag in ("nav", "header", "footer", "aside", "form", "article", "main") else up)
-        f = [(_AT["bias"], 1.0), (_AT.get(f"<{n.tag}>", _AT["other"]), 1.0)]
+        tag = "div" if wrapper else n.tag
+        around.append(up | {tag} if tag in ("nav", "header", "footer", "aside", "form", "article", "main") else up)
+        f = [(_AT["bias"], 1.0), (_AT.get(f"<{tag}>", _AT["other"]), 1.0)]
         f += [(k, 1.0) for k in named(n.names)] if n.names else []
         f += [(_AT[f"in:{t}"], 1.0) for t in up]
         size = sum(len(s) for _, parts in n.parts for s in parts)
@@ -203,25 +217,33 @@ def evidence(nodes: list[Node]) -> list[list[tuple[int, float]]]:
     return out
 
 
+def kinds(nodes: list[Node]) -> list[int]:
+    """Which potential joins each node to its parent: 1 for landmarks and blocks named as clutter, which say little of what
+    they stand in, and 0 for all others."""
+    wrap = wrappers(nodes) if any(x.tag == "form" for x in nodes) else [False] * len(nodes)
+    return [int(n.tag in _LANDMARKS or n.tag == "form" and not w or bool(n.names) and any(_NAMES[k] in _BAD for k in named(n.names))) for n, w in zip(nodes, wrap, strict=True)]
+
+
 class Model:
-    """weights of the node evidence; edge[a][b] = log P(child is b | parent is a)."""
+    """weights of the node evidence; edge[k][a][b] = log potential of parent a and child b for children of kind k."""
 
-    def __init__(self, weights: np.ndarray, edge: list[list[float]]):
+    def __init__(self, weights: np.ndarray, edge: list[list[list[float]]]):
         self.weights, self.edge = weights.tolist(), edge
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """P(content) of every node by sum-product on the tree."""
-        w, e = self.weights, self.edge
+        w, edges = self.weights, [self.edge[k] for k in kinds(nodes)]
         own = [sum(w[k] * v for k, v in f) for f in evidence(nodes)]  # log odds
         n = len(nodes)
         below = own[:]  # log odds with what the subtree says
         up = [0.0] * n
         for i in range(n - 1, 0, -1):
+            e = edges[i]
             up[i] = _message(below[i], e[0][0], e[0][1], e[1][0], e[1][1])
             below[nodes[i].parent] += up[i]
         full = below[:]
         for i in range(1, n):
-            p = nodes[i].parent
+            p, e = nodes[i].parent, edges[i]
             full[i] = below[i] + _message(full[p] - up[i], e[0][0], e[1][0], e[0][1], e[1][1])
         return [1 / (1 + math.exp(-max(-60.0, min(60.0, x)))) for x in full]
 
@@ -241,19 +263,27 @@ def main_text(page: str, model: Model) -> str:
     return "\n\n".join(t for t in (words_of(parts) for _, parts in blocks) if t)
 
 
-def labelled(nodes: list[Node]) -> list[int]:
-    """Labels of a page: from attributes y where it has them, which children inherit; else content is what stands in an
-    article or main element and in no element named as something else."""
-    marked = any(n.y for n in nodes)
+def marked(nodes: list[Node]) -> list[int]:
+    """Labels of a built-in example, from the attributes y, which children inherit. Pages of a table are never read so."""
     y: list[int] = []
     for n in nodes:
+        y.append(int(n.y) if n.y in ("0", "1") else y[n.parent] if n.parent >= 0 else 0)
+    return y
+
+
+def structural(nodes: list[Node]) -> list[int | None]:
+    """Labels of a page by its structure: content is what stands in an article or main element, not within a landmark of
+    another kind there. A form is no content unless it wraps the page.
+    Named blocks of an article may be anything and have no label, nor has what stands in them."""
+    y: list[int | None] = []
+    for n, wrapper in zip(nodes, wrappers(nodes), strict=True):
         own = y[n.parent] if n.parent >= 0 else 0
-        if marked:
-            own = int(n.y) if n.y in ("0", "1") else own
-        elif n.tag in ("nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "search") or any(_NAMES[k] in _BAD for k in named(n.names)):
+        if n.tag in ("article", "main"):
+            own = 1 if own == 0 else own
+        elif n.tag in _LANDMARKS or n.tag == "form" and not wrapper:
             own = 0
-        elif n.tag in ("article", "main"):
-            own = 1
+        elif own == 1 and n.names:
+            own = None
         y.append(own)
     return y
 
@@ -268,35 +298,62 @@ def plain(nodes: list[Node]) -> list[Node]:
     return out
 
 
-def train(pages: list[str], steps: int = 500, decay: float = 2e-5) -> Model:
-    """Edge potentials log P(child | parent) from counts, then logistic node evidence by gradient descent on the pseudo
-    likelihood: each node given its features and its parent's label, each page with the same weight."""
-    rows, labels, above, weight, edges = [], [], [], [], np.ones((2, 2))
-    for share, own in ((3.0, examples()), (1.0, pages)):
-        for page in own:
-            tree = parse(page)
-            y = labelled(tree)
+def train(pages: list[str], steps: int = 300, decay: float = 1e-4) -> Model:
+    """Weights and potentials by gradient ascent on the likelihood of the labelled trees, each page with the same weight.
+
+    The gradient is observed less expected counts, of node features and of parent-child label pairs; the expectations are
+    the marginals that sum-product gives, for all trees at once, level by level. Every page is there twice, the second time
+    without the names of its article and main elements."""
+    rows, labels, parent, kind, depth, weight = [], [], [], [], [], []
+    built_in = [(tree := parse(page), marked(tree)) for page in examples()]
+    for share, own in ((3.0, built_in), (1.0, [(tree := parse(page), structural(tree)) for page in pages])):
+        for tree, y in own:
             for nodes in (tree, plain(tree)):
-                rows += evidence(nodes)
-                labels += y
-                above += [2, *(y[n.parent] for n in nodes[1:])]
-                weight += [share / len(nodes) / max(1, len(own))] * len(nodes)
-            for n, v in zip(tree[1:], y[1:], strict=True):
-                edges[y[n.parent], v] += share / len(tree) / max(1, len(own)) * 1000
-    e = np.log(edges / edges.sum(axis=1, keepdims=True))
-    offset = np.array([e[0, 1] - e[0, 0], e[1, 1] - e[1, 0], 0.0])[above]
+                known = [i for i in range(len(nodes)) if y[i] is not None and (i == 0 or y[nodes[i].parent] is not None)]
+                at = {i: len(rows) + k for k, i in enumerate(known)}
+                found, sort = evidence(nodes), kinds(nodes)
+                for i in known:
+                    rows.append(found[i])
+                    labels.append(y[i])
+                    parent.append(at[nodes[i].parent] if i else -1)
+                    kind.append(sort[i])
+                    depth.append(depth[parent[-1]] + 1 if i else 0)
+                    weight.append(share / len(known) / len(own))
     x = np.zeros((len(rows), WIDTH))
     for i, f in enumerate(rows):
         for k, v in f:
             x[i, k] += v
-    t, c = np.array(labels, float), np.array(weight)
+    y, parent, kind, depth, c = np.array(labels), np.array(parent), np.array(kind), np.array(depth), np.array(weight)
     c /= c.sum()
-    w, m, s = np.zeros(WIDTH), np.zeros(WIDTH), np.zeros(WIDTH)
+    levels = [np.flatnonzero(depth == d) for d in range(1, depth.max() + 1)]
+    child = np.flatnonzero(parent >= 0)
+    seen = np.zeros((2, 2, 2))
+    np.add.at(seen, (kind[child], y[parent[child]], y[child]), c[child])
+    start = np.log((seen + 1e-3) / (seen + 1e-3).sum(axis=2, keepdims=True))
+    theta = np.concatenate([np.zeros(WIDTH), start.ravel()])
+    low, m, s = np.concatenate([np.zeros(WIDTH), start.ravel()]), np.zeros_like(theta), np.zeros_like(theta)
+
+    def message(odds, e):
+        return np.logaddexp(e[:, 1, 0], e[:, 1, 1] + odds) - np.logaddexp(e[:, 0, 0], e[:, 0, 1] + odds)
+
     for step in range(1, steps + 1):
-        g = x.T @ (c * (1 / (1 + np.exp(-np.clip(x @ w + offset, -30, 30))) - t)) + decay * w
+        e = theta[WIDTH:].reshape(2, 2, 2)
+        below, up = x @ theta[:WIDTH], np.zeros(len(x))
+        for own in reversed(levels):
+            up[own] = message(below[own], e[kind[own]])
+            np.add.at(below, parent[own], up[own])
+        full = below.copy()
+        for own in levels:
+            full[own] += message(full[parent[own]] - up[own], e[kind[own]].transpose(0, 2, 1))
+        pair = e[kind[child]] + (full[parent[child]] - up[child])[:, None, None] * np.array([0, 1])[:, None] + below[child][:, None, None] * np.array([0, 1])
+        pair = np.exp(pair - pair.max(axis=(1, 2), keepdims=True))
+        pair *= (c[child] / pair.sum(axis=(1, 2)))[:, None, None]
+        expected = np.zeros((2, 2, 2))
+        np.add.at(expected, kind[child], pair)
+        g = np.concatenate([x.T @ (c * (1 / (1 + np.exp(-np.clip(full, -40, 40))) - y)), (expected - seen).ravel()]) + decay * (theta - low)
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-        w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-9)
-    return Model(w, e.tolist())
+        theta -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-9)
+    return Model(theta[:WIDTH], theta[WIDTH:].reshape(2, 2, 2).tolist())
 
 
 def examples() -> list[str]:
@@ -314,19 +371,29 @@ def examples() -> list[str]:
         f'<form y="0"><p>{brief}</p><fieldset><label>Name</label><input></fieldset><button>Send</button></form>', f'<div class="newsletter signup" y="0"><p>{say}</p></div>', f'<div class="login-form" y="0"><p>{brief}</p></div>',
         f'<div class="share" y="0"><a href="/f">Share</a></div>',
         f'<section class="comments" y="0"><h3>Comments</h3><div class="comment"><p>{say}</p></div><div class="comment"><p>{brief}</p></div></section>', f'<div id="comments" y="0"><ol><li><p>{say}</p></li></ol></div>', f'<div id="disqus_thread" y="0"><p>{say}</p></div>',
-        f'<article class="comment" y="0"><p>{say}</p></article>', f'<footer y="0"><p>{say}</p></footer>', f'<div class="footer" y="0"><p>Copyright. {say}</p></div>', '<footer y="0">&copy; The Valley Times. All rights reserved.</footer>',
+        f'<article class="comment" y="0"><p>{say}</p></article>', f'<section class="comments" y="0"><article><p>{say}</p></article><article><p>{brief}</p></article></section>', f'<div class="related" y="0"><article><p>{say}</p></article></div>', f'<aside y="0"><article><p>{say}</p></article></aside>', f'<footer y="0"><p>{say}</p></footer>', f'<div class="footer" y="0"><p>Copyright. {say}</p></div>', '<footer y="0">&copy; The Valley Times. All rights reserved.</footer>',
     ]
     frames = ['<article y="1">{}</article>', '<main y="1">{}</main>', '<main y="1"><article>{}</article></main>', '<div class="content" y="1">{}</div>', '<div id="article-body" y="1">{}</div>', '<div y="1">{}</div>', '<section y="1">{}</section>', '<div class="wrap"><div class="post" y="1">{}</div></div>', '<article y="1"><div class="entry-content">{}</div></article>']
+    bodies = [body, f"<p>{say}</p><p>{say} {say}</p>", f"<h1>River reaches the lower fields</h1><p>{say}</p>", f"<p>{say}</p>", f"<h1>{brief}</h1><p>{brief}</p>", f"<p>{brief}</p>", f"{say}<br>{say}", f"<h2>What comes next</h2><p>{say}</p><p>{brief}</p><ul><li>{say}</li></ul>"]
+    own = f'<header y="0"><p>{brief}</p></header>{{}}<aside y="0"><p>{say}</p></aside><footer y="0"><p>{brief}</p></footer>'
     out = []
-    for k in range(4 * len(frames)):
+    for k in range(32 * len(frames)):
         mine = [clutter[(5 * k + j * 7) % len(clutter)] for j in range(9)]
-        inner = body + (mine[8] if k % 2 else "")
+        inner = bodies[k // 4 % len(bodies)] + (mine[8] if k % 2 else "")
         if k % 3 == 1:
             inner = inner.replace(f"<p>{brief}</p>", f"<p>{brief}</p>" + mine[7], 1)
+        if k % 5 == 3:
+            inner = own.format(inner)
+        before, after = "".join(mine[: k % 5]), "".join(mine[4 : 4 + k % 4])
         if k % 4 == 3:
-            out.append(f'<html><body y="1">{"".join(mine[:4])}{inner}{"".join(mine[4:7])}</body></html>')
-            continue
-        out.append(f"<html><body>{''.join(mine[:4])}{frames[k % len(frames)].format(inner)}{''.join(mine[4:7])}</body></html>")
+            page = f'<body y="1">{before}{inner}{after}</body>' if before or after else f"<body>{before}{frames[k % len(frames)].format(inner)}</body>"
+        elif k % 7 == 2:
+            page = f'<body><form action="/" y="0">{mine[0]}{before}{frames[k % 4 if k % 4 < 3 else 4].format(inner)}{after}</form></body>'
+        else:
+            page = f"<body>{before}{frames[k % len(frames)].format(inner)}{after}</body>"
+        out.append(f"<html>{page}</html>")
+    # pages without an article
+    out += [f"<html><body>{''.join(clutter[(k + 3 * j) % len(clutter)] for j in range(5))}</body></html>" for k in range(24)]
     return out
 
 

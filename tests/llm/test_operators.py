@@ -338,13 +338,15 @@ def test_main_text(spark):
 
 
 def test_marginals_are_those_of_enumeration():
-    m = html.Model(np.random.default_rng(0).normal(0, 1, html.WIDTH), np.log([[0.9, 0.1], [0.2, 0.8]]).tolist())
+    m = html.Model(np.random.default_rng(0).normal(0, 1, html.WIDTH), np.log([[[0.9, 0.1], [0.2, 0.8]], [[0.7, 0.3], [0.6, 0.4]]]).tolist())
     nodes = html.parse("<div><p>one two</p><div class=ad><p>three</p></div><ul><li>x</li></ul></div>")
     odds = [sum(m.weights[k] * v for k, v in f) for f in html.evidence(nodes)]
+    kind = html.kinds(nodes)
+    assert set(kind) == {0, 1}
     total, one = 0.0, np.zeros(len(nodes))
     for bits in range(2 ** len(nodes)):
         y = [bits >> i & 1 for i in range(len(nodes))]
-        p = np.exp(sum(o for o, b in zip(odds, y, strict=True) if b) + sum(m.edge[y[n.parent]][y[i]] for i, n in enumerate(nodes) if n.parent >= 0))
+        p = np.exp(sum(o for o, b in zip(odds, y, strict=True) if b) + sum(m.edge[kind[i]][y[n.parent]][y[i]] for i, n in enumerate(nodes) if n.parent >= 0))
         total += p
         one += p * np.array(y)
     assert m.marginals(nodes) == pytest.approx((one / total).tolist())
