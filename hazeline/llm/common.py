@@ -71,12 +71,28 @@ def shingle_set(text: bytes, k: int, cache: WordHashes) -> np.ndarray:
     return np.unique(rolling(h, k))
 
 
-def semi_by_size(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", broadcast_rows: int = 500_000) -> DataFrame:
-    """Rows of df whose key is (left_semi) or isn't (left_anti) in ids, which has one column. ids is broadcast only after a
+def semi_by_size(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi", broadcast_rows: int = 500_000) -> DataFrame:
+    """Rows of df whose key is (left_semi) or isn't (left_anti) in ids, which has the key columns. ids is broadcast only after a
     count has shown that it has at most broadcast_rows rows of eight bytes; beyond that both sides are shuffled."""
     return df.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, key, how)
 
 
+def with_facts(x: DataFrame, facts: DataFrame, on: list[str], total: int, most: int = 256) -> DataFrame:
+    """x left-joined with facts(*on, rows, ...), one row a key; rows counts the rows of x that have the key, total all rows.
+
+    A key with more than total / most rows comes by broadcast: there are fewer than `most` of them, since their rows sum
+    to no more than total. Its rows of x are dealt by a hash of theirs in the shuffle that joins all other keys, so that
+    no task gets a hot host whole. Write facts as a table first: it is read twice, and is made from x itself.
+    """
+    values = [c for c in facts.columns if c not in on and c != "rows"]
+    hot = facts.where(F.col("rows") > total / most).select(*on, F.lit(True).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in values))
+    rest = facts.where(F.col("rows") <= total / most).select(*on, F.lit(0).cast("long").alias("_deal"), *values)
+    own = F.xxhash64(*(c for c in x.columns if not c.startswith("_")))
+    x = x.join(F.broadcast(hot), on, "left").withColumn("_deal", F.when(F.col("_hot"), 1 + F.pmod(own, F.lit(4096))).otherwise(0).cast("long"))
+    x = x.join(rest, [*on, "_deal"], "left")
+    return x.withColumns({c: F.coalesce(c, f"_hot_{c}") for c in values}).drop("_deal", "_hot", *(f"_hot_{c}" for c in values))
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component): for each node of edges(u, v) the smallest node that it reaches.
 

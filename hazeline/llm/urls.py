@@ -2,17 +2,20 @@
 
 Each host has a tree of path segments. A segment whose shape is variable (numbers, hashes, dates), or that stands under a
 parent whose children are nearly all different, becomes a wildcard. Sibling branches with alike counts of children form a
-group, labelled or not, and pool their labels. A template is rejected when its share of bad labels, smoothed to that of
-the branch above and so on up to the host, reaches a bound.
+group, labelled or not, and pool their labels; branches with the same template pool them over all hosts. A template is
+rejected when its smoothed share of bad labels reaches a bound: all labels, then those of the domain, of the first segment
+and of the template over all hosts, and then of the host and its own branches, each smoothed to the one before.
 """
 
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazeline.llm.common import with_facts
 from hazeline.session import materialize
 
 #: (host, path, verdict)
@@ -51,47 +54,35 @@ def shape(segment: Column) -> Column:
     )
 
 
-def with_facts(x: DataFrame, facts: DataFrame, on: list[str], total: int, most: int = 256) -> DataFrame:
-    """x left-joined with facts(*on, rows, ...), one row a key; rows counts the rows of x that have the key, total all rows.
-
-    A key with more than total / most rows comes by broadcast: there are fewer than `most` of them, since their rows sum
-    to no more than total. Its rows of x are dealt by a hash of theirs in the shuffle that joins all other keys, so that
-    no task gets a hot host whole. Write facts as a table first: it is read twice, and is made from x itself.
-    """
-    values = [c for c in facts.columns if c not in on and c != "rows"]
-    hot = facts.where(F.col("rows") > total / most).select(*on, F.lit(True).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in values))
-    rest = facts.where(F.col("rows") <= total / most).select(*on, F.lit(0).cast("long").alias("_deal"), *values)
-    own = F.xxhash64(*(c for c in x.columns if not c.startswith("_")))
-    x = x.join(F.broadcast(hot), on, "left").withColumn("_deal", F.when(F.col("_hot"), 1 + F.pmod(own, F.lit(4096))).otherwise(0).cast("long"))
-    x = x.join(rest, [*on, "_deal"], "left")
-    return x.withColumns({c: F.coalesce(c, f"_hot_{c}") for c in values}).drop("_deal", "_hot", *(f"_hot_{c}" for c in values))
-
-
 def templates(urls: DataFrame, total: int, least: int = 20, variety: float = 0.5) -> DataFrame:
     """urls(host, path, ...), of total rows, with the column template: an array of all segments, generalised level by level.
 
     A child segment becomes {*} where its parent has at least `least` urls and more than `variety` different children a
     url. Counts of (parent, segment) are made before they are counted by parent, so a hot host is summed in every task.
-    The first level where no parent has `least` urls ends the search: below it none has, and shapes say all.
+    Rows whose parent has fewer than `least` urls end there: below it no parent has more, and shapes say all.
     """
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     x = urls.withColumn("_seg", segments).withColumn("template", F.array().cast("array<string>"))
-    level = 0
+    finished, level = [], 0
     while True:
         at = x.withColumn("_s", F.when(F.size("_seg") > level, shape(F.get("_seg", F.lit(level)))))
         children = at.where("_s IS NOT NULL").groupBy("host", "template", "_s").agg(F.count("*").alias("n"))
         parents = children.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
         wide = (F.col("n") >= least) & (F.col("kinds") > variety * F.col("n"))
-        parents = materialize(parents.select("host", "template", F.col("n").alias("rows"), wide.alias("_wide")), "url-parents")
-        if (parents.agg(F.max("rows")).first()[0] or 0) < least:
-            rest = F.transform(F.slice("_seg", level + 1, 1 << 30), shape)
-            return x.withColumn("template", F.concat("template", rest)).drop("_seg")
+        parents = materialize(parents.where(F.col("n") >= least).select("host", "template", F.col("n").alias("rows"), wide.alias("_wide")), "url-parents")
+        rest = F.transform(F.slice("_seg", level + 1, 1 << 30), shape)
+        if parents.isEmpty():
+            finished.append(x.withColumn("template", F.concat("template", rest)).drop("_seg"))
+            return reduce(DataFrame.unionByName, finished)
+        # Only rows under a large parent go on to the next level: a few very deep paths don't make all rows pass again.
         x = with_facts(at, parents, ["host", "template"], total)
-        step = F.when(F.col("_wide"), "{*}").otherwise(F.col("_s"))
-        x = x.withColumn("template", F.when(F.col("_s").isNotNull(), F.concat("template", F.array(step))).otherwise(F.col("template"))).drop("_wide", "_s")
+        x = x.withColumn("_on", F.col("_wide").isNotNull() & F.col("_s").isNotNull())
+        step = F.concat("template", F.array(F.when(F.col("_wide"), "{*}").otherwise(F.col("_s"))))
+        x = x.withColumn("template", F.when(F.col("_on"), step).otherwise(F.concat("template", rest)))
+        x = materialize(x.drop("_wide", "_s"), "url-levels")
+        finished.append(x.where("NOT _on").drop("_seg", "_on"))
+        x = x.where("_on").drop("_on")
         level += 1
-        if level % 4 == 0:
-            x = materialize(x, "url-levels")
 
 
 def branches(counts: DataFrame, total: int, likeness: float = 0.9) -> DataFrame:
@@ -122,13 +113,31 @@ def branches(counts: DataFrame, total: int, likeness: float = 0.9) -> DataFrame:
     return with_facts(g, materialize(pools, "url-pools"), ["host", "group"], total)
 
 
-def shares(counts: DataFrame, total: int, weight: float = 4.0, prior: float = 0.5) -> DataFrame:
-    """(host, template, rows, share) of counts(host, template, rows, n, bad): the url counts of each template, among them
-    those with a label and the bad ones. share is null on a host without any label.
+def pooled(counts: DataFrame, total: int, weight: float, prior: float) -> DataFrame:
+    """counts(host, template, rows, n, bad) with over_all, the smoothed share of bad labels of each template over all hosts,
+    and level, the narrowest of these pools that has a label (null if none has any). Each host's template is one voice, by
+    its share, however many urls it has."""
+    x = counts.withColumn("voice", F.col("bad") / F.nullif("n", F.lit(0)))
+    n, bad = x.agg(F.count("voice"), F.coalesce(F.sum("voice"), F.lit(0.0))).first()
+    x = x.withColumns({"domain": F.substring_index("host", ".", -2), "first": F.coalesce(F.get("template", F.lit(0)), F.lit(""))})
+    share, level = F.lit((bad + weight * prior) / (n + weight)), F.when(F.lit(n > 0), "all")
+    for key in ("domain", "first", "template"):
+        facts = x.groupBy(key).agg(F.count("*").alias("rows"), F.count("voice").alias(f"n_{key}"), F.coalesce(F.sum("voice"), F.lit(0.0)).alias(f"bad_{key}"))
+        x = with_facts(x.withColumnRenamed("rows", "_rows"), materialize(facts, "url-pool"), [key], total).withColumnRenamed("_rows", "rows")
+        share = (F.col(f"bad_{key}") + weight * share) / (F.col(f"n_{key}") + weight)
+        level = F.when(F.col(f"n_{key}") > 0, key).otherwise(level)
+    return x.select(*counts.columns, share.alias("over_all"), level.alias("level"))
+
 
-    From the host down, each branch's share is smoothed to that of the one above. A branch counts the labels of its whole
-    group, unless its own share differs from the group's by more than two standard errors; then it counts its own. A host
-    counts each labelled group of first segments once, by its share: urls of one branch say little of unlike ones.
+def shares(counts: DataFrame, total: int, weight: float = 4.0, prior: float = 0.5) -> DataFrame:
+    """(host, template, rows, share, level) of counts(host, template, rows, n, bad): the url counts of each template, among
+    them those with a label and the bad ones. share is null only if there is no label at all; level says which labels are
+    the nearest: host, template, first (segment), domain or all.
+
+    From the pools over all hosts to the host and down its branches, each share is smoothed to the one before. A branch
+    counts the labels of its whole group, unless its own share differs from the group's by more than two standard errors;
+    then it counts its own. A host counts each labelled group of first segments once, by its share: urls of one branch say
+    little of unlike ones.
     """
     b = materialize(branches(counts, total), "url-pooled")
     p = F.col("pb") / F.nullif("pn", F.lit(0))
@@ -138,24 +147,27 @@ def shares(counts: DataFrame, total: int, weight: float = 4.0, prior: float = 0.
     b = materialize(b.select("host", "prefix", "group", "rows", "said"), "url-said")
     kinds = b.where((F.size("prefix") == 1) & (F.col("said.n") > 0)).groupBy("host", "group", "said").agg(F.lit(1).alias("one"))
     hosts = kinds.groupBy("host").agg(F.count("*").alias("hn"), F.sum(F.col("said.bad") / F.col("said.n")).alias("hb"))
-    labels = counts.groupBy("host").agg(F.sum("rows").alias("rows"), F.sum("n").alias("labels"))
-    hosts = labels.join(hosts, "host", "left").select("host", "rows", "labels", ((F.coalesce("hb", F.lit(0.0)) + weight * prior) / (F.coalesce("hn", F.lit(0)) + weight)).alias("base"))
+    labels = counts.groupBy("host").agg(F.count("*").alias("rows"), F.sum("n").alias("labels"))
+    hosts = labels.join(hosts, "host", "left").select("host", "rows", "labels", F.coalesce("hb", F.lit(0.0)).alias("hb"), F.coalesce("hn", F.lit(0)).alias("hn"))
     steps = counts.select("host", "template", F.posexplode("template").alias("_k", "_s")).withColumn("prefix", F.slice("template", 1, F.col("_k") + 1))
     steps = with_facts(steps, b.select("host", "prefix", "rows", "said"), ["host", "prefix"], total)
     chains = steps.groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("_k", "said"))).alias("chain"))
-    x = with_facts(counts.select("host", "template", F.col("rows").alias("urls"), "n", "bad"), materialize(hosts, "url-hosts"), ["host"], total).join(chains, ["host", "template"], "left")
+    x = pooled(counts, total, weight, prior).withColumnRenamed("rows", "urls")
+    x = with_facts(x, materialize(hosts, "url-hosts"), ["host"], total).join(chains, ["host", "template"], "left")
     chain = F.coalesce("chain", F.array().cast("array<struct<_k:int,said:struct<n:double,bad:double>>>"))
-    share = F.aggregate(chain, F.col("base"), lambda up, s: (s.said.bad + weight * up) / (s.said.n + weight))
-    return x.select("host", "template", F.col("urls").alias("rows"), F.when(F.col("labels") > 0, share).alias("share"))
+    base = (F.col("hb") + weight * F.col("over_all")) / (F.col("hn") + weight)
+    share = F.aggregate(chain, base, lambda up, s: (s.said.bad + weight * up) / (s.said.n + weight))
+    return x.select("host", "template", F.col("urls").alias("rows"), F.when(F.col("level").isNotNull(), share).alias("share"), F.when(F.col("labels") > 0, "host").otherwise(F.col("level")).alias("level"))
 
 
 def judged(pages: DataFrame, rules: list[Rule], bound: float = 0.8, id_col: str = "page_id") -> DataFrame:
-    """One row per row of pages(page_id, url): page_id, host, path, rule, verdict, template, share.
+    """One row per row of pages(page_id, url): page_id, host, path, rule, verdict, template, share, level.
 
     The longest rule that fits decides. Urls that rules decide are the labels of the tree; any other url gets block when
-    the smoothed bad share of its template reaches bound, and allow otherwise: a host without any label is allowed. A null
-    url, or one without ://, has empty host and path and is allowed unless a rule fits. Rows that repeat are judged each;
-    a null page_id stays null. Other columns are left out whatever their names; an empty table gives no rows.
+    the smoothed bad share of its template reaches bound, and allow otherwise. level names the labels nearest to it (see
+    shares). Without any label in the table all are allowed, with null share and level. A null url, or one without ://, has
+    empty host and path and is judged like any other. Rows that repeat are judged each; a null page_id stays null. Other
+    columns are left out whatever their names; an empty table gives no rows.
     """
     u = pages.select(F.col(id_col).alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
@@ -165,4 +177,4 @@ def judged(pages: DataFrame, rules: list[Rule], bound: float = 0.8, id_col: str
     own = materialize(shares(materialize(counts, "url-counts"), total), "url-shares")
     x = with_facts(t, own, ["host", "template"], total)
     method = F.when(F.col("share") >= bound, "block").otherwise("allow")
-    return x.select("page_id", "host", "path", "rule", F.coalesce("_said", method).alias("verdict"), F.concat(F.lit("/"), F.concat_ws("/", "template")).alias("template"), "share")
+    return x.select("page_id", "host", "path", "rule", F.coalesce("_said", method).alias("verdict"), F.concat(F.lit("/"), F.concat_ws("/", "template")).alias("template"), "share", "level")

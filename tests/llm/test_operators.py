@@ -145,16 +145,9 @@ def test_leaks(spark):
     texts = [(0, " ".join(["z"] * 30 + a)), (1, " ".join(moved).upper() + "."), (2, " ".join(b[:15])), (3, None), (4, "a tiny item here"), (5, "tiny, Item."), (6, "nothing of it")]
     got = {(r.doc_id, r.item_id): r.covered_words for r in decontaminate.leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(0, 0): 40, (1, 0): 40, (4, 9): 2, (5, 9): 2}
-    split = decontaminate.leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=100)
-    assert {(r.doc_id, r.item_id): r.covered_words for r in split.collect()} == got
     assert decontaminate.leaks(empty(spark), empty(spark, "item_id long, text string")).collect() == []
 
 
-def test_tiles_are_longest_first():
-    assert decontaminate.tiles([(6, 0, 0), (8, 4, 20)], 12, 3) == (12, 2)
-    assert decontaminate.tiles([(6, 0, 0), (6, 0, 50)], 12, 3) == (6, 1)
-
-
 def least_padding(hist, buckets):
     top = hist[-1][0]
     best = None
@@ -320,7 +313,7 @@ def test_labels_reach_open_branches(spark):
     every = [*said, *deep, *asked]
     d = spark.createDataFrame([(k, "http://" + u) for k, u in enumerate(every)], "page_id long, url string")
     got = {every[r.page_id]: (r.rule, r.verdict, r.share) for r in urls.judged(d, rules).collect()}
-    assert len(got) == len(set(every)) and got["u.org/en/7"][2] is None
+    assert len(got) == len(set(every)) and got["u.org/en/7"][2] < 0.8
     assert {u: got[u][1] for u in asked} == asked
     assert got["w.org/a/b/c/d/e/bad/3"][0] is None
 
