@@ -93,16 +93,30 @@ def with_facts(x: DataFrame, facts: DataFrame, on: list[str], total: int, most:
     return x.withColumns({c: F.coalesce(c, f"_hot_{c}") for c in values}).drop("_deal", "_hot", *(f"_hot_{c}" for c in values))
 
 
+def dealt_join(x: DataFrame, wide: DataFrame, key: str, total: int, name: str, deal: int = 1000) -> DataFrame:
+    """x inner-joined with wide, which has each key once and rows too large to broadcast. Rows of x with a common key are
+    dealt to slots of about `deal` rows, and wide's row goes to each slot. x is a written table of total rows."""
+    load = x.groupBy(key).agg(F.count("*").alias("rows")).withColumn("_slots", F.ceil(F.col("rows") / deal).cast("int"))
+    load = materialize(load, name)
+    own = F.pmod(F.xxhash64(*(c for c in x.columns if c != key)), "_slots").cast("int")
+    x = with_facts(x, load, [key], total).withColumn("_slot", own).drop("_slots")
+    copies = wide.join(load.select(key, "_slots"), key).withColumn("_slot", F.explode(F.sequence(F.lit(0), F.col("_slots") - 1))).drop("_slots")
+    return x.join(copies, [key, "_slot"]).drop("_slot")
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component): for each node of edges(u, v) the smallest node that it reaches.
 
-    Alternating large-star and small-star steps, each a grouped minimum and a join on the node, so that a hub's links may
-    lie in many tasks. The driver sees two numbers a round.
+    Alternating large-star and small-star steps, each a grouped minimum and a join on the node. Minima of hubs with a large
+    share of all links come by broadcast, and their links are dealt over the tasks. The driver sees two numbers a round.
     """
 
     def both(e: DataFrame) -> DataFrame:
         return e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
+    def with_least(e: DataFrame, total: int) -> DataFrame:
+        return with_facts(e, materialize(e.groupBy("u").agg(F.count("*").alias("rows"), F.min("v").alias("m")), name), ["u"], total)
+
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = materialize(now, name)
     seen = None
@@ -110,13 +124,10 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or state[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v")).groupBy("node").agg(F.min("component").alias("component"))
-        seen = state
-        b = both(now)
-        least = b.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = b.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        seen, total = state, 2 * state[0]
+        large = with_least(both(now), total).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
+        down = materialize(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), name)
+        small = with_least(down, total).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         now = materialize(small.where("u <> v").distinct(), name)
 
 

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import NO_ID, WordHashes, batches_of, connected_components, rolling, semi_by_size, shingle_set, small_batches, utf8
+from hazeline.llm.common import NO_ID, WordHashes, batches_of, connected_components, dealt_join, rolling, semi_by_size, shingle_set, small_batches, utf8, with_facts
 from hazeline.session import materialize
 
 BANDS, ROWS, BITS = 24, 4, 2
@@ -113,15 +113,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     pairs = materialize(pairs, "near-pairs")
     ids = materialize(pairs.select(F.col("u").alias("doc")).union(pairs.select(F.col("v").alias("doc"))).distinct(), "near-ids")
     z = semi_by_size(texts, ids, "doc").dropDuplicates(["doc"]).mapInArrow(_squeeze, "doc long, z binary")
-    first = pairs.join(z.select(F.col("doc").alias("u"), F.col("z").alias("uz")), "u")
-    full = first.join(z.select(F.col("doc").alias("v"), F.col("z").alias("vz")), "v")
+    z = materialize(z, "near-texts")
+    # the least id of a bucket stands in the pairs of all its members
+    leads = dealt_join(pairs, z.select(F.col("doc").alias("v"), F.col("z").alias("vz")), "v", pairs.count(), "near-load")
+    full = leads.join(z.select(F.col("doc").alias("u"), F.col("z").alias("uz")), "u")
     return materialize(full.select("u", "v", "uz", "vz").mapInArrow(_confirm(k, percent), "u long, v long"), "near-links")
 
 
 def mixed(entries: DataFrame) -> DataFrame:
-    """Entries (rep, key, component) of the buckets that hold more than one component."""
-    keys = entries.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    return entries.join(keys, "key")
+    """Entries (rep, key, component) of the buckets that hold more than one component. entries is a written table."""
+    keys = entries.groupBy("key").agg(F.count("*").alias("rows"), F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+    return with_facts(entries, materialize(keys.select("key", "rows", F.lit(True).alias("_mixed")), "near-keys"), ["key"], entries.count()).where("_mixed").drop("_mixed")
 
 
 def own_shingles(docs: DataFrame, k: int) -> DataFrame:
@@ -180,7 +182,8 @@ def crossed(open_: DataFrame, texts: DataFrame, k: int, percent: int, floor: flo
     blocks, whatever the cluster's size. Only links leave a group. A cluster of m blocks sends each set to m groups.
     """
     sizes = open_.groupBy("cluster").agg(F.count("*").alias("size"), F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-    x = materialize(open_.join(sizes.select("cluster", F.ceil(F.col("size") / block).cast("int").alias("m")), "cluster"), "near-blocks")
+    sizes = materialize(sizes.select("cluster", F.col("size").alias("rows"), F.ceil(F.col("size") / block).cast("int").alias("m")), "near-sizes")
+    x = materialize(with_facts(open_, sizes, ["cluster"], open_.count()).where("m IS NOT NULL"), "near-blocks")
     z = semi_by_size(texts, x.select(F.col("rep").alias("doc")), "doc").dropDuplicates(["doc"]).mapInArrow(_squeeze, "doc long, z binary")
     x = x.join(z, x["rep"] == z["doc"]).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("m")).cast("int"))
     x = x.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("i", F.least("side", "to")).withColumn("j", F.greatest("side", "to"))
@@ -203,12 +206,14 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, margin: floa
     floor = percent / 100 - margin
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), utf8("text").alias("content"))
     sets = materialize(d.mapInArrow(_sketch(words), "doc long, n long, dig binary, bands array<long>, sig array<long>"), "near-sets")
-    least = materialize(sets.where((F.col("n") > 0) & (F.col("doc") != NO_ID)).groupBy("dig").agg(F.min("doc").alias("rep")), "near-classes")
-    reps = materialize(sets.join(least.withColumnRenamed("dig", "rdig"), (F.col("doc") == F.col("rep")) & (F.col("dig") == F.col("rdig"))).dropDuplicates(["doc", "dig"]).select("rep", "n", "bands", "sig"), "near-reps")
+    least = sets.where("n > 0").groupBy("dig").agg(F.count("*").alias("rows"), F.min(F.when(F.col("doc") != NO_ID, F.col("doc"))).alias("rep"))
+    least = materialize(least.where("rep IS NOT NULL"), "near-classes")
+    own = least.select(F.col("dig").alias("rdig"), "rep")
+    reps = materialize(sets.join(own, (F.col("doc") == F.col("rep")) & (F.col("dig") == F.col("rdig"))).dropDuplicates(["doc", "dig"]).select("rep", "n", "bands", "sig"), "near-reps")
 
     entries = reps.select("rep", F.explode("bands").alias("key"))
-    lead = entries.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("key", "lead")
-    shared = materialize(entries.join(lead, "key"), "near-shared")
+    lead = entries.groupBy("key").agg(F.count("*").alias("rows"), F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("key", "rows", "lead")
+    shared = materialize(with_facts(entries, materialize(lead, "near-leads"), ["key"], BANDS * reps.count()).where("lead IS NOT NULL"), "near-shared")
     pairs = shared.where("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")).distinct()
     one = reps.select(F.col("rep").alias("u"), F.col("n").alias("un"), F.col("sig").alias("us"))
     two = reps.select(F.col("rep").alias("v"), F.col("n").alias("vn"), F.col("sig").alias("vs"))
@@ -218,18 +223,23 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, margin: floa
     parts = materialize(connected_components(links), "near-parts")
 
     # What still shares a bucket across components, without the sets that can link with none.
-    open_ = materialize(mixed(shared.select("rep", "key").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))), "near-open")
+    open_ = materialize(shared.select("rep", "key").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "near-open")
+    open_ = materialize(mixed(open_), "near-open")
     alone = own_shingles(semi_by_size(d, open_.select(F.col("rep").alias("doc")).distinct(), "doc"), words)
     facts = open_.select("rep", "component").distinct().join(reps.select("rep", "n", "sig"), "rep").join(alone.withColumnRenamed("doc", "rep"), "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     facts = materialize(facts.where(f"100 * (n - own) >= {percent} * n"), "near-facts")
-    open_ = mixed(open_.join(facts.select("rep"), "rep", "left_semi"))
-    hubs = open_.groupBy("key").agg(F.min("rep").alias("v"))
-    clusters = materialize(connected_components(open_.select("key", F.col("rep").alias("u")).join(hubs, "key").select("u", "v").distinct(), "near-clusters"), "near-clusters")
-    more = crossed(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(facts, "rep"), d, words, percent, floor)
+    open_ = materialize(mixed(materialize(open_.join(facts.select("rep"), "rep", "left_semi"), "near-open")), "near-open")
+    hubs = materialize(open_.groupBy("key").agg(F.count("*").alias("rows"), F.min("rep").alias("v")), "near-hubs")
+    spokes = with_facts(open_.select("key", F.col("rep").alias("u")), hubs, ["key"], open_.count())
+    clusters = connected_components(spokes.select("u", "v").distinct(), "near-clusters")
+    clusters = materialize(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(facts, "rep"), "near-clusters")
+    more = crossed(clusters, d, words, percent, floor)
     parts = materialize(connected_components(links.union(more)), "near-parts")
 
-    named = least.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("dig", F.coalesce("component", "rep").alias("component"))
-    out = sets.select("doc", "n", "dig").join(named, "dig", "left").withColumn("component", F.coalesce("component", "doc"))
+    named = least.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("dig", "rows", F.coalesce("component", "rep").alias("component"))
+    full = sets.where("n > 0").select("doc", "n", "dig")
+    out = with_facts(full, materialize(named, "near-named"), ["dig"], sets.count()).select("doc", "n", F.coalesce("component", "doc").alias("component"))
+    out = out.union(sets.where("n = 0").select("doc", "n", F.col("doc").alias("component")))
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(back("doc").alias("doc_id"), F.col("n").alias("n_shingles"), back("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
 
