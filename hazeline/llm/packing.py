@@ -6,7 +6,8 @@ documents are numbered and cut into batches whose padded size stays within a tok
 
 from __future__ import annotations
 
-import numpy as np
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,56 +15,60 @@ from pyspark.sql.window import Window
 
 from hazeline.session import materialize
 
-#: Lengths up to this have a bin each; above, a bin spans at most 1/128 of its length.
-EXACT = 1024
-
-
 def word_count(text: str = "text") -> Column:
     """Words between white space; null text has none."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def length_bin(n: Column) -> Column:
-    """Largest length of the bin: n itself up to EXACT, then n rounded up to 7 leading bits. The number of bins grows with
-    the logarithm of the longest length, so the histogram that reaches the driver is bounded: 1,024 bins and 128 for each doubling, under 8,100."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))) - 7).cast("long")
-    return F.when(n <= EXACT, n).otherwise(F.ceil(n / step).cast("long") * step).cast("long")
-
-
-def histogram(lengths: DataFrame) -> list[tuple[int, int, int]]:
-    """(largest length, documents, tokens) of each bin, ascending; lengths has the column n_tokens."""
-    rows = lengths.groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("top"), F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"))
-    return sorted((r["top"], r["docs"], r["tokens"]) for r in rows.collect())
+def histogram(lengths: DataFrame) -> list[tuple[int, int]]:
+    """(length, documents) of every length that occurs, ascending; lengths has the column n_tokens. It holds one row a
+    distinct length, so at most as many as the longest document has tokens, and at most the root of twice all tokens."""
+    rows = lengths.groupBy("n_tokens").agg(F.count("*").alias("docs"))
+    return sorted((r["n_tokens"], r["docs"]) for r in rows.toLocalIterator())
 
 
-def boundaries(hist: list[tuple[int, int, int]], buckets: int) -> list[int]:
+def boundaries(hist: list[tuple[int, int]], buckets: int) -> list[int]:
     """Bucket lengths, ascending, with the least total padding; at most that many, fewer when fewer do as well.
 
-    cost(i, j) pads the bins i+1..j to the top of j. best[k][j] = min over i of best[k-1][i] + cost(i, j).
+    Padding and tokens together are the sum of bucket length times documents, so best[k][j], the least for the first j
+    lengths in k buckets, is the minimum over i of best[k-1][i] + length[j] * (docs[j] - docs[i]). For each i that is a line
+    in length[j] with slope -docs[i]. Slopes fall and lengths rise, so the lower hull of the lines is walked once: a layer
+    takes time in proportion to the number of lengths, in exact whole numbers.
     """
     if not hist:
         return []
-    top = np.array([0, *(h[0] for h in hist)], float)
-    docs = np.cumsum([0.0, *(float(h[1]) for h in hist)])
-    tokens = np.cumsum([0.0, *(float(h[2]) for h in hist)])
     n = len(hist)
-    best = np.full(n + 1, np.inf)
-    best[0] = 0
+    top, docs = [0, *(h[0] for h in hist)], [0]
+    for _, count in hist:
+        docs.append(docs[-1] + count)
+    best: list[int | None] = [0] + [None] * n
     came = []
     for _ in range(min(buckets, n)):
-        new, back = best.copy(), np.full(n + 1, -1)
+        new, back = best[:], [-1] * (n + 1)
+        hull: list[tuple[int, int, int]] = []  # slope, value at length 0, i
+        at = 0
         for j in range(1, n + 1):
-            cost = best[:j] + top[j] * (docs[j] - docs[:j]) - (tokens[j] - tokens[:j])
-            i = int(np.argmin(cost))
-            if cost[i] < new[j]:
-                new[j], back[j] = cost[i], i
+            if (before := best[j - 1]) is not None:
+                m, c = -docs[j - 1], before
+                # the line in the middle goes when the new one undercuts it before it undercuts the one before
+                while len(hull) >= 2 and (c - hull[-2][1]) * (hull[-2][0] - hull[-1][0]) <= (hull[-1][1] - hull[-2][1]) * (hull[-2][0] - m):
+                    hull.pop()
+                hull.append((m, c, j - 1))
+            at = min(at, len(hull) - 1)
+            if hull:
+                x = top[j]
+                while at + 1 < len(hull) and hull[at + 1][0] * x + hull[at + 1][1] <= hull[at][0] * x + hull[at][1]:
+                    at += 1
+                cost = hull[at][0] * x + hull[at][1] + x * docs[j]
+                if new[j] is None or cost < new[j]:
+                    new[j], back[j] = cost, hull[at][2]
         best = new
         came.append(back)
     out, j = [], n
     for back in reversed(came):
         if back[j] >= 0:
-            out.append(int(top[j]))
-            j = int(back[j])
+            out.append(top[j])
+            j = back[j]
         if j == 0:
             break
     return out[::-1]
@@ -87,7 +92,9 @@ def packed(docs: DataFrame, buckets: int = 8, token_budget: int = 65_536, tokens
     ends = boundaries(hist, buckets)
     if not ends:
         return lengths.select("doc_id", "n_tokens", F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("bucket_len"), F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("slot"))
-    counts = [sum(h[1] for h in hist if lo < h[0] <= hi) for lo, hi in zip([-1, *ends[:-1]], ends, strict=True)]
+    counts = [0] * len(ends)
+    for length, docs_ in hist:
+        counts[bisect_left(ends, length)] += docs_
     bucket = F.lit(len(ends) - 1)
     for k in reversed(range(len(ends) - 1)):
         bucket = F.when(F.col("n_tokens") <= ends[k], k).otherwise(bucket)
