@@ -123,7 +123,7 @@ def bitmap(seeds: DataFrame, most_bits: int) -> np.ndarray:
     reaches the driver is bounded; a fuller map lets more pass, which the join sorts out."""
     n = seeds.select("seed").distinct().count()
     bits = _PAGE
-    while bits < min(most_bits, 16 * n):
+    while bits < min(most_bits, 256 * n):
         bits *= 2
     slot = seeds.select(F.pmod("seed", F.lit(bits)).alias("slot")).distinct().select(F.floor(F.col("slot") / _PAGE).alias("page"), (F.col("slot") % _PAGE).alias("bit"))
 
