@@ -3,19 +3,25 @@
 A word is removed if a window of consecutive words that covers it also starts earlier in the table. Anchors are hashes of
 8 words at the positions whose remainder modulo 13 is in {0, 1, 3, 9}. That set is a difference cover: for any two
 positions some shift below 13 brings both into it, so two equal windows of 8 + 12 words share an anchor at the same
-offset, whatever their alignment. Only windows that hold an anchor seen twice are hashed in full and matched.
+offset, whatever their alignment. From each anchor seen twice the text is extended to every window that holds it; these windows are
+matched by 128-bit hashes, made of two independent 64-bit hashes of each word, so that the chance of any false match stays
+below 1e-10 at 10^14 windows.
 
 Hashes are matched in packed blocks. A task folds the hashes of a block of documents, so a passage that stands in a third
 of all documents sends one entry a block; what repeats within the block is settled there. The answers go back by document.
+The number of buckets follows the counted bytes of text, and a reducer that meets a larger bucket splits it to spill files
+by further hash bits.
 """
 
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +32,8 @@ from hazeline.session import materialize
 PERIOD = 13
 COVER = np.array([0, 1, 3, 9])
 _COVERED = np.isin(np.arange(PERIOD), COVER)
-_ENTRY = np.dtype([("h", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("at", "<i4"), ("many", "?")])
+#: h and g are the two halves of a hash; anchors have no second half.
+_ENTRY = np.dtype([("h", "<u8"), ("g", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("at", "<i4"), ("many", "?")])
 #: Kinds of packed rows: entries to match by hash, and positions of a document that are settled already.
 _ASK, _SETTLED = 0, 1
 _PACKED = "kind byte, bucket int, body binary"
@@ -57,6 +64,18 @@ def _places(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(doc, times), np.repeat(tag, times), np.frombuffer(body, np.int32, n, 16 + 20 * m)
 
 
+class OtherHashes(WordHashes):
+    """A second hash of each word, independent of the first."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word, 0x5EED)
+        if len(word) <= 64:
+            if len(self) >= 400_000:
+                self.clear()
+            self[word] = h
+        return h
+
+
 class Block:
     """Hashes with their places, gathered over documents up to a number of entries, then folded and dealt to buckets.
 
@@ -68,8 +87,8 @@ class Block:
         self.parts: list[tuple] = []
         self.size = 0
 
-    def add(self, doc: int, tag: int, at: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.parts.append((doc, tag, at, h))
+    def add(self, doc: int, tag: int, at: np.ndarray, h: np.ndarray, g: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        self.parts.append((doc, tag, at, h, np.zeros(len(h), np.uint64) if g is None else g))
         self.size += len(h)
         if self.size >= self.most:
             yield from self.flush()
@@ -81,12 +100,12 @@ class Block:
         parts = sorted(self.parts, key=lambda p: p[:2])
         self.parts, self.size = [], 0
         sizes = [len(p[3]) for p in parts]
-        h, at = np.concatenate([p[3] for p in parts]), np.concatenate([p[2] for p in parts]).astype(np.int32)
+        h, g, at = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts]), np.concatenate([p[2] for p in parts]).astype(np.int32)
         owner = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
         ids = np.array([p[:2] for p in parts], np.int64).reshape(-1, 2)
-        order = np.argsort(h, kind="stable")
-        hs = h[order]
-        first = np.append(True, hs[1:] != hs[:-1])
+        order = np.lexsort((g, h)) if self.later else np.argsort(h, kind="stable")
+        hs, gs = h[order], g[order]
+        first = np.append(True, (hs[1:] != hs[:-1]) | (gs[1:] != gs[:-1]))
         group = np.cumsum(first) - 1
         many = np.bincount(group) > 1
         heads = order[first]
@@ -96,7 +115,7 @@ class Block:
             doc, tag = ids[owner[local]].T
             rows += [(_SETTLED, bucket, body) for bucket, body in _dealt(doc, tag, at[local], self.buckets)]
         e = np.empty(len(heads), _ENTRY)
-        e["h"], e["at"], e["many"] = h[heads], at[heads], many
+        e["h"], e["g"], e["at"], e["many"] = h[heads], g[heads], at[heads], many
         e["doc"], e["tag"] = ids[owner[heads]].T
         bucket = (mix(e["h"]) >> np.uint64(20)) % np.uint64(self.buckets)
         order = np.argsort(bucket, kind="stable")
@@ -119,13 +138,13 @@ def _shut(e: np.ndarray) -> bytes:
     wide = np.uint16 if int(e["at"].max()) < 65536 else np.uint32
     low = int(who["doc"].min())
     doc = np.uint32 if int(who["doc"].max()) - low < 2**32 else np.uint64
-    head = np.array([len(e), len(who), np.dtype(small).itemsize, np.dtype(wide).itemsize, np.dtype(doc).itemsize, 0], np.int32)
+    head = np.array([len(e), len(who), np.dtype(small).itemsize, np.dtype(wide).itemsize, np.dtype(doc).itemsize, e["g"].any()], np.int32)
     offset = (who["doc"].view(np.uint64) - np.int64(low).view(np.uint64)).astype(doc)
-    return b"".join(x.tobytes() for x in (head, np.array([low]), e["h"], who["tag"], offset, which.astype(small), e["at"].astype(wide), np.packbits(e["many"])))
+    return b"".join(x.tobytes() for x in (head, np.array([low]), e["h"], e["g"] if head[5] else e["g"][:0], who["tag"], offset, which.astype(small), e["at"].astype(wide), np.packbits(e["many"])))
 
 
 def _open(body: bytes) -> np.ndarray:
-    n, m, small, wide, size, _ = np.frombuffer(body, np.int32, 6)
+    n, m, small, wide, size, second = np.frombuffer(body, np.int32, 6)
     e, p = np.empty(n, _ENTRY), 24
 
     def take(kind, count):
@@ -135,7 +154,9 @@ def _open(body: bytes) -> np.ndarray:
         return x
 
     low = take(np.int64, 1)
-    e["h"], tag = take(np.uint64, n), take(np.int64, m)
+    e["h"] = take(np.uint64, n)
+    e["g"] = take(np.uint64, n) if second else 0
+    tag = take(np.int64, m)
     doc = (take(f"<u{size}", m).astype(np.uint64) + low.view(np.uint64)).view(np.int64)
     which = take(f"<u{small}", n)
     e["doc"], e["tag"], e["at"] = doc[which], tag[which], take(f"<u{wide}", n)
@@ -143,14 +164,51 @@ def _open(body: bytes) -> np.ndarray:
     return e
 
 
-def _match(later: bool, buckets: int, most: int = 2_000_000) -> Callable:
+class Bucket:
+    """Entries of one bucket. Beyond limit bytes they go to spill files by further hash bits, and each file is a bucket of
+    its own; entries of one hash can't be split, and there is one for each block at most."""
+
+    def __init__(self, limit: int, level: int = 0, fan: int = 16):
+        self.limit, self.level, self.fan = limit, level, fan
+        self.held: list[np.ndarray] = []
+        self.size, self.files, self.dir = 0, None, None
+
+    def add(self, e: np.ndarray) -> None:
+        self.size += e.nbytes
+        if self.files is None:
+            self.held.append(e)
+            if self.size <= self.limit or self.level >= 8:
+                return
+            self.dir = tempfile.TemporaryDirectory(prefix="anchors-")
+            self.files = [open(f"{self.dir.name}/{k}", "wb") for k in range(self.fan)]  # noqa: SIM115
+            e, self.held = np.concatenate(self.held), []
+        part = (mix(e["h"] + np.uint64(self.level)) % np.uint64(self.fan)).astype(int)
+        for k in np.unique(part).tolist():
+            self.files[k].write(e[part == k].tobytes())
+
+    def parts(self) -> Iterator[np.ndarray]:
+        if self.files is None:
+            if self.held:
+                yield np.concatenate(self.held)
+            return
+        for f in self.files:
+            f.close()
+        with self.dir as where:
+            for k in range(self.fan):
+                own = Bucket(self.limit, self.level + 1, self.fan)
+                with open(f"{where}/{k}", "rb") as f:
+                    while body := f.read(_ENTRY.itemsize << 16):
+                        own.add(np.frombuffer(body, _ENTRY))
+                yield from own.parts()
+
+
+def _match(later: bool, buckets: int, limit: int, most: int = 2_000_000) -> Callable:
     """Over rows sorted by bucket: the places of each hash that more than one block has, or that are not the earliest,
     dealt to the buckets of their documents."""
 
-    def settle(bodies: list[bytes]) -> tuple:
-        e = np.concatenate([_open(b) for b in bodies])
-        e = e[np.lexsort((e["at"], e["tag"], e["doc"], e["h"]))] if later else e[np.argsort(e["h"], kind="stable")]
-        first = np.append(True, e["h"][1:] != e["h"][:-1])
+    def settle(e: np.ndarray) -> tuple:
+        e = e[np.lexsort((e["at"], e["tag"], e["doc"], e["g"], e["h"]))] if later else e[np.argsort(e["h"], kind="stable")]
+        first = np.append(True, (e["h"][1:] != e["h"][:-1]) | (e["g"][1:] != e["g"][:-1]))
         if later:
             same = np.append(False, (e["doc"][1:] == e["doc"][:-1]) & (e["tag"][1:] == e["tag"][:-1]) & (e["at"][1:] == e["at"][:-1])) & ~first
             hit = e[~first & ~same]
@@ -162,7 +220,7 @@ def _match(later: bool, buckets: int, most: int = 2_000_000) -> Callable:
 
     def run(batches):
         found: list[tuple] = []
-        held: list[bytes] = []
+        held = Bucket(limit)
         now, size = None, 0
 
         def ready():
@@ -182,18 +240,21 @@ def _match(later: bool, buckets: int, most: int = 2_000_000) -> Callable:
         for cols in batches_of(batches, ["kind", "bucket", "body"]):
             for kind, bucket, body in zip(*cols, strict=True):
                 if bucket != now:
-                    if held:
-                        add(settle(held))
-                        held = []
-                    now = bucket
+                    for e in held.parts():
+                        add(settle(e))
+                        if size >= most:
+                            yield from ready()
+                    held, now = Bucket(limit), bucket
                 if kind == _SETTLED:
                     add(_places(body))
                 else:
-                    held.append(body)
+                    held.add(_open(body))
                 if size >= most:
                     yield from ready()
-        if held:
-            add(settle(held))
+        for e in held.parts():
+            add(settle(e))
+            if size >= most:
+                yield from ready()
         yield from ready()
 
     return run
@@ -242,17 +303,18 @@ def _windows(k: int, buckets: int, window: int):
     """Hashes of the windows that hold an anchor seen twice."""
 
     def run(batches):
-        cache, block, z = WordHashes(), Block(buckets, later=True), zstandard.ZstdDecompressor()
+        cache, other, block, z = WordHashes(), OtherHashes(), Block(buckets, later=True), zstandard.ZstdDecompressor()
         for docs, tags, texts, found in batches_of(batches, ["doc", "tag", "z", "body"]):
             for doc, tag, packed, body in zip(docs, tags, texts, found, strict=True):
-                h = hash_words(z.decompress(packed).split(), cache)
+                words = z.decompress(packed).split()
+                h = hash_words(words, cache)
                 at = np.frombuffer(body, np.int32)
                 cover = np.zeros(len(h) + 1, np.int64)
                 np.add.at(cover, np.maximum(at - (window - k), 0), 1)
                 np.add.at(cover, at + 1, -1)
                 starts = np.flatnonzero(np.cumsum(cover)[: len(h) - window + 1] > 0)
                 if len(starts):
-                    yield from block.add(doc, tag, starts, rolling(h, window)[starts])
+                    yield from block.add(doc, tag, starts, rolling(h, window)[starts], rolling(hash_words(words, other), window)[starts])
         yield from block.flush()
 
     return run
@@ -290,26 +352,30 @@ def _keep(window: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = 20, anchor: int = 8) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = 20, anchor: int = 8, bucket_bytes: int = 8 << 20, partition_bytes: int = 64 << 20, limit: int = 48 << 20) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_words, n_removed, kept_sha256, kept_text.
 
     A window is that many consecutive words of one document. A word goes if a window that covers it also starts earlier:
     in a smaller doc_id, or earlier in the same document. Windows are judged on the input. Null text has no words. A null
     doc_id sorts last and comes back as null; rows that repeat both doc_id and text are judged as one and get the same
     answer, and rows that repeat a doc_id with another text come in the order of the texts' hashes. Other columns are left
-    out whatever their names; an empty table gives no rows. window must be at least anchor + 12.
+    out whatever their names; an empty table gives no rows. window must be at least anchor + 12. There is a bucket for
+    every bucket_bytes of text, 16,384 at most, and a partition for every partition_bytes, but no fewer than
+    spark.sql.shuffle.partitions; limit bounds the entries that a reducer holds.
     """
     if window < anchor + PERIOD - 1:
         raise ValueError("two equal windows need not share an anchor if window < anchor + 12")
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // partition_bytes))
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // bucket_bytes), 1 << 14))
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(utf8("text")).alias("tag"), utf8("text").alias("content"))
     z = d.mapInArrow(_squeeze, "doc long, tag long, z binary")
 
     def answers(asked: DataFrame, later: bool, name: str) -> DataFrame:
-        dealt = asked.repartition("bucket").sortWithinPartitions("bucket")
-        found = dealt.mapInArrow(_match(later, buckets), _PACKED).repartition("bucket").sortWithinPartitions("bucket")
+        dealt = asked.repartition(parts, "bucket").sortWithinPartitions("bucket")
+        found = dealt.mapInArrow(_match(later, buckets, limit), _PACKED).repartition(parts, "bucket").sortWithinPartitions("bucket")
         return materialize(found.mapInArrow(_gather, "doc long, tag long, body binary"), name)
 
     seen_twice = answers(d.mapInArrow(_anchors(anchor, buckets, window), _PACKED), False, "anchors")

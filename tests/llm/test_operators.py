@@ -7,6 +7,7 @@ import time
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -119,16 +120,60 @@ def test_repeated_windows(spark):
     assert substring.repeated_windows(empty(spark)).collect() == []
 
 
-def test_small_blocks_of_windows(spark, monkeypatch):
-    rows, d = corpus(spark)
-    monkeypatch.setattr(substring.Block.__init__, "__defaults__", (300,))
-    parts, settled = [], []
-    block = substring.Block(4, later=True)
-    for i, t in sorted(rows, key=lambda r: r[0]):
-        h = substring.hash_words((t or "").encode().split(), substring.WordHashes())
-        w = substring.rolling(h, 20)
-        parts += [b for b in block.add(i, 0, np.arange(len(w)), w)] if len(w) else []
-    assert len(parts) > 3 and not settled
+def test_small_blocks_and_spilled_buckets(spark):
+    rows, _ = corpus(spark)
+    d = [(i, (t or "").encode()) for i, t in rows]
+    for entries, limit, buckets in ((300, 20_000, 3), (2000, 100_000, 1)):
+        got = in_memory(d, entries, limit, buckets)
+        want = removed(rows, 20)
+        assert {i: n for i, n in got.items() if n} == {i: w[1] for i, w in want.items() if w[1]}
+
+
+def in_memory(docs, entries, limit, buckets):
+    """The two rounds of the operator with Spark's exchanges as sorts."""
+    texts = dict(docs)
+
+    def exchange(batches):
+        rows = [r for b in batches for r in b.to_pylist()]
+        return [pa.RecordBatch.from_pylist(sorted(rows, key=lambda r: r["bucket"]), schema=pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("body", pa.binary())]))]
+
+    def answers(asked, later):
+        found = exchange(substring._match(later, buckets, limit)(iter(exchange(asked))))
+        return {r["doc"]: r["body"] for b in substring._gather(iter(found)) for r in b.to_pylist()}
+
+    block = lambda later: substring.Block(buckets, later, entries)
+    anchors, cache, other = block(False), substring.WordHashes(), substring.OtherHashes()
+    asked = []
+    for i, t in docs:
+        h = substring.hash_words(t.split(), cache)
+        if len(h) >= 20:
+            at = np.flatnonzero(substring._COVERED[np.arange(len(h) - 7) % substring.PERIOD])
+            asked += anchors.add(i, 0, at, substring.rolling(h, 8)[at])
+    asked += anchors.flush()
+    assert len(asked) > 1 or entries > 1000
+    places, windows, asked = answers(asked, False), block(True), []
+    for i, body in places.items():
+        w = texts[i].split()
+        at = np.frombuffer(body, np.int32)
+        starts = np.unique([s for a in at.tolist() for s in range(max(0, a - 12), min(a, len(w) - 20) + 1)]).astype(np.int64)
+        if len(starts):
+            asked += windows.add(i, 0, starts, substring.rolling(substring.hash_words(w, cache), 20)[starts], substring.rolling(substring.hash_words(w, other), 20)[starts])
+    asked += windows.flush()
+    return {i: len({p + k for p in np.frombuffer(body, np.int32).tolist() for k in range(20)}) for i, body in answers(asked, True).items()}
+
+
+def test_equal_first_halves_of_hashes_are_no_match(spark, monkeypatch):
+    rows, _ = corpus(spark)
+    rolling, calls = substring.rolling, []
+
+    def forged(h, k):
+        calls.append(k)
+        first = k == 20 and calls.count(20) % 2 == 1
+        return np.full(max(0, len(h) - k + 1), 7, np.uint64) if first else rolling(h, k)
+
+    monkeypatch.setattr(substring, "rolling", forged)
+    got = in_memory([(i, (t or "").encode()) for i, t in rows], 500, 20_000, 3)
+    assert {i: n for i, n in got.items() if n} == {i: w[1] for i, w in removed(rows, 20).items() if w[1]}
 
 
 def test_cover_reaches_every_pair_of_alignments():
