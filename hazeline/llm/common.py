@@ -77,13 +77,16 @@ def semi_by_size(df: DataFrame, ids: DataFrame, key: str | list[str], how: str =
     return df.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, key, how)
 
 
-def with_facts(x: DataFrame, facts: DataFrame, on: list[str], total: int, most: int = 256) -> DataFrame:
+def with_facts(x: DataFrame, facts: DataFrame, on: list[str], total: int, most: int = 256, small: int = 100_000) -> DataFrame:
     """x left-joined with facts(*on, rows, ...), one row a key; rows counts the rows of x that have the key, total all rows.
 
     A key with more than total / most rows comes by broadcast: there are fewer than `most` of them, since their rows sum
     to no more than total. Its rows of x are dealt by a hash of theirs in the shuffle that joins all other keys, so that
-    no task gets a hot host whole. Write facts as a table first: it is read twice, and is made from x itself.
+    no task gets a hot host whole. Facts that have been counted to hold no more than `small` rows come by broadcast
+    altogether (0 where their rows are long). Write facts as a table first: it is read more than once, and is made from x.
     """
+    if small and facts.count() <= small:
+        return x.join(F.broadcast(facts.drop("rows")), on, "left")
     values = [c for c in facts.columns if c not in on and c != "rows"]
     hot = facts.where(F.col("rows") > total / most).select(*on, F.lit(True).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in values))
     rest = facts.where(F.col("rows") <= total / most).select(*on, F.lit(0).cast("long").alias("_deal"), *values)

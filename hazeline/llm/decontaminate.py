@@ -225,7 +225,7 @@ def tiled(docs: DataFrame, benchmark: DataFrame, min_match: int, share: float, f
         asked = asked.join(F.broadcast(items), ["item", "itag"])
     else:
         loads = materialize(pairs.groupBy("item", "itag").agg(F.count("*").alias("rows")).join(items, ["item", "itag"]), "leak-asked")
-        asked = with_facts(asked, loads, ["item", "itag"], pairs.count())
+        asked = with_facts(asked, loads, ["item", "itag"], pairs.count(), small=0)
     texts = d.join(F.broadcast(load) if load.count() <= 200_000 else load, ["doc", "tag"]).dropDuplicates(["doc", "tag"])
     texts = texts.select("doc", "tag", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("item"), "content")
     rows = texts.union(asked.select("doc", "tag", "slot", F.lit(1), "item", "content"))

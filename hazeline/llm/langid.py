@@ -137,7 +137,7 @@ def languages_of(pages: DataFrame, docs: DataFrame, sample: int = 4000, temper:
     domains = tally(per_domain, "tld", "t").join(hosts.groupBy("tld").agg(F.count("*").alias("rows")), "tld")
     hosts = with_facts(hosts, materialize(domains, "langid-domains"), ["tld"], hosts.count()).withColumnRenamed("urls", "rows").drop("tld")
     hosts = hosts.join(tally(per_host.where("g IS NOT NULL"), "host", "h"), "host", "left")
-    x = with_facts(guess, materialize(hosts, "langid-hosts"), ["host"], guess.count())
+    x = with_facts(guess, materialize(hosts, "langid-hosts"), ["host"], guess.count(), small=20_000)
     # two or three letters: at most 18,954 declared values and 677 codes, with a map of at most k counts each
     for key, name in (("declared", "d"), ("code", "c")):
         table_ = tally(voices.groupBy(key, "g").agg(F.count("*").alias("n")), key, name)
