@@ -55,6 +55,24 @@ def from_enu(d: DataFrame, e: Column, n: Column, up: Column, lat0: float, lon0:
     return d.withColumns({"lat": lat, "lon": lon}).drop("_x", "_y", "_z")
 
 
+def to_enu_at(lat: Column, lon: Column, h: Column, lat0: Column, lon0: Column, h0: Column) -> tuple[Column, Column, Column]:
+    """East, north, up in metres from an origin that each row has of its own."""
+    x, y, z = (a - b for a, b in zip(ecef(lat, lon, h), ecef(lat0, lon0, h0), strict=True))
+    p, q = F.radians(lat0), F.radians(lon0)
+    s, c, u, v = F.sin(p), F.cos(p), F.sin(q), F.cos(q)
+    return -u * x + v * y, -s * v * x - s * u * y + c * z, c * v * x + c * u * y + s * z
+
+
+def from_enu_at(d: DataFrame, e: Column, n: Column, lat0: str, lon0: str) -> DataFrame:
+    """d with _lat and _lon of the point east and north of each row's own place on the ellipsoid."""
+    p, q = F.radians(lat0), F.radians(lon0)
+    s, c, u, v = F.sin(p), F.cos(p), F.sin(q), F.cos(q)
+    x0, y0, z0 = ecef(F.col(lat0), F.col(lon0), F.lit(0.0))
+    d = d.withColumns({"_x": x0 - u * e - s * v * n, "_y": y0 + v * e - s * u * n, "_z": z0 + c * n})
+    lat, lon, _ = geodetic(F.col("_x"), F.col("_y"), F.col("_z"))
+    return d.withColumns({"_lat": lat, "_lon": lon}).drop("_x", "_y", "_z")
+
+
 def _origin(lat: float, lon: float, h: float) -> tuple[float, float, float]:
     p, q = math.radians(lat), math.radians(lon)
     n = A / math.sqrt(1 - E2 * math.sin(p) ** 2)
@@ -65,9 +83,22 @@ def focal(width: float, hfov: float) -> float:
     return width / 2 / math.tan(math.radians(hfov) / 2)
 
 
-def pixel_ray(u: Column, v: Column, f: float, cx: float, cy: float) -> tuple[Column, Column, Column]:
+def focal_of(width: Column, hfov: Column) -> Column:
+    return width / 2 / F.tan(F.radians(hfov) / 2)
+
+
+def focal_of_sensor(focal_mm: Column, width: Column, sensor_mm: Column) -> Column:
+    return focal_mm * width / sensor_mm
+
+
+def fov_of(f: Column, width: Column) -> Column:
+    """Degrees that an image of that width sees at a focal length in pixels."""
+    return F.degrees(2 * F.atan(width / (2 * f)))
+
+
+def pixel_ray(u: Column, v: Column, f: float, cx: float, cy: float, fy: float | None = None) -> tuple[Column, Column, Column]:
     """Unit ray in camera axes: right, down, forward."""
-    x, y = (u - cx) / f, (v - cy) / f
+    x, y = (u - cx) / f, (v - cy) / (fy or f)
     n = F.sqrt(x * x + y * y + 1)
     return x / n, y / n, 1 / n
 
@@ -106,10 +137,10 @@ def rotate(ray: tuple[Column, Column, Column], yaw: Column, pitch: Column, roll:
     return tuple(ray[0] * right[k] + ray[1] * down[k] + ray[2] * forward[k] for k in range(3))
 
 
-def ray_pixel(ray: tuple[Column, Column, Column], yaw: Column, pitch: Column, roll: Column, f: float, cx: float, cy: float) -> tuple[Column, Column]:
+def ray_pixel(ray: tuple[Column, Column, Column], yaw: Column, pitch: Column, roll: Column, f: float, cx: float, cy: float, fy: float | None = None) -> tuple[Column, Column]:
     """Pixel of a ray in east, north, up; null where it points behind the camera."""
     x, y, z = (sum((ray[k] * axis[k] for k in range(3)), F.lit(0.0)) for axis in axes(yaw, pitch, roll))
-    return F.when(z > 0, f * x / z + cx), F.when(z > 0, f * y / z + cy)
+    return F.when(z > 0, f * x / z + cx), F.when(z > 0, (fy or f) * y / z + cy)
 
 
 def depression(ray: tuple[Column, Column, Column]) -> Column:
@@ -139,12 +170,25 @@ def forecast_cell(lat: Column, lon: Column) -> tuple[Column, Column]:
 
 
 def forecast_base(utc: Column) -> Column:
-    """Base date and hour, Korean time: before minute 40 the hour before."""
-    local = F.from_utc_timestamp(utc.cast("timestamp"), "Asia/Seoul")
+    """Base date and hour, Korean time, of a time without zone in UTC; the session's zone plays no part. Before minute 40
+    the hour before."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit("Asia/Seoul"), utc.cast("timestamp_ntz"))
     return F.date_format(F.when(F.minute(local) < 40, local - F.expr("INTERVAL 1 HOUR")).otherwise(local), "yyyyMMdd HH00")
 
 
+def tiles_of_box(south: Column, west: Column, north: Column, east: Column) -> Column:
+    """Array of (south, west) corners of the one-degree tiles that a box touches."""
+    rows, columns = F.sequence(F.floor(south), F.floor(north)), F.sequence(F.floor(west), F.floor(east))
+    return F.flatten(F.transform(rows, lambda s: F.transform(columns, lambda w: F.struct(s.alias("south"), w.alias("west")))))
+
+
 def tile_name(south: Column, west: Column) -> Column:
     """File name of the one-degree elevation tile with this south-west corner; the format is fixed by the public data set."""
     ns, ew = F.when(south >= 0, "N").otherwise("S"), F.when(west >= 0, "E").otherwise("W")
     return F.format_string("Copernicus_DSM_COG_10_%s%02d_00_%s%03d_00_DEM", ns, F.abs(south), ew, F.abs(west))
+
+
+def tile_url(south: Column, west: Column, base: str) -> Column:
+    """Address of a terrain tile below base: each lies in a folder of its own name."""
+    name = tile_name(south, west)
+    return F.concat(F.lit(base.rstrip("/") + "/"), name, F.lit("/"), name, F.lit(".tif"))

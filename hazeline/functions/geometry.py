@@ -50,3 +50,23 @@ def tile_starts(side: Column, tile: int, overlap: float) -> Column:
     n = F.ceil((side - tile) / stride) + 1
     spread = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.bround(i * (side - tile) / (n - 1)).cast("long"))
     return F.when(side <= tile, F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(spread))
+
+
+def decoded(cx: Column, cy: Column, w: Column, h: Column, scale: Column, pad_x: Column, pad_y: Column) -> dict[str, Column]:
+    """Corners in the source image of a box given by its centre and size in a letterboxed one."""
+    return {"x1": (cx - w / 2 - pad_x) / scale, "y1": (cy - h / 2 - pad_y) / scale, "x2": (cx + w / 2 - pad_x) / scale, "y2": (cy + h / 2 - pad_y) / scale}
+
+
+def tiles(w: Column, h: Column, tile: int, overlap: float) -> Column:
+    """Array of struct(x, y) corners of the tiles that cover a frame, row by row."""
+    xs, ys = tile_starts(w, tile, overlap), tile_starts(h, tile, overlap)
+    return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(x.alias("x"), y.alias("y")))))
+
+
+def crop(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column, margin: float = 1.4, least: float = 160.0) -> dict[str, Column]:
+    """left, top and size of a square around a box with a margin on every side, slid into the frame; whole pixels, halves to
+    even. Of a whole track the box is the union of its boxes (margin 0.9, least 120)."""
+    side = F.greatest(F.greatest(x2 - x1, y2 - y1, F.lit(1.0)) * (1 + 2 * margin), F.lit(least))
+    side = F.least(side, F.least(width, height).cast("double"))
+    at = lambda lo, hi, room: F.bround(F.least(F.greatest((lo + hi) / 2 - side / 2, F.lit(0.0)), room - side)).cast("long")
+    return {"left": at(x1, x2, width), "top": at(y1, y2, height), "size": F.bround(side).cast("long")}

@@ -18,7 +18,10 @@ SCORER = [
     ("confidence_mean", 0.8, 0.4, 0.2), ("confidence_slope", 0.3, 0.0, 1e-3),
     ("flow_divergence", 0.9, 0.0, 0.5), ("flow_upward_ratio", 0.6, 0.5, 0.25), ("flow_translation_mag", -0.4, 0.0, 2.0),
 ]
+#: Frames at most so many seconds apart are dense; sequences need so many labels of each class to learn from.
+DENSE_INTERVAL = 0.2
 TIERS = ["SPARK", "GLOW", "FLARE"]
+SPARSE, DENSE = [f for f, *_ in SCORER[:10]], [f for f, *_ in SCORER]
 #: Reasons of a verdict (too few observations; motion seen, not seen; area grows, doesn't) and the mark of sparse mode.
 REASONS = ("관측 %d회 — 시퀀스 검증에 필요한 프레임 부족", "상승·확산 운동 확인", "상승·확산 운동 미확인", "면적 단조 증가 확인", "면적 증가 미확인")
 PROXY = " (기하 대용값)"
@@ -31,10 +34,23 @@ def slope(y: Column, t: Column, over: WindowSpec | None = None) -> Column:
     return F.when((n >= 2) & (spread * n >= 1e-12), wrap(F.regr_slope(y, t))).otherwise(0.0)
 
 
-def observations(d: DataFrame) -> DataFrame:
+def mode_of(interval: Column) -> Column:
+    return F.when(interval <= DENSE_INTERVAL, "dense").otherwise("sparse")
+
+
+def feature_names(mode: str) -> list[str]:
+    return DENSE if mode == "dense" else SPARSE
+
+
+def feature_vector(mode: str) -> Column:
+    """The features of a mode in the order of the weights."""
+    return F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in feature_names(mode)))
+
+
+def observations(d: DataFrame, keys: tuple[str, ...] = ("seq_id", "lane")) -> DataFrame:
     """Detections with centre, area (1 at least), aspect and whether the area has grown since the observation before."""
     x, y = g.center()
-    order = Window.partitionBy("seq_id", "lane").orderBy("offset_s", "det_id")
+    order = Window.partitionBy(*keys).orderBy("offset_s", "det_id")
     o = d.withColumns({"cx": x, "cy": y, "area": F.greatest(g.area(), F.lit(1.0)), "aspect": F.log(F.greatest(g.height(), F.lit(1.0)) / F.greatest(g.width(), F.lit(1.0)))})
     before = F.lag("area").over(order)
     return o.withColumn("grew", F.when(before.isNull(), None).when(F.col("area") > before, 1.0).otherwise(0.0))
@@ -57,10 +73,61 @@ def features(interval: float = 60.0, over: WindowSpec | None = None) -> dict[str
     }
 
 
-def criteria() -> tuple[Column, Column, Column]:
-    """(motion, area, enough) of sparse sequences."""
+def flow_features(over: WindowSpec | None = None) -> dict[str, Column]:
+    """Means of the flow statistics divergence, upward_ratio and translation_mag over the observations that have any; an
+    absent one of those counts as 0. Without any all are 0."""
+    wrap = lambda c: c.over(over) if over is not None else c
+    columns = ["divergence", "upward_ratio", "translation_mag"]
+    some = F.coalesce(*columns).isNotNull()
+    names = ("flow_divergence", "flow_upward_ratio", "flow_translation_mag")
+    return {n: F.coalesce(wrap(F.avg(F.when(some, F.coalesce(c, F.lit(0.0))))), F.lit(0.0)) for n, c in zip(names, columns, strict=True)}
+
+
+def softness(patch: Column, side: int) -> Column:
+    """How blurred the steepest edge of a square patch is (side x side values, rows first): 1 less the 99th percentile of the
+    gradient over the contrast, between 0 and 1; 1 for a flat patch. Gradients are central differences, one-sided at the
+    borders."""
+    at = lambda i, j: F.get(patch, i * side + j)
+
+    def diff(i, j, di, dj):
+        k = i if di else j
+        lo, hi = F.greatest(k - 1, F.lit(0)), F.least(k + 1, F.lit(side - 1))
+        return ((at(hi, j) - at(lo, j)) if di else (at(i, hi) - at(i, lo))) / (hi - lo)
+
+    cells = F.sequence(F.lit(0), F.lit(side * side - 1))
+    steep = F.array_sort(F.transform(cells, lambda k: F.hypot(diff((k / side).cast("int"), (k % side).cast("int"), 1, 0), diff((k / side).cast("int"), (k % side).cast("int"), 0, 1))))
+    place = 0.99 * (side * side - 1)
+    low, part = int(place), place - int(place)
+    p99 = F.get(steep, F.lit(low)) * (1 - part) + F.get(steep, F.lit(min(low + 1, side * side - 1))) * part
+    contrast = F.array_max(patch) - F.array_min(patch)
+    return F.when(contrast < 1e-6, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - p99 / contrast)))
+
+
+def appearance(o: DataFrame, keys: tuple[str, ...], side: int = 48) -> DataFrame:
+    """(*keys, intensity_flicker, edge_softness) of observations with patch, an array of side x side grey values, or null:
+    deviation over mean of the patches' brightness (two patches at least), and the mean softness of the last five."""
+    x = o.where("patch IS NOT NULL").withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("offset_s"), F.desc("det_id"))))
+    bright = F.aggregate("patch", F.lit(0.0), lambda s, v: s + v) / F.size("patch")
+    x = x.withColumns({"_bright": bright, "_soft": F.when((F.col("_nth") <= 5) & F.lit(side >= 4), softness(F.col("patch"), side))})
+    flicker = F.when((F.count("*") >= 2) & (F.avg("_bright") > 1e-6), F.stddev_pop("_bright") / F.avg("_bright")).otherwise(0.0)
+    return x.groupBy(*keys).agg(flicker.alias("intensity_flicker"), F.coalesce(F.avg("_soft"), F.lit(0.0)).alias("edge_softness"))
+
+
+def criteria(mode: str = "sparse") -> tuple[Column, Column, Column]:
+    """(motion, area, enough). Dense sequences have flow to judge motion by; in sparse ones the rise of the centre stands in."""
     c = F.col
-    return c("centroid_rise_rate") >= RISE, (c("area_growth_rate") >= GROWTH) & (c("area_monotonicity") >= MONOTONE), c("n") >= NEED_SPARSE
+    motion = (c("flow_upward_ratio") >= UPWARD) & (c("flow_divergence") >= DIVERGENCE) if mode == "dense" else c("centroid_rise_rate") >= RISE
+    return motion, (c("area_growth_rate") >= GROWTH) & (c("area_monotonicity") >= MONOTONE), c("n") >= (NEED_DENSE if mode == "dense" else NEED_SPARSE)
+
+
+def evidence(mode: str = "sparse") -> Column:
+    """The verdict with the figures it rests on and its reasons in words."""
+    motion, area, enough = criteria(mode)
+    value = lambda f: (F.col(f) if mode == "dense" else F.lit(0.0)).alias(f)
+    return F.struct(
+        motion.alias("flow_ok"), area.alias("area_ok"), (motion.cast("int") + area.cast("int")).alias("n_satisfied"), enough.alias("enough_frames"), F.lit(mode != "dense").alias("flow_from_proxy"),
+        value("flow_upward_ratio"), value("flow_divergence"), F.col("centroid_rise_rate").alias("rise_rate"), F.col("area_growth_rate"), F.col("area_monotonicity"), reasons(motion, area, enough, mode).alias("reasons"),
+    )
 
 
 def tier(motion: Column, area: Column, enough: Column, located: Column) -> Column:
@@ -68,14 +135,15 @@ def tier(motion: Column, area: Column, enough: Column, located: Column) -> Colum
     return F.when((met == 2) & enough & located, "FLARE").when(met >= 1, "GLOW").otherwise("SPARK")
 
 
-def contributions() -> dict[str, Column]:
-    """Weighted standardised features; flicker and softness need image patches and count as 0 here."""
-    value = lambda f: F.lit(0.0) if f in ("intensity_flicker", "edge_softness") else F.col(f)
-    return {f: w * (value(f) - c) / s for f, w, c, s in SCORER[:10]}
+def contributions(mode: str = "sparse", patches: bool = False, weights: dict[str, float] | None = None) -> dict[str, Column]:
+    """Weighted standardised features; flicker and softness count as 0 where there are no patches. weights, as fitted,
+    replace the fixed ones."""
+    value = lambda f: F.lit(0.0) if f in ("intensity_flicker", "edge_softness") and not patches else F.col(f)
+    return {f: (weights or {}).get(f, w) * (value(f) - c) / s for f, w, c, s in SCORER if f in feature_names(mode)}
 
 
-def score() -> Column:
-    logit = sum(contributions().values(), F.lit(INTERCEPT))
+def score(mode: str = "sparse", patches: bool = False, weights: dict[str, float] | None = None) -> Column:
+    logit = sum(contributions(mode, patches, weights).values(), F.lit((weights or {}).get("intercept", INTERCEPT)))
     return 1 / (1 + F.exp(-F.least(F.greatest(logit, F.lit(-50.0)), F.lit(50.0))))
 
 
@@ -84,7 +152,8 @@ def tier_from_score(located: Column) -> Column:
     return F.when(high & located & (F.col("n") >= NEED_SPARSE), "FLARE").when(F.col("score") >= GLOW_SCORE, "GLOW").otherwise("SPARK")
 
 
-def reasons(motion: Column, area: Column, enough: Column) -> Column:
-    """Why a sparse track got its verdict, as an array in fixed order."""
+def reasons(motion: Column, area: Column, enough: Column, mode: str = "sparse") -> Column:
+    """Why a track got its verdict, as an array in fixed order."""
     few, seen, unseen, grows, not_ = REASONS
-    return F.array_compact(F.array(F.when(~enough, F.format_string(few, "n")), F.when(motion, seen + PROXY).otherwise(unseen + PROXY), F.when(area, grows).otherwise(not_)))
+    proxy = "" if mode == "dense" else PROXY
+    return F.array_compact(F.array(F.when(~enough, F.format_string(few, "n")), F.when(motion, seen + proxy).otherwise(unseen + proxy), F.when(area, grows).otherwise(not_)))

@@ -1,14 +1,47 @@
-"""The event store as appends and reads: filters, top lists, counts, latest rows, label and response logs."""
+"""The event store: events, labels and responses as append-only tables, and the reads over them.
+
+An update is an entry in a log; the current label or response of an event is that of its last entry. Nothing is rewritten, so
+writers and readers need no locks and a lost task only repeats its own part.
+"""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from hazeline.functions import geodesy
+from hazeline.functions.rules import TIERS
+from hazeline.session import materialize
+
+#: States of a response in order, their words, and labels.
+RESPONSES, LABELS = ["none", "received", "dispatched", "suppressed"], ["unlabelled", "confirmed", "false_positive"]
+RESPONSE_WORDS = {"none": "미대응", "received": "접수", "dispatched": "출동", "suppressed": "진화"}
+
+_TYPES = {"l": T.LongType(), "i": T.IntegerType(), "s": T.StringType(), "d": T.DoubleType(), "b": T.BooleanType()}
+
+
+def _fields(text: str) -> T.StructType:
+    """name:letter pairs as a struct."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (f.split(":") for f in text.split())])
+
+
+CRITERIA = _fields("flow_ok:b area_ok:b n_satisfied:i enough_frames:b flow_from_proxy:b flow_upward_ratio:d flow_divergence:d rise_rate:d area_growth_rate:d area_monotonicity:d").add("reasons", T.ArrayType(_TYPES["s"]))
+_NUMBERS = T.MapType(_TYPES["s"], _TYPES["d"])
+#: The 29 columns of an event.
+EVENT = T.StructType([
+    *_fields("id:l track_id:l tier:s score:d timestamp:d site:s camera:s"), T.StructField("bbox", T.ArrayType(_TYPES["d"])), *_fields("confidence:d n_observations:l geo_ok:b lat:d lon:d elevation_m:d range_m:d depression_deg:d cep50_m:d cep90_m:d"),
+    *_fields("geo_reject_reason:s flow_ok:b area_ok:b"), T.StructField("criteria", CRITERIA), *_fields("snapshot:s response:s"), T.StructField("response_history", T.ArrayType(_fields("status:s at:d"))), *_fields("label:s"),
+    T.StructField("features", _NUMBERS), T.StructField("explanation", _NUMBERS), *_fields("created_at:d"),
+])
+#: Columns that older tables may lack, and what stands there then.
+DEFAULTS = {"flow_ok": False, "area_ok": False, "response": "none", "label": "unlabelled", "geo_ok": False}
+_JSON = {f.name: f.dataType for f in EVENT if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))}
+_FLAGS = [f.name for f in EVENT if isinstance(f.dataType, T.BooleanType)]
 
 
 def listed(events: DataFrame, tier: str = "", label: str = "", site: str = "", limit: int = 200) -> DataFrame:
@@ -35,11 +68,12 @@ def current(log: DataFrame, keys: list[str], value: str, seq: str) -> DataFrame:
 
 
 def responses(log: DataFrame, keys: list[str]) -> DataFrame:
-    """Status by key when only entries that raise it count; log has status, at and det_id."""
+    """Status by key when only entries that raise it count; log has status, at and det_id. history lists those entries."""
     past = Window.partitionBy(*keys).orderBy("at", "det_id").rowsBetween(Window.unboundedPreceding, -1)
     raised = F.col("status") > F.coalesce(F.col("best"), F.lit(0))
     x = log.withColumn("best", F.max("status").over(past))
-    return x.groupBy(*keys).agg(F.max("status").alias("status"), F.count_if(raised).alias("n_changes"), F.max(F.when(raised, F.col("at"))).alias("changed_at"))
+    history = F.array_sort(F.collect_list(F.when(raised, F.struct("at", "det_id", "status"))))
+    return x.groupBy(*keys).agg(F.max("status").alias("status"), F.count_if(raised).alias("n_changes"), F.max(F.when(raised, F.col("at"))).alias("changed_at"), F.transform(history, lambda h: F.struct(h["status"].alias("status"), h["at"].alias("at"))).alias("history"))
 
 
 def within(located: DataFrame, lat: float, lon: float, metres: float) -> DataFrame:
@@ -50,6 +84,147 @@ def within(located: DataFrame, lat: float, lon: float, metres: float) -> DataFra
     return box.withColumn("metres", F.hypot(e, n)).where(F.col("metres") <= metres)
 
 
-def migrated(rows: DataFrame, schema: DataFrame) -> DataFrame:
-    """Older rows with the columns that the schema has gained, as nulls."""
-    return schema.limit(0).unionByName(rows, allowMissingColumns=True)
+def migrated(rows: DataFrame, schema: T.StructType = EVENT, defaults: dict | None = None) -> DataFrame:
+    """Rows of an older table in today's schema: columns that it lacks get their defaults, or null."""
+    defaults = DEFAULTS if defaults is None else defaults
+    have = set(rows.columns)
+    return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(defaults.get(f.name)).cast(f.dataType).alias(f.name) for f in schema))
+
+
+def encoded(events: DataFrame) -> DataFrame:
+    """Flat rows: flags as 0 and 1, lists, maps and structs as JSON text."""
+    return events.select(*(F.to_json(c).alias(c) if c in _JSON else F.col(c).cast("int").alias(c) if c in _FLAGS else F.col(c) for c in events.columns))
+
+
+def decoded(rows: DataFrame) -> DataFrame:
+    """The reverse; null text of lists and maps is an empty one, null site and camera are empty texts."""
+    empty = {"bbox": F.array().cast("array<double>"), "features": F.from_json(F.lit("{}"), "map<string,double>"), "explanation": F.from_json(F.lit("{}"), "map<string,double>"), "response_history": F.from_json(F.lit("[]"), _JSON["response_history"])}
+
+    def column(c: str) -> Column:
+        if c in _JSON:
+            x = F.from_json(c, _JSON[c])
+            return (F.coalesce(x, empty[c]) if c in empty else x).alias(c)
+        if c in ("site", "camera"):
+            return F.coalesce(c, F.lit("")).alias(c)
+        if c in ("response", "label"):
+            return F.coalesce(c, F.lit(DEFAULTS[c])).alias(c)
+        return F.col(c).cast("boolean").alias(c) if c in _FLAGS else F.col(c)
+
+    return rows.select(*map(column, rows.columns))
+
+
+def _step(status: str) -> Column:
+    """Place of a response in its course."""
+    return F.array_position(F.array(*map(F.lit, RESPONSES)), F.col(status)).cast("int") - 1
+
+
+def words(of: Column, table: dict[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[of]
+
+
+def public(events: DataFrame) -> DataFrame:
+    """Events as a client sees them: with the words of tier and response and the colour of the tier."""
+    from hazeline.streaming.alerts import TIER_COLOURS, TIER_WORDS
+
+    return events.withColumns({"response_label": words(F.col("response"), RESPONSE_WORDS), "tier_colour": words(F.col("tier"), TIER_COLOURS), "tier_label": words(F.col("tier"), TIER_WORDS)})
+
+
+def place_of(events: DataFrame) -> DataFrame:
+    """Events that can be drawn on a map."""
+    return events.where("geo_ok AND lat IS NOT NULL AND lon IS NOT NULL")
+
+
+def summary(events: DataFrame, site: str = "") -> DataFrame:
+    """Counts by tier, total and GLOW events that wait for a label, of a site or of all; labelled counts all sites."""
+    here = F.lit(True) if not site else F.coalesce(F.col("site") == site, F.lit(False))
+    is_ = lambda t: here & (F.col("tier") == t)
+    bare = F.col("label") == "unlabelled"
+    return events.agg(F.count_if(here).alias("total"), *(F.count_if(is_(t)).alias(t.lower()) for t in TIERS), F.count_if(~bare).alias("labelled"), F.count_if(is_("GLOW") & bare).alias("queue"))
+
+
+def numbered(events: DataFrame, after: int, order: tuple[str, ...] = ("timestamp", "site", "track_id")) -> DataFrame:
+    """events with ids after + 1, after + 2 and so on in the given order. Rows are dealt to ranges and written once; an id is
+    the rows of the ranges before plus the place in its own, so no task orders all rows. The driver sees nothing of them."""
+    x = events.drop("id").repartitionByRange(*order).sortWithinPartitions(*order)
+    x = materialize(x.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    sizes = x.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    x = x.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(starts), "_part")
+    return x.withColumn("id", F.lit(after) + F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_part", "_start", "_n")
+
+
+class EventStore:
+    """Events below a folder that all executors share. One writer numbers events; labels and responses may come from many."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _read(self, name: str, schema: T.StructType | str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def _log(self, name: str) -> DataFrame:
+        return self._read(name, "id long, value string, at double, seq double")
+
+    def events(self) -> DataFrame:
+        """Stored events under their current labels and responses."""
+        e = self._read("events", EVENT)
+        labels = self._log("labels").groupBy("id").agg(F.max_by("value", F.struct("seq", "at")).alias("_label"))
+        log = self._log("responses").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "at", _step("value").alias("step"), "value"))).alias("_r"))
+        history = F.transform("_r", lambda r: F.struct(r["value"].alias("status"), r["at"].alias("at")))
+        x = e.join(labels, "id", "left").join(log, "id", "left")
+        given = F.coalesce("response_history", F.from_json(F.lit("[]"), _JSON["response_history"]))
+        x = x.withColumns({"label": F.coalesce("_label", "label"), "response_history": F.when(F.col("_r").isNull(), given).otherwise(F.concat(given, history))})
+        x = x.withColumn("response", F.coalesce(F.element_at("_r", -1)["value"], F.col("response")))
+        return x.select(*EVENT.names)
+
+    def add(self, events: DataFrame) -> DataFrame:
+        """Appends events of today's schema, numbered after those there; returns them."""
+        after = self._read("events", EVENT).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        rows = materialize(migrated(numbered(events, after)), "events-added")
+        rows.write.mode("append").parquet(f"{self.folder}/events")
+        return rows
+
+    def get(self, event_id: int) -> DataFrame:
+        return self.events().where(F.col("id") == event_id)
+
+    def latest_for_track(self, site: str, track_id: int) -> DataFrame:
+        return self.events().where((F.col("site") == site) & (F.col("track_id") == track_id)).orderBy(F.desc("id")).limit(1)
+
+    def labelled(self) -> DataFrame:
+        return self.events().where("label <> 'unlabelled'").orderBy("id")
+
+    def _known(self, entries: DataFrame) -> DataFrame:
+        return entries.join(self._read("events", EVENT).select("id"), "id", "left_semi")
+
+    def _append(self, name: str, entries: DataFrame) -> DataFrame:
+        rows = materialize(self._known(entries).select("id", "value", F.col("at").cast("double").alias("at"), F.unix_micros(F.current_timestamp()).cast("double").alias("seq")), f"{name}-added")
+        rows.write.mode("append").parquet(f"{self.folder}/{name}")
+        return rows.select("id", "value", "at")
+
+    def set_labels(self, entries: DataFrame) -> DataFrame:
+        """entries(id, value, at): the ones of known events are appended and returned. Unknown labels are refused."""
+        if not entries.where(~F.col("value").isin(LABELS) | F.col("value").isNull()).isEmpty():
+            raise ValueError(f"a label is one of {LABELS}")
+        return self._append("labels", entries)
+
+    def set_responses(self, entries: DataFrame) -> DataFrame:
+        """entries(id, value, at): those of known events that raise the response are appended and returned; of several for
+        one event the first to raise it counts, then the next."""
+        if not entries.where(~F.col("value").isin(RESPONSES) | F.col("value").isNull()).isEmpty():
+            raise ValueError(f"a response is one of {RESPONSES}")
+        now = self.events().select("id", _step("response").alias("_now"))
+        x = entries.withColumn("_order", _step("value")).join(now, "id")
+        past = Window.partitionBy("id").orderBy("at", "_order").rowsBetween(Window.unboundedPreceding, -1)
+        x = x.withColumn("_best", F.greatest(F.col("_now"), F.coalesce(F.max("_order").over(past), F.lit(-1)))).where("_order > _best")
+        return self._append("responses", x)
+
+    def clear(self) -> None:
+        """Forgets all events and logs."""
+        for name, schema in (("events", EVENT), ("labels", "id long, value string, at double, seq double"), ("responses", "id long, value string, at double, seq double")):
+            self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.folder}/{name}")

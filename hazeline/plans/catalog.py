@@ -12,6 +12,8 @@ from hazeline.functions import geodesy as geo
 from hazeline.functions import geometry as g
 from hazeline.functions import rules
 from hazeline.operators import learn, matching, solve, store
+from hazeline.plans import run
+from hazeline.session import materialize
 from hazeline.sources.detections import SQL, detections
 from hazeline.streaming import alerts, tracks
 
@@ -196,7 +198,7 @@ def label_overlay(spark, sf_dir):
 def response_log(spark, sf_dir):
     """Responses only move forward: entries that don't raise the status are refused."""
     log = detections(spark, sf_dir).select("seq_id", "lane", "det_id", (F.col("k") % 4).alias("status"), (F.col("offset_s") + 30 * (F.col("k") % 4)).alias("at"))
-    return store.responses(log, ["seq_id", "lane"])
+    return store.responses(log, ["seq_id", "lane"]).drop("history")
 
 
 _ENU = """(SELECT *, radians(lat) AS p, radians(lon) AS q, radians(3641270e-5) AS p0, radians(12870430e-5) AS q0 FROM {src})"""
@@ -402,30 +404,82 @@ def terrain_cells(spark, sf_dir):
     return t.withColumn("name", geo.tile_name(F.col("south"), F.col("west")))
 
 
-@query()
+def _box(id_: str, p: str) -> str:
+    return f"{{'id': {id_}, 'x1': {p}x1, 'y1': {p}y1, 'x2': {p}x2, 'y2': {p}y2}}"
+
+
+def _iou(a: str, b: str) -> str:
+    common = f"greatest(least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1), 0) * greatest(least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1), 0)"
+    return f"({common}) / (({a}.x2 - {a}.x1) * ({a}.y2 - {a}.y1) + ({b}.x2 - {b}.x1) * ({b}.y2 - {b}.y1) - {common})"
+
+
+_RANKED = "o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY seq_id, frame_index ORDER BY confidence DESC, det_id) AS nth FROM d)"
+_NMS = f"""{SQL}, {_RANKED},
+r AS (SELECT seq_id, frame_index, nth, [{_box('det_id', '')}] AS kept FROM o WHERE nth = 1
+  UNION ALL SELECT r.seq_id, r.frame_index, o.nth, CASE WHEN len(list_filter(r.kept, lambda a: {_iou('a', 'o')} > 2e-1)) = 0 THEN list_append(r.kept, {_box('o.det_id', 'o.')}) ELSE r.kept END
+  FROM r JOIN o ON o.seq_id = r.seq_id AND o.frame_index = r.frame_index AND o.nth = r.nth + 1)
+SELECT d.seq_id, d.frame_index, d.det_id, d.lane, d.x1, d.y1, d.x2, d.y2, d.confidence FROM (SELECT unnest(kept).id AS det_id FROM (SELECT kept, row_number() OVER (PARTITION BY seq_id, frame_index ORDER BY nth DESC) AS back FROM r) WHERE back = 1) k JOIN d USING (det_id)"""
+
+
+@query(f"WITH RECURSIVE {_NMS}")
 def nms(spark, sf_dir):
     return matching.suppressed(detections(spark, sf_dir))
 
 
-@query()
+def truths(d: DataFrame) -> DataFrame:
+    """A third of the boxes, shifted, stand as ground truth."""
+    shift = (F.col("k") % 11) - 5
+    return d.where("k % 3 = 0").select("seq_id", "frame_index", F.col("det_id").alias("truth_id"), *((F.col(c) + shift).alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+_BEST = f"list_sort(list_transform(list_filter(r.free, lambda t: NOT list_contains(r.used, t.id)), lambda t: {{'iou': {_iou('o', 't')}, 'id': -t.id}}), 'DESC')[1]"
+_MATCH = f"""{SQL}, {_RANKED}, tr AS (SELECT seq_id, frame_index, det_id AS truth_id, x1 + (k % 11 - 5) AS x1, y1 + (k % 11 - 5) AS y1, x2 + (k % 11 - 5) AS x2, y2 + (k % 11 - 5) AS y2 FROM d WHERE k % 3 = 0),
+b AS (SELECT seq_id, frame_index, list({_box('truth_id', '')}) AS free FROM tr GROUP BY seq_id, frame_index),
+fr AS MATERIALIZED (SELECT o.*, coalesce(free, []) AS free FROM o LEFT JOIN b USING (seq_id, frame_index)),
+r AS (SELECT seq_id, frame_index, CAST(0 AS BIGINT) AS nth, free, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS det_id, CAST(NULL AS DOUBLE) AS confidence, {{'iou': CAST(NULL AS DOUBLE), 'id': CAST(NULL AS BIGINT)}} AS best FROM fr WHERE nth = 1
+  UNION ALL SELECT seq_id, frame_index, nth, free, CASE WHEN best.iou >= 5e-1 THEN list_append(used, -best.id) ELSE used END, det_id, confidence, best
+  FROM (SELECT o.seq_id, o.frame_index, o.nth, r.free, r.used, o.det_id, o.confidence, {_BEST} AS best FROM r JOIN fr o ON o.seq_id = r.seq_id AND o.frame_index = r.frame_index AND o.nth = r.nth + 1)),
+m AS MATERIALIZED (SELECT det_id, seq_id, frame_index, confidence, CASE WHEN best.iou >= 5e-1 THEN -best.id END AS truth_id, CASE WHEN best.iou >= 5e-1 THEN best.iou ELSE 0 END AS iou FROM r WHERE nth > 0)"""
+
+
+def _matches(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    d = detections(spark, sf_dir)
+    return materialize(matching.matched(d, truths(d)), "matches"), truths(d)
+
+
+@query(f"WITH RECURSIVE {_MATCH} SELECT det_id, seq_id, frame_index, round(confidence, 9) AS confidence, truth_id, round(iou, 9) AS iou FROM m")
 def ground_truth_match(spark, sf_dir):
     """Detections against boxes a third of which stand shifted as ground truth."""
     d = detections(spark, sf_dir)
-    shift = (F.col("k") % 11) - 5
-    truth = d.where("k % 3 = 0").select("seq_id", "frame_index", F.col("det_id").alias("truth_id"), *((F.col(c) + shift).alias(c) for c in ("x1", "y1", "x2", "y2")))
-    return matching.matched(d, truth)
+    return matching.matched(d, truths(d)).withColumns({"confidence": _r(F.col("confidence"), 9), "iou": _r(F.col("iou"), 9)})
 
 
-@query()
+_CURVE = """cv AS (SELECT threshold, n, tp, CASE WHEN n > 0 THEN CAST(tp AS DOUBLE) / n ELSE 0 END AS p, CAST(tp AS DOUBLE) / (SELECT count(*) FROM tr) AS q FROM (
+  SELECT threshold, count(*) FILTER (WHERE confidence >= threshold) AS n, count(*) FILTER (WHERE confidence >= threshold AND truth_id IS NOT NULL) AS tp FROM m, (SELECT unnest([5e-2, 1e-1, 15e-2, 2e-1, 25e-2, 3e-1, 4e-1, 5e-1, 6e-1, 7e-1, 8e-1, 9e-1]) AS threshold) GROUP BY threshold)),
+curve AS (SELECT threshold, n, tp, p, q, CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END AS f FROM cv)"""
+
+
+@query(f"WITH RECURSIVE {_MATCH}, {_CURVE} SELECT threshold, n, tp, round(p, 9) AS precision, round(q, 9) AS recall, round(f, 9) AS f1 FROM curve")
 def pr_curve(spark, sf_dir):
-    d = detections(spark, sf_dir)
-    return matching.pr_curve(ground_truth_match(spark, sf_dir), d.where("k % 3 = 0").count())
+    return matching.pr_curve(*_matches(spark, sf_dir)).withColumns({c: _r(F.col(c), 9) for c in ("precision", "recall", "f1")})
 
 
-@query()
+_AP = """k AS (SELECT det_id, truth_id IS NOT NULL AS hit, row_number() OVER w AS r, sum(CASE WHEN truth_id IS NOT NULL THEN 1 ELSE 0 END) OVER w AS t FROM m WINDOW w AS (ORDER BY confidence DESC, det_id ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT hit, max(CAST(t AS DOUBLE) / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING) AS env FROM k),
+ap AS (SELECT coalesce(sum(env) FILTER (WHERE hit), 0) / (SELECT count(*) FROM tr) AS ap, count(*) AS n, count(*) FILTER (WHERE hit) AS tp FROM e)"""
+
+
+@query(f"WITH RECURSIVE {_MATCH}, {_AP} SELECT round(ap, 9) AS ap, n, tp, (SELECT count(*) FROM tr) AS n_truth FROM ap")
 def average_precision(spark, sf_dir):
-    d = detections(spark, sf_dir)
-    return matching.average_precision(ground_truth_match(spark, sf_dir), d.where("k % 3 = 0").count())
+    return matching.average_precision(*_matches(spark, sf_dir)).withColumn("ap", _r(F.col("ap"), 9))
+
+
+@query(f"WITH RECURSIVE {_MATCH}, {_CURVE}, {_AP}, i AS (SELECT f.seq_id, f.frame_index, count(t.truth_id) AS boxes, any_value(n) AS found FROM (SELECT seq_id, frame_index, count(*) AS n FROM d GROUP BY ALL) f LEFT JOIN tr t ON t.seq_id = f.seq_id AND t.frame_index = f.frame_index GROUP BY ALL), best AS (SELECT * FROM curve ORDER BY round(f, 12) DESC, threshold LIMIT 1) SELECT count(*) AS n_images, count(*) FILTER (WHERE boxes > 0) AS n_with, count(*) FILTER (WHERE boxes = 0) AS n_without, CAST(sum(found) AS BIGINT) AS n_predictions, round(sum(found) FILTER (WHERE boxes = 0) / CAST(count(*) FILTER (WHERE boxes = 0) AS DOUBLE), 9) AS fp_per_negative, round(count(*) FILTER (WHERE boxes = 0 AND found > 0) / CAST(count(*) FILTER (WHERE boxes = 0) AS DOUBLE), 9) AS alarm_rate, round((SELECT ap FROM ap), 9) AS ap50, (SELECT count(*) FROM tr) AS n_truth, (SELECT threshold FROM best) AS best_threshold, round((SELECT p FROM best), 9) AS precision, round((SELECT q FROM best), 9) AS recall, round((SELECT f FROM best), 9) AS f1 FROM i")
+def detector_baseline(spark, sf_dir):
+    """Images with and without smoke, their false alarms, average precision and the best threshold."""
+    m, truth = _matches(spark, sf_dir)
+    b = matching.baseline(m, truth, detections(spark, sf_dir))
+    return b.withColumns({c: _r(F.col(c), 9) for c in ("fp_per_negative", "alarm_rate", "ap50", "precision", "recall", "f1")})
 
 
 @query()
@@ -434,8 +488,23 @@ def linked_tracks(spark, sf_dir):
 
 
 @query()
+def all_tracks(spark, sf_dir):
+    """Every linked track, ended or open at the end of its sequence."""
+    return tracks.all_tracks(tracks.linked(detections(spark, sf_dir)))
+
+
+_RISEN = f"""{_EVENTS}, pe AS (SELECT id, seq_id % 20 AS site, lane, seq_id, "at" AS said, tier, CASE tier WHEN 'FLARE' THEN 2 WHEN 'GLOW' THEN 1 ELSE 0 END AS rank, east, north FROM {_enu_sql('e', '0e0')}),
+x AS (SELECT *, max(CASE WHEN rank > 0 THEN rank END) OVER (PARTITION BY site, seq_id, lane ORDER BY said, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM pe),
+y AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY site ORDER BY said, id) AS nth FROM x WHERE rank > coalesce(before, 0)),
+z AS (SELECT site, CAST(0 AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS id, CAST([] AS STRUCT(e DOUBLE, n DOUBLE, w DOUBLE, rank INT)[]) AS sent, FALSE AS gone FROM (SELECT DISTINCT site FROM y)
+  UNION ALL SELECT site, nth, id, CASE WHEN gone THEN sent ELSE list_append(sent, {{'e': east, 'n': north, 'w': said, 'rank': rank}}) END, gone
+  FROM (SELECT y.site, y.nth, y.id, y.said, y.rank, y.east, y.north, list_filter(z.sent, lambda s: y.said - s.w <= 600) AS sent,
+        coalesce(y.rank <= list_filter(z.sent, lambda s: y.said - s.w <= 600 AND sqrt((s.e - y.east) * (s.e - y.east) + (s.n - y.north) * (s.n - y.north)) <= 300)[1].rank, FALSE) AS gone FROM z JOIN y ON y.site = z.site AND y.nth = z.nth + 1))"""
+
+
+@query(f"WITH RECURSIVE {_RISEN} SELECT x.site, x.id, x.said AS \"at\", x.tier, CASE WHEN rank = 0 THEN 'stored' WHEN rank <= coalesce(before, 0) THEN 'not risen' WHEN gone THEN 'suppressed' ELSE 'sent' END AS decision, CASE WHEN rank > coalesce(before, 0) AND NOT gone THEN CASE WHEN before IS NULL THEN 'new' ELSE 'escalated' END END AS reason FROM x LEFT JOIN z ON z.id = x.id")
 def routed_alerts(spark, sf_dir):
-    return alerts.routed(stored_events(spark, sf_dir).withColumn("site", F.col("seq_id") % 20))
+    return alerts.routed(stored_events(spark, sf_dir).withColumns({"site": F.col("seq_id") % 20, "track": F.concat_ws("/", "seq_id", "lane")}))
 
 
 @query()
@@ -445,17 +514,46 @@ def scorer_fit(spark, sf_dir):
 
 @query()
 def georeference(spark, sf_dir):
-    return solve.located(detections(spark, sf_dir))
+    """The place of every detection, or the reason there is none."""
+    return run.fixes(spark, sf_dir).withColumnRenamed("row_id", "det_id")
 
 
 @query()
 def cep_sweep(spark, sf_dir):
-    return solve.cep_by_depression(solve.located(detections(spark, sf_dir)))
+    return solve.cep_by_depression(run.fixes(spark, sf_dir))
+
+
+def _sites(spark, sf_dir) -> DataFrame:
+    """A site for each cell of the forecast grid that has detections, at their mean place."""
+    nx, ny = geo.forecast_cell(F.col("lat"), F.col("lon"))
+    return detections(spark, sf_dir).groupBy(F.concat_ws(",", nx, ny).alias("site")).agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+
+
+@query()
+def site_accuracy(spark, sf_dir):
+    """Error radii by depression over all sites and eight azimuths, for both grades of positioning."""
+    wide, ground, camera = _sites(spark, sf_dir), solve.synthetic(half=0.5), solve.Camera.from_fov(1920, 1080, 73.7)
+    both = [solve.swept(wide, ground, camera, n).withColumn("grade", F.lit(g)) for g, n in (("consumer", solve.CONSUMER), ("rtk", solve.RTK))]
+    return both[0].unionByName(both[1])
+
+
+@query()
+def site_round_trip(spark, sf_dir):
+    """Pixels to the ground, back to pixels, and to the ground again, at all sites."""
+    return solve.round_trip(_sites(spark, sf_dir), solve.synthetic(half=0.5), solve.Camera.from_fov(1920, 1080, 73.7))
+
+
+@query()
+def whole_run(spark, sf_dir):
+    """Detections to alerts in one job: id, place, tier, decision and text of every event."""
+    return run.whole_run(spark, sf_dir, UNITS)
 
 
 def queries() -> dict:
+    from hazeline.plans import reports  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {k: _SQL[k] for k in queries() if k in _SQL}

@@ -3,79 +3,152 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from hazeline.functions import geodesy
 from hazeline.functions.rules import TIERS
 
+#: Metres and seconds within which an alert is the same fire.
 RADIUS, COOLDOWN = 300.0, 600.0
-OUT = "site long, id long, at double, tier string, decision string"
+NOTIFY, PERSIST = TIERS[1:], TIERS
 _SITE = (36.4127, 128.7043)
+OUT = "site long, id long, at double, tier string, decision string, reason string"
 
 
-def route(rows, best: dict[str, int], recent: list[list]) -> list[tuple]:
-    """Decisions in order of time, then id: stored, not risen, suppressed or sent.
+class Nearby:
+    """Alerts sent lately at a site, oldest first."""
 
-    SPARK is stored only and leaves no memory. A track must rise above its best tier so far, which is remembered even if
-    the alert is then suppressed. The first recent alert within radius and cooldown decides: it suppresses unless the tier
-    is above its own. Events without a place skip that test. Suppressed alerts aren't recent ones.
-    """
-    out = []
-    for id_, at, tier, track, east, north in rows:
-        rank = TIERS.index(tier)
-        if rank == 0:
-            out.append((id_, at, tier, "stored"))
-            continue
-        if rank <= best.get(track, 0):
-            out.append((id_, at, tier, "not risen"))
-            continue
-        best[track] = rank
-        here = east is not None and east == east
-        near = next((r for r in recent if abs(at - r[2]) <= COOLDOWN and (r[0] - east) ** 2 + (r[1] - north) ** 2 <= RADIUS**2), None) if here else None
-        if near is not None and rank <= near[3]:
-            out.append((id_, at, tier, "suppressed"))
-            continue
-        if here:
-            recent.append([east, north, at, rank])
-        out.append((id_, at, tier, "sent"))
-    return out
+    def __init__(self, sent: list[list] = ()):
+        self.sent = list(sent)
+
+    def suppresses(self, at: float, rank: int, east: float | None, north: float | None) -> bool:
+        """Whether the first alert within radius and cooldown is of the same or a higher tier; if not, and there is a place,
+        this one is remembered."""
+        if east is None or east != east:
+            return False
+        self.sent = [s for s in self.sent if at - s[2] <= COOLDOWN]
+        rival = next((s[3] for s in self.sent if math.hypot(s[0] - east, s[1] - north) <= RADIUS), -1)
+        if rank <= rival:
+            return True
+        self.sent.append([east, north, at, rank])
+        return False
+
+
+def rank_of(tier: str) -> Column:
+    return F.array_position(F.array(*map(F.lit, TIERS)), F.col(tier)).cast("int") - 1
 
 
 def _placed(events: DataFrame) -> DataFrame:
     e, n, _ = geodesy.to_enu(F.col("lat"), F.col("lon"), F.lit(0.0), *_SITE, 0.0)
-    return events.select("site", "id", "at", "tier", F.concat_ws("/", "seq_id", "lane").alias("track"), e.alias("east"), n.alias("north"))
+    return events.withColumns({"rank": rank_of("tier"), "east": e, "north": n})
 
 
-def _rows(pdf: pd.DataFrame):
-    return pdf.sort_values(["at", "id"])[["id", "at", "tier", "track", "east", "north"]].itertuples(index=False, name=None)
+def escalated(events: DataFrame) -> DataFrame:
+    """events(site, track, id, at, tier) with rank and before: the best rank that the track has been notified or suppressed
+    with, null if never. It doesn't depend on suppression, so it is a running maximum."""
+    past = Window.partitionBy("site", "track").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    return events.withColumn("before", F.max(F.when(F.col("rank") > 0, F.col("rank"))).over(past))
 
 
-def routed(events: DataFrame) -> DataFrame:
-    """events(site, id, at, tier, seq_id, lane, lat, lon) with the decision on each; sites are independent."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(route(_rows(pdf), {}, []), columns=["id", "at", "tier", "decision"])
-        out.insert(0, "site", key[0])
-        return out
+def _suppress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by site, run, time and id: the alerts of the cooldown are all that is held."""
+    now, near = None, Nearby()
+    for b in batches:
+        sites, runs, ids, ats, ranks, easts, norths = (c.to_pylist() for c in b.columns)
+        hit = []
+        for key, at, rank, east, north in zip(zip(sites, runs, strict=True), ats, ranks, easts, norths, strict=True):
+            if key != now:
+                now, near = key, Nearby()
+            hit.append(near.suppresses(at, rank, east, north))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(hit, pa.bool_())], ["site", "id", "suppressed"])
 
-    return _placed(events).groupBy("site").applyInPandas(run, OUT)
 
+def routed(events: DataFrame) -> DataFrame:
+    """events(site, id, at, tier, track, lat, lon) with the decision on each and, for sent ones, the reason: new or escalated.
 
-def routed_stream(events: DataFrame) -> DataFrame:
-    """The same over a stream. Recent alerts older than the cooldown are dropped from the state."""
+    SPARK is stored only and leaves no memory. A track must rise above its best tier so far, which is remembered even if the
+    alert is then suppressed. The first recent alert within radius and cooldown decides: it suppresses unless the tier is
+    above its own. Events without a place skip that test. Escalation is a window; only the few events that rise go to the
+    kernel, in runs: a pause longer than the cooldown starts a new one, and runs are independent of each other.
+    """
+    x = escalated(_placed(events))
+    x = x.withColumn("rises", (F.col("rank") > 0) & (F.col("rank") > F.coalesce("before", F.lit(0))))
+    rising = x.where("rises").select(F.col("site").cast("long").alias("site"), "id", F.col("at").cast("double").alias("at"), "rank", "east", "north")
+    order = Window.partitionBy("site").orderBy("at", "id")
+    pause = F.coalesce((F.col("at") - F.lag("at").over(order) > COOLDOWN).cast("int"), F.lit(0))
+    runs = rising.withColumn("pause", pause).withColumn("run", F.sum("pause").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.select("site", "run", "id", "at", "rank", "east", "north").repartition("site", "run").sortWithinPartitions("site", "run", "at", "id")
+    hits = runs.mapInArrow(_suppress, "site long, id long, suppressed boolean")
+    out = x.join(hits, ["site", "id"], "left")
+    decision = F.when(F.col("rank") == 0, "stored").when(~F.col("rises"), "not risen").when(F.col("suppressed"), "suppressed").otherwise("sent")
+    reason = F.when(decision == "sent", F.when(F.col("before").isNull(), "new").otherwise("escalated"))
+    return out.select(F.col("site").cast("long").alias("site"), F.col("id").cast("long").alias("id"), F.col("at").cast("double").alias("at"), "tier", decision.alias("decision"), reason.alias("reason"))
+
+
+def nearest_km(units: list[tuple[str, float, float]], lat: str = "lat", lon: str = "lon") -> Column:
+    """Kilometres to the nearest response unit; null without a place or without units. Units are configuration."""
+    if not units:
+        return F.lit(None).cast("double")
+    far = [F.hypot(*geodesy.to_enu(F.col(lat), F.col(lon), F.lit(0.0), u, v, 0.0)[:2]) / 1000 for _, u, v in units]
+    return F.least(*far) if len(far) > 1 else far[0]
+
+
+def routed_stream(events: DataFrame, forget_s: float = 7 * 86_400.0) -> DataFrame:
+    """The same over a stream, in order of arrival and, within a micro-batch, of time and id. The state holds the best tier
+    of each track, until it is unseen for forget_s, and the alerts of the cooldown."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, recent = map(json.loads, state.get) if state.exists else ({}, [])
-        out = pd.DataFrame(route(_rows(pd.concat(list(frames))), best, recent), columns=["id", "at", "tier", "decision"])
+        best, sent = map(json.loads, state.get) if state.exists else ({}, [])
+        near, rows = Nearby(sent), []
+        pdf = pd.concat(list(frames)).sort_values(["at", "id"])
+        for id_, at, tier, rank, track, east, north in pdf[["id", "at", "tier", "rank", "track", "east", "north"]].itertuples(index=False, name=None):
+            before = best[track][0] if track in best else None
+            if rank == 0:
+                rows.append((id_, at, tier, "stored", None))
+                continue
+            if rank <= (before or 0):
+                best[track][1] = at
+                rows.append((id_, at, tier, "not risen", None))
+                continue
+            best[track] = [int(rank), at]
+            gone = near.suppresses(at, int(rank), east, north)
+            rows.append((id_, at, tier, "suppressed" if gone else "sent", None if gone else "new" if before is None else "escalated"))
+        latest = float(pdf["at"].max())
+        state.update((json.dumps({t: b for t, b in best.items() if latest - b[1] <= forget_s}), json.dumps([s for s in near.sent if latest - s[2] <= COOLDOWN])))
+        out = pd.DataFrame(rows, columns=["id", "at", "tier", "decision", "reason"])
         out.insert(0, "site", key[0])
-        if len(out):
-            recent = [r for r in recent if r[2] >= out["at"].max() - COOLDOWN]
-        state.update((json.dumps(best), json.dumps(recent)))
         yield out
 
-    return _placed(events).groupBy("site").applyInPandasWithState(update, OUT, "best string, recent string", "append", GroupStateTimeout.NoTimeout)
+    columns = _placed(events).select("site", "id", "at", "tier", "rank", F.col("track").cast("string").alias("track"), "east", "north")
+    return columns.groupBy("site").applyInPandasWithState(update, OUT, "best string, recent string", "append", GroupStateTimeout.NoTimeout)
+
+
+def router_summary(routed_: DataFrame, events: DataFrame) -> DataFrame:
+    """(notifications, flare, glow, tracks_seen): what was sent, by tier, and the tracks that were ever above SPARK."""
+    sent = F.col("decision") == "sent"
+    counts = routed_.agg(F.count_if(sent).alias("notifications"), *(F.count_if(sent & (F.col("tier") == t)).alias(t.lower()) for t in reversed(NOTIFY)))
+    seen = events.where(F.col("tier").isin(*NOTIFY)).agg(F.count_distinct("site", "track").alias("tracks_seen"))
+    return counts.withColumn("_k", F.lit(1)).join(F.broadcast(seen.withColumn("_k", F.lit(1))), "_k").drop("_k")
+
+
+#: Tier names and the words of an alert.
+TIER_WORDS = {"FLARE": "타오름", "GLOW": "어른거림", "SPARK": "스침"}
+TIER_COLOURS = {"FLARE": "#E63946", "GLOW": "#F4A261", "SPARK": "#8D99AE"}
+ALERT = ("▲ %s 경보 — %s", "현장", "%.4fN %.4fE (오차반경 %.0fm, 사거리 %sm)", "좌표 미발행 (%s) — 영상 확인 필요", " / 최근접 진화대 %.1fkm")
+
+
+def alert_text() -> Column:
+    """Two lines on an event(tier, site, geo_ok, lat, lon, cep50_m, range_m, geo_reject_reason, nearest_unit_km)."""
+    head, field, place, none, unit = ALERT
+    site = F.when(F.coalesce("site", F.lit("")) == "", field).otherwise(F.col("site"))
+    body = F.when(F.col("geo_ok"), F.format_string(place, "lat", "lon", "cep50_m", F.format_number("range_m", 0))).otherwise(F.format_string(none, "geo_reject_reason"))
+    tail = F.coalesce(F.when(F.col("nearest_unit_km").isNotNull(), F.format_string(unit, "nearest_unit_km")), F.lit(""))
+    return F.concat(F.format_string(head, F.col("tier"), site), F.lit("\n  "), body, tail)

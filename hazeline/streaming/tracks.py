@@ -1,113 +1,160 @@
-"""Linking detections to tracks: one transition function for batch replay and for streams."""
+"""Linking detections to tracks: one state machine for a sequence, fed by sorted partitions or by a stream."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+import math
+from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
-from hazeline.operators.matching import iou_matrix
-
+#: Least overlap, misses that a track survives, reach in sizes of its last box.
 IOU, MISSES, FACTOR = 0.10, 2, 1.5
+BOX = ["x1", "y1", "x2", "y2"]
 OUT = "seq_id long, frame_index int, track_id long, det_id long, missed int"
+Box = tuple[float, float, float, float]
 
 
-@dataclass
-class Track:
-    id: int
-    box: list[float]
-    misses: int = 0
-
-
-def affinities(tracks: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+def affinity(track: Box, box: Box) -> float:
     """1 + IoU where boxes overlap enough, else 1 - distance / limit within the limit of the track's size, else 0."""
-    overlap = iou_matrix(tracks, boxes)
-    mid = lambda b: (b[:, :2] + b[:, 2:]) / 2
-    far = np.linalg.norm(mid(tracks)[:, None] - mid(boxes)[None], axis=2)
-    limit = FACTOR * np.maximum(np.sqrt(np.prod(np.clip(tracks[:, 2:] - tracks[:, :2], 0, None), axis=1)), 1.0)[:, None]
-    return np.where(overlap >= IOU, 1 + overlap, np.where(far <= limit, 1 - far / limit, 0.0))
-
-
-def step(active: list[Track], next_id: int, det_ids: list[int], boxes: np.ndarray) -> tuple[list[Track], int, list[tuple[int, int | None, int]]]:
-    """One frame: (active tracks, next id, rows of (track, detection or none, misses)). Pairs are taken by falling score;
-    equal scores take the later track, then the later detection. A track that misses a third frame ends; until then it
-    is reported on every frame, missed or not."""
-    pairs = []
-    if active and len(boxes):
-        s = affinities(np.array([t.box for t in active]), boxes)
-        pairs = sorted(((s[i, j], i, j) for i, j in zip(*np.nonzero(s > 0), strict=True)), reverse=True)
-    got: dict[int, int] = {}
-    used: set[int] = set()
-    for _, i, j in pairs:
-        if i not in got and j not in used:
-            got[i] = j
-            used.add(j)
-    alive, rows = [], []
-    for i, t in enumerate(active):
-        if i in got:
-            t.box, t.misses = boxes[got[i]].tolist(), 0
-        else:
-            t.misses += 1
-        if t.misses <= MISSES:
-            alive.append(t)
-            rows.append((t.id, det_ids[got[i]] if i in got else None, t.misses))
-    for j in range(len(boxes)):
-        if j not in used:
-            alive.append(Track(next_id, boxes[j].tolist()))
-            rows.append((next_id, det_ids[j], 0))
-            next_id += 1
-    return alive, next_id, rows
-
-
-def replay(pdf: pd.DataFrame, active: list[Track], next_id: int, last: int | None) -> tuple[list[Track], int, int | None, list[tuple]]:
-    """Frames in order, those without detections too; frames at or before the last one seen are late and left out."""
-    rows = []
-    for frame, own in pdf.sort_values(["frame_index", "det_id"]).groupby("frame_index"):
-        if last is not None and frame <= last:
-            continue
-        for gap in range(last + 1 if last is not None else frame, frame):
-            if not active:
+    ax1, ay1, ax2, ay2 = track
+    bx1, by1, bx2, by2 = box
+    size = max(ax2 - ax1, 0.0) * max(ay2 - ay1, 0.0)
+    common = max(min(ax2, bx2) - max(ax1, bx1), 0.0) * max(min(ay2, by2) - max(ay1, by1), 0.0)
+    union = size + max(bx2 - bx1, 0.0) * max(by2 - by1, 0.0) - common
+    if union > 0 and common / union >= IOU:
+        return 1 + common / union
+    limit = FACTOR * max(math.sqrt(size), 1.0)
+    far = math.hypot((ax1 + ax2 - bx1 - bx2) / 2, (ay1 + ay2 - by1 - by2) / 2)
+    return 1 - far / limit if far <= limit else 0.0
+
+
+class Sequence:
+    """Open tracks of one sequence, oldest first: id, last box, misses in a row."""
+
+    def __init__(self, tracks: Iterable[tuple[int, Box, int]] = (), next_id: int = 0, last: int | None = None):
+        self.tracks, self.next_id, self.last = [tuple(t) for t in tracks], next_id, last
+
+    def frame(self, dets: list[tuple[int, Box]]) -> list[tuple[int, int | None, int]]:
+        """(track, detection or none, misses) of every track that is open after a frame with these detections.
+
+        The best pair of a free track and a free detection is taken until none has an affinity; of equal ones that of the
+        later track, then of the later detection. A track ends at its third miss in a row."""
+        ranked = sorted((-a, -i, -j) for i, (_, box, _) in enumerate(self.tracks) for j, (_, own) in enumerate(dets) if (a := affinity(box, own)) > 0)
+        chosen: dict[int, int] = {}
+        free = set(range(len(dets)))
+        for _, i, j in ranked:
+            if -j in free and -i not in chosen:
+                chosen[-i] = -j
+                free.discard(-j)
+        old = [(t, dets[chosen[i]][1], 0, dets[chosen[i]][0]) if i in chosen else (t, box, misses + 1, None) for i, (t, box, misses) in enumerate(self.tracks)]
+        new = [(self.next_id + k, dets[j][1], 0, dets[j][0]) for k, j in enumerate(sorted(free))]
+        self.next_id += len(new)
+        now = [x for x in old if x[2] <= MISSES] + new
+        self.tracks = [(t, box, misses) for t, box, misses, _ in now]
+        return [(t, det, misses) for t, _, misses, det in now]
+
+    def upto(self, frame: int, dets: list[tuple[int, Box]]) -> list[tuple[int, int, int | None, int]]:
+        """Rows with their frame, for the frames without detections since the last one and then for this one."""
+        rows = []
+        for gap in range(frame if self.last is None else self.last + 1, frame):
+            if not self.tracks:
                 break
-            active, next_id, r = step(active, next_id, [], np.empty((0, 4)))
-            rows += [(gap, *x) for x in r]
-        active, next_id, r = step(active, next_id, own["det_id"].tolist(), own[["x1", "y1", "x2", "y2"]].to_numpy(float))
-        rows += [(frame, *x) for x in r]
-        last = int(frame)
-    return active, next_id, last, rows
+            rows += [(gap, *r) for r in self.frame([])]
+        self.last = frame
+        return rows + [(frame, *r) for r in self.frame(dets)]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    s, f, t, d, m = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(f, pa.int32()), pa.array(t, pa.int64()), pa.array(d, pa.int64()), pa.array(m, pa.int32())], ["seq_id", "frame_index", "track_id", "det_id", "missed"])
+
+
+def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by sequence, frame and detection: only the open tracks and one frame are held."""
+    seq = frame = state = None
+    dets: list[tuple[int, Box]] = []
+    rows: list[tuple] = []
+    for b in batches:
+        for s, f, d, *box in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if s != seq or f != frame:
+                if dets:
+                    rows += [(seq, *r) for r in state.upto(frame, dets)]
+                if s != seq:
+                    state = Sequence()
+                seq, frame, dets = s, f, []
+                if len(rows) >= 10_000:
+                    yield _batch(rows)
+                    rows = []
+            dets.append((d, tuple(box)))
+    if dets:
+        rows += [(seq, *r) for r in state.upto(frame, dets)]
+    if rows:
+        yield _batch(rows)
 
 
-def _table(seq: int, rows: list[tuple]) -> pd.DataFrame:
-    f, t, d, m = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pd.DataFrame({"seq_id": pd.array([seq] * len(f), "int64"), "frame_index": pd.array(f, "int32"), "track_id": pd.array(t, "int64"), "det_id": pd.array(d, "Int64"), "missed": pd.array(m, "int32")})
+def linked(d: DataFrame) -> DataFrame:
+    """Batch replay of d(seq_id, frame_index, det_id, x1, y1, x2, y2): one row for every open track at every frame of its
+    sequence, det_id null where it misses. A sequence is one task's work, since every frame needs the one before, but it
+    streams through: it is never held whole."""
+    order = ["seq_id", "frame_index", "det_id"]
+    columns = d.select(F.col("seq_id").cast("long"), F.col("frame_index").cast("int"), F.col("det_id").cast("long"), *(F.col(c).cast("double") for c in BOX))
+    return columns.repartition("seq_id").sortWithinPartitions(*order).mapInArrow(_replay, OUT)
 
 
-def _replayed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    return _table(key[0], replay(pdf, [], 0, None)[3])
+def all_tracks(links: DataFrame) -> DataFrame:
+    """(seq_id, track_id, hits, first_frame, last_frame, frame_span, finished): every track of linked rows, ended or open at
+    the end of its sequence."""
+    end = F.max("frame_index").over(Window.partitionBy("seq_id"))
+    seen = F.col("det_id").isNotNull()
+    x = links.withColumn("end", end).groupBy("seq_id", "track_id").agg(
+        F.count_if(seen).alias("hits"), F.min("frame_index").alias("first_frame"), F.max(F.when(seen, F.col("frame_index"))).alias("last_frame"), (F.max("end") > F.max("frame_index")).alias("finished")
+    )
+    return x.withColumn("frame_span", F.col("last_frame") - F.col("first_frame") + 1)
 
 
-def linked(d: DataFrame) -> DataFrame:
-    """Batch replay: one row for every active track at every frame of its sequence."""
-    columns = d.select("seq_id", "frame_index", "det_id", "x1", "y1", "x2", "y2")
-    return columns.groupBy("seq_id").applyInPandas(_replayed, OUT)
+STREAM = OUT + ", status string"
 
 
-def linked_stream(d: DataFrame) -> DataFrame:
-    """The same over a stream: the state holds active tracks, the next id and the last frame of a sequence."""
+def linked_stream(d: DataFrame, lateness: int = 1, idle_ms: int | None = None) -> DataFrame:
+    """The same over a stream, with a status. Frames wait until one `lateness` frames later is seen, so that a frame split over
+    micro-batches is linked whole; a detection of a frame that has been linked comes out once, as status late, without a
+    track. A row with a null frame_index closes its sequence, as does idle_ms without rows, if given: what waits is linked and
+    the state goes. With idle_ms the query runs batches for ever, so availableNow doesn't end."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        active, next_id, last = [], 0, None
+        sequence, waiting = Sequence(), []
         if state.exists:
-            held, next_id, last = state.get
-            active = [Track(**t) for t in json.loads(held)]
-        pdf = pd.concat(list(frames))
-        active, next_id, last, rows = replay(pdf, active, next_id, last)
-        state.update((json.dumps([asdict(t) for t in active]), next_id, last))
-        yield _table(key[0], rows)
-
-    columns = d.select("seq_id", "frame_index", "det_id", "x1", "y1", "x2", "y2")
-    return columns.groupBy("seq_id").applyInPandasWithState(update, OUT, "active string, next_id long, last int", "append", GroupStateTimeout.NoTimeout)
+            tracks, next_id, last, held = state.get
+            sequence, waiting = Sequence(json.loads(tracks), next_id, last), [tuple(w) for w in json.loads(held)]
+        rows, closing = [], state.hasTimedOut
+        for pdf in frames:
+            for f, det, *box in pdf[["frame_index", "det_id", *BOX]].itertuples(index=False, name=None):
+                if f is None or f != f:
+                    closing = True
+                elif sequence.last is not None and f <= sequence.last:
+                    rows.append((key[0], int(f), None, int(det), 0, "late"))
+                else:
+                    waiting.append((int(f), int(det), *map(float, box)))
+        horizon = max((w[0] for w in waiting), default=0) - (0 if closing else lateness)
+        ready: dict[int, list] = {}
+        for f, det, *box in sorted(w for w in waiting if w[0] <= horizon):
+            ready.setdefault(f, []).append((det, tuple(box)))
+        for f, dets in ready.items():
+            rows += [(key[0], *r, "linked") for r in sequence.upto(f, dets)]
+        if closing:
+            state.remove()
+        else:
+            state.update((json.dumps(sequence.tracks), sequence.next_id, sequence.last, json.dumps([w for w in waiting if w[0] > horizon])))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
+        s, f, t, det, m, status = zip(*rows, strict=True) if rows else ((),) * 6
+        yield pd.DataFrame({"seq_id": pd.array(s, "int64"), "frame_index": pd.array(f, "int32"), "track_id": pd.array(t, "Int64"), "det_id": pd.array(det, "Int64"), "missed": pd.array(m, "int32"), "status": pd.array(status, "object")})
+
+    columns = d.select("seq_id", "frame_index", "det_id", *BOX)
+    return columns.groupBy("seq_id").applyInPandasWithState(update, STREAM, "tracks string, next_id long, last int, waiting string", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -1,13 +1,14 @@
 """Suppression, matching, tracking, routing and georeferencing against plain versions."""
 
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from hazeline.functions import geodesy, rules
-from hazeline.operators import learn, matching, solve
+from hazeline.operators import learn, matching
 from hazeline.plans import catalog
 from hazeline.sources.detections import detections
 from hazeline.streaming import alerts, tracks
@@ -38,44 +39,164 @@ def test_suppression(spark):
     assert {r.det_id for r in matching.suppressed(once).collect()} == want
 
 
-def test_matching_is_one_to_one():
-    got = matching.best_free([(1, 0.9, 0, 0, 10, 10), (2, 0.8, 0, 0, 10, 9), (3, 0.7, 50, 50, 60, 60)], [(7, 0, 0, 10, 10), (8, 0, 0, 10, 8)], 0.5)
-    assert [(p, t) for p, t, _ in got] == [(1, 7), (2, 8), (3, None)]
+def test_matching_is_one_to_one(spark):
+    rng = random.Random(5)
+    box = lambda: (x := rng.uniform(0, 60), y := rng.uniform(0, 60), x + 30.0, y + 30.0)
+    preds = [(k, k % 7, k % 2, rng.choice([0.3, 0.6, 0.9]), *box()) for k in range(150)]
+    boxes = [(1000 + k, k % 8, k % 2, *box()) for k in range(90)]
+    d = spark.createDataFrame(preds, "det_id long, seq_id long, frame_index int, confidence double, x1 double, y1 double, x2 double, y2 double")
+    t = spark.createDataFrame(boxes, "truth_id long, seq_id long, frame_index int, x1 double, y1 double, x2 double, y2 double")
+    want = {}
+    for frame in {p[1:3] for p in preds}:
+        free = sorted(b for b in boxes if b[1:3] == frame)
+        for p in sorted((p for p in preds if p[1:3] == frame), key=lambda p: (-p[3], p[0])):
+            best = max(free, key=lambda b: (overlap(p[4:], b[3:]), -b[0]), default=None)
+            hit = best is not None and overlap(p[4:], best[3:]) >= 0.5
+            want[p[0]] = best[0] if hit else None
+            if hit:
+                free.remove(best)
+    assert {r.det_id: r.truth_id for r in matching.matched(d, t).collect()} == want
+    assert sum(v is not None for v in want.values()) > 20
 
 
 def test_average_precision(spark):
-    m = catalog.ground_truth_match(spark, SF)
+    m, truth = catalog._matches(spark, SF)
     rows = sorted(((r.confidence, r.det_id, r.truth_id is not None) for r in m.collect()), key=lambda r: (-r[0], r[1]))
-    n = detections(spark, SF).where("k % 3 = 0").count()
+    n = truth.count()
     tp = np.cumsum([r[2] for r in rows])
     p = np.maximum.accumulate((tp / np.arange(1, len(rows) + 1))[::-1])[::-1]
-    assert matching.average_precision(m, n).first().ap == pytest.approx(sum(x for x, r in zip(p, rows, strict=True) if r[2]) / n)
+    assert matching.average_precision(m, truth).first().ap == pytest.approx(sum(x for x, r in zip(p, rows, strict=True) if r[2]) / n)
+    empty = matching.average_precision(m.limit(0), truth.limit(0)).first()
+    assert (empty.ap, empty.n, empty.n_truth) == (0.0, 0, 0)
 
 
 def test_track_ends_after_three_misses_and_is_reported_until_then():
-    box = np.array([[0.0, 0, 10, 10]])
-    active, n, rows = tracks.step([], 0, [5], box)
-    assert rows == [(0, 5, 0)]
-    for miss in (1, 2):
-        active, n, rows = tracks.step(active, n, [], np.empty((0, 4)))
-        assert rows == [(0, None, miss)]
-    assert tracks.step(active, n, [], np.empty((0, 4))) == ([], 1, [])
-
-
-def test_stream_gives_the_batch_rows(spark, tmp_path):
+    s = tracks.Sequence()
+    assert s.frame([(5, (0.0, 0.0, 10.0, 10.0))]) == [(0, 5, 0)]
+    assert [s.frame([]), s.frame([]), s.frame([])] == [[(0, None, 1)], [(0, None, 2)], []]
+    assert s.frame([(6, (0.0, 0.0, 10.0, 10.0))]) == [(1, 6, 0)]
+
+
+def linked_plainly(rows):
+    """Greedy linking with a full table of scores, frame by frame."""
+    out = []
+    for seq in sorted({r[0] for r in rows}):
+        own = [r for r in rows if r[0] == seq]
+        open_, next_id = [], 0
+        for f in range(min(r[1] for r in own), max(r[1] for r in own) + 1):
+            dets = sorted((r[2], r[3:]) for r in own if r[1] == f)
+            scores = {(i, j): tracks.affinity(t[1], dets[j][1]) for i, t in enumerate(open_) for j in range(len(dets))}
+            got = {}
+            while scores and max(scores.values()) > 0:
+                i, j = max(scores, key=lambda k: (scores[k], k))
+                got[i] = j
+                scores = {k: v for k, v in scores.items() if k[0] != i and k[1] != j}
+            for i, t in enumerate(open_):
+                t[1], t[2], t[3] = (dets[got[i]][1], 0, dets[got[i]][0]) if i in got else (t[1], t[2] + 1, None)
+            open_ = [t for t in open_ if t[2] <= 2]
+            for j in range(len(dets)):
+                if j not in got.values():
+                    open_.append([next_id, dets[j][1], 0, dets[j][0]])
+                    next_id += 1
+            out += [(seq, f, t[0], t[3], t[2]) for t in open_]
+    return out
+
+
+def test_linking_is_that_of_the_plain_version(spark):
     d = detections(spark, SF)
-    d.repartition(1).write.parquet(str(tmp_path / "in"))
-    stream = tracks.linked_stream(spark.readStream.schema(d.schema).parquet(str(tmp_path / "in")))
+    rows = [tuple(r) for r in d.select("seq_id", "frame_index", "det_id", "x1", "y1", "x2", "y2").collect()]
+    rng = random.Random(2)
+    rows = [r for r in rows if rng.random() < 0.7 or r[1] < 3]
+    frame = spark.createDataFrame(rows, "seq_id long, frame_index int, det_id long, x1 double, y1 double, x2 double, y2 double").repartition(3)
+    links = tracks.linked(frame)
+    want = sorted(linked_plainly(rows), key=str)
+    assert sorted((tuple(r) for r in links.collect()), key=str) == want
+    every = {(r.seq_id, r.track_id): r for r in tracks.all_tracks(links).collect()}
+    assert len(every) == len({w[:1] + w[2:3] for w in want})
+    end = {}
+    for w in want:
+        end[w[0]] = max(end.get(w[0], 0), w[1])
+    for (seq, t), r in every.items():
+        own = [w for w in want if w[0] == seq and w[2] == t]
+        assert (r.hits, r.first_frame, r.finished) == (sum(w[3] is not None for w in own), min(w[1] for w in own), max(w[1] for w in own) < end[seq])
+
+
+def test_stream_of_split_frames_gives_the_batch_rows(spark, tmp_path):
+    d = detections(spark, SF).select("seq_id", "frame_index", "det_id", "x1", "y1", "x2", "y2")
+    rows = sorted(map(tuple, d.collect()), key=lambda r: (r[1], r[2] % 2, r[0]))
+    cut = len(rows) // 5
+    late = (rows[0][0], 0, 999_999, 0.0, 0.0, 1.0, 1.0)
+    ends = [(s, None, None, None, None, None, None) for s in {r[0] for r in rows}]
+    parts = [rows[k * cut : (k + 1) * cut if k < 4 else None] + ([late] if k == 4 else []) for k in range(5)] + [ends]
+    for k, part in enumerate(parts):
+        frame = spark.createDataFrame(part, d.schema).coalesce(1)
+        frame.write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.02)
+    stream = tracks.linked_stream(spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
     q = stream.writeStream.format("memory").queryName("linked").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    key = lambda r: (r.seq_id, r.frame_index, r.track_id)
-    assert sorted(map(tuple, spark.table("linked").collect()), key=lambda r: r[:3]) == [tuple(r) for r in sorted(tracks.linked(d).collect(), key=key)]
-
-
-def test_routing():
-    place = (0.0, 0.0)
-    rows = [(1, 0.0, "SPARK", "a", *place), (2, 0.0, "GLOW", "a", *place), (3, 10.0, "GLOW", "b", 100.0, 0.0), (4, 20.0, "FLARE", "b", 100.0, 0.0), (5, 30.0, "GLOW", "c", 1000.0, 0.0), (6, 700.0, "GLOW", "d", *place), (7, 701.0, "GLOW", "d", *place), (8, 702.0, "GLOW", "e", None, None)]
-    assert [d for *_, d in alerts.route(rows, {}, [])] == ["stored", "sent", "suppressed", "sent", "sent", "sent", "not risen", "sent"]
+    assert q.awaitTermination(120)
+    got = [tuple(r) for r in spark.table("linked").collect()]
+    assert len(q.recentProgress) >= 6
+    assert [r[:4] for r in got if r[5] == "late"] == [(late[0], 0, None, 999_999)]
+    assert sorted((r[:5] for r in got if r[5] == "linked"), key=str) == sorted((tuple(r) for r in tracks.linked(d).collect()), key=str)
+
+
+def route_plainly(rows):
+    best, sent, out = {}, [], []
+    for id_, at, tier, track, e, n in sorted(rows, key=lambda r: (r[1], r[0])):
+        rank = rules.TIERS.index(tier)
+        if rank == 0:
+            out.append((id_, "stored", None))
+        elif track in best and rank <= best[track]:
+            out.append((id_, "not risen", None))
+        else:
+            reason = "escalated" if track in best else "new"
+            best[track] = rank
+            rival = next((s for s in sent if at - s[2] <= 600 and np.hypot(s[0] - e, s[1] - n) <= 300), None) if e is not None else None
+            if rival and rank <= rival[3]:
+                out.append((id_, "suppressed", None))
+                continue
+            if e is not None:
+                sent.append((e, n, at, rank))
+            out.append((id_, "sent", reason))
+    return out
+
+
+def alerts_table(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(400):
+        lat, lon = (36.4127 + rng.choice([0, 0.001, 0.002, 0.02]), 128.7043 + rng.choice([0, 0.001, 0.02])) if rng.random() < 0.9 else (None, None)
+        rows.append((k % 3, k, float(rng.randrange(6000)), rng.choice(rules.TIERS), f"t{rng.randrange(60)}", lat, lon))
+    return rows, spark.createDataFrame(rows, "site long, id long, at double, tier string, track string, lat double, lon double")
+
+
+def test_routing_is_that_of_the_plain_version(spark):
+    rows, d = alerts_table(spark)
+    place = {r.id: (r.east, r.north) for r in alerts._placed(d).collect()}
+    want = {id_: x for s in range(3) for id_, *x in route_plainly([(r[1], r[2], r[3], r[4], *place[r[1]]) for r in rows if r[0] == s])}
+    assert {r.id: [r.decision, r.reason] for r in alerts.routed(d.repartition(5)).collect()} == want
+    assert {x[0] for x in want.values()} == {"stored", "not risen", "suppressed", "sent"}
+    summary = alerts.router_summary(alerts.routed(d), d).first()
+    assert summary.notifications == sum(x[0] == "sent" for x in want.values()) and summary.tracks_seen == len({(r[0], r[4]) for r in rows if r[3] != "SPARK"})
+    assert alerts.routed(d.limit(0)).collect() == []
+
+
+def test_routing_of_a_stream(spark, tmp_path):
+    rows, d = alerts_table(spark)
+    for part in ("at < 2000", "at >= 2000 AND at < 4000", "at >= 4000"):
+        d.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.02)
+    stream = alerts.routed_stream(spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("routed").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("routed").collect()), key=str) == sorted(map(tuple, alerts.routed(d).collect()), key=str)
+
+
+def test_suppression_is_of_the_first_recent_alert_and_ends(spark):
+    rows = [(1, 0.0, "SPARK", "a", 0.0), (2, 0.0, "GLOW", "a", 0.0), (3, 10.0, "GLOW", "b", 0.0009), (4, 20.0, "FLARE", "b", 0.0009), (5, 30.0, "GLOW", "c", 0.01), (6, 100.0, "GLOW", "e", 0.0), (7, 700.0, "GLOW", "d", 0.0), (8, 701.0, "GLOW", "d", 0.0), (9, 702.0, "GLOW", "f", None)]
+    d = spark.createDataFrame([(1, i, at, tier, t, None if x is None else 36.4127 + x, 128.7043) for i, at, tier, t, x in rows], "site long, id long, at double, tier string, track string, lat double, lon double")
+    assert [r.decision for r in sorted(alerts.routed(d).collect())] == ["stored", "sent", "suppressed", "sent", "sent", "suppressed", "sent", "not risen", "sent"]
 
 
 def test_forecast_cells(spark):
@@ -85,24 +206,6 @@ def test_forecast_cells(spark):
         assert (r.nx, r.ny) == (r.x, r.y)
 
 
-def test_flat_ground_range():
-    flat = solve.Terrain(np.zeros((401, 401)), 100.0, 20_000.0)
-    d = solve.rays(np.full(3, 960.0), np.full(3, 540.0), np.array([0.0, 90, 200]), np.array([-30.0, -10, -2]), np.zeros(3), 1000.0, 960, 540)
-    t, left = solve.crossing(flat, np.tile([0.0, 0, 900], (3, 1)), d)
-    assert t[:2] == pytest.approx([900 / np.sin(np.radians(30)), 900 / np.sin(np.radians(10))], abs=0.01)
-    assert np.isnan(t[2])
-
-
-def test_perturbed_rays_meet_a_narrow_crest():
-    z = np.zeros((401, 401))
-    z[267] = 500.0
-    crest = solve.Terrain(z, 15.0, 3_000.0)
-    row = {"det_id": 1, "u": 960.0, "v": 540.0, "yaw": 0.0, "pitch": -14.0}
-    d = solve.rays(*(np.array([row[c]]) for c in ("u", "v", "yaw", "pitch")), np.zeros(1), 1000.0, 960, 540)
-    t, _ = solve.crossing(crest, np.array([[0.0, 0, 300]]), d)
-    assert solve.cep(crest, 300.0, row, 1000.0, np.array([0.0, 0, 300]) + t[0] * d[0])[1] < 150
-
-
 def test_fit_refuses_few_labels(spark):
     t = spark.createDataFrame([(0.1, "confirmed"), (0.2, "false_positive")], "persistence double, label string")
     with pytest.raises(ValueError, match="8 labels"):
