@@ -51,11 +51,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the multiplier and of its inverse modulo 2**64; kept, and doubled when they don't suffice."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((int(_B), pow(int(_B), -1, 2**64))):
+            _powers[i] = np.cumprod(np.append(np.uint64(1), np.full(max(n, 2 * len(_powers[0])), base, np.uint64)), dtype=np.uint64)
+    return _powers[0][:n], _powers[1][:n]
+
+
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of every k consecutive words; empty if there are fewer."""
+    """Hashes of every k consecutive words; empty if there are fewer. Long windows come from running sums, whose cost doesn't
+    depend on k."""
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
+    if k >= 8:
+        power, back = powers(len(h))
+        sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * power, out=sums[1:])
+        return mix((sums[k:] - sums[:-k]) * back[:n])
     acc = h[:n].copy()
     for j in range(1, k):
         acc *= _B
