@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,13 +14,27 @@ LEAST = 8
 
 
 def split(keys: DataFrame) -> DataFrame:
-    """Ordered keys, alternating train and test. Places come from counts of key ranges, so no task orders all keys."""
+    """Ordered keys, alternating train and test. Keys are dealt to ranges and written once; a place is the keys of the ranges
+    before plus the place in its own, so no task orders all keys and the gaps between them don't matter."""
     column = keys.columns[0]
-    x = keys.withColumn("shard", F.floor(F.col(column) / 4096))
-    before = x.groupBy("shard").agg(F.count("*").alias("n")).withColumn("start", F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)))
-    at = F.row_number().over(Window.partitionBy("shard").orderBy(column)) - 1
-    x = x.withColumn("at", at).join(before, "shard")
-    return x.select(column, F.when((F.coalesce("start", F.lit(0)) + F.col("at")) % 2 == 0, "train").otherwise("test").alias("part"))
+    x = materialize(keys.repartitionByRange(column).sortWithinPartitions(column).withColumn("_at", F.monotonically_increasing_id()), "split")
+    x = x.withColumn("_part", F.shiftright("_at", 33))
+    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    starts = x.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return x.join(F.broadcast(starts), "_part").select(column, F.when(place % 2 == 0, "train").otherwise("test").alias("part"))
+
+
+def save(weights: DataFrame, folder: str, mode: str = "sparse") -> None:
+    """Fitted weights as JSON, with the centre and scale of each feature and the mode."""
+    scales = weights.sparkSession.createDataFrame([(f, c, s) for f, _, c, s in SCORER], "feature string, centre double, scale double")
+    weights.join(F.broadcast(scales), "feature", "left").withColumn("mode", F.lit(mode)).coalesce(1).write.mode("overwrite").json(folder)
+
+
+def load(spark: SparkSession, folder: str) -> dict[str, float]:
+    """Weights by feature, the intercept among them, as rules.score takes them; a feature that is absent keeps its fixed weight."""
+    rows = spark.read.schema("feature string, weight double").json(folder).collect()  # a row a feature
+    return {r["feature"]: r["weight"] for r in rows}
 
 
 def fitted(tracks: DataFrame) -> DataFrame:

@@ -212,6 +212,22 @@ def test_fit_refuses_few_labels(spark):
         learn.fitted(t)
 
 
+def test_saved_weights(spark, tmp_path):
+    w = spark.createDataFrame([("persistence", 2.5), ("intercept", 0.25)], "feature string, weight double")
+    learn.save(w, str(tmp_path / "scorer"))
+    weights = learn.load(spark, str(tmp_path / "scorer"))
+    assert weights == {"persistence": 2.5, "intercept": 0.25}
+    zero = spark.range(1).select(*(F.lit(c).alias(f) for f, _, c, _ in rules.SCORER))
+    x = zero.withColumn("persistence", F.lit(0.8)).select(rules.score(patches=True, weights=weights).alias("s")).first().s
+    assert x == pytest.approx(1 / (1 + np.exp(-2.75)))
+
+
+def test_split_of_sparse_keys(spark):
+    keys = [k * k * 7919 for k in range(300)]
+    got = {r.k: r.part for r in learn.split(spark.createDataFrame([(k,) for k in keys], "k long").repartition(5)).collect()}
+    assert got == {k: ("train", "test")[i % 2] for i, k in enumerate(sorted(keys))}
+
+
 def test_single_observation(spark):
     row = [(1, "x", 0.0, 1, 0.0, 0.0, 50.0, 50.0, 0.5)]
     d = spark.createDataFrame(row, "seq_id long, lane string, offset_s double, det_id long, x1 double, y1 double, x2 double, y2 double, confidence double")
