@@ -89,6 +89,8 @@ def average_precision(m: DataFrame, truth: DataFrame) -> DataFrame:
     x = m.select("det_id", "confidence", F.col("truth_id").isNotNull().cast("int").alias("tp")).repartitionByRange(*order).sortWithinPartitions(*order)
     x = materialize(x.withColumn("at", F.monotonically_increasing_id()), "ranked").withColumn("part", F.shiftright("at", 33))
     inside = Window.partitionBy("part").orderBy("at")
+    # backwards, since a frame that ends at the last row is computed anew for every row
+    rest = Window.partitionBy("part").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumns({"r": F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1, "t": F.sum("tp").over(inside.rowsBetween(Window.unboundedPreceding, 0))})
     ranges = Window.orderBy("part")  # a row a range
     before = ranges.rowsBetween(Window.unboundedPreceding, -1)
@@ -96,7 +98,7 @@ def average_precision(m: DataFrame, truth: DataFrame) -> DataFrame:
     sums = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("t0"))
     x = x.join(F.broadcast(sums), "part").withColumn("p", (F.col("t0") + F.col("t")) / (F.col("n0") + F.col("r")))
     best = x.groupBy("part").agg(F.max("p").alias("b")).withColumn("later", F.max("b").over(ranges.rowsBetween(1, Window.unboundedFollowing))).select("part", "later")
-    x = x.join(F.broadcast(best), "part").withColumn("e", F.greatest(F.max("p").over(inside.rowsBetween(0, Window.unboundedFollowing)), F.coalesce("later", F.lit(0.0))))
+    x = x.join(F.broadcast(best), "part").withColumn("e", F.greatest(F.max("p").over(rest), F.coalesce("later", F.lit(0.0))))
     a = x.agg(F.coalesce(F.sum(F.col("e") * F.col("tp")), F.lit(0.0)).alias("area"), F.count("*").alias("n"), F.coalesce(F.sum("tp"), F.lit(0)).alias("tp"))
     return _with_truths(a, truth).select(F.coalesce(F.try_divide("area", "n_truth"), F.lit(0.0)).alias("ap"), "n", "tp", "n_truth")
 
