@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazeline.functions import geodesy as geo
-from hazeline.session import materialize
+from hazeline.session import materialize, task_count
 
 
 @dataclass(frozen=True)
@@ -312,7 +312,7 @@ def solved(d: DataFrame, terrain: Terrain, camera: Camera, solver: Solver | None
     x = x.withColumn("depression", geo.depression((F.col("_x"), F.col("_y"), F.col("_z")))).drop("_x", "_y", "_z")
     fine = F.col("depression") >= solver.grazing
     ground = d.sparkSession.sparkContext.broadcast(terrain)
-    places = x.where(fine).select("row_id", "u", "v", *_POSE).mapInPandas(_kernel(ground, camera, solver, uncertain), _OUT)
+    places = x.where(fine).select("row_id", "u", "v", *_POSE).repartition(task_count(d.sparkSession), "row_id").mapInPandas(_kernel(ground, camera, solver, uncertain), _OUT)
     number = lambda c: F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c)).alias(c)
     places = places.select("row_id", "reason", *(number(c) for c in ("lat", "lon", "elevation_m", "range_m", "cep50_m", "cep90_m", "hit_rate", "bias_m")))
     extra = [c for c in ("wind_speed", "wind_from") if c in d.columns]

@@ -39,6 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def task_count(spark: SparkSession) -> int:
+    """Partitions for work that is heavy for its bytes, which adaptive execution would put into one task."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage ends here and survives lost executors."""
     spark = df.sparkSession

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from hazeline.session import task_count
+
 #: Least overlap, misses that a track survives, reach in sizes of its last box.
 IOU, MISSES, FACTOR = 0.10, 2, 1.5
 BOX = ["x1", "y1", "x2", "y2"]
@@ -104,7 +106,7 @@ def linked(d: DataFrame) -> DataFrame:
     streams through: it is never held whole."""
     order = ["seq_id", "frame_index", "det_id"]
     columns = d.select(F.col("seq_id").cast("long"), F.col("frame_index").cast("int"), F.col("det_id").cast("long"), *(F.col(c).cast("double") for c in BOX))
-    return columns.repartition("seq_id").sortWithinPartitions(*order).mapInArrow(_replay, OUT)
+    return columns.repartition(task_count(d.sparkSession), "seq_id").sortWithinPartitions(*order).mapInArrow(_replay, OUT)
 
 
 def all_tracks(links: DataFrame) -> DataFrame:
