@@ -8,8 +8,9 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from hazeline.session import materialize
+from hazeline.session import materialize, task_count
 
 #: A missing doc_id travels through packed arrays as this value, sorts last, and comes back as null.
 NO_ID = 2**63 - 1
@@ -124,6 +125,25 @@ def dealt_join(x: DataFrame, wide: DataFrame, key: str, total: int, name: str, d
     return x.join(copies, [key, "_slot"]).drop("_slot")
 
 
+def parted(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """df as a table in ranges of (group, order), with the range's number as _part. Take a written table with a column that
+    tells rows apart as the last of the order: ranges come from a sample, and a key of any weight is cut by that column."""
+    cut = df.repartitionByRange(task_count(df.sparkSession), *group, *order)
+    return materialize(cut.withColumn("_part", F.spark_partition_id()), name)
+
+
+def carried(x: DataFrame, group: list[str], order: list[str], sums: dict[str, Column], name: str) -> DataFrame:
+    """x, which parted() wrote, with running sums within each group in the order. No group is gathered in one task: sums run
+    within ranges, and a range takes over the total of its group in those before. At most one group a range began before it,
+    so those totals are no more rows than there are ranges, and come by broadcast. Group columns aren't null."""
+    own = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = x.groupBy("_part", *group).agg(*(F.sum(c).alias(f"_{k}") for k, c in sums.items()))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = ends.select("_part", *group, *(F.sum(f"_{k}").over(before).alias(f"_{k}") for k in sums)).where(F.col(f"_{next(iter(sums))}").isNotNull())
+    x = x.withColumns({k: F.sum(c).over(own) for k, c in sums.items()}).join(F.broadcast(materialize(spans, name)), ["_part", *group], "left")
+    return x.withColumns({k: F.col(k) + F.coalesce(F.col(f"_{k}"), F.lit(0)) for k in sums}).drop(*(f"_{k}" for k in sums))
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component): for each node of edges(u, v) the smallest node that it reaches.
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import string
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeline.llm import decontaminate, exact_dedup, html, langid, minhash, packing, pii, quality, substring, urls
+from hazeline.llm import decontaminate, exact_dedup, html, langid, manifest, minhash, packing, pieces, pii, prefix_trie, quality, substring, urls
 from hazeline.session import table
 
 #: Fixed values of the URL contract.
@@ -54,8 +57,30 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = pieces.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    both = pieces.decoded(pieces.encoded(table(spark, sf_dir, "documents"), v), v)
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    whole = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    lower = [*whole[:-1], F.translate("text", string.ascii_uppercase, string.ascii_lowercase)]
+    touched = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, manifest.leaf_of(lower))
+    m = manifest.manifest(docs, manifest.leaf_of(whole), "lang", "doc_id", carry={"touched": touched})
+    again = manifest.folded(F.coalesce("touched", "leaf"), F.col("path"))
+    m = m.select("doc_id", "leaf", "subroot", "root", manifest.proof_of(F.col("path")).alias("proof_sha256"), again.alias("folded_root"))
+    return m.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    own = [op1_main_text, op2_personal_data, op3_url_filter, op4_length_buckets, op5_exact_dedup, op6_quality, op7_language, op8_repeated_windows, op9_near_dedup, op10_decontamination]
+    own = [op1_main_text, op2_personal_data, op3_url_filter, op4_length_buckets, op5_exact_dedup, op6_quality, op7_language, op8_repeated_windows, op9_near_dedup, op10_decontamination, op11_sentencepiece, op12_merkle_manifest, op13_prefix_trie]
     return {f.__name__: f for f in own}
 
 
@@ -95,5 +120,55 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
 
+def _crc32(digits: str) -> str:
+    """SQL of the unsigned CRC-32 of a string of ASCII characters, bit by bit."""
+    bits = "list_reduce(list_prepend(xor(a, b), [0::BIGINT FOR i IN range(8)]), lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(ch)::BIGINT FOR ch IN regexp_extract_all({digits}, '.')]), lambda a, b: {bits}), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR) END"
+
+
+_LEAF = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_OP12 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256({_LEAF} || {_field("text")}) AS leaf,
+      CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN sha256({_LEAF} || {_field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS touched FROM documents),
+l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM d),
+low AS (SELECT tree, 0 AS k, idx, leaf AS h, n FROM l
+        UNION ALL SELECT tree, k + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (n + 7) // 8 FROM low WHERE n > 1 GROUP BY tree, k, idx // 8, n),
+sub AS MATERIALIZED (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS rank, count(*) OVER () AS n FROM low WHERE n = 1),
+top AS (SELECT 0 AS k, rank AS idx, h, n FROM sub
+        UNION ALL SELECT k + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (n + 7) // 8 FROM top WHERE n > 1 GROUP BY k, idx // 8, n),
+every AS (SELECT tree, k, idx, h, n FROM low UNION ALL SELECT '^', k, idx, h, n FROM top),
+side AS MATERIALIZED (SELECT tree, k, idx, n, coalesce(string_agg(h, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+      coalesce(string_agg(h, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM every WINDOW run AS (PARTITION BY tree, k, idx // 8 ORDER BY idx)),
+-- a group's root stands for its leaf of the top tree
+hop AS MATERIALIZED (SELECT tree, k, idx, a, b, tree AS to_tree, k + 1 AS to_k, idx // 8 AS to_idx FROM side WHERE n > 1
+        UNION ALL SELECT s.tree, s.k, s.idx, t.a, t.b, '^', 1, t.idx // 8 FROM side s JOIN sub USING (tree) JOIN side t ON t.tree = '^' AND t.k = 0 AND t.idx = sub.rank WHERE s.n = 1 AND t.n > 1),
+walk AS (SELECT tree AS home, idx AS leaf_idx, tree, 0 AS k, idx, '' AS proof, coalesce(touched, leaf) AS h, 0 AS step FROM l
+        UNION ALL SELECT home, leaf_idx, to_tree, to_k, to_idx, proof || a || b, sha256(a || h || b), step + 1 FROM walk JOIN hop USING (tree, k, idx)),
+fin AS (SELECT home, leaf_idx, arg_max(proof, step) AS proof, arg_max(h, step) AS h FROM walk GROUP BY home, leaf_idx)
+SELECT doc_id, leaf, sub.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, fin.h AS folded_root, fin.h = r.h AS verified
+FROM l JOIN fin ON fin.home = l.tree AND fin.leaf_idx = l.idx JOIN sub ON sub.tree = l.tree JOIN (SELECT h FROM top WHERE n = 1) r ON true
+"""
+
+_OP13 = rf"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (SELECT DISTINCT c, c - c % 20 AS base, {_crc32("CAST(c AS VARCHAR)")} % 4 AS h FROM t),
+again AS (SELECT conv.c, 0 AS part, nth, role, text FROM conv JOIN t ON t.c = base AND nth <= h UNION ALL SELECT c, 1, nth, role, text FROM t JOIN conv USING (c) WHERE nth > h),
+x AS MATERIALIZED (SELECT c, row_number() OVER own AS d, md5(string_agg(md5(length(role) || ':' || role || text), '') OVER own) AS key, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS words
+      FROM again WINDOW own AS (PARTITION BY c ORDER BY part, nth) UNION ALL SELECT c, 0, '', 0 FROM conv),
+node AS MATERIALIZED (SELECT key, min(d) AS d, min(c) AS c, count(*) AS n, min(words) AS words FROM x GROUP BY key),
+up AS MATERIALIZED (SELECT node.*, p.key AS parent, q.c AS above FROM node LEFT JOIN x p ON p.c = node.c AND p.d = node.d - 1 LEFT JOIN node q ON q.key = p.key),
+kid AS (SELECT parent AS key, count(*) AS kids FROM up WHERE parent IS NOT NULL GROUP BY parent),
+own AS (SELECT up.*, coalesce(kids, 0) AS kids FROM up LEFT JOIN kid USING (key)),
+total AS (SELECT x.key, sum(CAST(kids = 0 AS INT)) AS leaves, sum((n - 1) * own.words) AS saved FROM own JOIN x ON x.c = own.c AND x.d <= own.d GROUP BY x.key),
+ends AS (SELECT key, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends FROM (SELECT c, arg_max(key, d) AS key FROM x GROUP BY c) GROUP BY key)
+SELECT c AS conv_id, CAST(d AS BIGINT) AS depth, above AS parent_conv_id, n AS n_convs, kids AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+       coalesce(ends, sha256('')) AS ends_sha256 FROM own JOIN total USING (key) LEFT JOIN ends USING (key)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": _OP5, "op8_repeated_windows": _OP8, "op9_near_dedup": _OP9}
+    return {"op5_exact_dedup": _OP5, "op8_repeated_windows": _OP8, "op9_near_dedup": _OP9, "op12_merkle_manifest": _OP12, "op13_prefix_trie": _OP13}
