@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import NO_ID, batches_of, small_batches
+from hazeline.llm.common import NO_ID, batches_of
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -47,7 +47,7 @@ _BAD = {
     "form": re.compile(r"form|login|search|input|captcha"),
 }
 _TAGS = "article main section nav header footer aside form p h1 h2 h3 h4 ul ol li table td blockquote pre figure figcaption address details button dialog fieldset dl dd div".split()
-_NAMES = [*(f"<{t}>" for t in _TAGS), "other", "good", *_BAD, "role", *(f"in:{k}" for k in ("nav", "header", "footer", "aside", "form", "article", "main")), "text", "links", "short", "stops", "empty", "bias"]
+_NAMES = [*(f"<{t}>" for t in _TAGS), "<article> in clutter", "<main> in clutter", "other", "good", *_BAD, "in:clutter", *(f"in:{k}" for k in ("nav", "header", "footer", "aside", "form", "article", "main")), "text", "links", "short", "stops", "empty", "bias"]
 _AT = {n: i for i, n in enumerate(_NAMES)}
 WIDTH = len(_NAMES)
 
@@ -189,17 +189,33 @@ def wrappers(nodes: list[Node]) -> list[bool]:
     return [x.tag == "form" and (holds[i] or paragraphs[i] >= 3 and 2 * size[i] >= size[0]) for i, x in enumerate(nodes)]
 
 
+def cluttered(nodes: list[Node], wrap: list[bool]) -> list[bool]:
+    """Whether a node is a landmark, a form that doesn't wrap the page, or named as clutter, or stands within such a node."""
+    out: list[bool] = []
+    for n, w in zip(nodes, wrap, strict=True):
+        own = not w and (n.tag in _LANDMARKS or n.tag == "form" or bool(n.names) and any(_NAMES[k] in _BAD for k in named(n.names)))
+        out.append(own or n.parent >= 0 and out[n.parent])
+    return out
+
+
+def forms(nodes: list[Node]) -> list[bool]:
+    return wrappers(nodes) if any(x.tag == "form" for x in nodes) else [False] * len(nodes)
+
+
 def evidence(nodes: list[Node]) -> list[list[tuple[int, float]]]:
     """Sparse features of every node: its own tag, names and text, and the landmark elements around it. A form that wraps
-    the page counts as a div."""
+    the page counts as a div. An article within clutter (a comment, a teaser) is another feature than one in the open, and
+    what stands in it isn't in an article."""
     around: list[frozenset] = []
     out = []
-    wrap = wrappers(nodes) if any(x.tag == "form" for x in nodes) else [False] * len(nodes)
-    for n, wrapper in zip(nodes, wrap, strict=True):
+    wrap = forms(nodes)
+    lost = cluttered(nodes, wrap)
+    for n, wrapper, clutter in zip(nodes, wrap, lost, strict=True):
         up = around[n.parent] if n.parent >= 0 else frozenset()
-        tag = "div" if wrapper else n.tag
-        around.append(up | {tag} if tag in ("nav", "header", "footer", "aside", "form", "article", "main") else up)
-        f = [(_AT["bias"], 1.0), (_AT.get(f"<{tag}>", _AT["other"]), 1.0)]
+        tag = "div" if wrapper else f"{n.tag}> in clutter" if clutter and n.tag in ("article", "main") else n.tag
+        here = up | {tag} if tag in ("nav", "header", "footer", "aside", "form", "article", "main") else up
+        around.append(here | {"clutter"} if clutter else here)
+        f = [(_AT["bias"], 1.0), (_AT.get(f"<{tag}" if clutter and ">" in tag else f"<{tag}>", _AT["other"]), 1.0)]
         f += [(k, 1.0) for k in named(n.names)] if n.names else []
         f += [(_AT[f"in:{t}"], 1.0) for t in up]
         size = sum(len(s) for _, parts in n.parts for s in parts)
@@ -219,9 +235,11 @@ def evidence(nodes: list[Node]) -> list[list[tuple[int, float]]]:
 
 def kinds(nodes: list[Node]) -> list[int]:
     """Which potential joins each node to its parent: 1 for landmarks and blocks named as clutter, which say little of what
-    they stand in, and 0 for all others."""
-    wrap = wrappers(nodes) if any(x.tag == "form" for x in nodes) else [False] * len(nodes)
-    return [int(n.tag in _LANDMARKS or n.tag == "form" and not w or bool(n.names) and any(_NAMES[k] in _BAD for k in named(n.names))) for n, w in zip(nodes, wrap, strict=True)]
+    they stand in, 2 for plain blocks in an article or main element in the open, whose lot they share, and 0 for all others."""
+    wrap = forms(nodes)
+    lost = cluttered(nodes, wrap)
+    own = [n.tag in _LANDMARKS or n.tag == "form" and not w or bool(n.names) and any(_NAMES[k] in _BAD for k in named(n.names)) for n, w in zip(nodes, wrap, strict=True)]
+    return [1 if o else 2 if n.parent >= 0 and nodes[n.parent].tag in ("article", "main") and not lost[n.parent] else 0 for n, o in zip(nodes, own, strict=True)]
 
 
 class Model:
@@ -256,9 +274,10 @@ def _message(odds: float, k00: float, k01: float, k10: float, k11: float) -> flo
 
 
 def main_text(page: str, model: Model) -> str:
-    """Blocks of content in page order, joined by two line feeds."""
+    """Blocks of content in page order, joined by two line feeds. A page without any block element is one block, and its text."""
     nodes = parse(page)
-    p = model.marginals(nodes)
+    bare = all(n.tag in ("html", "body", "head") for n in nodes)
+    p = [1.0] * len(nodes) if bare else model.marginals(nodes)
     blocks = sorted((order, parts) for n, x in zip(nodes, p, strict=True) if x >= 0.5 for order, parts in n.parts)
     return "\n\n".join(t for t in (words_of(parts) for _, parts in blocks) if t)
 
@@ -327,7 +346,7 @@ def train(pages: list[str], steps: int = 300, decay: float = 1e-4) -> Model:
     c /= c.sum()
     levels = [np.flatnonzero(depth == d) for d in range(1, depth.max() + 1)]
     child = np.flatnonzero(parent >= 0)
-    seen = np.zeros((2, 2, 2))
+    seen = np.zeros((3, 2, 2))
     np.add.at(seen, (kind[child], y[parent[child]], y[child]), c[child])
     start = np.log((seen + 1e-3) / (seen + 1e-3).sum(axis=2, keepdims=True))
     theta = np.concatenate([np.zeros(WIDTH), start.ravel()])
@@ -337,7 +356,7 @@ def train(pages: list[str], steps: int = 300, decay: float = 1e-4) -> Model:
         return np.logaddexp(e[:, 1, 0], e[:, 1, 1] + odds) - np.logaddexp(e[:, 0, 0], e[:, 0, 1] + odds)
 
     for step in range(1, steps + 1):
-        e = theta[WIDTH:].reshape(2, 2, 2)
+        e = theta[WIDTH:].reshape(3, 2, 2)
         below, up = x @ theta[:WIDTH], np.zeros(len(x))
         for own in reversed(levels):
             up[own] = message(below[own], e[kind[own]])
@@ -348,12 +367,12 @@ def train(pages: list[str], steps: int = 300, decay: float = 1e-4) -> Model:
         pair = e[kind[child]] + (full[parent[child]] - up[child])[:, None, None] * np.array([0, 1])[:, None] + below[child][:, None, None] * np.array([0, 1])
         pair = np.exp(pair - pair.max(axis=(1, 2), keepdims=True))
         pair *= (c[child] / pair.sum(axis=(1, 2)))[:, None, None]
-        expected = np.zeros((2, 2, 2))
+        expected = np.zeros((3, 2, 2))
         np.add.at(expected, kind[child], pair)
         g = np.concatenate([x.T @ (c * (1 / (1 + np.exp(-np.clip(full, -40, 40))) - y)), (expected - seen).ravel()]) + decay * (theta - low)
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
         theta -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-9)
-    return Model(theta[:WIDTH], theta[WIDTH:].reshape(2, 2, 2).tolist())
+    return Model(theta[:WIDTH], theta[WIDTH:].reshape(3, 2, 2).tolist())
 
 
 def examples() -> list[str]:
@@ -392,6 +411,15 @@ def examples() -> list[str]:
         else:
             page = f"<body>{before}{frames[k % len(frames)].format(inner)}{after}</body>"
         out.append(f"<html>{page}</html>")
+    # an article of one block, alone or with clutter beside it
+    for k, frame in enumerate([*frames, "{}"]):
+        for j, inner in enumerate(bodies[3:7]):
+            mine = [clutter[(3 * k + 7 * j + i) % len(clutter)] for i in range(4)]
+            for before, after in (("", ""), (mine[0], ""), (mine[0] + mine[1], mine[2] + mine[3])):
+                top = "" if "{}" != frame or before or after else ' y="1"'
+                own_ = inner.replace("<p>", '<p y="1">') if frame == "{}" else inner
+                if "<p>" in inner or frame != "{}":
+                    out.append(f"<html><body{top}>{before}{frame.format(own_)}{after}</body></html>")
     # pages without an article
     out += [f"<html><body>{''.join(clutter[(k + 3 * j) % len(clutter)] for j in range(5))}</body></html>" for k in range(24)]
     return out
@@ -419,7 +447,6 @@ def main_texts(pages: DataFrame, model: Model) -> DataFrame:
     null. Other columns are left out whatever their names; an empty table gives no rows.
     """
     spark = pages.sparkSession
-    small_batches(spark)
     p = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page"), F.col("url").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     extract = _extract(spark.sparkContext.broadcast(model))
 

@@ -72,3 +72,31 @@ def test_long_pages_and_repeated_rows(spark, built_in):
     got = [(r.page_id, r.n_chars) for r in html.main_texts(d, built_in).collect()]
     n = 20_000 * (len(SAY) + 2) - 2
     assert sorted(got, key=str) == sorted([(1, n), (1, n), (None, len(SAY))], key=str)
+
+
+def without_headings(inner):
+    return re.sub(r"<h([1-6])>.*?</h\1>", "", inner, flags=re.S)
+
+
+def one_paragraph(inner):
+    """The first paragraph alone; what stands before it in a broken one goes."""
+    m = re.search(r"<p>.*?(?=<p>|</p>|$)", without_headings(inner).split("<br>")[-1], re.S)
+    return m[0] + "</p>" if m else inner
+
+
+@pytest.mark.parametrize("element", ["article", "div", "section", "main"])
+@pytest.mark.parametrize("change", [lambda x: x, without_headings, one_paragraph])
+def test_no_article_vanishes(spark, built_in, change, element):
+    """All pages of the table, also with less in the article and with another element around it."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("html IS NOT NULL").collect()]
+    for page in pages:
+        page = re.sub(r"<article>(.*?)</article>", lambda m: f"<article>{change(m[1])}</article>", page, flags=re.S)
+        want = article(page)
+        assert want and html.main_text(page.replace("<article>", f"<{element}>").replace("</article>", f"</{element}>"), built_in) == want
+
+
+def test_small_pages(built_in):
+    for page in (f"<p>{SAY}</p>", f"<p>{SAY}", SAY, f"<b>{SAY}</b>", f"<html><head><title>x</title></head><body>{SAY}</body></html>", f"<div><p>{SAY}</p></div>", f"<main><p>{SAY}</p></main>", f"<article><p>{SAY}"):
+        assert html.main_text(page, built_in) == SAY, page
+    for page in (f'<div class="comments"><article><p>{SAY}</p></article></div>', f"<nav><ul><li><a href=1>{SAY}</a></li></ul></nav>", f"<aside><article><p>{SAY}</p></article></aside>", "", "<div></div>"):
+        assert html.main_text(page, built_in) == "", page
