@@ -19,16 +19,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import NO_ID, batches_of, small_batches, utf8, with_facts
+from hazeline.llm.common import NO_ID, batches_of, utf8, with_facts
 from hazeline.llm.urls import host_of, path_of
 from hazeline.session import materialize
 
 CELLS = 1 << 14
-_TAG = re.compile(rb"(?is)<(script|style|title)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]+;")
+_MARK = re.compile(rb"(?i)<!--|<(script|style|title)\b|<[^>]*>|&[#\w]+;")
+_ENTITY = re.compile(rb"&[#\w]+;")
+_CLOSER = {k: re.compile(rb"(?i)</%s\s*>" % k) for k in (b"script", b"style", b"title")}
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+def spoken(page: bytes) -> bytes:
+    """The page without tags, comments, character references, and what stands in script, style and title elements. One scan
+    forward, linear on any input: what is opened and never closed goes on to the end of the page."""
+    out, p, last = [], 0, page.rfind(b">") + 1  # no tag begins after the last >, so none is looked for there
+    while m := _MARK.search(page, p, last):
+        out.append(page[p : m.start()])
+        p = m.end()
+        if m[0] == b"<!--":
+            p = page.find(b"-->", p) + 3
+            if p < 3:
+                return b" ".join(out)
+        elif m[1]:
+            end = _CLOSER[m[1].lower()].search(page, p)
+            if not end:
+                return b" ".join(out)
+            p = end.end()
+    out.append(_ENTITY.sub(b" ", page[p:].partition(b"<!--")[0]))
+    return b" ".join(out)
+
+
 def trigrams(text: bytes) -> np.ndarray:
     """Cells of the byte trigrams of letters, lower-cased, runs of others as one space."""
     raw = np.frombuffer(text.lower(), np.uint8)
@@ -55,7 +77,6 @@ def _count(batches):
 def text_models(docs: DataFrame, sample: int = 4000) -> tuple[list[str], np.ndarray]:
     """All languages that documents declare and log P(trigram cell | language), from about sample labelled documents a
     language, those with the smallest hashes. A model is 64 KB, and the driver gets one row a language."""
-    small_batches(docs.sparkSession)
     d = docs.where("lang IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc"), utf8("text").alias("content"))
     sizes = d.groupBy("lang").agg(F.count("*").alias("size"))
     # The share of hashes that holds about the sample: one filter, no ranking of a language's documents.
@@ -78,7 +99,7 @@ def _likelihood(model, temper: float):
         for ids, pages in batches_of(batches, ["page", "content"]):
             ll = []
             for html in pages:
-                cells = trigrams(_TAG.sub(b" ", html))
+                cells = trigrams(spoken(html))
                 # trigrams of a text are far from independent: evidence grows with the root of their number
                 ll.append((table[:, cells].sum(axis=1, dtype=np.float64) * temper / np.sqrt(len(cells))).tolist() if len(cells) else None)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ll, pa.list_(pa.float64()))], ["page", "ll"])
@@ -96,9 +117,9 @@ def languages_of(pages: DataFrame, docs: DataFrame, sample: int = 4000, temper:
     judged each. Other columns are left out whatever their names; an empty table gives no rows.
     """
     spark = pages.sparkSession
-    small_batches(spark)
     names, table = text_models(docs, sample)
-    declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
+    tag = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html[^>]*", 0)
+    declared = F.lower(F.regexp_extract(tag, r"(?i)\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
     code = F.regexp_extract(path_of(F.col("url")), r"^/([a-z]{2})(?:[/-]|$)", 1)
     suffix = F.concat_ws("/", F.substring_index("host", ".", -1), "code").alias("suffix")
     if not names:

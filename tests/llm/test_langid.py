@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -10,6 +11,8 @@ import pytest
 from hazeline.llm import langid
 
 SF = "/root/testdata/sf0.001"
+#: what is no text, in one pattern that takes quadratic time on broken pages
+_TAG = re.compile(rb"(?is)<(script|style|title)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]+;")
 
 
 def test_languages_of_texts_that_declare_nothing(spark):
@@ -29,7 +32,7 @@ def plainly(pages, names, table, strength=10.0, temper=1.0):
         host, path = (m[1].lower(), m[2]) if m else ("", "")
         declared = (re.search(r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z]{2,3})", html or "") or ["", ""])[1].lower()
         code = (re.match(r"^/([a-z]{2})(?:[/-]|$)", path) or ["", ""])[1]
-        cells = langid.trigrams(langid._TAG.sub(b" ", (html or "").encode()))
+        cells = langid.trigrams(_TAG.sub(b" ", (html or "").encode()))
         ll = table[:, cells].sum(axis=1, dtype=np.float64) * temper / math.sqrt(len(cells)) if len(cells) else None
         rows.append((page_id, host, host.split(".")[-1], declared, code, ll, None if ll is None else int(np.argmax(ll))))
     out = {}
@@ -75,3 +78,27 @@ def test_repeats_and_long_pages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     pages = spark.createDataFrame([(1, "http://h.org/", "the of and " * 200_000), (1, "http://h.org/", "the of and"), (1, "http://h.org/", "the of and"), (None, None, "der die das")], "page_id long, url string, html string")
     assert langid.languages_of(pages, docs).count() == 4
+
+
+def test_tags_are_cut_as_by_the_plain_pattern(spark):
+    pages = [(r.html or "").encode() for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    pages += [b"a<!-- b > c -->d", b"x<SCRIPT>if (a < b) y</Script >z", b"a < b &amp; c", b"<p>1</p", b"<!-->x-->y", b"a<title>b</titles></title>c", b"", b"&lt;&#33;&x"]
+    for page in pages:
+        assert list(langid.trigrams(langid.spoken(page))) == list(langid.trigrams(_TAG.sub(b" ", page))), page
+
+
+@pytest.mark.parametrize("bit", [b"<script>", b"<style>", b"<title>", b"<!--", b"<", b"</script ", b"<script>x</script", b"<!-->", b"&a"])
+@pytest.mark.parametrize("tail", [b"", b">"])
+def test_broken_pages_take_linear_time(bit, tail):
+    t = time.perf_counter()
+    langid.spoken(bit * 20_000 + tail)
+    assert time.perf_counter() - t < 1
+
+
+def test_broken_pages_in_spark(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    bits = ["<script>", "<style>", "<title>", "<!--", "<html ", "<html lang"]
+    pages = spark.createDataFrame([(k, "http://a.example/", b * 20_000) for k, b in enumerate(bits)], "page_id long, url string, html string")
+    t = time.perf_counter()
+    assert len(langid.languages_of(pages, docs).collect()) == len(bits)
+    assert time.perf_counter() - t < 60
