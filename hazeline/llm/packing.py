@@ -84,10 +84,10 @@ def packed(docs: DataFrame, buckets: int = 8, token_budget: int = 65_536, tokens
     their names; an empty table gives no rows.
 
     Numbers within a bucket come in two steps, so that a bucket with a third of all rows isn't ordered in one task: rows
-    are dealt to shards of about shard_rows by a hash, ordered there, and start at the sum of the shards before.
+    are dealt to shards of about shard_rows by a hash of id and length (of row number where there is no id), ordered there, and start at the sum of the shards before.
     """
     n = (word_count() if tokens is None else tokens).cast("long")
-    lengths = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n_tokens")), "lengths")
+    lengths = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n_tokens"), F.monotonically_increasing_id().alias("row")), "lengths")
     hist = histogram(lengths)
     ends = boundaries(hist, buckets)
     if not ends:
@@ -100,7 +100,7 @@ def packed(docs: DataFrame, buckets: int = 8, token_budget: int = 65_536, tokens
         bucket = F.when(F.col("n_tokens") <= ends[k], k).otherwise(bucket)
     pick = lambda values: F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), F.col("bucket") + 1)
     shards = [max(1, -(-c // shard_rows)) for c in counts]
-    x = lengths.withColumn("bucket", bucket.cast(T.IntegerType())).withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), pick(shards)))
+    x = lengths.withColumn("bucket", bucket.cast(T.IntegerType())).withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", "row"), "n_tokens"), pick(shards)))
     sizes = x.groupBy("bucket", "shard").agg(F.count("*").alias("rows"))
     before = F.sum("rows").over(Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("bucket", "shard", F.coalesce(before, F.lit(0)).alias("start"))
