@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import NO_ID, WordHashes, batches_of, hash_words, mix, rolling, small_batches, utf8
+from hazeline.llm.common import NO_ID, WordHashes, batches_of, hash_words, mix, rolling, utf8
 from hazeline.session import materialize
 
 PERIOD = 13
@@ -360,16 +360,15 @@ def repeated_windows(docs: DataFrame, window: int = 20, anchor: int = 8, bucket_
     doc_id sorts last and comes back as null; rows that repeat both doc_id and text are judged as one and get the same
     answer, and rows that repeat a doc_id with another text come in the order of the texts' hashes. Other columns are left
     out whatever their names; an empty table gives no rows. window must be at least anchor + 12. There is a bucket for
-    every bucket_bytes of text, 16,384 at most, and a partition for every partition_bytes, but no fewer than
+    every bucket_bytes of text, and a partition for every partition_bytes, but no fewer than
     spark.sql.shuffle.partitions; limit bounds the entries that a reducer holds.
     """
     if window < anchor + PERIOD - 1:
         raise ValueError("two equal windows need not share an anchor if window < anchor + 12")
     spark = docs.sparkSession
-    small_batches(spark)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // partition_bytes))
-    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // bucket_bytes), 1 << 14))
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(utf8("text")).alias("tag"), utf8("text").alias("content"))
     z = d.mapInArrow(_squeeze, "doc long, tag long, z binary")
 
