@@ -20,11 +20,6 @@ _B = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Fewer rows in each Arrow batch, so that a batch of very long texts stays small in memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def utf8(name: str) -> Column:
     """A text column as UTF-8 bytes; null as empty."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
@@ -95,6 +90,15 @@ def semi_by_size(df: DataFrame, ids: DataFrame, key: str | list[str], how: str =
     return df.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, key, how)
 
 
+def numbered_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs as a table with a number for each row, and that column's name, which docs doesn't have. Written once, so that a
+    row keeps its number however often the table is read."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def with_facts(x: DataFrame, facts: DataFrame, on: list[str], total: int, most: int = 256, small: int = 100_000) -> DataFrame:
     """x left-joined with facts(*on, rows, ...), one row a key; rows counts the rows of x that have the key, total all rows.
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hazeline.llm.common import NO_ID, WordHashes, batches_of, hash_words, mix, rolling, semi_by_size, small_batches, utf8, with_facts
+from hazeline.llm.common import NO_ID, WordHashes, batches_of, hash_words, mix, rolling, semi_by_size, utf8, with_facts
 from hazeline.session import materialize
 
 _EDGE = b".,;:!?\"'()[]{}<>"
@@ -207,7 +207,6 @@ def _tile(min_match: int, share: float):
 def tiled(docs: DataFrame, benchmark: DataFrame, min_match: int, share: float, filter_bits: int, broadcast_bytes: int = 8 << 20, deal: int = 1000) -> DataFrame:
     """(doc, tag, item, n_words, covered, tiles) of every leak; tag is the hash of the document's text."""
     spark = docs.sparkSession
-    small_batches(spark)
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(utf8("text")).alias("tag"), utf8("text").alias("content"))
     items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID)).alias("item"), F.xxhash64(utf8("text")).alias("itag"), utf8("text").alias("content"))
     items = materialize(items.dropDuplicates(["item", "itag"]), "leak-items")

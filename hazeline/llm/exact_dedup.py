@@ -15,34 +15,34 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import NO_ID, SPACE, batches_of, semi_by_size, small_batches, utf8
+from hazeline.llm.common import NO_ID, SPACE, batches_of, numbered_rows, semi_by_size, utf8, with_facts
 from hazeline.session import materialize
 
-_PART = "h long, content binary, n long, points long, doc long"
+_PART = "h long, content binary, n long, points long, doc long, row long"
 
 
 class ContentTable:
-    """Open addressing with linear probing; a record is (content, copies, code points and id of the best copy)."""
+    """Open addressing with linear probing; a record is (content, copies, code points, id and row number of the best copy)."""
 
     def __init__(self, slots: int = 1024):
         self.slots, self.hashes, self.rows, self.bytes = np.full(slots, -1, np.int64), [], [], 0
 
-    def put(self, h: int, content: bytes, n: int, points: int, doc: int) -> None:
+    def put(self, h: int, content: bytes, n: int, points: int, doc: int, number: int) -> None:
         mask = len(self.slots) - 1
         at = (h ^ (h >> 29)) & mask
         while (i := self.slots[at]) >= 0:
             if self.hashes[i] == h and (row := self.rows[i])[0] == content:
                 row[1] += n
-                if (points, -doc) > (row[2], -row[3]):
-                    row[2:] = points, doc
+                if (points, -doc, -number) > (row[2], -row[3], -row[4]):
+                    row[2:] = points, doc, number
                 return
             at = (at + 1) & mask
         self.slots[at] = len(self.rows)
         self.hashes.append(h)
-        self.rows.append([content, n, points, doc])
+        self.rows.append([content, n, points, doc, number])
         self.bytes += len(content) + 200
         if 2 * len(self.rows) > len(self.slots):
             self.grow()
@@ -97,16 +97,16 @@ def _unpickled(f) -> Iterator[tuple]:
 
 
 def _rows(batches) -> Iterator[tuple]:
-    for docs, points, texts in batches_of(batches, ["doc", "points", "content"]):
-        for doc, p, text in zip(docs, points, texts, strict=True):
-            yield doc, p, text.translate(None, SPACE)
+    for docs, numbers, points, texts in batches_of(batches, ["doc", "row", "points", "content"]):
+        for doc, number, p, text in zip(docs, numbers, points, texts, strict=True):
+            yield doc, number, p, text.translate(None, SPACE)
 
 
 def fold_local(limit: int):
     def run(batches):
         table = ContentTable()
-        for doc, p, norm in _rows(batches):
-            table.put(xxhash.xxh3_64_intdigest(norm), norm, 1, p, doc)
+        for doc, number, p, norm in _rows(batches):
+            table.put(xxhash.xxh3_64_intdigest(norm), norm, 1, p, doc, number)
             if table.bytes > limit:
                 yield from _parts(table)
                 table = ContentTable()
@@ -116,23 +116,24 @@ def fold_local(limit: int):
 
 
 def _parts(table: ContentTable):
+    names = ["content", "n", "points", "doc", "row"]
     for i in range(0, len(table.rows), 2000):
-        content, n, points, doc = zip(*table.rows[i : i + 2000], strict=True)
         h = np.array(table.hashes[i : i + 2000], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(content, pa.binary()), pa.array(n, pa.int64()), pa.array(points, pa.int64()), pa.array(doc, pa.int64())], ["h", "content", "n", "points", "doc"])
+        columns = [pa.array(c, pa.binary() if k == "content" else pa.int64()) for k, c in zip(names, zip(*table.rows[i : i + 2000], strict=True), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(h), *columns], ["h", *names])
 
 
 def fold_global(limit: int):
     def run(batches):
-        records = ((h % 2**64, c, n, p, d) for cols in batches_of(batches, ["h", "content", "n", "points", "doc"]) for h, c, n, p, d in zip(*cols, strict=True))
+        records = ((h % 2**64, *rest) for cols in batches_of(batches, ["h", "content", "n", "points", "doc", "row"]) for h, *rest in zip(*cols, strict=True))
         out: list = []
 
         def batch():
-            sha, n, doc = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(sha), pa.array(n, pa.int64()), pa.array(doc, pa.int64())], ["sha", "n", "keep"])
+            sha, *rest = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(sha), *(pa.array(c, pa.int64()) for c in rest)], ["sha", "n", "keep", "keep_row"])
 
-        for content, n, _, doc in grace(records, limit):
-            out.append((hashlib.sha256(content).digest(), n, doc))
+        for content, n, _, doc, number in grace(records, limit):
+            out.append((hashlib.sha256(content).digest(), n, doc, number))
             if len(out) == 5000:
                 yield batch()
                 out.clear()
@@ -143,9 +144,19 @@ def fold_global(limit: int):
 
 
 def _digest(batches):
-    for docs, points, texts in batches_of(batches, ["doc", "points", "content"]):
+    for docs, numbers, texts in batches_of(batches, ["doc", "row", "content"]):
         sha = [hashlib.sha256(t.translate(None, SPACE)).digest() for t in texts]
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sha)], ["doc", "sha"])
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int64()), pa.array(sha)], ["doc", "row", "sha"])
+
+
+def _classed(docs: DataFrame, row: Column, combine_bytes: int, bucket_bytes: int) -> DataFrame:
+    """(doc, row, sha, n, keep, keep_row) of each row: its class's size and the id and row number of the copy that stays.
+    Classes are written as a table; those with many rows come by broadcast, so no task gets a large class whole."""
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), row.cast("long").alias("row"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("points"), utf8("text").alias("content"))
+    parts = d.mapInArrow(fold_local(combine_bytes), _PART).repartition("h")
+    classes = materialize(parts.mapInArrow(fold_global(bucket_bytes), "sha binary, n long, keep long, keep_row long").withColumn("rows", F.col("n")), "classes")
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return with_facts(d.mapInArrow(_digest, "doc long, row long, sha binary"), classes, ["sha"], total)
 
 
 def exact_groups(docs: DataFrame, combine_bytes: int = 32 << 20, bucket_bytes: int = 64 << 20) -> DataFrame:
@@ -156,16 +167,15 @@ def exact_groups(docs: DataFrame, combine_bytes: int = 32 << 20, bucket_bytes: i
     null. Rows that repeat a doc_id count in group_size and are marked like each other. Other columns of docs are left
     out whatever their names; an empty table gives no rows. combine_bytes and bucket_bytes bound the memory of one task.
     """
-    small_batches(docs.sparkSession)
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("points"), utf8("text").alias("content"))
-    parts = d.mapInArrow(fold_local(combine_bytes), _PART).repartition("h")
-    classes = parts.mapInArrow(fold_global(bucket_bytes), "sha binary, n long, keep long")
-    out = d.mapInArrow(_digest, "doc long, sha binary").join(classes, "sha")
+    out = _classed(docs, F.lit(0), combine_bytes, bucket_bytes)
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(back("doc").alias("doc_id"), back("keep").alias("keep_id"), F.col("n").alias("group_size"), (F.col("doc") == F.col("keep")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_groups drops. Rows without a doc_id stay."""
-    gone = materialize(exact_groups(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id"), "copies")
-    return semi_by_size(docs, gone, "doc_id", "left_anti")
+def drop_copies(docs: DataFrame, combine_bytes: int = 32 << 20, bucket_bytes: int = 64 << 20) -> DataFrame:
+    """docs with one row of each group of equal texts: the one with the most code points, then the smallest doc_id (null
+    last). Rows are told apart by a number of their own, so rows without a doc_id, of one doc_id and repeated rows count
+    each for itself."""
+    d, row = numbered_rows(docs)
+    gone = _classed(d, F.col(row), combine_bytes, bucket_bytes).where("row <> keep_row").select(F.col("row").alias(row))
+    return semi_by_size(d, materialize(gone, "copies"), row, "left_anti").select(*docs.columns)

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import NO_ID, WordHashes, batches_of, connected_components, dealt_join, rolling, semi_by_size, shingle_set, small_batches, utf8, with_facts
+from hazeline.llm.common import NO_ID, WordHashes, batches_of, connected_components, dealt_join, numbered_rows, rolling, semi_by_size, shingle_set, utf8, with_facts
 from hazeline.session import materialize
 
 BANDS, ROWS, BITS = 24, 4, 2
@@ -202,7 +202,6 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, margin: floa
     names; an empty table gives no rows. A pair of the threshold's similarity shares no band with probability 3e-6, and
     an estimate falls margin below the truth with probability 6e-6.
     """
-    small_batches(docs.sparkSession)
     floor = percent / 100 - margin
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), utf8("text").alias("content"))
     sets = materialize(d.mapInArrow(_sketch(words), "doc long, n long, dig binary, bands array<long>, sig array<long>"), "near-sets")
@@ -245,6 +244,13 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, margin: floa
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each near-duplicate group. Rows without a doc_id stay."""
-    gone = materialize(near_groups(docs, words, percent).where("NOT kept AND doc_id IS NOT NULL").select("doc_id"), "near-gone")
-    return semi_by_size(docs, gone, "doc_id", "left_anti")
+    """docs with one row of each near-duplicate group, that with the smallest doc_id (null last). Rows are told apart by a
+    number of their own, so rows without a doc_id, of one doc_id with other texts and repeated rows count each for itself."""
+    d, row = numbered_rows(docs)
+    linked = near_groups(d.select(F.col(row).alias("doc_id"), "text"), words, percent).where("NOT kept").select(F.col("doc_id").alias(row), F.col("component_id").alias("component"))
+    linked = materialize(linked, "near-linked")
+    members = linked.union(linked.select("component", "component").distinct())
+    members = materialize(d.select(row, F.col("doc_id").cast("long").alias("_doc")).join(members, row), "near-members")
+    best = members.groupBy("component").agg(F.count("*").alias("rows"), F.min(F.struct(F.col("_doc").isNull(), "_doc", row))[row].alias("_best"))
+    gone = with_facts(members, materialize(best, "near-best"), ["component"], members.count()).where(F.col(row) != F.col("_best")).select(row)
+    return semi_by_size(d, materialize(gone, "near-gone"), row, "left_anti").select(*docs.columns)

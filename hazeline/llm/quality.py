@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import NO_ID, batches_of, small_batches, utf8
+from hazeline.llm.common import NO_ID, batches_of, utf8
 
 HASHED, RANK = 1 << 13, 8
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" ", b"\n", b"!", b"|", b"#$%&*@^~", b".", b",", b"?;:\"'()", b"<>{}[]\\/=_+`", bytes(range(128, 256))]
@@ -129,7 +129,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     """A machine fitted on at most sample labelled rows that aren't held out, those with the smallest hashes of their ids.
 
     Only the features of the sample reach the driver. Rows without an id or a label are left out."""
-    small_batches(docs.sparkSession)
     own = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc"), F.col(label).cast("int").alias("label")).dropDuplicates(["doc"])
     own = own.orderBy(F.xxhash64("doc"), "doc").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), utf8("text").alias("content")).join(F.broadcast(own), "doc").select("doc", "label", "content").mapInArrow(_featurize, "doc long, label int, idx binary, val binary")
@@ -153,7 +152,6 @@ def scored(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFra
     isn't held out; rows that repeat score alike. Other columns are left out whatever their names; an empty table gives
     no rows."""
     spark = docs.sparkSession
-    small_batches(spark)
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), utf8("text").alias("content"))
     out = d.mapInArrow(_score(spark.sparkContext.broadcast(machine)), "doc long, score double").withColumn("doc_id", F.when(F.col("doc") != NO_ID, F.col("doc")))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -171,5 +169,4 @@ def _judge(machine, threshold: float, schema):
 
 def keep_good(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFrame:
     """docs without those that the machine scores below the threshold, with all their columns."""
-    small_batches(docs.sparkSession)
     return docs.mapInArrow(_judge(docs.sparkSession.sparkContext.broadcast(machine), threshold, docs.schema), docs.schema)
