@@ -1,17 +1,19 @@
 """The event store: events, labels and responses as append-only tables, and the reads over them.
 
-An update is an entry in a log; the current label or response of an event is that of its last entry. Nothing is rewritten, so
-writers and readers need no locks and a lost task only repeats its own part.
+An update is an entry in a log; the current label of an event is that of its last entry, and its response the highest that its
+entries rise to. Nothing is rewritten, so readers and those who label need no locks and a lost task only repeats its own part.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.window import Window
 
 from hazeline.functions import geodesy
@@ -22,22 +24,24 @@ from hazeline.session import materialize
 RESPONSES, LABELS = ["none", "received", "dispatched", "suppressed"], ["unlabelled", "confirmed", "false_positive"]
 RESPONSE_WORDS = {"none": "미대응", "received": "접수", "dispatched": "출동", "suppressed": "진화"}
 
-_TYPES = {"l": T.LongType(), "i": T.IntegerType(), "s": T.StringType(), "d": T.DoubleType(), "b": T.BooleanType()}
+LONG, INT, TEXT, DOUBLE, FLAG = T.LongType(), T.IntegerType(), T.StringType(), T.DoubleType(), T.BooleanType()
 
 
-def _fields(text: str) -> T.StructType:
-    """name:letter pairs as a struct."""
-    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (f.split(":") for f in text.split())])
+def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(*f) for f in fields])
 
 
-CRITERIA = _fields("flow_ok:b area_ok:b n_satisfied:i enough_frames:b flow_from_proxy:b flow_upward_ratio:d flow_divergence:d rise_rate:d area_growth_rate:d area_monotonicity:d").add("reasons", T.ArrayType(_TYPES["s"]))
-_NUMBERS = T.MapType(_TYPES["s"], _TYPES["d"])
-#: The 29 columns of an event.
-EVENT = T.StructType([
-    *_fields("id:l track_id:l tier:s score:d timestamp:d site:s camera:s"), T.StructField("bbox", T.ArrayType(_TYPES["d"])), *_fields("confidence:d n_observations:l geo_ok:b lat:d lon:d elevation_m:d range_m:d depression_deg:d cep50_m:d cep90_m:d"),
-    *_fields("geo_reject_reason:s flow_ok:b area_ok:b"), T.StructField("criteria", CRITERIA), *_fields("snapshot:s response:s"), T.StructField("response_history", T.ArrayType(_fields("status:s at:d"))), *_fields("label:s"),
-    T.StructField("features", _NUMBERS), T.StructField("explanation", _NUMBERS), *_fields("created_at:d"),
-])
+CRITERIA = _struct(
+    ("flow_ok", FLAG), ("area_ok", FLAG), ("n_satisfied", INT), ("enough_frames", FLAG), ("flow_from_proxy", FLAG), ("flow_upward_ratio", DOUBLE), ("flow_divergence", DOUBLE),
+    ("rise_rate", DOUBLE), ("area_growth_rate", DOUBLE), ("area_monotonicity", DOUBLE), ("reasons", T.ArrayType(TEXT)),
+)
+#: The 29 columns of an event.
+EVENT = _struct(
+    ("id", LONG), ("track_id", LONG), ("tier", TEXT), ("score", DOUBLE), ("timestamp", DOUBLE), ("site", TEXT), ("camera", TEXT), ("bbox", T.ArrayType(DOUBLE)), ("confidence", DOUBLE), ("n_observations", LONG),
+    ("geo_ok", FLAG), ("lat", DOUBLE), ("lon", DOUBLE), ("elevation_m", DOUBLE), ("range_m", DOUBLE), ("depression_deg", DOUBLE), ("cep50_m", DOUBLE), ("cep90_m", DOUBLE), ("geo_reject_reason", TEXT),
+    ("flow_ok", FLAG), ("area_ok", FLAG), ("criteria", CRITERIA), ("snapshot", TEXT), ("response", TEXT), ("response_history", T.ArrayType(_struct(("status", TEXT), ("at", DOUBLE)))), ("label", TEXT),
+    ("features", T.MapType(TEXT, DOUBLE)), ("explanation", T.MapType(TEXT, DOUBLE)), ("created_at", DOUBLE),
+)
 #: Columns that older tables may lack, and what stands there then.
 DEFAULTS = {"flow_ok": False, "area_ok": False, "response": "none", "label": "unlabelled", "geo_ok": False}
 _JSON = {f.name: f.dataType for f in EVENT if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))}
@@ -154,8 +158,17 @@ def numbered(events: DataFrame, after: int, order: tuple[str, ...] = ("timestamp
     return x.withColumn("id", F.lit(after) + F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_part", "_start", "_n")
 
 
+#: An entry reserves a batch's ids, from `first` on, or says which folder holds its rows.
+_LEDGER = "batch string, kind string, first long, rows long, folder string"
+
+
 class EventStore:
-    """Events below a folder that all executors share. One writer numbers events; labels and responses may come from many."""
+    """Events below a folder that all executors share; labels and responses may come from many writers.
+
+    A batch of events is visible by its entry in the ledger alone. Its ids are reserved by an entry before its rows are
+    written to a folder of their own, and another entry after that names the folder. What broke off between the two is never
+    read; a batch that is added again takes the ids that it reserved, and one that is there already isn't written twice.
+    One writer at a time adds batches."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -171,24 +184,64 @@ class EventStore:
     def _log(self, name: str) -> DataFrame:
         return self._read(name, "id long, value string, at double, seq double")
 
+    def _entries(self, kind: str) -> DataFrame:
+        return self._read("ledger", _LEDGER).where(F.col("kind") == kind)
+
+    def _enter(self, batch: str, kind: str, first: int, rows: int, folder: str | None = None) -> None:
+        """One row in one file, which appears whole or not at all."""
+        self.spark.createDataFrame([(batch, kind, first, rows, folder)], _LEDGER).coalesce(1).write.mode("append").parquet(f"{self.folder}/ledger")
+
+    def _stored(self) -> DataFrame:
+        """The rows of all batches that the ledger names: the driver lists one folder a batch."""
+        folders = sorted(r["folder"] for r in self._entries("stored").select("folder").distinct().collect())
+        if not folders:
+            return self.spark.createDataFrame([], EVENT)
+        return self.spark.read.schema(EVENT).parquet(*(f"{self.folder}/events/{f}" for f in folders))
+
     def events(self) -> DataFrame:
-        """Stored events under their current labels and responses."""
-        e = self._read("events", EVENT)
+        """Stored events under their current labels and responses. A response only rises: of the log, which several writers may
+        have added to without seeing each other, the entries that rise above all before them count."""
+        e = self._stored()
         labels = self._log("labels").groupBy("id").agg(F.max_by("value", F.struct("seq", "at")).alias("_label"))
-        log = self._log("responses").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "at", _step("value").alias("step"), "value"))).alias("_r"))
+        entry = F.struct("seq", "at", _step("value").alias("step"), "value")
+        log = self._log("responses").groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("_r"))
+        x = e.join(labels, "id", "left").join(log, "id", "left").withColumn("_step", _step("response"))
+        above = lambda kept: F.coalesce(F.try_element_at(kept, F.lit(-1))["step"], F.col("_step"), F.lit(-1))
+        kind = "array<struct<seq:double,at:double,step:int,value:string>>"
+        x = x.withColumn("_r", F.aggregate("_r", F.array().cast(kind), lambda kept, r: F.when(r["step"] > above(kept), F.concat(kept, F.array(r).cast(kind))).otherwise(kept)))
         history = F.transform("_r", lambda r: F.struct(r["value"].alias("status"), r["at"].alias("at")))
-        x = e.join(labels, "id", "left").join(log, "id", "left")
         given = F.coalesce("response_history", F.from_json(F.lit("[]"), _JSON["response_history"]))
         x = x.withColumns({"label": F.coalesce("_label", "label"), "response_history": F.when(F.col("_r").isNull(), given).otherwise(F.concat(given, history))})
-        x = x.withColumn("response", F.coalesce(F.element_at("_r", -1)["value"], F.col("response")))
+        x = x.withColumn("response", F.coalesce(F.try_element_at("_r", F.lit(-1))["value"], F.col("response")))
         return x.select(*EVENT.names)
 
-    def add(self, events: DataFrame) -> DataFrame:
-        """Appends events of today's schema, numbered after those there; returns them."""
-        after = self._read("events", EVENT).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        rows = materialize(migrated(numbered(events, after)), "events-added")
-        rows.write.mode("append").parquet(f"{self.folder}/events")
-        return rows
+    def add(self, events: DataFrame, batch: str | None = None) -> DataFrame:
+        """Appends events of today's schema, numbered after those there, and returns them. batch names them, so that adding
+        them again changes nothing; without a name they are a batch of their own."""
+        batch = batch or uuid.uuid4().hex
+        there = self._entries("stored").where(F.col("batch") == batch).first()
+        if there:
+            return self.spark.read.schema(EVENT).parquet(f"{self.folder}/events/{there['folder']}")
+        rows = materialize(migrated(numbered(events, 0)), "events-added")
+        n = rows.count()
+        reserved = self._entries("reserved").where(F.col("batch") == batch).first()
+        if reserved and reserved["rows"] != n:
+            raise ValueError(f"batch {batch} had {reserved['rows']} events when its ids were reserved, and has {n} now")
+        if reserved:
+            first = reserved["first"]
+        else:
+            first = self._entries("reserved").agg(F.coalesce(F.max(F.col("first") + F.col("rows")), F.lit(1))).first()[0]
+            self._enter(batch, "reserved", first, n)
+        folder = uuid.uuid4().hex
+        rows.withColumn("id", F.col("id") + (first - 1)).write.parquet(f"{self.folder}/events/{folder}")
+        self._enter(batch, "stored", first, n, folder)
+        return self.spark.read.schema(EVENT).parquet(f"{self.folder}/events/{folder}")
+
+    def sink(self, events: DataFrame, name: str, checkpoint: str) -> DataStreamWriter:
+        """A writer of a stream of events to this store. Its batches are named by `name` and number, so one that Spark runs
+        again after a failure is written once, under the same ids. Take another name with another checkpoint."""
+        put = lambda rows, number: self.add(rows, f"{name}/{number}")
+        return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 
     def get(self, event_id: int) -> DataFrame:
         return self.events().where(F.col("id") == event_id)
@@ -200,7 +253,7 @@ class EventStore:
         return self.events().where("label <> 'unlabelled'").orderBy("id")
 
     def _known(self, entries: DataFrame) -> DataFrame:
-        return entries.join(self._read("events", EVENT).select("id"), "id", "left_semi")
+        return entries.join(self._stored().select("id"), "id", "left_semi")
 
     def _append(self, name: str, entries: DataFrame) -> DataFrame:
         rows = materialize(self._known(entries).select("id", "value", F.col("at").cast("double").alias("at"), F.unix_micros(F.current_timestamp()).cast("double").alias("seq")), f"{name}-added")
@@ -226,5 +279,5 @@ class EventStore:
 
     def clear(self) -> None:
         """Forgets all events and logs."""
-        for name, schema in (("events", EVENT), ("labels", "id long, value string, at double, seq double"), ("responses", "id long, value string, at double, seq double")):
+        for name, schema in (("ledger", _LEDGER), ("labels", "id long, value string, at double, seq double"), ("responses", "id long, value string, at double, seq double")):
             self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.folder}/{name}")

@@ -493,18 +493,26 @@ def all_tracks(spark, sf_dir):
     return tracks.all_tracks(tracks.linked(detections(spark, sf_dir)))
 
 
-_RISEN = f"""{_EVENTS}, pe AS (SELECT id, seq_id % 20 AS site, lane, seq_id, "at" AS said, tier, CASE tier WHEN 'FLARE' THEN 2 WHEN 'GLOW' THEN 1 ELSE 0 END AS rank, east, north FROM {_enu_sql('e', '0e0')}),
+_RISEN = f"""{_EVENTS}, far AS (SELECT *, CAST(seq_id // 4 AS BIGINT) AS site, radians(lat - 25 * (seq_id // 4 % 4)) AS p, radians(lon - 70 * (seq_id // 4 % 3)) AS q FROM e),
+pe AS (SELECT id, site, lane, seq_id, "at" AS said, tier, CASE tier WHEN 'FLARE' THEN 2 WHEN 'GLOW' THEN 1 ELSE 0 END AS rank, p, q, nn * cos(p) * cos(q) AS gx, nn * cos(p) * sin(q) AS gy, nn * (1 - 6694379990141317e-18) * sin(p) AS gz
+      FROM (SELECT *, 6378137e0 / sqrt(1 - 6694379990141317e-18 * sin(p) * sin(p)) AS nn FROM far)),
 x AS (SELECT *, max(CASE WHEN rank > 0 THEN rank END) OVER (PARTITION BY site, seq_id, lane ORDER BY said, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM pe),
 y AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY site ORDER BY said, id) AS nth FROM x WHERE rank > coalesce(before, 0)),
-z AS (SELECT site, CAST(0 AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS id, CAST([] AS STRUCT(e DOUBLE, n DOUBLE, w DOUBLE, rank INT)[]) AS sent, FALSE AS gone FROM (SELECT DISTINCT site FROM y)
-  UNION ALL SELECT site, nth, id, CASE WHEN gone THEN sent ELSE list_append(sent, {{'e': east, 'n': north, 'w': said, 'rank': rank}}) END, gone
-  FROM (SELECT y.site, y.nth, y.id, y.said, y.rank, y.east, y.north, list_filter(z.sent, lambda s: y.said - s.w <= 600) AS sent,
-        coalesce(y.rank <= list_filter(z.sent, lambda s: y.said - s.w <= 600 AND sqrt((s.e - y.east) * (s.e - y.east) + (s.n - y.north) * (s.n - y.north)) <= 300)[1].rank, FALSE) AS gone FROM z JOIN y ON y.site = z.site AND y.nth = z.nth + 1))"""
+z AS (SELECT site, CAST(0 AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS id, CAST([] AS STRUCT(x DOUBLE, y DOUBLE, z DOUBLE, p DOUBLE, q DOUBLE, w DOUBLE, rank INT)[]) AS sent, FALSE AS gone FROM (SELECT DISTINCT site FROM y)
+  UNION ALL SELECT site, nth, id, CASE WHEN gone THEN sent ELSE list_append(sent, {{'x': gx, 'y': gy, 'z': gz, 'p': p, 'q': q, 'w': said, 'rank': rank}}) END, gone
+  FROM (SELECT y.site, y.nth, y.id, y.said, y.rank, y.gx, y.gy, y.gz, y.p, y.q, list_filter(z.sent, lambda s: y.said - s.w <= 600) AS sent,
+        coalesce(y.rank <= list_filter(z.sent, lambda s: y.said - s.w <= 600 AND sqrt(pow(cos(s.q) * (y.gy - s.y) - sin(s.q) * (y.gx - s.x), 2) + pow(cos(s.p) * (y.gz - s.z) - sin(s.p) * (cos(s.q) * (y.gx - s.x) + sin(s.q) * (y.gy - s.y)), 2)) <= 300)[1].rank, FALSE) AS gone FROM z JOIN y ON y.site = z.site AND y.nth = z.nth + 1))"""
+
+
+def _at_sites(e: DataFrame) -> DataFrame:
+    """Stored events at a site for each four sequences, spread over twelve regions of the earth."""
+    site = F.floor(F.col("seq_id") / 4).cast("long")
+    return e.withColumns({"site": site, "track": F.concat_ws("/", "seq_id", "lane"), "lat": F.col("lat") - 25 * (site % 4), "lon": F.col("lon") - 70 * (site % 3)})
 
 
 @query(f"WITH RECURSIVE {_RISEN} SELECT x.site, x.id, x.said AS \"at\", x.tier, CASE WHEN rank = 0 THEN 'stored' WHEN rank <= coalesce(before, 0) THEN 'not risen' WHEN gone THEN 'suppressed' ELSE 'sent' END AS decision, CASE WHEN rank > coalesce(before, 0) AND NOT gone THEN CASE WHEN before IS NULL THEN 'new' ELSE 'escalated' END END AS reason FROM x LEFT JOIN z ON z.id = x.id")
 def routed_alerts(spark, sf_dir):
-    return alerts.routed(stored_events(spark, sf_dir).withColumns({"site": F.col("seq_id") % 20, "track": F.concat_ws("/", "seq_id", "lane")}))
+    return alerts.routed(_at_sites(stored_events(spark, sf_dir)))
 
 
 @query()

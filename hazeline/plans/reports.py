@@ -11,7 +11,7 @@ from hazeline.functions import geometry as g
 from hazeline.functions import rules
 from hazeline.operators import evaluate, matching, solve, store
 from hazeline.plans import run
-from hazeline.plans.catalog import _AP, _CURVE, _EVENTS, _MATCH, _MET, _OBS, _RISEN, LAT0, LON0, _enu_sql, _features_sql, _matches, _r, query, stored_events
+from hazeline.plans.catalog import _AP, _CURVE, _EVENTS, _MATCH, _MET, _OBS, _RISEN, LAT0, LON0, _at_sites, _enu_sql, _features_sql, _matches, _r, query, stored_events
 from hazeline.session import table
 from hazeline.sources import files, weather
 from hazeline.sources.detections import SQL, detections
@@ -94,7 +94,7 @@ def _first_three(e: DataFrame) -> DataFrame:
 @query(f"WITH RECURSIVE {_RISEN} SELECT count(*) FILTER (WHERE NOT gone) AS notifications, count(*) FILTER (WHERE NOT gone AND tier = 'GLOW') AS glow, count(*) FILTER (WHERE NOT gone AND tier = 'FLARE') AS flare, (SELECT count(*) FROM (SELECT DISTINCT site, seq_id, lane FROM x WHERE rank > 0)) AS tracks_seen FROM z JOIN x ON z.id = x.id")
 def router_summary(spark, sf_dir):
     """Notifications sent, by tier, and tracks ever above SPARK."""
-    e = stored_events(spark, sf_dir).withColumns({"site": F.col("seq_id") % 20, "track": F.concat_ws("/", "seq_id", "lane")})
+    e = _at_sites(stored_events(spark, sf_dir))
     return alerts.router_summary(alerts.routed(e), e)
 
 

@@ -19,26 +19,35 @@ from hazeline.functions.rules import TIERS
 #: Metres and seconds within which an alert is the same fire.
 RADIUS, COOLDOWN = 300.0, 600.0
 NOTIFY, PERSIST = TIERS[1:], TIERS
-_SITE = (36.4127, 128.7043)
 OUT = "site long, id long, at double, tier string, decision string, reason string"
 
 
+PLACE = ["x", "y", "z", "p", "q"]
+
+
+def metres(alert: list[float], place: list[float]) -> float:
+    """Distance on the tangent plane at the alert; places are earth-centred coordinates and latitude, longitude in radians."""
+    dx, dy, dz = (b - a for a, b in zip(alert[:3], place[:3], strict=True))
+    s, c, u, v = math.sin(alert[3]), math.cos(alert[3]), math.sin(alert[4]), math.cos(alert[4])
+    return math.hypot(-u * dx + v * dy, -s * v * dx - s * u * dy + c * dz)
+
+
 class Nearby:
-    """Alerts sent lately at a site, oldest first."""
+    """Alerts sent lately at a site, oldest first: place, time and rank."""
 
     def __init__(self, sent: list[list] = ()):
         self.sent = list(sent)
 
-    def suppresses(self, at: float, rank: int, east: float | None, north: float | None) -> bool:
+    def suppresses(self, at: float, rank: int, place: list[float | None]) -> bool:
         """Whether the first alert within radius and cooldown is of the same or a higher tier; if not, and there is a place,
         this one is remembered."""
-        if east is None or east != east:
+        if any(v is None or v != v for v in place):
             return False
-        self.sent = [s for s in self.sent if at - s[2] <= COOLDOWN]
-        rival = next((s[3] for s in self.sent if math.hypot(s[0] - east, s[1] - north) <= RADIUS), -1)
+        self.sent = [s for s in self.sent if at - s[5] <= COOLDOWN]
+        rival = next((s[6] for s in self.sent if metres(s, place) <= RADIUS), -1)
         if rank <= rival:
             return True
-        self.sent.append([east, north, at, rank])
+        self.sent.append([*place, at, rank])
         return False
 
 
@@ -47,8 +56,9 @@ def rank_of(tier: str) -> Column:
 
 
 def _placed(events: DataFrame) -> DataFrame:
-    e, n, _ = geodesy.to_enu(F.col("lat"), F.col("lon"), F.lit(0.0), *_SITE, 0.0)
-    return events.withColumns({"rank": rank_of("tier"), "east": e, "north": n})
+    """Events with the rank of their tier and their place on the ellipsoid, from which distances are taken at each alert."""
+    place = (*geodesy.ecef(F.col("lat"), F.col("lon"), F.lit(0.0)), F.radians("lat"), F.radians("lon"))
+    return events.withColumns({"rank": rank_of("tier"), **dict(zip(PLACE, place, strict=True))})
 
 
 def escalated(events: DataFrame) -> DataFrame:
@@ -62,12 +72,12 @@ def _suppress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by site, run, time and id: the alerts of the cooldown are all that is held."""
     now, near = None, Nearby()
     for b in batches:
-        sites, runs, ids, ats, ranks, easts, norths = (c.to_pylist() for c in b.columns)
+        sites, runs, _, ats, ranks, *places = (c.to_pylist() for c in b.columns)
         hit = []
-        for key, at, rank, east, north in zip(zip(sites, runs, strict=True), ats, ranks, easts, norths, strict=True):
+        for key, at, rank, *place in zip(zip(sites, runs, strict=True), ats, ranks, *places, strict=True):
             if key != now:
                 now, near = key, Nearby()
-            hit.append(near.suppresses(at, rank, east, north))
+            hit.append(near.suppresses(at, rank, place))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(hit, pa.bool_())], ["site", "id", "suppressed"])
 
 
@@ -76,16 +86,16 @@ def routed(events: DataFrame) -> DataFrame:
 
     SPARK is stored only and leaves no memory. A track must rise above its best tier so far, which is remembered even if the
     alert is then suppressed. The first recent alert within radius and cooldown decides: it suppresses unless the tier is
-    above its own. Events without a place skip that test. Escalation is a window; only the few events that rise go to the
+    above its own. Distances are on the plane at that alert, so sites may lie anywhere. Events without a place skip that test. Escalation is a window; only the few events that rise go to the
     kernel, in runs: a pause longer than the cooldown starts a new one, and runs are independent of each other.
     """
     x = escalated(_placed(events))
     x = x.withColumn("rises", (F.col("rank") > 0) & (F.col("rank") > F.coalesce("before", F.lit(0))))
-    rising = x.where("rises").select(F.col("site").cast("long").alias("site"), "id", F.col("at").cast("double").alias("at"), "rank", "east", "north")
+    rising = x.where("rises").select(F.col("site").cast("long").alias("site"), "id", F.col("at").cast("double").alias("at"), "rank", *PLACE)
     order = Window.partitionBy("site").orderBy("at", "id")
     pause = F.coalesce((F.col("at") - F.lag("at").over(order) > COOLDOWN).cast("int"), F.lit(0))
     runs = rising.withColumn("pause", pause).withColumn("run", F.sum("pause").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.select("site", "run", "id", "at", "rank", "east", "north").repartition("site", "run").sortWithinPartitions("site", "run", "at", "id")
+    runs = runs.select("site", "run", "id", "at", "rank", *PLACE).repartition("site", "run").sortWithinPartitions("site", "run", "at", "id")
     hits = runs.mapInArrow(_suppress, "site long, id long, suppressed boolean")
     out = x.join(hits, ["site", "id"], "left")
     decision = F.when(F.col("rank") == 0, "stored").when(~F.col("rises"), "not risen").when(F.col("suppressed"), "suppressed").otherwise("sent")
@@ -109,7 +119,7 @@ def routed_stream(events: DataFrame, forget_s: float = 7 * 86_400.0) -> DataFram
         best, sent = map(json.loads, state.get) if state.exists else ({}, [])
         near, rows = Nearby(sent), []
         pdf = pd.concat(list(frames)).sort_values(["at", "id"])
-        for id_, at, tier, rank, track, east, north in pdf[["id", "at", "tier", "rank", "track", "east", "north"]].itertuples(index=False, name=None):
+        for id_, at, tier, rank, track, *place in pdf[["id", "at", "tier", "rank", "track", *PLACE]].itertuples(index=False, name=None):
             before = best[track][0] if track in best else None
             if rank == 0:
                 rows.append((id_, at, tier, "stored", None))
@@ -119,15 +129,15 @@ def routed_stream(events: DataFrame, forget_s: float = 7 * 86_400.0) -> DataFram
                 rows.append((id_, at, tier, "not risen", None))
                 continue
             best[track] = [int(rank), at]
-            gone = near.suppresses(at, int(rank), east, north)
+            gone = near.suppresses(at, int(rank), place)
             rows.append((id_, at, tier, "suppressed" if gone else "sent", None if gone else "new" if before is None else "escalated"))
         latest = float(pdf["at"].max())
-        state.update((json.dumps({t: b for t, b in best.items() if latest - b[1] <= forget_s}), json.dumps([s for s in near.sent if latest - s[2] <= COOLDOWN])))
+        state.update((json.dumps({t: b for t, b in best.items() if latest - b[1] <= forget_s}), json.dumps([s for s in near.sent if latest - s[5] <= COOLDOWN])))
         out = pd.DataFrame(rows, columns=["id", "at", "tier", "decision", "reason"])
         out.insert(0, "site", key[0])
         yield out
 
-    columns = _placed(events).select("site", "id", "at", "tier", "rank", F.col("track").cast("string").alias("track"), "east", "north")
+    columns = _placed(events).select("site", "id", "at", "tier", "rank", F.col("track").cast("string").alias("track"), *PLACE)
     return columns.groupBy("site").applyInPandasWithState(update, OUT, "best string, recent string", "append", GroupStateTimeout.NoTimeout)
 
 

@@ -152,7 +152,7 @@ def route_plainly(rows):
         else:
             reason = "escalated" if track in best else "new"
             best[track] = rank
-            rival = next((s for s in sent if at - s[2] <= 600 and np.hypot(s[0] - e, s[1] - n) <= 300), None) if e is not None else None
+            rival = next((s for s in sent if at - s[2] <= 600 and plain_metres(s[0], s[1], e, n) <= 300), None) if e is not None else None
             if rival and rank <= rival[3]:
                 out.append((id_, "suppressed", None))
                 continue
@@ -162,19 +162,34 @@ def route_plainly(rows):
     return out
 
 
+def plain_metres(lat0, lon0, lat, lon):
+    """Distance on the tangent plane at the first place, with matrices."""
+    p, q = np.radians([lat0, lat]), np.radians([lon0, lon])
+    e2 = 1 / 298.257223563 * (2 - 1 / 298.257223563)
+    n = 6378137.0 / np.sqrt(1 - e2 * np.sin(p) ** 2)
+    xyz = np.array([n * np.cos(p) * np.cos(q), n * np.cos(p) * np.sin(q), n * (1 - e2) * np.sin(p)])
+    east = [-np.sin(q[0]), np.cos(q[0]), 0.0]
+    north = [-np.sin(p[0]) * np.cos(q[0]), -np.sin(p[0]) * np.sin(q[0]), np.cos(p[0])]
+    return float(np.hypot(*(np.array([east, north]) @ (xyz[:, 1] - xyz[:, 0]))))
+
+
+#: on three continents
+PLACES = [(36.4127, 128.7043), (-31.95, 115.86), (38.72, -9.14)]
+
+
 def alerts_table(spark):
     rng = random.Random(4)
     rows = []
     for k in range(400):
-        lat, lon = (36.4127 + rng.choice([0, 0.001, 0.002, 0.02]), 128.7043 + rng.choice([0, 0.001, 0.02])) if rng.random() < 0.9 else (None, None)
+        south, west = PLACES[k % 3]
+        lat, lon = (south + rng.choice([0, 0.001, 0.002, 0.02]), west + rng.choice([0, 0.001, 0.003, 0.0036, 0.02])) if rng.random() < 0.9 else (None, None)
         rows.append((k % 3, k, float(rng.randrange(6000)), rng.choice(rules.TIERS), f"t{rng.randrange(60)}", lat, lon))
     return rows, spark.createDataFrame(rows, "site long, id long, at double, tier string, track string, lat double, lon double")
 
 
 def test_routing_is_that_of_the_plain_version(spark):
     rows, d = alerts_table(spark)
-    place = {r.id: (r.east, r.north) for r in alerts._placed(d).collect()}
-    want = {id_: x for s in range(3) for id_, *x in route_plainly([(r[1], r[2], r[3], r[4], *place[r[1]]) for r in rows if r[0] == s])}
+    want = {id_: x for s in range(3) for id_, *x in route_plainly([r[1:] for r in rows if r[0] == s])}
     assert {r.id: [r.decision, r.reason] for r in alerts.routed(d.repartition(5)).collect()} == want
     assert {x[0] for x in want.values()} == {"stored", "not risen", "suppressed", "sent"}
     summary = alerts.router_summary(alerts.routed(d), d).first()
@@ -199,6 +214,15 @@ def test_suppression_is_of_the_first_recent_alert_and_ends(spark):
     assert [r.decision for r in sorted(alerts.routed(d).collect())] == ["stored", "sent", "suppressed", "sent", "sent", "suppressed", "sent", "not risen", "sent"]
 
 
+def test_distances_hold_anywhere(spark):
+    """998 m are 998 m at every site, and 290 m suppress at every site."""
+    for lat, lon in PLACES:
+        near, far = 290 / 111_320 / np.cos(np.radians(lat)), 998 / 111_320 / np.cos(np.radians(lat))
+        rows = [(1, 0.0, "a", lon), (2, 1.0, "b", lon + far), (3, 2.0, "c", lon + near)]
+        d = spark.createDataFrame([(1, i, at, "GLOW", t, lat, x) for i, at, t, x in rows], "site long, id long, at double, tier string, track string, lat double, lon double")
+        assert [r.decision for r in sorted(alerts.routed(d).collect())] == ["sent", "sent", "suppressed"]
+
+
 def test_forecast_cells(spark):
     d = spark.createDataFrame([(37.5665, 126.978, 60, 127), (35.1796, 129.0756, 98, 76), (33.4996, 126.5312, 53, 38)], "lat double, lon double, nx int, ny int")
     x, y = geodesy.forecast_cell(F.col("lat"), F.col("lon"))

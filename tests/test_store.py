@@ -48,6 +48,87 @@ def test_store(spark, tmp_path):
     assert s.events().count() == 0 and s.add(event(spark, 1)).first().id == 1
 
 
+def test_two_writers_of_responses(spark, tmp_path):
+    """Both saw no response yet: the one that comes second in the log and is lower doesn't take the event back."""
+    s = store.EventStore(spark, f"file://{tmp_path}/events")
+    s.add(event(spark, 3))
+    entry = lambda value, at: spark.createDataFrame([(2, value, at)], "id long, value string, at double")
+    s._append("responses", entry("dispatched", 5.0))
+    s._append("responses", entry("received", 6.0))
+    s._append("responses", entry("suppressed", 7.0))
+    r = s.get(2).first()
+    assert r.response == "suppressed" and [h.status for h in r.response_history] == ["dispatched", "suppressed"]
+    assert [x.response for x in s.events().where("id <> 2").collect()] == ["none", "none"]
+
+
+class Killed(Exception):
+    pass
+
+
+def test_a_batch_is_written_once(spark, tmp_path, monkeypatch):
+    """Killed before the ledger, between ids and data, and between data and ledger: added again, each event is there once, under
+    the ids of the first attempt, whatever was added meanwhile."""
+    s = store.EventStore(spark, f"file://{tmp_path}/events")
+    s.add(event(spark, 4), "q/0")
+    enter = s._enter
+
+    def dies(kind, when):
+        def f(batch, k, *rest):
+            if k == kind and when == "before":
+                raise Killed
+            enter(batch, k, *rest)
+            if k == kind:
+                raise Killed
+        return f
+
+    for n, (kind, when) in enumerate([("reserved", "before"), ("reserved", "after"), ("stored", "before"), ("stored", "after")], 1):
+        before = s.events().count()
+        monkeypatch.setattr(s, "_enter", dies(kind, when))
+        with pytest.raises(Killed):
+            s.add(event(spark, 3), f"q/{n}")
+        monkeypatch.setattr(s, "_enter", enter)
+        assert s.events().count() == before + 3 * ((kind, when) == ("stored", "after"))
+        s.add(event(spark, 2), f"other/{n}")
+        for _ in range(2):
+            ids = sorted(r.id for r in s.add(event(spark, 3), f"q/{n}").collect())
+        first = {1: 7, 2: 10, 3: 15, 4: 20}[n]
+        assert ids == [first, first + 1, first + 2]
+    got = [r.id for r in s.events().collect()]
+    assert len(got) == len(set(got)) == 4 + 4 * 5
+    monkeypatch.setattr(s, "_enter", dies("stored", "before"))
+    with pytest.raises(Killed):
+        s.add(event(spark, 3), "q/9")
+    with pytest.raises(ValueError, match="q/9"):
+        s.add(event(spark, 4), "q/9")
+
+
+def test_a_stream_into_the_store(spark, tmp_path, monkeypatch):
+    """A query that dies between data and ledger and starts again stores each event once."""
+    s = store.EventStore(spark, f"file://{tmp_path}/store")
+    for k in range(3):
+        event(spark, 5).withColumn("site", F.lit(f"s{k}")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    enter, left = s._enter, [3]
+
+    def dies(batch, kind, *rest):
+        left[0] -= 1
+        if left[0] == 0:
+            raise Killed
+        enter(batch, kind, *rest)
+
+    def run():
+        stream = spark.readStream.schema(store.EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = s.sink(stream, "judge", str(tmp_path / "state")).trigger(availableNow=True).start()
+        return q.awaitTermination(120)
+
+    monkeypatch.setattr(s, "_enter", dies)
+    with pytest.raises(Exception, match="Killed"):
+        run()
+    monkeypatch.setattr(s, "_enter", enter)
+    assert run()
+    got = s.events().collect()
+    assert sorted(r.id for r in got) == list(range(1, 16)) and len({(r.site, r.track_id) for r in got}) == 15
+
+
 def test_older_tables(spark):
     old = spark.createDataFrame([(7, "GLOW")], "id long, tier string")
     r = store.migrated(old).first()
