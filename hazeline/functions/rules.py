@@ -113,6 +113,26 @@ def appearance(o: DataFrame, keys: tuple[str, ...], side: int = 48) -> DataFrame
     return x.groupBy(*keys).agg(flicker.alias("intensity_flicker"), F.coalesce(F.avg("_soft"), F.lit(0.0)).alias("edge_softness"))
 
 
+def looks(patch: Column, side: int = 48) -> dict[str, Column]:
+    """Brightness of a patch, and how soft its edge is; null without a patch."""
+    bright = F.aggregate(patch, F.lit(0.0), lambda s, v: s + v) / F.size(patch)
+    return {"brightness": F.when(patch.isNotNull(), bright), "softness": F.when(patch.isNotNull(), softness(patch, side) if side >= 4 else F.lit(0.0))}
+
+
+def appearance_so_far(o: DataFrame, keys: tuple[str, ...], side: int = 48) -> DataFrame:
+    """Observations with patch, with intensity_flicker and edge_softness of the patches up to each of them. The last five are a
+    window over the rows that have a patch, so nothing is gathered for a track."""
+    o = o.withColumns(looks(F.col("patch"), side)).withColumn("_has", F.col("patch").isNotNull())
+    order = ("offset_s", "det_id")
+    five = F.avg("softness").over(Window.partitionBy(*keys, "_has").orderBy(*order).rowsBetween(-4, 0))
+    o = o.withColumn("_five", F.when(F.col("_has"), five))
+    past = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    mean = F.avg("brightness").over(past)
+    flicker = F.when((F.count("brightness").over(past) >= 2) & (mean > 1e-6), F.stddev_pop("brightness").over(past) / mean).otherwise(0.0)
+    soft = F.coalesce(F.last("_five", ignorenulls=True).over(past), F.lit(0.0))
+    return o.withColumns({"intensity_flicker": flicker, "edge_softness": soft}).drop("brightness", "softness", "_has", "_five")
+
+
 def criteria(mode: str = "sparse") -> tuple[Column, Column, Column]:
     """(motion, area, enough). Dense sequences have flow to judge motion by; in sparse ones the rise of the centre stands in."""
     c = F.col

@@ -16,35 +16,45 @@ KEYS = ("seq_id", "track_id")
 _FEATURES = ["persistence", "duration", "n", "area_growth_rate", "area_monotonicity", "centroid_rise_rate", "drift_rate", "translation_over_growth", "aspect_growth_rate", "confidence_mean", "confidence_slope"]
 
 
-def verdicts(d: DataFrame, fixes: DataFrame, interval: float = 60.0, mode: str = "sparse", weights: dict[str, float] | None = None, links: DataFrame | None = None) -> DataFrame:
+def verdicts(d: DataFrame, fixes: DataFrame, interval: float = 60.0, mode: str = "sparse", weights: dict[str, float] | None = None, links: DataFrame | None = None, side: int = 48) -> DataFrame:
     """One row for every open track at every frame of its sequence: features of its detections so far, criteria, score, the
     place of its last detection, and the tier.
 
     d holds detections with offset_s, fixes their places by row_id; frames are interval seconds apart. A track that misses a
     frame is judged again on what it has. Without a place a track with both conditions is GLOW. links are the rows of
-    tracks.linked, if they are there already.
+    tracks.linked, if they are there already. Where d has patch, an array of side x side grey values or null, flicker and
+    softness of the patches so far count in the score and are features of the event.
     """
     links = tracks.linked(d) if links is None else links
     seen = links.where("det_id IS NOT NULL").select(*KEYS, "frame_index", "det_id").join(d.drop("seq_id", "frame_index"), "det_id")
     past = Window.partitionBy(*KEYS).orderBy("offset_s", "det_id").rowsBetween(Window.unboundedPreceding, 0)
     flows = rules.flow_features(past) if mode == "dense" else {}
     f = rules.observations(seen, KEYS).withColumns({**rules.features(interval, past), **flows})
-    carried = F.struct("det_id", "x1", "y1", "x2", "y2", "confidence", *_FEATURES, *flows)
+    looks = []
+    if "patch" in d.columns:
+        f, looks = rules.appearance_so_far(f, KEYS, side), ["intensity_flicker", "edge_softness"]
+    carried = F.struct("det_id", "x1", "y1", "x2", "y2", "confidence", *_FEATURES, *flows, *looks)
     f = f.select(*KEYS, "frame_index", carried.alias("v"))
     x = links.select(*KEYS, "frame_index", "missed").join(f, [*KEYS, "frame_index"], "left")
     so_far = Window.partitionBy(*KEYS).orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("v", F.last("v", ignorenulls=True).over(so_far)).select(*KEYS, "frame_index", "missed", "v.*")
     places = fixes.select(F.col("row_id").alias("det_id"), "depression", "reason", *("lat lon elevation_m range_m cep50_m cep90_m".split()))
-    x = x.join(places, "det_id", "left").withColumn("geo_ok", F.col("lat").isNotNull() & F.col("reason").isNull())
-    x = x.withColumn("criteria", rules.evidence(mode)).withColumn("score", rules.score(mode, weights=weights))
-    x = x.withColumn("explanation", F.create_map(*(c for k, part in rules.contributions(mode, weights=weights).items() for c in (F.lit(k), part))))
+    return judged(x.join(places, "det_id", "left"), mode, weights, bool(looks))
+
+
+def judged(x: DataFrame, mode: str = "sparse", weights: dict[str, float] | None = None, patches: bool = False) -> DataFrame:
+    """x, which has a track's features and place, with criteria, score, explanation and tier: columns of a row, in a batch as in
+    a stream. With patches, flicker and softness count in the score."""
+    x = x.withColumn("geo_ok", F.col("lat").isNotNull() & F.col("reason").isNull())
+    x = x.withColumn("criteria", rules.evidence(mode)).withColumn("score", rules.score(mode, patches, weights))
+    x = x.withColumn("explanation", F.create_map(*(c for k, part in rules.contributions(mode, patches, weights).items() for c in (F.lit(k), part))))
     return x.withColumn("tier", rules.tier(F.col("criteria.flow_ok"), F.col("criteria.area_ok"), F.col("criteria.enough_frames"), F.col("geo_ok")))
 
 
 def events(v: DataFrame, camera: str, site: str = "site", timestamp: str = "timestamp") -> DataFrame:
     """Verdicts (with a column for site and timestamp) as events of the 29 columns; ids come when they are stored."""
     place = lambda c: F.when(F.col("geo_ok"), F.col(c)).alias(c)
-    extra = [c for c in ("flow_divergence", "flow_upward_ratio", "flow_translation_mag") if c in v.columns]
+    extra = [c for c in ("flow_divergence", "flow_upward_ratio", "flow_translation_mag", "intensity_flicker", "edge_softness") if c in v.columns]
     return v.select(
         F.lit(None).cast("long").alias("id"), "track_id", "tier", "score", F.col(timestamp).cast("double").alias("timestamp"), F.col(site).cast("string").alias("site"), F.lit(camera).alias("camera"),
         F.array("x1", "y1", "x2", "y2").alias("bbox"), "confidence", F.col("n").cast("long").alias("n_observations"), "geo_ok", *map(place, ("lat", "lon", "elevation_m", "range_m")),

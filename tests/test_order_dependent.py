@@ -218,7 +218,7 @@ def test_distances_hold_anywhere(spark):
     """998 m are 998 m at every site, and 290 m suppress at every site."""
     for lat, lon in PLACES:
         near, far = 290 / 111_320 / np.cos(np.radians(lat)), 998 / 111_320 / np.cos(np.radians(lat))
-        rows = [(1, 0.0, "a", lon), (2, 1.0, "b", lon + far), (3, 2.0, "c", lon + near)]
+        rows = [(1, 0.0, "a", lon), (2, 1.0, "b", float(lon + far)), (3, 2.0, "c", float(lon + near))]
         d = spark.createDataFrame([(1, i, at, "GLOW", t, lat, x) for i, at, t, x in rows], "site long, id long, at double, tier string, track string, lat double, lon double")
         assert [r.decision for r in sorted(alerts.routed(d).collect())] == ["sent", "sent", "suppressed"]
 
