@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from hazeline.operators.ranges import quantiles
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b; 0 where b is 0."""
@@ -40,15 +42,19 @@ def rollup(o: DataFrame, interval: float = 60.0, latencies: DataFrame | None = N
     a = a.withColumns({"fpr_single": ratio(F.col("alarmed_single"), F.col("frames_before")), "fpr_sequence": ratio(F.col("alarmed_sequence"), F.col("frames_before")), "detection_rate": ratio(F.col("found"), F.col("n_sequences"))})
     less = lambda b, c: F.when(F.col(c) > 0, 1 - F.col(b) / F.col(c)).otherwise(0.0)
     a = a.withColumns({"reduction_vs_raw": less("verified_per_hour", "raw_per_hour"), "reduction_vs_dedup": less("verified_per_hour", "dedup_per_hour"), "fpr_reduction": less("fpr_sequence", "fpr_single")})
-    spent = (a.sparkSession.createDataFrame([], "ms double") if latencies is None else latencies).agg(F.percentile("ms", 0.5).alias("latency_median"), F.percentile("ms", 0.95).alias("latency_p95"), F.max("ms").alias("latency_max"))
     one = lambda x: x.withColumn("_one", F.lit(1))
-    return one(a).join(F.broadcast(one(spent)), "_one").drop("_one", "found")
+    if latencies is None:
+        return a.drop("found").withColumns({c: F.lit(None).cast("double") for c in ("latency_median", "latency_p95", "latency_max")})
+    a = one(a).join(F.broadcast(one(quantiles(latencies, [], "ms", {"latency_median": 0.5, "latency_p95": 0.95}, "latencies"))), "_one", "left")
+    return a.join(F.broadcast(one(latencies.agg(F.max("ms").alias("latency_max")))), "_one").drop("_one", "found")
 
 
 def device_bench(samples: DataFrame) -> DataFrame:
     """(device, n, median_ms, min_ms, max_ms, fps, speedup, place) of samples(device, rank, nth, ms) without the first three of
     each device: speedup over the device of the lowest rank, place by median."""
-    x = samples.where("nth > 3").groupBy("device").agg(F.min("rank").alias("rank"), F.count("*").alias("n"), F.percentile("ms", 0.5).alias("median_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"))
+    warm = samples.where("nth > 3")
+    x = warm.groupBy("device").agg(F.min("rank").alias("rank"), F.count("*").alias("n"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"))
+    x = x.join(quantiles(warm, ["device"], "ms", {"median_ms": 0.5}, "latencies"), "device", "left").select("device", "rank", "n", "median_ms", "min_ms", "max_ms")
     every = Window.orderBy("rank")  # a row a device
     x = x.withColumns({"fps": 1000 / F.col("median_ms"), "speedup": F.first("median_ms").over(every) / F.col("median_ms")})
     return x.withColumn("place", F.row_number().over(Window.orderBy("median_ms", "rank")).cast("long")).drop("rank")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazeline.functions import geodesy as geo
+from hazeline.operators.ranges import quantiles
 from hazeline.session import materialize, task_count
 
 
@@ -375,11 +376,12 @@ def swept(sites: DataFrame, terrain: Terrain, camera: Camera, noise: Noise, solv
     poses = materialize(poses, "sweep-poses")
     x = poses.select("row_id", "down").join(solved(poses, terrain, camera, open_), "row_id")
     fine = F.col("reason").isNull() & F.col("cep90_m").isNotNull()
-    middle = lambda c: F.percentile(F.when(fine, F.col(c)), 0.5)
-    return x.groupBy(F.col("down").alias("depression")).agg(
-        F.count("*").alias("n_attempted"), F.count_if(fine).alias("n_solved"), (F.count_if(fine) / F.count("*")).alias("solve_rate"), middle("range_m").alias("median_range_m"), middle("cep50_m").alias("cep50_m"),
-        middle("cep90_m").alias("cep90_m"), (F.count_if(fine & (F.col("cep90_m") <= base.cep_max)) / F.count("*")).alias("publish_rate"),
-    )
+    x = materialize(x.select(F.col("down").alias("depression"), fine.alias("fine"), "range_m", "cep50_m", "cep90_m"), "sweep-fixes")
+    share = lambda c: F.count_if(c) / F.count("*")
+    out = x.groupBy("depression").agg(F.count("*").alias("n_attempted"), F.count_if("fine").alias("n_solved"), share(F.col("fine")).alias("solve_rate"), share(F.col("fine") & (F.col("cep90_m") <= base.cep_max)).alias("publish_rate"))
+    for c, named in (("range_m", "median_range_m"), ("cep50_m", "cep50_m"), ("cep90_m", "cep90_m")):
+        out = out.join(quantiles(x.where("fine"), ["depression"], c, {named: 0.5}, named), "depression", "left")
+    return out.select("depression", "n_attempted", "n_solved", "solve_rate", "median_range_m", "cep50_m", "cep90_m", "publish_rate")
 
 
 def round_trip(sites: DataFrame, terrain: Terrain, camera: Camera, above: float = 300.0) -> DataFrame:
@@ -396,11 +398,17 @@ def round_trip(sites: DataFrame, terrain: Terrain, camera: Camera, above: float
     x = materialize(x.join(back.select("row_id", F.col("lat").alias("blat"), F.col("lon").alias("blon")), "row_id"), "trip-back")
     e, n, _ = geo.to_enu_at(F.col("blat"), F.col("blon"), F.lit(0.0), F.col("lat"), F.col("lon"), F.lit(0.0))
     x = x.withColumn("error", F.hypot(e, n))
-    return x.agg(F.count("error").alias("n_samples"), F.percentile("error", 0.5).alias("median_m"), F.percentile("error", 0.95).alias("p95_m"), F.max("error").alias("max_m"), F.max("residual").alias("pixel_residual_px"))
+    x = materialize(x, "trip-errors")
+    figures = x.agg(F.count("error").alias("n_samples"), F.max("error").alias("max_m"), F.max("residual").alias("pixel_residual_px")).withColumn("_one", F.lit(1))
+    middle = quantiles(x, [], "error", {"median_m": 0.5, "p95_m": 0.95}, "trip").withColumn("_one", F.lit(1))
+    return figures.join(F.broadcast(middle), "_one", "left").select("n_samples", "median_m", "p95_m", "max_m", "pixel_residual_px")
 
 
 def cep_by_depression(fixes: DataFrame) -> DataFrame:
     """Median radii over solved rays, and the share published of all tried, by depression in steps of five degrees."""
-    return fixes.groupBy((F.floor(F.col("depression") / 5) * 5).cast("int").alias("depression")).agg(
-        F.count("*").alias("tried"), F.count("cep50_m").alias("solved"), F.percentile("cep50_m", 0.5).alias("cep50_m"), F.percentile("cep90_m", 0.5).alias("cep90_m"), (F.count_if(F.col("reason").isNull()) / F.count("*")).alias("publish_rate")
-    )
+    step = (F.floor(F.col("depression") / 5) * 5).cast("int")
+    x = materialize(fixes.select(step.alias("depression"), "reason", "cep50_m", "cep90_m"), "radii")
+    out = x.groupBy("depression").agg(F.count("*").alias("tried"), F.count("cep50_m").alias("solved"), (F.count_if(F.col("reason").isNull()) / F.count("*")).alias("publish_rate"))
+    for c in ("cep50_m", "cep90_m"):
+        out = out.join(quantiles(x.where("depression IS NOT NULL"), ["depression"], c, {c: 0.5}, c), "depression", "left")
+    return out.select("depression", "tried", "solved", "cep50_m", "cep90_m", "publish_rate")

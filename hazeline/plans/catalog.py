@@ -482,12 +482,45 @@ def detector_baseline(spark, sf_dir):
     return b.withColumns({c: _r(F.col(c), 9) for c in ("fp_per_negative", "alarm_rate", "ap50", "precision", "recall", "f1")})
 
 
-@query()
+_SIDE = "greatest({0}.{1}2 - {0}.{1}1, 0)"
+_BOTH = "greatest(least({0}.{2}2, {1}.{2}2) - greatest({0}.{2}1, {1}.{2}1), 0)"
+
+
+def _affinity_sql(a: str, b: str) -> str:
+    """Affinity of a track a and a detection b, structs with a box."""
+    size, other = (f"{_SIDE.format(v, 'x')} * {_SIDE.format(v, 'y')}" for v in (a, b))
+    common = f"{_BOTH.format(a, b, 'x')} * {_BOTH.format(a, b, 'y')}"
+    union = f"({size} + {other} - {common})"
+    limit = f"(15e-1 * greatest(sqrt({size}), 1))"
+    far = f"sqrt(power(({a}.x1 + {a}.x2 - {b}.x1 - {b}.x2) / 2, 2) + power(({a}.y1 + {a}.y2 - {b}.y1 - {b}.y2) / 2, 2))"
+    return f"CASE WHEN {union} > 0 AND {common} / {union} >= 1e-1 THEN 1 + {common} / {union} WHEN {far} <= {limit} THEN 1 - {far} / {limit} ELSE 0 END"
+
+
+#: Linking as a recursion: a row is a sequence's open tracks and the free detections of its frame; a step takes the best pair, or
+#: where none is left ends the frame (done, out) and goes on to the next.
+_BOXED = "x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE"
+_LINKS = f"""{SQL}, fr AS MATERIALIZED (SELECT seq_id, frame_index, list({{'d': det_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY det_id) AS dets FROM d GROUP BY seq_id, frame_index),
+span AS (SELECT seq_id, min(frame_index) AS f, max(frame_index) AS last FROM fr GROUP BY seq_id),
+z AS (SELECT seq_id, f, last, CAST([] AS STRUCT(t BIGINT, {_BOXED}, m INT, d BIGINT)[]) AS tracks, dets, CAST(0 AS BIGINT) AS made, -1 AS done, CAST([] AS STRUCT(t BIGINT, {_BOXED}, m INT, d BIGINT)[]) AS out FROM span JOIN fr USING (seq_id) WHERE frame_index = f
+  UNION ALL
+  SELECT p.seq_id, CASE WHEN best IS NULL THEN f + 1 ELSE f END, last,
+    CASE WHEN best IS NULL THEN list_transform(fin, lambda x: {{'t': x.t, 'x1': x.x1, 'y1': x.y1, 'x2': x.x2, 'y2': x.y2, 'm': x.m, 'd': -1}})
+         ELSE list_transform(range(1, len(tracks) + 1), lambda i: CASE WHEN i = best.i THEN {{'t': tracks[i].t, 'x1': p.dets[best.j].x1, 'y1': p.dets[best.j].y1, 'x2': p.dets[best.j].x2, 'y2': p.dets[best.j].y2, 'm': 0, 'd': p.dets[best.j].d}} ELSE tracks[i] END) END,
+    CASE WHEN best IS NULL THEN coalesce(n.dets, []) ELSE list_concat(p.dets[:best.j - 1], p.dets[best.j + 1:]) END,
+    CASE WHEN best IS NULL THEN made + len(p.dets) ELSE made END, CASE WHEN best IS NULL THEN f ELSE -1 END, CASE WHEN best IS NULL THEN fin ELSE [] END
+  FROM (SELECT *, list_reverse_sort(list_filter(flatten(list_transform(range(1, len(tracks) + 1), lambda i: list_transform(range(1, len(dets) + 1), lambda j: {{'a': CASE WHEN tracks[i].d < 0 THEN {_affinity_sql('tracks[i]', 'dets[j]')} ELSE 0 END, 'i': i, 'j': j}}))), lambda c: c.a > 0))[1] AS best,
+          list_concat(list_filter(list_transform(tracks, lambda x: {{'t': x.t, 'x1': x.x1, 'y1': x.y1, 'x2': x.x2, 'y2': x.y2, 'm': CASE WHEN x.d < 0 THEN x.m + 1 ELSE x.m END, 'd': x.d}}), lambda x: x.m <= 2),
+                      list_transform(range(1, len(dets) + 1), lambda j: {{'t': made + j - 1, 'x1': dets[j].x1, 'y1': dets[j].y1, 'x2': dets[j].x2, 'y2': dets[j].y2, 'm': 0, 'd': dets[j].d}})) AS fin
+        FROM z WHERE f <= last) p LEFT JOIN fr n ON n.seq_id = p.seq_id AND n.frame_index = p.f + 1),
+links AS MATERIALIZED (SELECT seq_id, done AS frame_index, u.t AS track_id, CASE WHEN u.d >= 0 THEN u.d END AS det_id, u.m AS missed FROM (SELECT seq_id, done, unnest(out) AS u FROM z WHERE done >= 0))"""
+
+
+@query(f"WITH RECURSIVE {_LINKS} SELECT * FROM links")
 def linked_tracks(spark, sf_dir):
     return tracks.linked(detections(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {_LINKS}, ends AS (SELECT seq_id, max(frame_index) AS last_of_all FROM links GROUP BY seq_id) SELECT seq_id, track_id, count(det_id) AS hits, min(frame_index) AS first_frame, max(frame_index) FILTER (WHERE det_id IS NOT NULL) AS last_frame, max(frame_index) FILTER (WHERE det_id IS NOT NULL) - min(frame_index) + 1 AS frame_span, any_value(last_of_all) > max(frame_index) AS finished FROM links JOIN ends USING (seq_id) GROUP BY seq_id, track_id")
 def all_tracks(spark, sf_dir):
     """Every linked track, ended or open at the end of its sequence."""
     return tracks.all_tracks(tracks.linked(detections(spark, sf_dir)))

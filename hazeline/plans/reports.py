@@ -11,7 +11,7 @@ from hazeline.functions import geometry as g
 from hazeline.functions import rules
 from hazeline.operators import evaluate, matching, solve, store
 from hazeline.plans import run
-from hazeline.plans.catalog import _AP, _CURVE, _EVENTS, _MATCH, _MET, _OBS, _RISEN, LAT0, LON0, _at_sites, _enu_sql, _features_sql, _matches, _r, query, stored_events
+from hazeline.plans.catalog import _AP, _CURVE, _EVENTS, _LINKS, _MATCH, _MET, _OBS, _SQL, _RISEN, LAT0, LON0, _at_sites, _enu_sql, _features_sql, _matches, _r, query, stored_events
 from hazeline.session import table
 from hazeline.sources import files, weather
 from hazeline.sources.detections import SQL, detections
@@ -56,13 +56,24 @@ def false_alarm_report(spark, sf_dir):
     return x.select("n_sequences", "frames_before", "frames_after", *(_r(F.col(c), 9).alias(c) for c in _ROLLED))
 
 
-@query()
+#: Verdicts of linked tracks: a frame that a track misses has that of its last detection.
+_LINKED_JUDGED = f"""{_LINKS}, ld AS (SELECT d.seq_id, l.track_id AS lane, d.frame_index, d.offset_s, d.det_id, d.confidence, x1, y1, x2, y2 FROM links l JOIN d ON d.det_id = l.det_id),
+{_OBS.replace(SQL + ',', '', 1).strip().replace('o AS (', 'lo AS (', 1).replace('FROM d)', 'FROM ld)', 1).replace('FROM o WINDOW', 'FROM lo WINDOW', 1)},
+t AS (SELECT seq_id, lane, frame_index, offset_s, {_features_sql(' OVER (PARTITION BY seq_id, lane ORDER BY offset_s, det_id ROWS UNBOUNDED PRECEDING)')} FROM w),
+v AS (SELECT *, growth AS area_growth_rate, mono AS area_monotonicity, -dy / greatest(side, 1) AS centroid_rise_rate FROM t),
+j AS MATERIALIZED (SELECT l.seq_id, l.track_id AS lane, l.frame_index, CAST((l.frame_index - 16) * 60 AS DOUBLE) AS offset_s, last_value(n >= 3 AND {_MET} = 2 IGNORE NULLS) OVER (PARTITION BY l.seq_id, l.track_id ORDER BY l.frame_index ROWS UNBOUNDED PRECEDING) AS flare
+  FROM links l LEFT JOIN v ON v.seq_id = l.seq_id AND v.lane = l.track_id AND v.frame_index = l.frame_index),
+{_JUDGED[_JUDGED.index('frm AS ('):]}"""
+
+
+@query("WITH RECURSIVE " + _LINKED_JUDGED + _SQL["false_alarm_report"][_SQL["false_alarm_report"].index(f", {_ROLL}"):])
 def linked_false_alarms(spark, sf_dir):
     """The same for linked tracks, which also live through missed frames."""
     d = detections(spark, sf_dir)
     none = d.select(F.col("det_id").alias("row_id"), F.lit(None).cast("string").alias("reason"), *(F.lit(0.0).alias(c) for c in ("depression", "lat", "lon", "elevation_m", "range_m", "cep50_m", "cep90_m")))
     v = run.verdicts(d, none).select("seq_id", F.col("track_id").alias("track"), "frame_index", ((F.col("frame_index") - 16) * 60).cast("double").alias("offset_s"), "tier")
-    return evaluate.rollup(evaluate.outcomes(_frames(d), v))
+    x = evaluate.rollup(evaluate.outcomes(_frames(d), v))
+    return x.select("n_sequences", "frames_before", "frames_after", *(_r(F.col(c), 9).alias(c) for c in _ROLLED))
 
 
 @query(f"WITH RECURSIVE {_MATCH}, {_CURVE}, {_AP}, {_JUDGED.replace(SQL + ',', '', 1).replace('o AS (', 'ob AS (', 1).replace('FROM o WINDOW', 'FROM ob WINDOW', 1)}, {_ROLL}, al AS (SELECT CAST(count(*) FILTER (WHERE boxes = 0) AS DOUBLE) AS bare FROM (SELECT f.seq_id, f.frame_index, count(t.truth_id) AS boxes FROM (SELECT DISTINCT seq_id, frame_index FROM d) f LEFT JOIN tr t ON t.seq_id = f.seq_id AND t.frame_index = f.frame_index GROUP BY ALL)) SELECT 'frame false alarm rate' AS item, 3e-2 AS target, round(seqs / frames_before, 9) AS measured, round(single / frames_before, 9) AS detail, CASE WHEN seqs / frames_before <= 3e-2 THEN 'met' ELSE 'not met' END AS verdict FROM roll UNION ALL SELECT 'false alarms an hour', 5e-1, round(verified / hours, 9), round(dedup / hours, 9), CASE WHEN verified / hours <= 5e-1 THEN 'met' ELSE 'not met' END FROM roll UNION ALL SELECT 'seconds to find', 30e0, round(ttf, 9), round(found / CAST(n_sequences AS DOUBLE), 9), 'not measurable' FROM roll WHERE ttf IS NOT NULL UNION ALL SELECT 'detector ap50', NULL, round(ap, 9), CASE WHEN bare > 0 THEN 1e0 ELSE 0e0 END, 'for reference' FROM ap, al")

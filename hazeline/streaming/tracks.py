@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
-from hazeline.session import task_count
+from hazeline.session import materialize, task_count
 
 #: Least overlap, misses that a track survives, reach in sizes of its last box.
 IOU, MISSES, FACTOR = 0.10, 2, 1.5
@@ -72,41 +72,84 @@ class Sequence:
         return rows + [(frame, *r) for r in self.frame(dets)]
 
 
+    def ended(self) -> list[tuple[int, int, int | None, int]]:
+        """Rows of the frames after the last one until no track is open."""
+        rows, frame = [], self.last
+        while self.tracks:
+            frame += 1
+            rows += [(frame, *r) for r in self.frame([])]
+        return rows
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    s, f, t, d, m = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(f, pa.int32()), pa.array(t, pa.int64()), pa.array(d, pa.int64()), pa.array(m, pa.int32())], ["seq_id", "frame_index", "track_id", "det_id", "missed"])
+    s, run, f, t, d, m = zip(*rows, strict=True)
+    types = {"seq_id": pa.int64(), "run": pa.int32(), "frame_index": pa.int32(), "track_id": pa.int64(), "det_id": pa.int64(), "missed": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array(c, t_) for c, t_ in zip((s, run, f, t, d, m), types.values(), strict=True)], list(types))
 
 
 def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by sequence, frame and detection: only the open tracks and one frame are held."""
-    seq = frame = state = None
+    """Over rows sorted by sequence, run, frame and detection: only the open tracks and one frame are held."""
+    key = frame = state = end = None
     dets: list[tuple[int, Box]] = []
     rows: list[tuple] = []
+
+    def close(over: bool) -> None:
+        if dets:
+            rows.extend((*key, *r) for r in state.upto(frame, dets))
+            if over and frame < end:
+                rows.extend((*key, *r) for r in state.ended())
+
     for b in batches:
-        for s, f, d, *box in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if s != seq or f != frame:
-                if dets:
-                    rows += [(seq, *r) for r in state.upto(frame, dets)]
-                if s != seq:
+        for s, run, until, f, d, *box in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (s, run) != key or f != frame:
+                close((s, run) != key)
+                if (s, run) != key:
                     state = Sequence()
-                seq, frame, dets = s, f, []
+                key, frame, end, dets = (s, run), f, until, []
                 if len(rows) >= 10_000:
                     yield _batch(rows)
-                    rows = []
+                    rows.clear()
             dets.append((d, tuple(box)))
-    if dets:
-        rows += [(seq, *r) for r in state.upto(frame, dets)]
+    close(True)
     if rows:
         yield _batch(rows)
 
 
-def linked(d: DataFrame) -> DataFrame:
+def runs(d: DataFrame, block: int = 1024) -> DataFrame:
+    """(seq_id, frame_index, run, end) of each frame of d that has detections: the first frame of its run and the last frame of
+    its sequence. A run starts where none of the frames before it that a track survives has a detection: no track reaches over
+    that, so runs are independent. Starts are an anti-join on (sequence, frame); the latest of them is a maximum within blocks
+    of frames and over one row a block, so no task gets all frames of a long sequence."""
+    key = ["seq_id", "frame_index"]
+    frames = materialize(d.select(*key).distinct(), "frames")
+    reached = frames.select("seq_id", F.explode(F.sequence(F.col("frame_index") + 1, F.col("frame_index") + MISSES + 1)).alias("frame_index")).distinct()
+    starts = frames.join(reached, key, "left_anti").withColumn("start", F.col("frame_index"))
+    x = frames.join(starts, key, "left").withColumn("block", F.floor(F.col("frame_index") / block).cast("int"))
+    x = materialize(x, "run-starts")
+    own = Window.partitionBy("seq_id", "block").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = x.groupBy("seq_id", "block").agg(F.max("start").alias("start"), F.max("frame_index").alias("last"))
+    every = Window.partitionBy("seq_id")
+    before = every.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("seq_id", "block", F.max("start").over(before).alias("_start"), F.max("last").over(every).alias("end"))
+    x = x.withColumn("run", F.max("start").over(own)).join(blocks, ["seq_id", "block"])
+    return x.select(*key, F.coalesce("run", "_start").alias("run"), "end")
+
+
+def linked(d: DataFrame, few: int = 100_000) -> DataFrame:
     """Batch replay of d(seq_id, frame_index, det_id, x1, y1, x2, y2): one row for every open track at every frame of its
-    sequence, det_id null where it misses. A sequence is one task's work, since every frame needs the one before, but it
-    streams through: it is never held whole."""
-    order = ["seq_id", "frame_index", "det_id"]
+    sequence, det_id null where it misses. A run of frames is one task's work, since every frame needs the one before, and
+    streams through it; a sequence is cut where no track can go on (see runs), and its track ids follow from the number of
+    tracks in the runs before. Those counts are broadcast if there are at most `few`."""
     columns = d.select(F.col("seq_id").cast("long"), F.col("frame_index").cast("int"), F.col("det_id").cast("long"), *(F.col(c).cast("double") for c in BOX))
-    return columns.repartition(task_count(d.sparkSession), "seq_id").sortWithinPartitions(*order).mapInArrow(_replay, OUT)
+    order = ["seq_id", "run", "frame_index", "det_id"]
+    x = columns.join(runs(columns), ["seq_id", "frame_index"]).select("seq_id", "run", "end", "frame_index", "det_id", *BOX)
+    links = x.repartition(task_count(d.sparkSession), "seq_id", "run").sortWithinPartitions(*order).mapInArrow(_replay, "seq_id long, run int, frame_index int, track_id long, det_id long, missed int")
+    links = materialize(links, "links")
+    made = links.groupBy("seq_id", "run").agg((F.max("track_id") + 1).alias("made"))
+    before = Window.partitionBy("seq_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    later = materialize(made.select("seq_id", "run", F.sum("made").over(before).alias("before")).where("before > 0"), "link-runs")
+    out = links.join(F.broadcast(later) if later.count() <= few else later, ["seq_id", "run"], "left")
+    return out.select("seq_id", "frame_index", (F.col("track_id") + F.coalesce("before", F.lit(0))).alias("track_id"), "det_id", "missed")
 
 
 def all_tracks(links: DataFrame) -> DataFrame:

@@ -121,6 +121,28 @@ def test_linking_is_that_of_the_plain_version(spark):
         assert (r.hits, r.first_frame, r.finished) == (sum(w[3] is not None for w in own), min(w[1] for w in own), max(w[1] for w in own) < end[seq])
 
 
+def test_a_long_sequence_is_cut_where_no_track_goes_on(spark):
+    """One sequence of many runs, with pauses of two frames (no cut), three (cut) and more, over blocks of few frames."""
+    rng = random.Random(8)
+    rows, f, det = [], 0, 0
+    for _ in range(120):
+        for _ in range(rng.randrange(1, 3)):
+            x, y = 300.0 * rng.randrange(2), 5.0 * rng.randrange(3)
+            rows.append((7, f, det, x, y, x + 40, y + 40))
+            det += 1
+        f += rng.choice([1, 1, 2, 3, 4, 9])
+    frame = spark.createDataFrame(rows, "seq_id long, frame_index int, det_id long, x1 double, y1 double, x2 double, y2 double").repartition(3)
+    cut = {r.frame_index: r.run for r in tracks.runs(frame, block=8).collect()}
+    frames, run, want = sorted(cut), None, {}
+    for a, b in zip([None, *frames], frames, strict=False):
+        run = b if a is None or b - a > 3 else run
+        want[b] = run
+    assert cut == want and len(set(cut.values())) > 20
+    plain = sorted(linked_plainly(rows), key=str)
+    for few in (0, 100_000):
+        assert sorted((tuple(r) for r in tracks.linked(frame, few).collect()), key=str) == plain
+
+
 def test_stream_of_split_frames_gives_the_batch_rows(spark, tmp_path):
     d = detections(spark, SF).select("seq_id", "frame_index", "det_id", "x1", "y1", "x2", "y2")
     rows = sorted(map(tuple, d.collect()), key=lambda r: (r[1], r[2] % 2, r[0]))
