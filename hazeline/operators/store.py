@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.window import Window
 
-from hazeline.functions import geodesy
+from hazeline.functions import cells, geodesy
 from hazeline.functions.rules import TIERS
 from hazeline.session import materialize
 
@@ -159,9 +159,31 @@ def numbered(events: DataFrame, after: int, order: tuple[str, ...] = ("timestamp
 
 
 #: An entry reserves a batch's ids, from `first` on, or says which folder holds its rows.
+_STATE = ["largest", "events", "labels", "responses"]
+_PLACED = T.StructType([*EVENT, T.StructField("cell", LONG)])
 _LEDGER = "batch string, kind string, first long, rows long, folder string"
 
 
+def site_state(events: DataFrame, labels: DataFrame, responses: DataFrame) -> DataFrame:
+    """(site, largest, events, labels, responses): the greatest id of each site and its numbers of events and of entries in the logs
+    labels(id) and responses(id). A null site is a site, the empty one."""
+    x = events.select("id", F.coalesce("site", F.lit("")).alias("site"))
+    for name, log in (("labels", labels), ("responses", responses)):
+        x = x.join(log.groupBy("id").agg(F.count("*").alias(name)), "id", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return x.groupBy("site").agg(F.max("id").alias("largest"), F.count("*").alias("events"), total("labels"), total("responses"))
+
+
+def changed(now: DataFrame, seen: DataFrame) -> DataFrame:
+    """Rows of now (site_state) of the sites that aren't as in seen, with what has changed: events (a new largest id or another
+    number of them), labels, responses. A site that isn't in seen is new, and all that it has counts as changed."""
+    was = seen.select("site", *(F.col(c).alias(f"_{c}") for c in _STATE))
+    x = now.join(was, "site", "left")
+    differs = lambda c: F.col(c) != F.coalesce(F.col(f"_{c}"), F.lit(0))
+    what = F.array_compact(F.array(F.when(differs("largest") | differs("events"), "events"), *(F.when(differs(c), c) for c in ("labels", "responses"))))
+    return x.withColumn("what", what).where(F.size("what") > 0).select("site", "what", *_STATE)
+
+
 class EventStore:
     """Events below a folder that all executors share; labels and responses may come from many writers.
 
@@ -191,12 +213,39 @@ class EventStore:
         """One row in one file, which appears whole or not at all."""
         self.spark.createDataFrame([(batch, kind, first, rows, folder)], _LEDGER).coalesce(1).write.mode("append").parquet(f"{self.folder}/ledger")
 
-    def _stored(self) -> DataFrame:
-        """The rows of all batches that the ledger names: the driver lists one folder a batch."""
-        folders = sorted(r["folder"] for r in self._entries("stored").select("folder").distinct().collect())
+    def _folders(self) -> list[str]:
+        """Where the rows of each batch are: in the last compaction that holds it, else in its own folder. The driver lists one
+        folder a batch that hasn't been compacted."""
+        e = self._read("ledger", _LEDGER).where("kind <> 'reserved'")
+        now = e.groupBy("batch").agg(F.max_by("folder", F.when(F.col("kind") == "stored", "").otherwise(F.col("kind"))).alias("folder"))
+        return sorted(r["folder"] for r in now.select("folder").distinct().collect())
+
+    def _stored(self, schema: T.StructType = EVENT) -> DataFrame:
+        """The rows of all batches that the ledger names."""
+        folders = self._folders()
         if not folders:
-            return self.spark.createDataFrame([], EVENT)
-        return self.spark.read.schema(EVENT).parquet(*(f"{self.folder}/events/{f}" for f in folders))
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.folder}/events/{f}" for f in folders))
+
+    def _write(self, rows: DataFrame, folder: str) -> None:
+        """Rows in the order of their cells, so that a search by place passes over row groups."""
+        x = rows.withColumn("cell", cells.cell(F.col("lat"), F.col("lon")))
+        x.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").write.parquet(f"{self.folder}/events/{folder}")
+
+    def near(self, lat: float, lon: float, metres: float) -> DataFrame:
+        """Events within a distance, with metres. Only row groups whose cells the circle's cover meets are read."""
+        place = cells.within(self._stored(_PLACED), lat, lon, metres).select("id", "metres")
+        return self.events().join(place, "id")
+
+    def compact(self) -> None:
+        """Writes the rows of all batches together, in the order of their cells. One file of entries then names the new folder
+        for all of them at once; readers that began before keep the old files, which aren't removed."""
+        held = self._entries("stored").select("batch", "first", "rows").distinct()
+        kinds = self._read("ledger", _LEDGER).where("kind LIKE 'compacted-%'").agg(F.max("kind")).first()[0]
+        kind, folder = f"compacted-{int((kinds or 'compacted-0').split('-')[1]) + 1:09d}", uuid.uuid4().hex
+        held = materialize(held, "compacted-batches")
+        self._write(self._stored(), folder)
+        held.select("batch", F.lit(kind).alias("kind"), "first", "rows", F.lit(folder).alias("folder")).coalesce(1).write.mode("append").parquet(f"{self.folder}/ledger")
 
     def events(self) -> DataFrame:
         """Stored events under their current labels and responses. A response only rises: of the log, which several writers may
@@ -233,7 +282,7 @@ class EventStore:
             first = self._entries("reserved").agg(F.coalesce(F.max(F.col("first") + F.col("rows")), F.lit(1))).first()[0]
             self._enter(batch, "reserved", first, n)
         folder = uuid.uuid4().hex
-        rows.withColumn("id", F.col("id") + (first - 1)).write.parquet(f"{self.folder}/events/{folder}")
+        self._write(rows.withColumn("id", F.col("id") + (first - 1)), folder)
         self._enter(batch, "stored", first, n, folder)
         return self.spark.read.schema(EVENT).parquet(f"{self.folder}/events/{folder}")
 
@@ -243,6 +292,18 @@ class EventStore:
         put = lambda rows, number: self.add(rows, f"{name}/{number}")
         return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 
+    def feed(self, name: str, limit: int = 300) -> tuple[DataFrame, DataFrame]:
+        """(changes, snapshot) since this feed was last asked: the sites that have changed and in what (see changed), and the newest
+        `limit` events of each of them. The state that is sent is kept under the feed's name, so unchanged sites give no row."""
+        kept = self._read(f"feeds/{name}", f"site string, {', '.join(f'{c} long' for c in _STATE)}, turn long")
+        seen = kept.groupBy("site").agg(F.max_by(F.struct(*_STATE), "turn").alias("s"), F.max("turn").alias("turn")).select("site", "s.*", "turn")
+        turn = 1 + (seen.agg(F.max("turn")).first()[0] or 0)
+        new = materialize(changed(site_state(self._stored(), self._log("labels"), self._log("responses")), seen), "changes")
+        new.select("site", *_STATE, F.lit(turn).cast("long").alias("turn")).write.mode("append").parquet(f"{self.folder}/feeds/{name}")
+        e = self.events().withColumn("_site", F.coalesce("site", F.lit(""))).join(new.select(F.col("site").alias("_site")), "_site", "left_semi").drop("_site")
+        newest = F.row_number().over(Window.partitionBy("site").orderBy(F.desc("id")))
+        return new, e.withColumn("_nth", newest).where(F.col("_nth") <= limit).drop("_nth")
+
     def get(self, event_id: int) -> DataFrame:
         return self.events().where(F.col("id") == event_id)
 

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from hazeline.functions import cells
 from hazeline.functions import geodesy as geo
 from hazeline.functions import geometry as g
 from hazeline.functions import rules
 from hazeline.operators import learn, matching, solve, store
 from hazeline.plans import run
-from hazeline.session import materialize
+from hazeline.session import materialize, shared_dir
 from hazeline.sources.detections import SQL, detections
 from hazeline.streaming import alerts, tracks
 
@@ -228,7 +230,11 @@ def enu_round_trip(spark, sf_dir):
 
 @query(f"WITH {SQL} SELECT det_id, round(sqrt(east * east + north * north) / 1000, 3) AS km FROM {_enu_sql('d', '0e0')} WHERE sqrt(east * east + north * north) <= 15000")
 def radius_search(spark, sf_dir):
-    return store.within(detections(spark, sf_dir), LAT0, LON0, 15_000.0).select("det_id", _r(F.col("metres") / 1000, 3).alias("km"))
+    """Within 15 km of the site, from a table that is laid out by cells: only folders and row groups that the circle's cover meets
+    are read."""
+    where = f"{shared_dir(spark)}/places-{uuid.uuid4().hex}"
+    cells.write(detections(spark, sf_dir).select("det_id", "lat", "lon"), where)
+    return cells.within(cells.read(spark, where), LAT0, LON0, 15_000.0).select("det_id", _r(F.col("metres") / 1000, 3).alias("km"))
 
 
 @query(f"""WITH {SQL}, p AS (SELECT det_id, d.lat, d.lon, unit, ulat, ulon, 6378137e0 / sqrt(1 - 6694379990141317e-18 * sin(radians(d.lat)) * sin(radians(d.lat))) AS n, 6378137e0 / sqrt(1 - 6694379990141317e-18 * sin(radians(ulat)) * sin(radians(ulat))) AS m FROM d, (VALUES ('north', 36442e-3, 12869e-2), ('south', 36385e-3, 128748e-3)) t(unit, ulat, ulon)),

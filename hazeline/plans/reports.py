@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from hazeline.functions import cells
 from hazeline.functions import geodesy as geo
 from hazeline.functions import geometry as g
 from hazeline.functions import rules
@@ -305,3 +306,27 @@ def alert_texts(spark, sf_dir):
     ok = F.col("k") % 4 > 0
     x = e.select("id", "tier", F.when(F.col("seq_id") % 5 == 0, "").otherwise(F.concat(F.lit("s"), "seq_id")).alias("site"), ok.alias("geo_ok"), F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), F.col("k").cast("double").alias("cep50_m"), (F.col("k") * 37 + 1000).cast("double").alias("range_m"), F.lit("grazing").alias("geo_reject_reason"), F.when(ok, F.col("k") / 2.0).alias("nearest_unit_km"))
     return x.select("id", alerts.alert_text().alias("text"))
+
+
+@query(f"WITH {SQL} SELECT det_id, round(lat, 12) AS lat, round(lon, 12) AS lon, CASE WHEN det_id % 3 > 0 THEN 4326 END AS srid, TRUE AS exact FROM d")
+def point_codec(spark, sf_dir):
+    """Places as binary points of either byte order, with and without SRID, and back: not a bit is lost."""
+    d = detections(spark, sf_dir).select("det_id", "lat", "lon")
+    made = [cells.to_ewkb(F.col("lat"), F.col("lon"), little, srid) for little in (True, False) for srid in (None, cells.WGS84)]
+    pick = F.when(F.col("det_id") % 3 > 0, F.when(F.col("det_id") % 2 == 0, made[1]).otherwise(made[3])).otherwise(F.when(F.col("det_id") % 2 == 0, made[0]).otherwise(made[2]))
+    back = d.withColumn("point", pick).select("det_id", F.col("lat").alias("a"), F.col("lon").alias("b"), *(c.alias(n) for n, c in cells.from_ewkb(F.col("point")).items()))
+    return back.select("det_id", _r(F.col("lat"), 12).alias("lat"), _r(F.col("lon"), 12).alias("lon"), "srid", ((F.col("a") == F.col("lat")) & (F.col("b") == F.col("lon"))).alias("exact"))
+
+
+_CHANGES = f"""{_EVENTS}, now AS (SELECT CAST(seq_id AS VARCHAR) AS site, max(id) AS largest, count(*) AS events, count(*) FILTER (WHERE label <> 'unlabelled') AS labels, count(*) FILTER (WHERE id % 5 = 0 AND seq_id % 2 = 0) AS responses FROM e GROUP BY seq_id),
+seen AS (SELECT CAST(seq_id AS VARCHAR) AS site, max(id) AS largest, count(*) AS events, count(*) FILTER (WHERE label <> 'unlabelled' AND id % 2 = 0) AS labels, count(*) FILTER (WHERE id % 5 = 0 AND seq_id % 2 = 0) AS responses FROM e WHERE seq_id % 4 > 0 OR id % 7 > 0 GROUP BY seq_id),
+chg AS (SELECT now.*, now.largest <> coalesce(seen.largest, 0) OR now.events <> coalesce(seen.events, 0) AS a, now.labels <> coalesce(seen.labels, 0) AS b, now.responses <> coalesce(seen.responses, 0) AS c FROM now LEFT JOIN seen USING (site))"""
+
+
+@query(f"WITH {_CHANGES} SELECT site, array_to_string(list_filter([CASE WHEN a THEN 'events' END, CASE WHEN b THEN 'labels' END, CASE WHEN c THEN 'responses' END], lambda x: x IS NOT NULL), ',') AS what, largest, events, labels, responses FROM chg WHERE a OR b OR c")
+def site_changes(spark, sf_dir):
+    """What a feed sends: sites whose events, labels or responses aren't as they were when it was last asked."""
+    e = stored_events(spark, sf_dir).withColumn("site", F.col("seq_id").cast("string"))
+    labelled, answered = e.where("label <> 'unlabelled'"), e.where("id % 5 = 0 AND seq_id % 2 = 0")
+    seen = store.site_state(e.where("seq_id % 4 > 0 OR id % 7 > 0"), labelled.where("id % 2 = 0"), answered)
+    return store.changed(store.site_state(e, labelled, answered), seen).withColumn("what", F.array_join("what", ","))

@@ -61,6 +61,26 @@ def test_two_writers_of_responses(spark, tmp_path):
     assert [x.response for x in s.events().where("id <> 2").collect()] == ["none", "none"]
 
 
+def test_feed_of_changes(spark, tmp_path):
+    s = store.EventStore(spark, f"file://{tmp_path}/events")
+    s.add(event(spark, 10))
+    entry = lambda i, value: spark.createDataFrame([(i, value, 1.0)], "id long, value string, at double")
+    asked = lambda name="map": {r.site: (r.what, r.largest, r.events) for r in s.feed(name)[0].collect()}
+    changes, snapshot = s.feed("map", limit=3)
+    assert {r.site: r.events for r in changes.collect()} == {"a": 5, "b": 5}
+    ids = sorted(r.id for r in s.events().where("site = 'a'").collect())
+    assert sorted(r.id for r in snapshot.collect() if r.site == "a") == ids[-3:]
+    assert asked() == {} and s.feed("map")[1].count() == 0
+    s.set_labels(entry(ids[0], "confirmed"))
+    assert asked() == {"a": (["labels"], ids[-1], 5)}
+    s.set_responses(entry(ids[0], "received"))
+    s.set_labels(entry(ids[1], "confirmed"))
+    assert asked() == {"a": (["labels", "responses"], ids[-1], 5)}
+    s.add(event(spark, 2))
+    assert asked() == {"a": (["events"], 12 if s.get(12).first().site == "a" else 11, 6), "b": (["events"], 12 if s.get(12).first().site == "b" else 11, 6)}
+    assert asked() == {} and set(asked("other")) == {"a", "b"}
+
+
 class Killed(Exception):
     pass
 
