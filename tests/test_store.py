@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hazeline.functions import rules
-from hazeline.operators import detect, evaluate, store
+from hazeline.operators import detect, evaluate, solve, store
 from hazeline.sources import config, files, weather
 
 
@@ -161,29 +161,40 @@ def test_configuration(spark, tmp_path):
     (tmp_path / "configs" / "sites").mkdir(parents=True)
     sites = tmp_path / "configs" / "sites"
     (sites / "hill.json").write_text(json.dumps({"name": "hill", "lat": 36.4, "lon": 128.7, "bbox": [128.35, 36.06, 129.05, 36.76], "response_units": [{"name": "n", "lat": 1, "lon": 2}]}))
-    s = config.site("hill", str(sites))
-    assert s["terrain_dir"] == f"{tmp_path}/data/dem/hill" and s["units"] == [("n", 1.0, 2.0)] and s["patrol_m"] == 300.0 and s["label"] == "hill"
-    with pytest.raises(FileNotFoundError, match="hill"):
-        config.site("valley", str(sites))
-    tiles = config.terrain_tiles(spark, [s])
+    (sites / "shore.json").write_text(json.dumps({"name": "the shore", "label": "Shore", "lat": 1, "lon": 2, "bbox": [0, 0, 1, 1], "patrol_altitude_agl_m": 80, "dem": {"cache_dir": "/c", "local_dir": "own", "geoid_offset_m": 25.5}}))
+    (sites / "notes.txt").write_text("no configuration")
+    s = config.site(spark, "hill", str(sites))
+    assert (s.terrain_dir, s.patrol_m, s.label, s.local_dir, s.geoid_offset_m) == (f"{tmp_path}/data/dem/hill", 300.0, "hill", None, 0.0) and [tuple(u) for u in s.units] == [("n", 1.0, 2.0)]
+    for name in ("shore", "the shore"):
+        c = config.site(spark, name, str(sites))
+        assert (c.terrain_dir, c.local_dir, c.patrol_m, c.label, c.geoid_offset_m, list(c.units)) == ("/c", f"{tmp_path}/own", 80.0, "Shore", 25.5, [])
+    assert sorted(r.stem for r in config.sites(spark, str(sites)).collect()) == ["hill", "shore"]
+    with pytest.raises(FileNotFoundError, match="hill, shore"):
+        config.site(spark, "valley", str(sites))
+    tiles = config.terrain_tiles(config.sites(spark, str(sites)).where("name = 'hill'"))
     assert sorted((r.south, r.west) for r in tiles.collect()) == [(36, 128), (36, 129)]
     there = tiles.where("west = 128").select("path")
     assert [r.west for r in config.missing_tiles(tiles, there).collect()] == [129]
     with pytest.raises(FileNotFoundError, match="E129"):
-        config.terrain_files(s, there, tiles)
-    assert config.terrain_files(s, tiles.select("path"), tiles).count() == 2
+        config.terrain_files("hill", None, there, tiles)
+    assert config.terrain_files("hill", None, tiles.select("path"), tiles).count() == 2
     local = spark.createDataFrame([("/l/b.TIF",), ("/l/a.tif",), ("/l/a.txt",), ("/m/c.tif",)], "path string")
-    assert [r.path for r in config.terrain_files(s | {"local_dir": "/l"}, local, tiles).collect()] == ["/l/a.tif", "/l/b.TIF"]
+    assert [r.path for r in config.terrain_files("hill", "/l", local, tiles).collect()] == ["/l/a.tif", "/l/b.TIF"]
     with pytest.raises(FileNotFoundError, match="/x"):
-        config.terrain_files(s | {"local_dir": "/x"}, local, tiles)
-    for body, ok in (({"hfov_deg": 73.7}, True), ({"focal_mm": 4.5, "sensor_width_mm": 6.4}, True), ({}, False)):
-        (tmp_path / "c.json").write_text(json.dumps({"name": "c", "width": 1920, "height": 1080, **body}))
-        if ok:
-            assert config.camera(str(tmp_path / "c.json"), "")[0].fx > 1000
-        else:
-            with pytest.raises(ValueError, match="hfov_deg or focal_mm"):
-                config.camera(str(tmp_path / "c.json"), "")
-    assert not config.has_distortion((0.0, 0.0)) and config.has_distortion((0.0, -0.3))
+        config.terrain_files("hill", "/x", local, tiles)
+    lenses = tmp_path / "cameras"
+    lenses.mkdir()
+    for name, body in (("view", {"hfov_deg": 73.7}), ("sensor", {"focal_mm": 4.5, "sensor_width_mm": 6.4, "sensor_height_mm": 3.6, "dist": [0, -0.3, 0, 0, 0]}), ("none", {})):
+        (lenses / f"{name}.json").write_text(json.dumps({"name": name, "width": 1920, "height": 1080, **body}))
+    view, lens = config.camera(spark, "view", str(lenses))
+    wide = solve.Camera.from_fov(1920, 1080, 73.7).fx
+    assert (view.fx, view.fy, view.cx, view.cy) == pytest.approx((wide, wide, 960.0, 540.0)) and lens == (0.0,) * 5
+    sensor, lens = config.camera(spark, "sensor", str(lenses))
+    own = solve.Camera.from_sensor(1920, 1080, 4.5, 6.4, 3.6)
+    assert (sensor.fx, sensor.fy) == pytest.approx((own.fx, own.fy)) and lens == (0.0, -0.3, 0.0, 0.0, 0.0)
+    with pytest.raises(ValueError, match="hfov_deg or focal_mm"):
+        config.camera(spark, "none", str(lenses))
+    assert {r.stem: r.distorted for r in config.cameras(spark, str(lenses)).collect()} == {"view": False, "sensor": True, "none": False}
 
 
 def test_wind(spark):
