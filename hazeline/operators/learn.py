@@ -66,3 +66,13 @@ def fitted(tracks: DataFrame) -> DataFrame:
             break
     rows = [(f, float(v)) for f, v in zip([*cols[:-1], "intercept"], w, strict=True)]
     return tracks.sparkSession.createDataFrame(rows, "feature string, weight double")
+
+
+def retrained(events: DataFrame, folder: str, mode: str = "sparse") -> DataFrame:
+    """Weights fitted to stored events by their current labels, and saved: from what operators said to what the next run scores
+    with. events are those of the store; the features that each carries are the training row, and one it lacks stands at its
+    centre, where it says nothing. Refuses as `fitted` does, and then nothing is saved."""
+    features = [F.coalesce(F.col("features")[f], F.lit(float(c))).alias(f) for f, _, c, _ in SCORER[:10]]
+    weights = fitted(events.select("label", *features))
+    save(weights, folder, mode)
+    return weights

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hazeline.functions import rules
-from hazeline.operators import detect, evaluate, solve, store
+from hazeline.operators import detect, evaluate, learn, solve, store
 from hazeline.sources import config, files, weather
 
 
@@ -281,3 +281,22 @@ def test_files(spark, tmp_path):
     assert files.image_manifest(spark, f"{tmp_path}/i.json").first().camera == "c"
     names = spark.createDataFrame([("a.jpg",), ("../a",), ("a/b",), ("a\\b",), ("",), (None,)], "n string")
     assert [r.ok for r in names.select(files.safe_name(F.col("n")).alias("ok")).collect()] == [True, False, False, False, False, False]
+
+
+def test_retraining_from_stored_labels(spark, tmp_path):
+    s = store.EventStore(spark, f"file://{tmp_path}/events")
+    rng = np.random.default_rng(3)
+    rows = [(k, {"persistence": float(rng.uniform()), "confidence_mean": float(rng.uniform())}, float(k)) for k in range(40)]
+    s.add(store.migrated(spark.createDataFrame(rows, "track_id long, features map<string,double>, timestamp double")))
+    said = lambda ids: spark.createDataFrame([(i, "confirmed" if i % 3 else "false_positive", 1.0) for i in ids], "id long, value string, at double")
+    s.set_labels(said(range(1, 10)))
+    with pytest.raises(ValueError, match="8 labels"):
+        learn.retrained(s.events(), str(tmp_path / "scorer"))
+    assert not (tmp_path / "scorer").exists()
+    s.set_labels(said(range(10, 36)))
+    got = {r.feature: r.weight for r in learn.retrained(s.events(), str(tmp_path / "scorer")).collect()}
+    assert learn.load(spark, str(tmp_path / "scorer")) == got
+    own = spark.createDataFrame([(f["persistence"], f["confidence_mean"], "confirmed" if (k + 1) % 3 else "false_positive") for k, f, _ in rows[:35]], "persistence double, confidence_mean double, label string")
+    want = {r.feature: r.weight for r in learn.fitted(own).collect()}
+    assert {f: got[f] for f in want} == pytest.approx(want, abs=1e-6)
+    assert all(abs(w) < 1e-9 for f, w in got.items() if f not in want)
