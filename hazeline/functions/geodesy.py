@@ -98,7 +98,7 @@ def fov_of(f: Column, width: Column) -> Column:
 
 def pixel_ray(u: Column, v: Column, f: float, cx: float, cy: float, fy: float | None = None) -> tuple[Column, Column, Column]:
     """Unit ray in camera axes: right, down, forward."""
-    x, y = (u - cx) / f, (v - cy) / (fy or f)
+    x, y = (u - cx) / f, (v - cy) / (f if fy is None else fy)
     n = F.sqrt(x * x + y * y + 1)
     return x / n, y / n, 1 / n
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeline.functions import geodesy as geo
-from hazeline.operators.solve import NO_INTERSECTION, OUT_OF_DEM, Camera, Solver
+from hazeline.operators.solve import GRAZING, NO_INTERSECTION, OUT_OF_DEM, Camera, Solver
 from hazeline.session import materialize
 
 #: Samples in a block, and cells along a tile. A block is shorter than a tile, so it is over the tile where it begins or one beside.
@@ -102,7 +102,43 @@ def _height(r: Column, c: Column, q) -> Column:
     return north + a * (south - north)
 
 
-def crossings(rays: DataFrame, cells: DataFrame, grid: Grid, camera: Camera, solver: Solver | None = None, voids: bool = False, few: int = 100_000) -> DataFrame:
+def heights_at(points: DataFrame, cells: DataFrame, grid: Grid, to: str = "ground") -> DataFrame:
+    """points(lat, lon, ...) with the bilinear height of the terrain under each; null where there is no cell."""
+    x = points.withColumns({"_row": _row(F.col("lat"), grid), "_col": _column(F.col("lon"), grid)})
+    q = cells.select(F.struct(*"ijabcd").alias("_q"), F.col("i").alias("_i"), F.col("j").alias("_j"))
+    x = x.join(q, (F.floor("_row") == F.col("_i")) & (F.floor("_col") == F.col("_j")), "left")
+    return x.withColumn(to, _height(F.col("_row"), F.col("_col"), F.col("_q"))).drop("_row", "_col", "_q", "_i", "_j")
+
+
+def direction(camera: Camera | None = None) -> tuple[Column, Column, Column]:
+    """East, north and up of the rays of pixels u, v under yaw, pitch, roll. Without a camera each row brings its own: fx, fy, cx,
+    cy, and lens, of which distorted says whether it does anything, as sources.config.cameras has them."""
+    c = F.col
+    if camera is not None:
+        ray = geo.pixel_ray(c("u"), c("v"), camera.fx, camera.cx, camera.cy, camera.fy)
+    else:
+        x, y = (c("u") - c("cx")) / c("fx"), (c("v") - c("cy")) / c("fy")
+        straight = geo.undistort(x, y, *(F.get("lens", F.lit(k)) for k in range(5)))
+        at = F.when(c("distorted"), straight).otherwise(F.struct(x.alias("x"), y.alias("y")))
+        ray = geo.pixel_ray(at["x"], at["y"], 1.0, 0.0, 0.0)
+    return geo.rotate(ray, c("yaw"), c("pitch"), c("roll"))
+
+
+def fixed(rays: DataFrame, cells: DataFrame, grid: Grid, camera: Camera | None = None, solver: Solver | None = None, voids: bool = False) -> DataFrame:
+    """(row_id, depression, reason, lat, lon, elevation_m, range_m, cep50_m, cep90_m) of rays, as solve.solved has them, with the
+    places of crossings() and null radii: what can be said without noise. Rays below the least depression, or without one, are
+    grazing and meet no terrain."""
+    solver = solver or Solver()
+    x = rays.withColumns({f"_{k}": v for k, v in zip("enu", direction(camera), strict=True)})
+    x = x.withColumn("depression", geo.depression(tuple(F.col(f"_{k}") for k in "enu"))).drop("_e", "_n", "_u")
+    fine = F.col("depression") >= solver.grazing
+    met = crossings(x.where(fine), cells, grid, camera, solver, voids)
+    out = x.select("row_id", "depression").join(met, "row_id", "left").withColumn("reason", F.when(fine, F.col("reason")).otherwise(GRAZING))
+    none = F.lit(None).cast("double")
+    return out.select("row_id", "depression", "reason", "lat", "lon", "elevation_m", "range_m", none.alias("cep50_m"), none.alias("cep90_m"))
+
+
+def crossings(rays: DataFrame, cells: DataFrame, grid: Grid, camera: Camera | None = None, solver: Solver | None = None, voids: bool = False, few: int = 100_000) -> DataFrame:
     """(row_id, reason, lat, lon, elevation_m, range_m) of rays(row_id, u, v, cam_lat, cam_lon, cam_alt, yaw, pitch, roll): the first
     sample at or below ground, then twenty halvings. cells is a written table of cells_of().
 
@@ -113,8 +149,7 @@ def crossings(rays: DataFrame, cells: DataFrame, grid: Grid, camera: Camera, sol
     solver = solver or Solver()
     steps = max(2, math.ceil(solver.range_m / solver.step_m) + 1)
     dt = solver.range_m / (steps - 1)
-    direction = geo.rotate(geo.pixel_ray(F.col("u"), F.col("v"), camera.fx, camera.cx, camera.cy, camera.fy), F.col("yaw"), F.col("pitch"), F.col("roll"))
-    d = rays.withColumns({**{f"_{k}": v for k, v in zip("enu", direction, strict=True)}, "_p": F.radians("cam_lat"), "_q": F.radians("cam_lon")})
+    d = rays.withColumns({**{f"_{k}": v for k, v in zip("enu", direction(camera), strict=True)}, "_p": F.radians("cam_lat"), "_q": F.radians("cam_lon")})
     d = d.withColumn("_len", F.sqrt(F.col("_e") ** 2 + F.col("_n") ** 2 + F.col("_u") ** 2))
     e, n, u = (F.col(f"_{k}") / F.col("_len") for k in "enu")
     s, c, v, w = F.sin("_p"), F.cos("_p"), F.sin("_q"), F.cos("_q")

@@ -345,13 +345,16 @@ def _on_earth_sql(source: str) -> str:
 _P = crossing.phases(7)
 _RAW = " + ".join(f"{w!r} * sin({f!r} * ((i + 5e-1) * (1e0 / 1200) * 100) + {_P[2 * k]!r}) * cos({f!r} * ((j + 5e-1) * (1e0 / 1200) * 100) + {_P[2 * k + 1]!r})" for k, (w, f) in enumerate(((1.0, 0.3), (0.5, 0.7), (0.25, 1.5))))
 _OVER = "q.a + (p.c - q.j) * (q.b - q.a) + (p.r - q.i) * ((q.cc + (p.c - q.j) * (q.dd - q.cc)) - (q.a + (p.c - q.j) * (q.b - q.a)))"
-_CROSS = f"""{SQL}, raw AS (SELECT CAST(g // 840 AS INT) AS i, CAST(g % 840 AS INT) AS j, 0e0 + {_RAW} AS z FROM (SELECT n // 840 * 840 + n % 840 AS g, n // 840 AS i, n % 840 AS j FROM range(705600) t(n))),
+def crossing_sql(aim: str, where: str = "TRUE") -> str:
+    """Tables up to seen and spot of the rays that aim gives: det_id, p and q (radians), alt, a and b (the pixel over the focal
+    length), yw and pt (radians). The terrain is there before aim, as quad."""
+    return f"""raw AS (SELECT CAST(g // 840 AS INT) AS i, CAST(g % 840 AS INT) AS j, 0e0 + {_RAW} AS z FROM (SELECT n // 840 * 840 + n % 840 AS g, n // 840 AS i, n % 840 AS j FROM range(705600) t(n))),
 bound AS (SELECT min(z) AS lo, max(z) AS hi FROM raw), hgt AS (SELECT i, j, 200e0 + 600e0 * (z - lo) / (hi - lo) AS z FROM raw, bound),
 half AS (SELECT i, j, z AS a, lead(z) OVER (PARTITION BY i ORDER BY j) AS b FROM hgt),
 quad AS MATERIALIZED (SELECT * FROM (SELECT i, j, a, b, lead(a) OVER (PARTITION BY j ORDER BY i) AS cc, lead(b) OVER (PARTITION BY j ORDER BY i) AS dd FROM half) WHERE b IS NOT NULL AND cc IS NOT NULL),
-aim AS (SELECT det_id, radians(36412700e-6) AS p, radians(128704300e-6) AS q, 1300e0 + 25e0 * (seq_id % 8) AS alt, ((x1 + x2) / 2 - 960) / (960 / tan(radians(737e-1) / 2)) AS a, ((y1 + y2) / 2 - 540) / (960 / tan(radians(737e-1) / 2)) AS b, radians(k * 36e-1) AS yw, radians(-k * 5e-1 - 2) AS pt FROM d),
+aim AS ({aim}),
 unit AS (SELECT *, (a * cos(yw) + b * sin(yw) * sin(pt) + sin(yw) * cos(pt)) / sqrt(a * a + b * b + 1) AS e, (-a * sin(yw) + b * cos(yw) * sin(pt) + cos(yw) * cos(pt)) / sqrt(a * a + b * b + 1) AS n, (sin(pt) - b * cos(pt)) / sqrt(a * a + b * b + 1) AS u, 6378137e0 / sqrt(1 - {_E2} * sin(p) * sin(p)) AS nn FROM aim),
-ray AS MATERIALIZED (SELECT det_id, alt, -u AS down, (nn + alt) * cos(p) * cos(q) AS ox, (nn + alt) * cos(p) * sin(q) AS oy, (nn * (1 - {_E2}) + alt) * sin(p) AS oz, -sin(q) * e - sin(p) * cos(q) * n + cos(p) * cos(q) * u AS dx, cos(q) * e - sin(p) * sin(q) * n + cos(p) * sin(q) * u AS dy, cos(p) * n + sin(p) * u AS dz FROM unit),
+ray AS MATERIALIZED (SELECT det_id, alt, -u AS down, (nn + alt) * cos(p) * cos(q) AS ox, (nn + alt) * cos(p) * sin(q) AS oy, (nn * (1 - {_E2}) + alt) * sin(p) AS oz, -sin(q) * e - sin(p) * cos(q) * n + cos(p) * cos(q) * u AS dx, cos(q) * e - sin(p) * sin(q) * n + cos(p) * sin(q) * u AS dy, cos(p) * n + sin(p) * u AS dz FROM unit WHERE {where}),
 smp AS (SELECT *, {_LINE.format(k='k * 2e1')} FROM (SELECT *, unnest(range(0, 751)) AS k FROM ray) WHERE k = 0 OR down <= 1e-3 OR (k * 2e1 * down >= alt - 801 - 20 AND k * 2e1 * down <= alt - 199 + 40)),
 seen AS MATERIALIZED (SELECT det_id, min(k) FILTER (WHERE p.h - ({_OVER}) <= 0) AS hit, min(k) FILTER (WHERE q.a IS NULL) AS gone FROM {_on_earth_sql('smp')} p LEFT JOIN quad q ON q.i = CAST(floor(p.r) AS INT) AND q.j = CAST(floor(p.c) AS INT) GROUP BY det_id),
 bis AS (SELECT ray.*, (hit - 1) * 2e1 AS lo, hit * 2e1 AS hi, 0 AS step FROM ray JOIN seen USING (det_id) WHERE hit >= 1 AND (gone IS NULL OR hit < gone)
@@ -360,6 +363,10 @@ bis AS (SELECT ray.*, (hit - 1) * 2e1 AS lo, hit * 2e1 AS hi, 0 AS step FROM ray
 spot AS (SELECT det_id, (lo + hi) / 2 AS far, degrees(la) AS lat, degrees(atan2(y, x)) AS lon, h FROM {_on_earth_sql(f"(SELECT *, {_LINE.format(k='((lo + hi) / 2)')} FROM bis WHERE step = 20)")})"""
 
 
+_AIM = "SELECT det_id, radians(36412700e-6) AS p, radians(128704300e-6) AS q, 1300e0 + 25e0 * (seq_id % 8) AS alt, ((x1 + x2) / 2 - 960) / (960 / tan(radians(737e-1) / 2)) AS a, ((y1 + y2) / 2 - 540) / (960 / tan(radians(737e-1) / 2)) AS b, radians(k * 36e-1) AS yw, radians(-k * 5e-1 - 2) AS pt FROM d"
+_CROSS = f"{SQL}, {crossing_sql(_AIM)}"
+
+
 @query(f"WITH RECURSIVE {_CROSS} SELECT det_id, CASE WHEN far IS NULL THEN CASE WHEN gone IS NOT NULL OR hit = 0 THEN 'out_of_dem' ELSE 'no_intersection' END END AS reason, round(lat, 7) AS lat, round(lon, 7) AS lon, round(h, 2) AS elevation_m, round(far, 3) AS range_m FROM seen LEFT JOIN spot USING (det_id)")
 def ground_crossings(spark, sf_dir):
     """Where the ray of each detection meets the ground, by joins with a terrain that is a table."""

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hazeline.functions import rules
-from hazeline.operators import solve, store
+from hazeline.operators import crossing, solve, store
 from hazeline.session import materialize
 from hazeline.sources.detections import detections
 from hazeline.streaming import alerts, tracks
@@ -51,8 +51,9 @@ def judged(x: DataFrame, mode: str = "sparse", weights: dict[str, float] | None
     return x.withColumn("tier", rules.tier(F.col("criteria.flow_ok"), F.col("criteria.area_ok"), F.col("criteria.enough_frames"), F.col("geo_ok")))
 
 
-def events(v: DataFrame, camera: str, site: str = "site", timestamp: str = "timestamp") -> DataFrame:
-    """Verdicts (with a column for site and timestamp) as events of the 29 columns; ids come when they are stored."""
+def events(v: DataFrame, camera: str | Column, site: str = "site", timestamp: str = "timestamp") -> DataFrame:
+    """Verdicts (with a column for site and timestamp) as events of the 29 columns; ids come when they are stored. camera is a
+    name, or the column that has it."""
     place = lambda c: F.when(F.col("geo_ok"), F.col(c)).alias(c)
     extra = [c for c in ("flow_divergence", "flow_upward_ratio", "flow_translation_mag", "intensity_flicker", "edge_softness") if c in v.columns]
     return v.select(
@@ -93,3 +94,28 @@ def whole_run(spark: SparkSession, sf_dir: str, units: list[tuple[str, float, fl
     v = verdicts(d, materialize(fixes(spark, sf_dir), "fixes")).withColumns({"site": F.concat(F.lit("s"), F.col("seq_id")), "timestamp": ((F.col("frame_index") - 16) * 60).cast("double")})
     stored = store.migrated(store.numbered(events(v, "wide"), 0))
     return notified(materialize(stored, "events"), units)
+
+
+def configured(d: DataFrame, flown: DataFrame, sites: DataFrame, cameras: DataFrame, cells: DataFrame, grid: crossing.Grid, solver: solve.Solver | None = None, drift_s: float = 0.0, voids: bool = False, **how) -> DataFrame:
+    """The verdicts of detections by configuration, with site, camera, units of the site, and nearest_unit_km where there is a place.
+
+    d has yaw, pitch and roll of each detection, and wind_speed, wind_from if drift_s says to move places upwind. flown(seq_id,
+    site, camera) says by name which site and camera a sequence is of; sites and cameras are tables as sources.config reads them.
+    A camera hangs over its site's point, patrol_m above the ground there. A sequence that flown lacks, or whose site or camera
+    isn't configured, stands outside the terrain, or has no focal length, is judged without places, so at most GLOW; so is a
+    detection without a pose, as grazing. how goes to verdicts().
+    """
+    s = crossing.heights_at(sites.select(F.col("name").alias("site"), "lat", "lon", "patrol_m", "units"), cells, grid)
+    s = s.select("site", F.col("lat").alias("cam_lat"), F.col("lon").alias("cam_lon"), (F.col("ground") + F.col("patrol_m")).alias("cam_alt"), "units")
+    c = cameras.select(F.col("name").alias("camera"), "fx", "fy", "cx", "cy", "lens", "distorted")
+    f = materialize(flown.join(s, "site", "left").join(c, "camera", "left"), "flown")
+    optics = ["cam_lat", "cam_lon", "cam_alt", "fx", "fy", "cx", "cy", "lens", "distorted"]
+    wind = [w for w in ("wind_speed", "wind_from") if w in d.columns]
+    rays = solve.aimed(d.select("det_id", "seq_id", "x1", "y1", "x2", "y2", "yaw", "pitch", "roll", *wind), solver).join(f.where("cam_alt IS NOT NULL AND fx IS NOT NULL").select("seq_id", *optics), "seq_id")
+    rays = materialize(rays.withColumnRenamed("det_id", "row_id"), "aims")
+    places = crossing.fixed(rays, cells, grid, None, solver, voids)
+    if drift_s > 0 and len(wind) == 2:
+        places = solve.drifted(places.join(rays.select("row_id", *wind), "row_id"), drift_s)
+    v = verdicts(d.drop("yaw", "pitch", "roll", "lat", "lon", *wind), materialize(places, "fixes"), **how)
+    v = v.join(f.select("seq_id", "site", "camera", "units"), "seq_id", "left")
+    return v.withColumn("nearest_unit_km", F.when(F.col("geo_ok"), alerts.nearest_of(F.col("units"))))

@@ -111,6 +111,12 @@ def nearest_km(units: list[tuple[str, float, float]], lat: str = "lat", lon: str
     return F.least(*far) if len(far) > 1 else far[0]
 
 
+def nearest_of(units: Column, lat: str = "lat", lon: str = "lon") -> Column:
+    """The same for units that each row brings, an array of name, lat and lon: its site's."""
+    far = lambda u: F.hypot(*geodesy.to_enu_at(F.col(lat), F.col(lon), F.lit(0.0), u["lat"], u["lon"], F.lit(0.0))[:2]) / 1000
+    return F.array_min(F.transform(units, far))
+
+
 def routed_stream(events: DataFrame, forget_s: float = 7 * 86_400.0) -> DataFrame:
     """The same over a stream, in order of arrival and, within a micro-batch, of time and id. The state holds the best tier
     of each track, until it is unseen for forget_s, and the alerts of the cooldown."""
