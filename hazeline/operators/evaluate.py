@@ -64,14 +64,14 @@ def device_bench(samples: DataFrame) -> DataFrame:
 CEP_TARGET, FPR_TARGET, RATE_TARGET, DELAY_TARGET = 50.0, 0.03, 0.5, 30.0
 
 
-def claims(alarms: DataFrame, detector: DataFrame | None = None, sweep: DataFrame | None = None, devices: DataFrame | None = None) -> DataFrame:
+def claims(alarms: DataFrame | None = None, detector: DataFrame | None = None, sweep: DataFrame | None = None, devices: DataFrame | None = None) -> DataFrame:
     """(item, target, measured, detail, verdict): what a rollup, a detector baseline, a sweep of one grade and a device bench
-    say of the targets. A claim whose figures are missing has no row. Places are met under a condition: from the least
+    say of the targets. A claim whose figures are missing has no row; without any figures there is nothing to say, an error. Places are met under a condition: from the least
     depression whose median radius is within the target, which detail names."""
     d = lambda c: F.col(c).cast("double") if isinstance(c, str) else F.lit(c).cast("double")
     rows = lambda x, item, target, measured, detail, verdict: x.select(F.lit(item).alias("item"), d(target).alias("target"), d(measured).alias("measured"), d(detail).alias("detail"), (verdict if isinstance(verdict, Column) else F.lit(verdict)).alias("verdict"))
     met = lambda ok: F.when(ok, "met").otherwise("not met")
-    out = [
+    out = [] if alarms is None else [
         rows(alarms.where("frames_before > 0"), "frame false alarm rate", FPR_TARGET, "fpr_sequence", "fpr_single", met(F.col("fpr_sequence") <= FPR_TARGET)),
         rows(alarms.where("latency_median IS NOT NULL"), "latency ms", 1000 * DELAY_TARGET, "latency_median", "latency_p95", "conditional"),
         rows(alarms, "false alarms an hour", RATE_TARGET, "verified_per_hour", "dedup_per_hour", met(F.col("verified_per_hour") <= RATE_TARGET)),
@@ -84,6 +84,8 @@ def claims(alarms: DataFrame, detector: DataFrame | None = None, sweep: DataFram
         out.append(rows(detector, "detector ap50", None, "ap50", "alarm_rate", "for reference"))
     if devices is not None:
         out.append(rows(devices.where("place = 1"), "frames a second", None, "fps", "median_ms", "met"))
+    if not out:
+        raise ValueError("no figures to make claims of")
     whole = out[0]
     for x in out[1:]:
         whole = whole.unionByName(x)

@@ -597,7 +597,7 @@ def whole_run(spark, sf_dir):
 
 
 def queries() -> dict:
-    from hazeline.plans import flights, reports  # noqa: F401  register their queries
+    from hazeline.plans import flights, handover, reports  # noqa: F401  register their queries
 
     return dict(_QUERIES)
 
