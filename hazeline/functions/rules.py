@@ -56,8 +56,10 @@ def observations(d: DataFrame, keys: tuple[str, ...] = ("seq_id", "lane")) -> Da
     return o.withColumn("grew", F.when(before.isNull(), None).when(F.col("area") > before, 1.0).otherwise(0.0))
 
 
-def features(interval: float = 60.0, over: WindowSpec | None = None) -> dict[str, Column]:
-    """Features of a track, as aggregates or over a window of its past. One observation has persistence and confidence only."""
+def features(interval: float | Column = 60.0, over: WindowSpec | None = None) -> dict[str, Column]:
+    """Features of a track, as aggregates or over a window of its past. One observation has persistence and confidence only. Over a
+    window the seconds between frames may be a column, each sequence's own."""
+    pace = F.greatest(interval, F.lit(1e-6)) if isinstance(interval, Column) else max(interval, 1e-6)
     wrap = lambda c: c.over(over) if over is not None else c
     t = F.col("offset_s")
     n, span = wrap(F.count("*")), wrap(F.max(t)) - wrap(F.min(t))
@@ -66,13 +68,24 @@ def features(interval: float = 60.0, over: WindowSpec | None = None) -> dict[str
     growth, dx, dy = s(F.log("area")), s(F.col("cx")), s(F.col("cy"))
     many = lambda c: F.when(n >= 2, c).otherwise(0.0)
     return {
-        "n": n, "duration": span, "persistence": F.least(F.lit(1.0), n / F.greatest(F.lit(1.0), span / max(interval, 1e-6) + 1)),
+        "n": n, "duration": span, "persistence": F.least(F.lit(1.0), n / F.greatest(F.lit(1.0), span / pace + 1)),
         "area_growth_rate": many(growth), "area_monotonicity": many(F.coalesce(wrap(F.avg("grew")), F.lit(0.0))), "centroid_rise_rate": many(-dy / scale), "drift_rate": many(F.abs(dx) / scale),
         "translation_over_growth": many(F.hypot(dx, dy) / scale / (F.abs(growth) + 1e-3)), "aspect_growth_rate": many(s(F.col("aspect"))),
         "confidence_mean": wrap(F.avg("confidence")), "confidence_slope": many(s(F.col("confidence"))),
     }
 
 
+def cadence(frames: DataFrame, key: str = "seq_id") -> DataFrame:
+    """(key, cadence_s) of frames(key, offset_s): the median of the positive steps of at most twice the least, 1 where there is none.
+    Frames without an offset say nothing."""
+    t = frames.select(key, "offset_s").distinct()
+    step = t.where("offset_s IS NOT NULL").withColumn("step", F.col("offset_s") - F.lag("offset_s").over(Window.partitionBy(key).orderBy("offset_s")))
+    least = step.where("step > 0").withColumn("least", F.min("step").over(Window.partitionBy(key)))
+    c = least.where("step <= 2 * least").groupBy(key).agg(F.percentile("step", 0.5).alias("cadence_s")).withColumnRenamed(key, "_key")
+    x = t.select(key).distinct()
+    return x.join(c, x[key].eqNullSafe(c["_key"]), "left").select(key, F.coalesce("cadence_s", F.lit(1.0)).alias("cadence_s"))
+
+
 def flow_features(over: WindowSpec | None = None) -> dict[str, Column]:
     """Means of the flow statistics divergence, upward_ratio and translation_mag over the observations that have any; an
     absent one of those counts as 0. Without any all are 0."""

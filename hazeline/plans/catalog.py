@@ -88,11 +88,7 @@ def letterbox(spark, sf_dir):
 @query(f"WITH {SQL}, tm AS (SELECT DISTINCT seq_id, offset_s FROM d), st AS (SELECT seq_id, offset_s - lag(offset_s) OVER (PARTITION BY seq_id ORDER BY offset_s) AS step FROM tm), m AS (SELECT *, min(step) OVER (PARTITION BY seq_id) AS least FROM st WHERE step > 0) SELECT t.seq_id, coalesce(max(c), 1) AS cadence_s FROM (SELECT DISTINCT seq_id FROM tm) t LEFT JOIN (SELECT seq_id, quantile_cont(step, 0.5) AS c FROM m WHERE step <= 2 * least GROUP BY seq_id) USING (seq_id) GROUP BY t.seq_id")
 def cadence(spark, sf_dir):
     """Median of the positive steps of at most twice the least; 1 where there is none."""
-    t = detections(spark, sf_dir).select("seq_id", "offset_s").distinct()
-    step = t.withColumn("step", F.col("offset_s") - F.lag("offset_s").over(Window.partitionBy("seq_id").orderBy("offset_s")))
-    least = step.where("step > 0").withColumn("least", F.min("step").over(Window.partitionBy("seq_id")))
-    c = least.where("step <= 2 * least").groupBy("seq_id").agg(F.percentile("step", 0.5).alias("cadence_s"))
-    return t.select("seq_id").distinct().join(c, "seq_id", "left").select("seq_id", F.coalesce("cadence_s", F.lit(1.0)).alias("cadence_s"))
+    return rules.cadence(detections(spark, sf_dir))
 
 
 _OBS = f"""{SQL},

@@ -136,3 +136,29 @@ def configured_run(spark, sf_dir):
         "seq_id", "track_id", "frame_index", "det_id", "site", "camera", "tier", _r(F.col("score")).alias("score"), e["flow_ok"].alias("flow_ok"), e["area_ok"].alias("area_ok"), e["enough_frames"].alias("enough_frames"), e["n_satisfied"].alias("n_satisfied"),
         F.array_join(e["reasons"], "; ").alias("reasons"), "geo_ok", "reason", _r(F.col("depression")).alias("depression"), _r(F.col("lat"), 7).alias("lat"), _r(F.col("lon"), 7).alias("lon"), _r(F.col("range_m"), 3).alias("range_m"), _r(F.col("nearest_unit_km"), 3).alias("nearest_unit_km"),
     )
+
+
+_PACE = "CASE WHEN seq_id % 2 = 0 THEN 1e-1 ELSE 6e1 END"
+_PACED = f"""{_FIELD}, {_LINKS.replace(SQL + ',', '', 1).strip()}, ld AS (SELECT d.seq_id, l.track_id AS lane, d.frame_index, CASE WHEN d.seq_id % 2 = 0 THEN d.offset_s / 600 ELSE d.offset_s END AS offset_s, d.det_id, d.confidence, x1, y1, x2, y2, d.k FROM links l JOIN d ON d.det_id = l.det_id),
+{_OBS.replace(SQL + ',', '', 1).strip().replace('o AS (', 'lo AS (', 1).replace('FROM d)', 'FROM ld)', 1).replace('FROM o WINDOW', 'FROM lo WINDOW', 1)},
+wf AS (SELECT w.*, CASE WHEN k % 11 > 0 THEN dv ELSE 0 END AS dv, CASE WHEN k % 11 > 0 THEN coalesce(up, 0) ELSE 0 END AS up, CASE WHEN k % 11 > 0 THEN tm ELSE 0 END AS tm FROM w JOIN fig USING (det_id) LEFT JOIN ups USING (det_id)),
+t AS (SELECT seq_id, lane, frame_index, det_id, {', '.join(f'coalesce(avg({c}) OVER (PARTITION BY seq_id, lane ORDER BY offset_s, det_id ROWS UNBOUNDED PRECEDING), 0) AS f{c}' for c in ('dv', 'up', 'tm'))}, {_features_sql(' OVER (PARTITION BY seq_id, lane ORDER BY offset_s, det_id ROWS UNBOUNDED PRECEDING)')} FROM wf),
+v AS ({_NAMED.format(key='seq_id, lane, frame_index, det_id, fdv, fup, ftm', source='t').replace('duration / 60', f'duration / ({_PACE})')}),
+m AS (SELECT *, seq_id % 2 = 0 AS dense, CASE WHEN seq_id % 2 = 0 THEN fup >= 55e-2 AND fdv >= 2e-2 ELSE centroid_rise_rate >= 1e-4 END AS motion, area_growth_rate >= 1e-4 AND area_monotonicity >= 55e-2 AS grows FROM v),
+vv AS (SELECT seq_id, lane, frame_index, struct_pack(det_id := det_id, n := n, motion := motion, grows := grows, dv := CASE WHEN dense THEN fdv ELSE 0 END, score := 1 / (1 + exp(-least(greatest({_LOGIT} + CASE WHEN dense THEN 9e-1 * fdv / 5e-1 + 6e-1 * (fup - 5e-1) / 25e-2 - 4e-1 * ftm / 2 ELSE 0 END, -50), 50)))) AS s FROM m),
+ca AS (SELECT l.seq_id, l.track_id, l.frame_index, last_value(vv.s IGNORE NULLS) OVER (PARTITION BY l.seq_id, l.track_id ORDER BY l.frame_index ROWS UNBOUNDED PRECEDING) AS s FROM links l LEFT JOIN vv ON vv.seq_id = l.seq_id AND vv.lane = l.track_id AND vv.frame_index = l.frame_index)"""
+
+
+@query(f"WITH RECURSIVE {_PACED} SELECT seq_id, track_id, frame_index, CASE WHEN seq_id % 2 = 0 THEN 'dense' ELSE 'sparse' END AS mode, s.motion AS flow_ok, s.grows AS area_ok, s.n >= CASE WHEN seq_id % 2 = 0 THEN 12 ELSE 3 END AS enough_frames, round(s.dv, 6) + 0e0 AS flow_divergence, round(s.score, 6) AS score, CASE WHEN s.motion AND s.grows AND s.n >= CASE WHEN seq_id % 2 = 0 THEN 12 ELSE 3 END AND s.det_id % 5 > 1 THEN 'FLARE' WHEN s.motion OR s.grows THEN 'GLOW' ELSE 'SPARK' END AS tier FROM ca")
+def paced_run(spark, sf_dir):
+    """Verdicts in the mode of each sequence's own frames: every other sequence has ten a second, and is judged by the flow that is
+    left without its camera's motion."""
+    d, c = detections(spark, sf_dir), F.col
+    f = flow.residual_flow(fields(spark, sf_dir).join(flow.camera_motion(matched_points(spark, sf_dir), ["seq_id"]), "seq_id", "left"))
+    f = f.select("det_id", "divergence", "upward_ratio", "translation_mag")
+    d = d.withColumn("offset_s", F.when(c("seq_id") % 2 == 0, c("offset_s") / 600).otherwise(c("offset_s"))).join(f, "det_id", "left")
+    some = lambda v: F.when(c("det_id") % 5 > 1, v)
+    places = d.select(c("det_id").alias("row_id"), F.lit(30.0).alias("depression"), F.lit(None).cast("string").alias("reason"), some(c("lat")).alias("lat"), some(c("lon")).alias("lon"), *(some(F.lit(0.0)).alias(k) for k in ("elevation_m", "range_m", "cep50_m", "cep90_m")))
+    v = run.verdicts_by_cadence(materialize(d.drop("lat", "lon"), "paced"), materialize(places, "fixes"))
+    e = c("criteria")
+    return v.select("seq_id", "track_id", "frame_index", "mode", e["flow_ok"].alias("flow_ok"), e["area_ok"].alias("area_ok"), e["enough_frames"].alias("enough_frames"), _r(c("flow_divergence")).alias("flow_divergence"), _r(c("score")).alias("score"), "tier")

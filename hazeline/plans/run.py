@@ -16,12 +16,12 @@ KEYS = ("seq_id", "track_id")
 _FEATURES = ["persistence", "duration", "n", "area_growth_rate", "area_monotonicity", "centroid_rise_rate", "drift_rate", "translation_over_growth", "aspect_growth_rate", "confidence_mean", "confidence_slope"]
 
 
-def verdicts(d: DataFrame, fixes: DataFrame, interval: float = 60.0, mode: str = "sparse", weights: dict[str, float] | None = None, links: DataFrame | None = None, side: int = 48) -> DataFrame:
+def verdicts(d: DataFrame, fixes: DataFrame, interval: float | Column = 60.0, mode: str = "sparse", weights: dict[str, float] | None = None, links: DataFrame | None = None, side: int = 48) -> DataFrame:
     """One row for every open track at every frame of its sequence: features of its detections so far, criteria, score, the
     place of its last detection, and the tier.
 
     d holds detections with offset_s, fixes their places by row_id; frames are interval seconds apart. A track that misses a
-    frame is judged again on what it has. Without a place a track with both conditions is GLOW. links are the rows of
+    frame is judged again on what it has. interval may be a column of d, each sequence's own. Without a place a track with both conditions is GLOW. links are the rows of
     tracks.linked, if they are there already. Where d has patch, an array of side x side grey values or null, flicker and
     softness of the patches so far count in the score and are features of the event.
     """
@@ -42,6 +42,22 @@ def verdicts(d: DataFrame, fixes: DataFrame, interval: float = 60.0, mode: str =
     return judged(x.join(places, "det_id", "left"), mode, weights, bool(looks))
 
 
+def verdicts_by_cadence(d: DataFrame, fixes: DataFrame, weights: dict[str, dict[str, float]] | None = None, side: int = 48) -> DataFrame:
+    """verdicts(), each sequence in the mode and with the interval that its own frames have, as columns mode and interval.
+
+    Sequences with frames at most a fifth of a second apart are dense: d has divergence, upward_ratio and translation_mag of their
+    detections, as flow.residual_flow gives them: zeros of a box that is too small count, nulls don't. Sparse ones have flow features of 0, as they
+    count for nothing there. weights are by mode.
+    """
+    pace = rules.cadence(d).withColumnRenamed("cadence_s", "interval")
+    d = d.join(pace, "seq_id").withColumn("mode", rules.mode_of(F.col("interval")))
+    links = materialize(tracks.linked(d.drop("interval", "mode")), "links")
+    kinds = d.select("seq_id", "interval", "mode").distinct()
+    both = [verdicts(d.where(F.col("mode") == m).drop("mode"), fixes, F.col("interval"), m, (weights or {}).get(m), links.join(kinds.where(F.col("mode") == m).select("seq_id"), "seq_id", "left_semi"), side) for m in ("sparse", "dense")]
+    v = both[0].unionByName(both[1], allowMissingColumns=True)
+    return v.fillna(0.0, ["flow_divergence", "flow_upward_ratio", "flow_translation_mag"]).join(kinds, "seq_id")
+
+
 def judged(x: DataFrame, mode: str = "sparse", weights: dict[str, float] | None = None, patches: bool = False) -> DataFrame:
     """x, which has a track's features and place, with criteria, score, explanation and tier: columns of a row, in a batch as in
     a stream. With patches, flicker and softness count in the score."""
