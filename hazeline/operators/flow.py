@@ -70,7 +70,7 @@ def camera_motion(points: DataFrame, keys: list[str], tolerance: float = TOLERAN
     """
     p = points.dropna(subset=["x", "y", "dx", "dy"]).select(*keys, "point_id", "x", "y", "dx", "dy")
     p = p.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy("point_id", "x", "y", "dx", "dy")) - 1)
-    p = materialize(p, "points")
+    p, at = materialize(p, "points"), ["x", "y", "dx", "dy"]
     frames = p.groupBy(*keys).agg(F.count("*").alias("n_points"))
     frame = lambda a, b: reduce(lambda s, c: s & c, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys))
     one = lambda a, rest=(): [*(F.col(f"{a}.{k}") for k in keys), *rest]
@@ -78,17 +78,21 @@ def camera_motion(points: DataFrame, keys: list[str], tolerance: float = TOLERAN
     asked = frames.where(F.col("n_points") >= least).withColumn("_h", F.explode(F.sequence(F.lit(1), F.lit(triples))))
     nth = lambda m: F.floor(F.pmod(F.col("_h").cast("long") * m, F.lit(10_000_000)) * F.col("n_points") / 10_000_000)
     asked = asked.withColumn("_t", F.explode(F.array(*(F.struct(F.lit(c).alias("corner"), nth(m).alias("place")) for c, m in zip("abc", DEAL, strict=True))))).select(*keys, "_h", "_t.corner", "_t.place")
-    three = asked.alias("q").join(p.alias("p"), frame("q", "p") & (F.col("q.place") == F.col("p._place"))).select(*one("q"), "_h", "corner", F.struct("x", "y", "dx", "dy").alias("_at"))
-    three = three.groupBy(*keys, "_h").agg(*(F.max(F.when(F.col("corner") == c, F.col("_at"))).alias(c) for c in "abc"))
-    motions = _through_three(three)
-
-    held = F.sum((_off(*(F.col(v) for v in ("x", "y", "dx", "dy"))) <= tolerance).cast("long")).alias("_n")
-    votes = p.alias("p").join(motions.alias("m"), frame("p", "m")).select(*one("p", ["_h", "x", "y", "dx", "dy", *MOTION])).groupBy(*keys, "_h", *MOTION).agg(held)
-    best = votes.groupBy(*keys).agg(F.max_by(F.struct(*MOTION), F.struct(F.col("_n"), -F.col("_h"))).alias("_m")).select(*keys, "_m.*")
-    best = materialize(best.select(*keys, *MOTION), "motions")
+    # no broadcast of points or triples: rows that explode makes are many more than the planner takes them for
+    three = asked.alias("q").join(p.hint("merge").alias("p"), frame("q", "p") & (F.col("q.place") == F.col("p._place"))).select(*one("q"), "_h", "corner", *at)
+    three = three.groupBy(*keys, "_h").agg(*(F.max(F.when(F.col("corner") == c, F.col(v))).alias(c + v) for c in "abc" for v in at))
+    motions = _through_three(three.select(*keys, "_h", *(F.struct(*(F.col(c + v).alias(v) for v in at)).alias(c) for c in "abc")))
+    motions = materialize(motions.select(*keys, "_h", *MOTION), "triples")
+
+    held = F.sum((_off(*(F.col(v) for v in at)) <= tolerance).cast("long")).alias("_n")
+    votes = p.hint("merge").alias("p").join(motions.alias("m"), frame("p", "m")).select(*one("p", ["_h", *at, *MOTION])).groupBy(*keys, "_h").agg(held)
+    # most votes, then the first triple, as one number
+    first = votes.groupBy(*keys).agg(F.max(F.col("_n") * (triples + 1) - F.col("_h")).alias("_v")).withColumn("_h", F.pmod(-F.col("_v"), F.lit(triples + 1)))
+    best = first.alias("v").join(motions.hint("merge").alias("m"), frame("v", "m") & (F.col("v._h") == F.col("m._h"))).select(*one("m"), *MOTION)
+    best = materialize(best, "motions")
     for _ in range(2):
-        near = p.alias("p").join(best.alias("m"), frame("p", "m")).select(*one("p", ["x", "y", "dx", "dy", *MOTION]))
-        best = _least_squares(near.where(_off(*(F.col(v) for v in ("x", "y", "dx", "dy"))) <= tolerance).drop(*MOTION), keys)
+        near = p.hint("merge").alias("p").join(best.alias("m"), frame("p", "m")).select(*one("p", [*at, *MOTION]))
+        best = _least_squares(near.where(_off(*(F.col(v) for v in at)) <= tolerance).drop(*MOTION), keys)
     best = best.where(F.col("n_inliers") >= least)
     x = frames.alias("f").join(best.alias("m"), frame("f", "m"), "left")
     return x.select(*one("f"), "n_points", F.coalesce("n_inliers", F.lit(0)).alias("n_inliers"), *MOTION)
