@@ -2,7 +2,7 @@
 
 Columns decide what columns can (rays, depression, the grazing gate, wind); the crossing is a numpy kernel over all rays of
 a batch at once. A ray is marched in steps from where it sinks below the highest terrain, a few samples at a time, and only
-rays that have not met the ground go on. Heights follow the ellipsoid, so the curvature of the earth is in every sample.
+rays that have not met the ground go on. Perturbed rays pass over samples that the steepest slope around can't reach. Heights follow the ellipsoid, so the curvature of the earth is in every sample.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -79,6 +80,10 @@ class Camera:
         return math.degrees(2 * math.atan(self.width / (2 * self.fx))), math.degrees(2 * math.atan(self.height / (2 * self.fy)))
 
 
+#: Fixed value: cells along a tile of the terrain's slopes.
+LEAP = 16
+
+
 @dataclass(frozen=True)
 class Terrain:
     """Heights at pixel centres of a north-up grid in degrees; z[0, 0] is the north-west pixel. geoid is added to all."""
@@ -102,6 +107,28 @@ class Terrain:
         low = flat[k + columns] + b * (flat[k + columns + 1] - flat[k + columns])
         return np.where(inside, top + a * (low - top) + self.geoid, np.nan)
 
+    @cached_property
+    def highest(self) -> float:
+        """The highest pixel, infinite where there are voids; z must not change after."""
+        return float(self.z.max()) if np.isfinite(self.z).all() else np.inf
+
+    @cached_property
+    def steepest(self) -> tuple[np.ndarray, float]:
+        """(greatest slope in a tile of LEAP x LEAP cells and the eight around it, metres from any point of a tile to the end of
+        these nine); z must not change after."""
+        edge = self.bounds()
+        lat = max(abs(edge["south"]), abs(edge["north"]))
+        tall, wide = self.cell * 110_500, self.cell * 110_500 * math.cos(math.radians(min(lat, 89.9)))
+        down, across = np.abs(np.diff(self.z, axis=0)) / tall, np.abs(np.diff(self.z, axis=1)) / wide
+        slope = np.hypot(np.maximum(down[:, 1:], down[:, :-1]), np.maximum(across[1:], across[:-1]))
+        if lat > 75:  # the meridians close up too fast for the bound
+            slope = np.full(slope.shape, np.inf)
+        slope = np.pad(slope, [(0, -n % LEAP) for n in slope.shape])
+        tiles = slope.reshape(slope.shape[0] // LEAP, LEAP, -1, LEAP).max(axis=(1, 3))
+        wider = np.pad(tiles, 1)
+        around = np.max([wider[a : a + tiles.shape[0], b : b + tiles.shape[1]] for a in range(3) for b in range(3)], axis=0)
+        return around, LEAP * wide
+
     def stats(self) -> dict[str, float]:
         rows, columns = self.z.shape
         ok = np.isfinite(self.z)
@@ -163,6 +190,73 @@ class Nearby:
         return lat, lon, alt0 + u + 0.5 * (e * ne + n * me)
 
 
+class _Descent:
+    """Gaps between rays and whole terrain to second order, for arrays of distances of some rays."""
+
+    def __init__(self, terrain: Terrain, place: Nearby, offset: np.ndarray, ray: np.ndarray):
+        nu, mu, tan, cos, lat, lon, alt = place.parts
+        self.terrain, self.turn, self.flat = terrain, math.degrees(1) / terrain.cell, terrain.z.ravel()
+        self.parts = [*offset.T, *ray.T, nu, mu, tan, cos, (terrain.north - lat) / terrain.cell - 0.5, (lon - terrain.west) / terrain.cell - 0.5, alt - terrain.geoid]
+
+    def of(self, rows: np.ndarray) -> list[np.ndarray]:
+        return [a[rows] for a in self.parts]
+
+    def gap(self, parts: list[np.ndarray], t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Metres above ground, NaN outside the grid, and the cell below."""
+        fe, fn, fu, de, dn, du, nu, mu, tan, cos, row, column, alt = parts
+        e, n, u = fe + t * de, fn + t * dn, fu + t * du
+        ne, me = e / (nu + u), n / (mu + u)
+        r, c = row - self.turn * (me - 0.5 * tan * ne * ne), column + self.turn * (ne / cos * (1 + tan * me))
+        rows, columns = self.terrain.z.shape
+        inside = (c >= 0) & (c <= columns - 1) & (r >= 0) & (r <= rows - 1)
+        i, j = (np.clip(x, 0, most - 2).astype(np.int32) for x, most in ((r, rows), (c, columns)))
+        a, b, k = r - i, c - j, i * columns + j
+        z, low = self.flat[k], self.flat[k + columns]
+        z = z + b * (self.flat[k + 1] - z)
+        z += a * (low + b * (self.flat[k + columns + 1] - low) - z)
+        return np.where(inside, alt + u + 0.5 * (e * ne + n * me) - z, np.nan), i, j
+
+    def first_low(self, rows: np.ndarray, first: np.ndarray, steps: int, dt: float) -> tuple[np.ndarray, np.ndarray]:
+        """(first sample at or below ground or -1, left the grid first) of the rays rows. The gap closes no faster than the ray
+        sinks and the steepest ground around rises, so the samples before it can be closed are above ground."""
+        hit, gone = np.full(len(rows), -1), np.zeros(len(rows), bool)
+        steep, reach = self.terrain.steepest
+        own, parts, k = np.arange(len(rows)), self.of(rows), first.copy()
+        while len(own):
+            g, i, j = self.gap(parts, k * dt)
+            low, out = g <= 0, np.isnan(g)
+            hit[own[low]], gone[own[out]] = k[low], True
+            sink = np.maximum(-parts[5], 0.0) + np.sqrt(np.maximum(1 - parts[5] * parts[5], 0.0)) * steep[i // LEAP, j // LEAP] + 1e-3
+            far = np.minimum(0.98 * g / sink, 0.98 * reach)
+            on = ~low & ~out & (k < steps - 1)
+            own, parts, k = own[on], [a[on] for a in parts], np.minimum(k[on] + 1 + (far[on] / dt).astype(np.int64), steps - 1)
+        return hit, gone
+
+    def root(self, rows: np.ndarray, hit: np.ndarray, dt: float) -> np.ndarray:
+        """Where the rays meet the ground between samples hit - 1 and hit: the middle of the 2^-20 of a step that a bisection
+        ends in, found by false position, and by halves where that is slow."""
+        parts, own, out = self.of(rows), np.arange(len(rows)), np.empty(len(rows))
+        start, part = (hit - 1) * dt, dt / 2**20
+        lo, hi = start.copy(), hit * dt
+        glo, ghi = self.gap(parts, lo)[0], self.gap(parts, hi)[0]
+        side = np.zeros(len(rows), np.int8)
+        for k in range(40):
+            at = lo + (hi - lo) * np.where((k < 16) & (glo > 0), glo / (glo - ghi), 0.5)
+            g = self.gap(parts, at)[0]
+            up = g > 0
+            # of an end that stays twice the gap counts half
+            glo, ghi = np.where(up, g, np.where(side == -1, glo / 2, glo)), np.where(up, np.where(side == 1, ghi / 2, ghi), g)
+            lo, hi, side = np.where(up, at, lo), np.where(up, hi, at), np.where(up, 1, -1).astype(np.int8)
+            done = (np.abs(g) < 1e-8) | (hi - lo < part / 4)
+            out[own[done]] = at[done]
+            on = ~done
+            own, parts, lo, hi, glo, ghi, side = own[on], [a[on] for a in parts], lo[on], hi[on], glo[on], ghi[on], side[on]
+            if not len(own):
+                break
+        out[own] = (lo + hi) / 2
+        return start + (np.clip(np.floor((out - start) / part), 0, 2**20 - 1) + 0.5) * part
+
+
 def crossing(terrain: Terrain, o: Origin, offset: np.ndarray, ray: np.ndarray, range_m: float = 15_000.0, step_m: float = 20.0, fine: bool = True, block: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """(distance or NaN, left the grid first) of rays (n, 3) from offsets (n, 3) east, north and up of their origins: the
     first sample at or below ground, then 20 bisections. A ray that starts at or below ground, or leaves the grid before it
@@ -173,8 +267,8 @@ def crossing(terrain: Terrain, o: Origin, offset: np.ndarray, ray: np.ndarray, r
     out, left = np.full(n, np.nan), np.zeros(n, bool)
     if not n:
         return out, left
-    whole = bool(np.isfinite(terrain.z).all())
-    highest = float(np.nanmax(terrain.z)) + terrain.geoid if whole else np.inf
+    highest = terrain.highest + terrain.geoid
+    whole = np.isfinite(highest)
     place = Nearby(o)
 
     def gap(rows: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -192,6 +286,12 @@ def crossing(terrain: Terrain, o: Origin, offset: np.ndarray, ray: np.ndarray, r
     first = np.clip(np.floor(skip / dt).astype(np.int64), 1, steps - 1)
     rows = np.flatnonzero(~left)
     hit_at = np.full(n, -1)
+    if whole and not fine:
+        sinking = _Descent(terrain, place, offset, ray)
+        hit_at[rows], left[rows] = sinking.first_low(rows, first[rows], steps, dt)
+        rows = np.flatnonzero(hit_at > 0)
+        out[rows] = sinking.root(rows, hit_at[rows], dt)
+        return out, left
     at = first.copy()
     while len(rows):
         k = np.minimum(at[rows][:, None] + np.arange(block), steps - 1)
@@ -264,7 +364,7 @@ _OUT = "row_id long, reason string, lat double, lon double, elevation_m double,
 GRAZING, OUT_OF_DEM, NO_INTERSECTION, CEP_TOO_LARGE = "grazing", "out_of_dem", "no_intersection", "cep_too_large"
 
 
-def _kernel(ground, camera: Camera, solver: Solver, uncertain: bool, slice_rows: int = 64):
+def _kernel(ground, camera: Camera, solver: Solver, uncertain: bool, slice_rows: int = 128):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terrain = ground.value
         for pdf in batches:

@@ -159,3 +159,30 @@ def test_whole_run(spark):
         assert r.decision != "stored" or r.tier == "SPARK"
     assert {r.tier for r in rows} == {"FLARE", "GLOW", "SPARK"} and any(r.n_observations >= 3 for r in rows)
     assert out.where(F.col("text").contains("경보")).count() == sum(r.decision == "sent" for r in rows)
+
+
+@pytest.mark.parametrize("rough", [0.0, 25.0])
+def test_perturbed_rays_skip_only_samples_above_ground(rough, monkeypatch):
+    rng = np.random.default_rng(4)
+    terrain = solve.synthetic(half=0.1)
+    terrain.z[:] += rng.uniform(0, rough, terrain.z.shape)
+    n, seen = 400, []
+    o = solve.Origin(np.full(n, LAT), np.full(n, LON), rng.uniform(700, 1800, n))
+    d = solve.rays(CAMERA, *(rng.uniform(0, s, n) for s in (1920, 1080)), rng.uniform(0, 360, n), -rng.uniform(2, 60, n), rng.uniform(-5, 5, n))
+    f = rng.normal(0, 5, (n, 3))
+    at, t = solve.Nearby(o), np.linspace(0, 15_000, 751)
+    lat, lon, h = at.at(slice(None), *(f[:, c, None] + t * d[:, c, None] for c in range(3)))
+    gap = h - terrain.at(lat, lon)
+    low, gone = gap <= 0, np.isnan(gap)
+    first, out = np.where(low.any(1), low.argmax(1), 751), np.where(gone.any(1), gone.argmax(1), 751)
+    if hasattr(solve, "_Descent"):
+        real = solve._Descent.gap
+        monkeypatch.setattr(solve._Descent, "gap", lambda self, parts, x: seen.append(len(x)) or real(self, parts, x))
+    else:
+        real = solve.Terrain.at
+        monkeypatch.setattr(solve.Terrain, "at", lambda self, a, b: seen.append(a.size) or real(self, a, b))
+    got, left = solve.crossing(terrain, o, f, d, fine=False)
+    hit = (first > 0) & (first < out)
+    assert hit.sum() > 100 and np.array_equal(np.isfinite(got), hit) and np.array_equal(left, ~hit & ((first == 0) | (out < 751)))
+    assert ((got[hit] >= t[first[hit] - 1]) & (got[hit] <= t[first[hit]])).all()
+    assert sum(seen) < 45 * n
