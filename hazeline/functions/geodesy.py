@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,13 +113,24 @@ def distort(x: Column, y: Column, k1: float, k2: float, p1: float, p2: float, k3
 
 
 def undistort(x: Column, y: Column, k1: float, k2: float, p1: float, p2: float, k3: float, rounds: int = 40) -> Column:
-    """struct(x, y) whose distortion is (x, y), by fixed point; the start is the distorted point."""
-
-    def nearer(at: Column, _: Column) -> Column:
-        u, v = distort(at["x"], at["y"], k1, k2, p1, p2, k3)
-        return F.struct((at["x"] + x - u).alias("x"), (at["y"] + y - v).alias("y"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(x.alias("x"), y.alias("y")), nearer)
+    """struct(x, y) whose distortion is (x, y), by fixed point; the start is the distorted point. The rounds run over whole
+    Arrow batches, by the operations of distort() in their order; a null among the values gives nulls."""
+
+    @F.pandas_udf("x double, y double")
+    def straight(x: pd.Series, y: pd.Series, k1: pd.Series, k2: pd.Series, p1: pd.Series, p2: pd.Series, k3: pd.Series) -> pd.DataFrame:
+        x, y, *lens = (s.to_numpy(float, na_value=np.nan) for s in (x, y, k1, k2, p1, p2, k3))
+        u, v = x, y
+        with np.errstate(all="ignore"):
+            for _ in range(rounds):
+                a, b = distort(u, v, *lens)
+                u, v = u + x - a, v + y - b
+        return pd.DataFrame({"x": u, "y": v})
+
+    values = [v if isinstance(v, Column) else F.lit(float(v)) for v in (x, y, k1, k2, p1, p2, k3)]
+    whole = F.coalesce(*(F.when(v.isNull(), True) for v in values)).isNull()
+    at = straight(*(v.cast("double") for v in values))
+    # Arrow takes NaN, where the rounds run off, for null
+    return F.struct(*(F.when(whole, F.coalesce(at[c], F.lit(math.nan))).alias(c) for c in ("x", "y")))
 
 
 def axes(yaw: Column, pitch: Column, roll: Column) -> tuple[list[Column], list[Column], list[Column]]:
