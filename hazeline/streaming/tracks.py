@@ -23,7 +23,8 @@ Box = tuple[float, float, float, float]
 
 
 def affinity(track: Box, box: Box) -> float:
-    """1 + IoU where boxes overlap enough, else 1 - distance / limit within the limit of the track's size, else 0."""
+    """1 + IoU where boxes overlap enough, else 1 - distance / limit within the limit of the track's size, else 0. The distance is
+    written as in SQL: hypot() differs in the last bit, which decides between pairs that are alike."""
     ax1, ay1, ax2, ay2 = track
     bx1, by1, bx2, by2 = box
     size = max(ax2 - ax1, 0.0) * max(ay2 - ay1, 0.0)
@@ -32,7 +33,7 @@ def affinity(track: Box, box: Box) -> float:
     if union > 0 and common / union >= IOU:
         return 1 + common / union
     limit = FACTOR * max(math.sqrt(size), 1.0)
-    far = math.hypot((ax1 + ax2 - bx1 - bx2) / 2, (ay1 + ay2 - by1 - by2) / 2)
+    far = math.sqrt(math.pow((ax1 + ax2 - bx1 - bx2) / 2, 2) + math.pow((ay1 + ay2 - by1 - by2) / 2, 2))
     return 1 - far / limit if far <= limit else 0.0
 
 
