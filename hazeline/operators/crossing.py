@@ -19,7 +19,7 @@ from hazeline.operators.solve import GRAZING, NO_INTERSECTION, OUT_OF_DEM, Camer
 from hazeline.session import materialize
 
 #: Samples in a block, and cells along a tile. A block is shorter than a tile, so it is over the tile where it begins or one beside.
-BLOCK, TILE = 32, 64
+BLOCK, TILE = 8, 16
 #: Metres that a ray can sink below the ends of a block or above a straight line, by the curvature of the earth within 15 km.
 SAG, CURVE = 0.05, 20.0
 

@@ -162,3 +162,11 @@ def test_other_grids_are_refused(spark, tmp_path):
     tiff(tmp_path / "p.tif", np.zeros((4, 4), "f4"), 0.0, 0.0, predictor=2)
     with pytest.raises(ValueError, match="packed"):
         terrain.heights(str(tmp_path / "p.tif"))
+
+
+def test_a_far_peak_keeps_no_samples(spark):
+    """Only tiles near a peak are as high as it, so a ray elsewhere needs few samples looked up."""
+    flat = spark.range(289 * 289).selectExpr("cast(id div 289 as int) AS i", "cast(id % 289 as int) AS j", "if(id = 40 * 289 + 40, 500D, 0D) AS z")
+    tiles = crossing._tiles(crossing.cells_of(flat)).collect()
+    high = [t for t in tiles if t.top > 0]
+    assert len(tiles) > len(high) and len(high) * crossing.TILE**2 <= 60**2
