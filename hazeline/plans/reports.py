@@ -285,8 +285,11 @@ def safe_names(spark, sf_dir):
 def dense_tracks(spark, sf_dir):
     """Tracks judged by flow, as sequences with many frames a second are."""
     flow = lambda c: F.when(F.col("k") % 4 > 0, c)
-    d = detections(spark, sf_dir).withColumns({"divergence": flow((F.col("k") % 7) / 100.0), "upward_ratio": flow(F.col("k") / 100.0), "translation_mag": flow((F.col("k") % 5).cast("double"))})
-    t = rules.observations(d).groupBy("seq_id", "lane").agg(*(c.alias(k) for k, c in {**rules.features(), **rules.flow_features()}.items()))
+    d = detections(spark, sf_dir, numbered=True).withColumns({"divergence": flow((F.col("k") % 7) / 100.0), "upward_ratio": flow(F.col("k") / 100.0), "translation_mag": flow((F.col("k") % 5).cast("double"))})
+    # a mean that is the threshold falls on either side by the order of its sum, so that order is stated: the events' own, as in SQL
+    so_far = Window.partitionBy("seq_id", "lane").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    means = {f: F.max_by(f, "place") for f in rules.flow_features()}
+    t = rules.observations(d.withColumns(rules.flow_features(so_far))).groupBy("seq_id", "lane").agg(*(c.alias(k) for k, c in {**rules.features(), **means}.items()))
     x = t.withColumn("tier", rules.tier(*rules.criteria("dense"), F.lit(True)))
     return x.select("seq_id", "lane", *(_r(F.col(c), 9).alias(c) for c in ("flow_divergence", "flow_upward_ratio", "flow_translation_mag")), "tier")
 

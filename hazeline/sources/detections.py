@@ -11,19 +11,20 @@ from hazeline.session import table
 LANES = ["click", "error", "purchase", "signup"]
 
 
-def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def detections(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFrame:
+    """The view; numbered, with a column place as well, the detection's place in its sequence by time."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
     at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     lane = F.lit(4)
     for i, name in enumerate(LANES):
         lane = F.when(F.col("event_type") == name, i).otherwise(lane)
     frame = F.floor(at / 2).cast("int")
-    d = e.select(F.col("event_id").alias("det_id"), F.col("user_id").alias("seq_id"), F.col("event_type").alias("lane"), lane.alias("lane_idx"), frame.alias("frame_index"), "value", "k")
+    d = e.select(F.col("event_id").alias("det_id"), F.col("user_id").alias("seq_id"), F.col("event_type").alias("lane"), lane.alias("lane_idx"), frame.alias("frame_index"), "value", "k", *([at.alias("place")] if numbered else []))
     d = d.withColumns({"offset_s": ((F.col("frame_index") - 16) * 60).cast("double"), "confidence": 0.20 + F.col("k") * 0.0078})
     cx = (200 + 380 * F.col("lane_idx") + (F.col("k") - 50)).cast("double")
     cy = (540 - 3 * (F.col("lane_idx") - 1) * F.col("frame_index") + F.col("k") % 7).cast("double")
     half = (40.0 + F.col("value") * 0.5) / 2
-    d = d.select("det_id", "seq_id", "lane", "frame_index", "offset_s", (cx - half).alias("x1"), (cy - half).alias("y1"), (cx + half).alias("x2"), (cy + half).alias("y2"), "confidence", "k")
+    d = d.select("det_id", "seq_id", "lane", "frame_index", "offset_s", (cx - half).alias("x1"), (cy - half).alias("y1"), (cx + half).alias("x2"), (cy + half).alias("y2"), "confidence", "k", *(["place"] if numbered else []))
     return d.withColumns({"lat": 36.06 + 0.7 * ((F.col("det_id") * 31) % 1000) / 1000.0, "lon": 128.35 + 0.7 * ((F.col("det_id") * 37) % 1000) / 1000.0})
 
 
