@@ -1,4 +1,4 @@
-"""Where rays meet the ground, by joins: terrain is a table of cells, and no task holds it.
+"""Where rays meet the ground, by joins with a terrain that is a table of cells: a small one is broadcast, a larger one shuffled.
 
 A ray is a line in earth-centred coordinates, sampled in steps of its length. Blocks of samples are joined with coarse tiles and go
 where they stay above the highest ground around; the samples of the others are joined with the cells that they are over, and the
@@ -8,15 +8,18 @@ first at or below ground is a grouped minimum. The crossing is then halved in wi
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazeline.functions import geodesy as geo
 from hazeline.operators.solve import GRAZING, NO_INTERSECTION, OUT_OF_DEM, Camera, Solver
-from hazeline.session import materialize
+from hazeline.session import materialize, task_count
 
 #: Samples in a block, and cells along a tile. A block is shorter than a tile, so it is over the tile where it begins or one beside.
 BLOCK, TILE = 8, 16
@@ -124,27 +127,66 @@ def direction(camera: Camera | None = None) -> tuple[Column, Column, Column]:
     return geo.rotate(ray, c("yaw"), c("pitch"), c("roll"))
 
 
-def fixed(rays: DataFrame, cells: DataFrame, grid: Grid, camera: Camera | None = None, solver: Solver | None = None, voids: bool = False) -> DataFrame:
-    """(row_id, depression, reason, lat, lon, elevation_m, range_m, cep50_m, cep90_m) of rays, as solve.solved has them, with the
+def fixed(rays: DataFrame, cells: DataFrame, grid: Grid, camera: Camera | None = None, solver: Solver | None = None, voids: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """(row_id, depression, reason, lat, lon, elevation_m, range_m, cep50_m, cep90_m, *keep) of rays, as solve.solved has them, with the
     places of crossings() and null radii: what can be said without noise. Rays below the least depression, or without one, are
     grazing and meet no terrain."""
     solver = solver or Solver()
     x = rays.withColumns({f"_{k}": v for k, v in zip("enu", direction(camera), strict=True)})
     x = x.withColumn("depression", geo.depression(tuple(F.col(f"_{k}") for k in "enu"))).drop("_e", "_n", "_u")
     fine = F.col("depression") >= solver.grazing
-    met = crossings(x.where(fine), cells, grid, camera, solver, voids)
-    out = x.select("row_id", "depression").join(met, "row_id", "left").withColumn("reason", F.when(fine, F.col("reason")).otherwise(GRAZING))
+    out = crossings(x, cells, grid, camera, solver, voids, where=fine, keep=["depression", *keep])
+    fine = F.coalesce(fine, F.lit(False))
+    out = out.withColumns({"reason": F.when(fine, F.col("reason")).otherwise(GRAZING), **{k: F.when(fine, F.col(k)) for k in ("lat", "lon", "elevation_m", "range_m")}})
     none = F.lit(None).cast("double")
-    return out.select("row_id", "depression", "reason", "lat", "lon", "elevation_m", "range_m", none.alias("cep50_m"), none.alias("cep90_m"))
-
-
-def crossings(rays: DataFrame, cells: DataFrame, grid: Grid, camera: Camera | None = None, solver: Solver | None = None, voids: bool = False, few: int = 100_000) -> DataFrame:
-    """(row_id, reason, lat, lon, elevation_m, range_m) of rays(row_id, u, v, cam_lat, cam_lon, cam_alt, yaw, pitch, roll): the first
+    return out.select("row_id", "depression", "reason", "lat", "lon", "elevation_m", "range_m", none.alias("cep50_m"), none.alias("cep90_m"), *keep)
+
+
+def _halved(grid: Grid, dt: float):
+    """Arrow batches of rays with hit and their cells (i, j and corners), with range_m for cells: the middle between the samples
+    hit - 1 and hit after twenty halvings, null where hit is. Over none of its cells a ray isn't above ground."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            met, held = b.column("hit").is_valid().to_numpy(zero_copy_only=False), b.column("cells")
+            sizes = held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            own, place = np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            around = np.full((6, len(sizes), max(sizes.max(initial=0), 1)), np.nan)
+            for k, part in enumerate(held.flatten().flatten()):
+                around[k, own, place] = part.to_numpy(zero_copy_only=False)
+            around = around[:, met]
+            o, d = (np.stack([b.column(f"{a}{x}").to_numpy(zero_copy_only=False)[met] for x in "xyz"]) for a in "od")
+            hit = b.column("hit").fill_null(0).to_numpy(zero_copy_only=False)[met]
+            lo, hi, rows = (hit - 1) * dt, hit * dt, np.arange(len(hit))
+            for _ in range(20):
+                mid = (lo + hi) / 2
+                x, y, z = o + mid * d
+                r = np.hypot(x, y)
+                t = np.arctan2(z * geo.A, r * geo.B)
+                lat = np.arctan2(z + geo.EP2 * geo.B * np.sin(t) ** 3, r - geo.E2 * geo.A * np.cos(t) ** 3)
+                h = r / np.cos(lat) - geo.A / np.sqrt(1 - geo.E2 * np.sin(lat) ** 2)
+                row, col = _row(np.degrees(lat), grid), _column(np.degrees(np.arctan2(y, x)), grid)
+                q = (around[0] == np.floor(row)[:, None]) & (around[1] == np.floor(col)[:, None])
+                up = q.any(1) & (h - _height(row, col, dict(zip("ijabcd", around[:, rows, q.argmax(1)], strict=True))) > 0)
+                lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
+            out = np.full(len(met), np.nan)
+            out[met] = (lo + hi) / 2
+            keep = [k for k, name in enumerate(b.schema.names) if name != "cells"]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(out, mask=~met)], [*(b.schema.names[k] for k in keep), "range_m"])
+
+    return run
+
+
+def crossings(rays: DataFrame, cells: DataFrame, grid: Grid, camera: Camera | None = None, solver: Solver | None = None, voids: bool = False, few: int = 1_000_000, where: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(row_id, *keep, reason, lat, lon, elevation_m, range_m) of rays(row_id, u, v, cam_lat, cam_lon, cam_alt, yaw, pitch, roll): the first
     sample at or below ground, then twenty halvings. cells is a written table of cells_of().
 
     A ray that starts at or below ground, or is over no cell before it meets the ground, is out_of_dem; one that meets nothing
     within its range is no_intersection. With voids every sample counts, so a ray high above a hole in the terrain is over no cell
-    there; without, samples above all terrain are passed over. Cells and tiles are broadcast if a count finds at most `few`, else joined by shuffle.
+    there; without, samples above all terrain are passed over. Where `where` doesn't hold a ray stays where it starts. A row_id is one ray.
+
+    Cells are broadcast if a count finds at most `few` (some 100 bytes each), and tiles likewise. Rays are then dealt once by row_id, and
+    no sample is written or shuffled. Else samples are shuffled to their cells.
     """
     solver = solver or Solver()
     steps = max(2, math.ceil(solver.range_m / solver.step_m) + 1)
@@ -154,69 +196,52 @@ def crossings(rays: DataFrame, cells: DataFrame, grid: Grid, camera: Camera | No
     e, n, u = (F.col(f"_{k}") / F.col("_len") for k in "enu")
     s, c, v, w = F.sin("_p"), F.cos("_p"), F.sin("_q"), F.cos("_q")
     origin = geo.ecef(F.col("cam_lat"), F.col("cam_lon"), F.col("cam_alt"))
-    line = {"ox": origin[0], "oy": origin[1], "oz": origin[2], "dx": -v * e - s * w * n + c * w * u, "dy": w * e - s * v * n + c * v * u, "dz": c * n + s * u, "down": -u, "alt": F.col("cam_alt")}
-    d = materialize(d.select("row_id", *(x.alias(k) for k, x in line.items())), "rays")
+    line = {"ox": origin[0], "oy": origin[1], "oz": origin[2], "dx": -v * e - s * w * n + c * w * u, "dy": w * e - s * v * n + c * v * u, "dz": c * n + s * u}
+    d = d.withColumns({"down": -u, "alt": F.col("cam_alt"), "on": F.lit(True) if where is None else F.coalesce(where, F.lit(False))})
+    d = d.select("row_id", *keep, "down", "alt", "on", *(x.alias(k) for k, x in line.items()))
 
     low, high = cells.agg(F.min(F.least(*"abcd")), F.max(F.greatest(*"abcd"))).first()
+    places = ("lat", "lon", "elevation_m", "range_m")
     if high is None:
-        return d.select("row_id", F.lit(OUT_OF_DEM).alias("reason"), *(F.lit(None).cast("double").alias(k) for k in ("lat", "lon", "elevation_m", "range_m")))
+        return d.select("row_id", *keep, F.lit(OUT_OF_DEM).alias("reason"), *(F.lit(None).cast("double").alias(k) for k in places))
     reach = lambda metres: F.when(F.col("down") > 1e-9, metres / F.col("down") / dt)
     first = F.when(F.col("down") > 0, reach(F.col("alt") - high)).when(F.col("alt") > high, F.lit(float(steps - 1))).otherwise(0.0)
     first = F.lit(1.0) if voids else first
     d = d.withColumns({
         "k0": F.least(F.greatest(F.floor(F.coalesce(first, F.lit(0.0))), F.lit(1)), F.lit(steps - 1)).cast("int"),
         "k1": F.least(F.greatest(F.ceil(F.coalesce(reach(F.col("alt") - low + CURVE), F.lit(float(steps)))) + 1, F.lit(1)), F.lit(steps - 1)).cast("int"),
-    })
-    b = d.withColumn("block", F.explode(F.sequence((F.col("k0") / BLOCK).cast("int"), (F.greatest("k0", "k1") / BLOCK).cast("int"))))
-    b = b.withColumns({"ka": F.greatest("k0", F.col("block") * BLOCK), "kb": F.least(F.greatest("k0", "k1"), F.col("block") * BLOCK + BLOCK - 1)})
-    b = _placed(materialize(_placed(b, F.col("ka"), dt, grid), "blocks"), F.col("kb"), dt, grid, "2")
+    }).withColumn("k1", F.greatest("k0", "k1")).drop("down", "alt")
+    ray = ["row_id", *keep, *line]
+    near = cells.count() <= few
+    d = d.repartition(task_count(d.sparkSession), "row_id") if near else materialize(d, "rays")
+    # sample 0 is a block of its own, which stays
+    start, end = ((F.col(k) / BLOCK).cast("int") for k in ("k0", "k1"))
+    b = d.withColumn("block", F.explode(F.concat(F.array(F.lit(-1)), F.when(F.col("on"), F.sequence(start, end)).otherwise(F.array().cast("array<int>")))))
+    own = lambda x: F.when(F.col("block") < 0, 0).otherwise(x)
+    b = b.withColumns({"ka": own(F.greatest("k0", F.col("block") * BLOCK)), "kb": own(F.least("k1", F.col("block") * BLOCK + BLOCK - 1))})
+    b = _placed(_placed(b.select(*ray, "block", "ka", "kb"), F.col("ka"), dt, grid), F.col("kb"), dt, grid, "2")
     tiles = materialize(_tiles(cells), "tiles")
     b = b.withColumns({"ti": F.floor(F.floor("row") / TILE), "tj": F.floor(F.floor("col") / TILE)}).join(F.broadcast(tiles) if tiles.count() <= few else tiles, ["ti", "tj"], "left")
-    b = b.where(F.col("top").isNull() | (F.least("h", "h2") - SAG <= F.col("top")))
-    keep = ["row_id", *(f"{a}{x}" for a in "od" for x in "xyz")]
-    k = b.select(*keep, F.explode(F.sequence("ka", "kb")).alias("k")).union(d.select(*keep, F.lit(0)))
-    k = _placed(k, F.col("k"), dt, grid).withColumns({"i": F.floor("row").cast("int"), "j": F.floor("col").cast("int")})
-    few_cells = cells.count() <= few
-    over = k.select("row_id", "k", "h", "row", "col", "i", "j").join(F.broadcast(cells) if few_cells else cells, ["i", "j"], "left")
+    b = b.where((F.col("block") < 0) | F.col("top").isNull() | (F.least("h", "h2") - SAG <= F.col("top")))
+    k = _placed(b.select(*ray, F.explode(F.sequence("ka", "kb")).alias("k")), F.col("k"), dt, grid)
+    k = k.withColumns({"i": F.floor("row").cast("int"), "j": F.floor("col").cast("int")})
+    by = ray if near else ["row_id"]
+    over = k.select(*by, "k", "h", "row", "col", "i", "j").join(F.broadcast(cells) if near else cells, ["i", "j"], "left")
     over = over.withColumn("z", _height(F.col("row"), F.col("col"), {x: F.col(x) for x in "ijabcd"}))
     met = F.col("h") - F.col("z") <= 0
-    seen = over.groupBy("row_id").agg(F.min(F.when(met, F.col("k"))).alias("hit"), F.min(F.when(F.col("z").isNull(), F.col("k"))).alias("gone"))
-    seen = materialize(seen, "first-hits")
-    x = d.join(seen, "row_id", "left").withColumn("ok", (F.col("hit") >= 1) & (F.col("gone").isNull() | (F.col("hit") < F.col("gone"))))
+    x = over.groupBy(*by).agg(F.min(F.when(met, F.col("k"))).alias("hit"), F.min(F.when(F.col("z").isNull(), F.col("k"))).alias("gone"))
+    x = x if near else d.select(*ray).join(x, "row_id", "left")
+    ok = F.coalesce((F.col("hit") >= 1) & (F.col("gone").isNull() | (F.col("hit") < F.col("gone"))), F.lit(False))
+    out = F.col("gone").isNotNull() | (F.col("hit") == 0)
+    x = x.withColumn("reason", F.when(~ok, F.when(out, OUT_OF_DEM).otherwise(NO_INTERSECTION))).withColumn("hit", F.when(ok, F.col("hit"))).drop("gone")
 
     # the cells between the sample above and the one below ground
-    h = _placed(x.where("ok"), F.col("hit") - 1, dt, grid)
-    h = _placed(materialize(h, "above-ground"), F.col("hit"), dt, grid, "2")
+    h = _placed(_placed(x, F.col("hit") - 1, dt, grid), F.col("hit"), dt, grid, "2")
     span = lambda p: F.sequence(F.floor(F.least(p, f"{p}2")).cast("int"), F.floor(F.greatest(p, f"{p}2")).cast("int"))
-    need = h.select("row_id", F.explode(span("row")).alias("i"), span("col").alias("js")).select("row_id", "i", F.explode("js").alias("j"))
-    around = need.join(F.broadcast(cells) if few_cells else cells, ["i", "j"]).groupBy("row_id").agg(F.collect_list(F.struct(*"ijabcd")).alias("cells"))
-    h = materialize(h.join(around, "row_id"), "hits")
-
-    def above(t: Column) -> Column:
-        """Whether the ray is above ground at t; over no cell it isn't."""
-        def at(p: Column) -> Column:
-            def over_cell(rc: Column) -> Column:
-                q = F.get(F.filter("cells", lambda q: (q["i"] == F.floor(rc["r"])) & (q["j"] == F.floor(rc["c"]))), F.lit(0))
-                return F.coalesce(rc["h"] - _let(q, lambda q: _height(rc["r"], rc["c"], q)) > 0, F.lit(False))
-
-            def placed(r: Column) -> Column:
-                tilt = lambda t: F.atan2(p["z"] + geo.EP2 * geo.B * F.pow(F.sin(t), 3), r - geo.E2 * geo.A * F.pow(F.cos(t), 3))
-                height = lambda lat: r / F.cos(lat) - geo.A / F.sqrt(1 - geo.E2 * F.pow(F.sin(lat), 2))
-                at_ = lambda lat: F.struct(_row(F.degrees(lat), grid).alias("r"), _column(F.degrees(F.atan2(p["y"], p["x"])), grid).alias("c"), height(lat).alias("h"))
-                return _let(_let(F.atan2(p["z"] * geo.A, r * geo.B), tilt), at_)
-
-            return _let(_let(F.hypot(p["x"], p["y"]), placed), over_cell)
-
-        return _let(F.struct(*((F.col(f"o{x}") + t * F.col(f"d{x}")).alias(x) for x in "xyz")), at)
-
-    def halved(s: Column, _: Column) -> Column:
-        return _let((s["lo"] + s["hi"]) / 2, lambda m: _let(above(m), lambda up: F.struct(F.when(up, m).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(m).alias("hi"))))
-
-    ends = F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.struct(((F.col("hit") - 1) * dt).alias("lo"), (F.col("hit") * dt).alias("hi")), halved)
-    h = h.withColumn("_s", ends).withColumn("range_m", (F.col("_s.lo") + F.col("_s.hi")) / 2)
-    h = _on_earth(materialize(h.select("row_id", "range_m", *((F.col(f"o{p}") + F.col("range_m") * F.col(f"d{p}")).alias(f"_{p}") for p in "xyz")), "places"))
-    place = ("lat", "lon", "elevation_m")
-    h = h.select("row_id", F.lit(None).cast("string").alias("reason"), F.degrees("_lat").alias("lat"), F.degrees("_lon").alias("lon"), F.col("_h").alias("elevation_m"), "range_m")
-    out = F.col("gone").isNotNull() | (F.col("hit") == 0)
-    lost = x.where("ok IS NULL OR NOT ok").select("row_id", F.when(out, OUT_OF_DEM).otherwise(NO_INTERSECTION).alias("reason"), *(F.lit(None).cast("double").alias(k_) for k_ in (*place, "range_m")))
-    return h.union(lost)
+    known = [*ray, "hit", "reason"]
+    need = h.select(*known, F.explode_outer(F.when(F.col("hit").isNotNull(), span("row"))).alias("i"), span("col").alias("js")).select(*known, "i", F.explode_outer(F.when(F.col("i").isNotNull(), F.col("js"))).alias("j"))
+    around = need.join(F.broadcast(cells) if near else cells, ["i", "j"], "left")
+    around = around.groupBy(*known).agg(F.collect_list(F.when(F.col("a").isNotNull(), F.struct(*"ijabcd"))).alias("cells"))
+    h = around.mapInArrow(_halved(grid, dt), T.StructType([*around.drop("cells").schema, T.StructField("range_m", T.DoubleType())]))
+    h = _on_earth(h.withColumns({f"_{p}": F.col(f"o{p}") + F.col("range_m") * F.col(f"d{p}") for p in "xyz"}))
+    return h.select("row_id", *keep, "reason", F.degrees("_lat").alias("lat"), F.degrees("_lon").alias("lon"), F.col("_h").alias("elevation_m"), "range_m")

@@ -170,3 +170,14 @@ def test_a_far_peak_keeps_no_samples(spark):
     tiles = crossing._tiles(crossing.cells_of(flat)).collect()
     high = [t for t in tiles if t.top > 0]
     assert len(tiles) > len(high) and len(high) * crossing.TILE**2 <= 60**2
+
+
+def test_samples_are_neither_written_nor_shuffled(spark, monkeypatch):
+    """Over terrain that is broadcast, rays are dealt once and their samples stay in that task."""
+    names = []
+    monkeypatch.setattr(crossing, "materialize", lambda d, name: (names.append(name), materialize(d, name))[1])
+    cells = materialize(crossing.cells_of(table(spark, np.zeros((40, 40)))), "cells")
+    out = crossing.crossings(poses(spark, 20), cells, crossing.Grid(128.0 - 20 * CELL, 36.0 + 20 * CELL, CELL), solve.Camera.from_fov(1920, 1080, 73.7))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert names == ["tiles"] and plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    assert len(out.collect()) == 20
