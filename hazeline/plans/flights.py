@@ -130,7 +130,7 @@ def configured_run(spark, sf_dir):
     """Detections to verdicts with places, by sites and cameras that are tables."""
     heights, grid = crossing.synthetic_heights(spark)
     ground = materialize(crossing.cells_of(heights), "cells")
-    d = detections(spark, sf_dir).withColumns({"yaw": F.col("k") * 3.6, "pitch": -F.col("k") * 0.5 - 2, "roll": F.lit(0.0)})
+    d = materialize(detections(spark, sf_dir), "detections").withColumns({"yaw": F.col("k") * 3.6, "pitch": -F.col("k") * 0.5 - 2, "roll": F.lit(0.0)})
     v = run.configured(d, *configuration(spark, sf_dir), ground, grid)
     e = F.col("criteria")
     return v.select(

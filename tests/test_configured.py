@@ -86,3 +86,11 @@ def test_sparse_sequences_alone_are_as_without_cadence(spark):
 def test_plans_of_flights_keep_the_poses(spark):
     flown, sites, cameras = flights.configuration(spark, SF)
     assert sites.count() == 5 and cameras.count() == 3 and flown.where("seq_id % 7 = 6").isEmpty()
+
+
+def test_verdicts_deal_rows_by_track_once(spark):
+    """Every window of a track works on one shuffle of its detections and one of the frames that it misses."""
+    d = materialize(detections(spark, SF), "detections")
+    places = d.select(F.col("det_id").alias("row_id"), F.lit(None).cast("string").alias("reason"), *(F.lit(0.0).alias(c) for c in ("depression", "lat", "lon", "elevation_m", "range_m", "cep50_m", "cep90_m")))
+    plan = run.verdicts(d, places)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(seq_id") == 2
