@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -55,19 +55,24 @@ def rank_of(tier: str) -> Column:
     return F.array_position(F.array(*map(F.lit, TIERS)), F.col(tier)).cast("int") - 1
 
 
-def _placed(events: DataFrame) -> DataFrame:
-    """Events with the rank of their tier and their place on the ellipsoid, from which distances are taken at each alert."""
+def placed(events: DataFrame) -> DataFrame:
+    """Events with their place on the ellipsoid, from which distances are taken at each alert."""
     place = (*geodesy.ecef(F.col("lat"), F.col("lon"), F.lit(0.0)), F.radians("lat"), F.radians("lon"))
-    return events.withColumns({"rank": rank_of("tier"), **dict(zip(PLACE, place, strict=True))})
+    return events.withColumns(dict(zip(PLACE, place, strict=True)))
 
 
-def escalated(events: DataFrame) -> DataFrame:
-    """events(site, track, id, at, tier) with rank and before: the best rank that the track has been notified or suppressed
-    with, null if never. It doesn't depend on suppression, so it is a running maximum."""
-    past = Window.partitionBy("site", "track").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)
+def escalated(events: DataFrame, keys: Sequence[str] = ("site", "track"), order: Sequence[str] = ("at", "id")) -> DataFrame:
+    """events(*keys, *order, rank) with before: the best rank that the track has been notified or suppressed with, null if never.
+    It doesn't depend on suppression, so it is a running maximum."""
+    past = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return events.withColumn("before", F.max(F.when(F.col("rank") > 0, F.col("rank"))).over(past))
 
 
+def rises() -> Column:
+    """Whether an event is above the best tier of its track so far."""
+    return (F.col("rank") > 0) & (F.col("rank") > F.coalesce("before", F.lit(0)))
+
+
 def _suppress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by site, run, time and id: the alerts of the cooldown are all that is held."""
     now, near = None, Nearby()
@@ -89,18 +94,26 @@ def routed(events: DataFrame) -> DataFrame:
     above its own. Distances are on the plane at that alert, so sites may lie anywhere. Events without a place skip that test. Escalation is a window; only the few events that rise go to the
     kernel, in runs: a pause longer than the cooldown starts a new one, and runs are independent of each other.
     """
-    x = escalated(_placed(events))
-    x = x.withColumn("rises", (F.col("rank") > 0) & (F.col("rank") > F.coalesce("before", F.lit(0))))
-    rising = x.where("rises").select(F.col("site").cast("long").alias("site"), "id", F.col("at").cast("double").alias("at"), "rank", *PLACE)
+    x = escalated(placed(events).withColumn("rank", rank_of("tier")))
+    out = x.join(suppressed(x.where(rises())), ["site", "id"], "left")
+    decision, reason = decided()
+    return out.select(F.col("site").cast("long").alias("site"), F.col("id").cast("long").alias("id"), F.col("at").cast("double").alias("at"), "tier", decision.alias("decision"), reason.alias("reason"))
+
+
+def suppressed(rising: DataFrame) -> DataFrame:
+    """(site, id, suppressed) of the events that rise, (site, id, at, rank) and their places."""
+    rising = rising.select(F.col("site").cast("long").alias("site"), "id", F.col("at").cast("double").alias("at"), "rank", *PLACE)
     order = Window.partitionBy("site").orderBy("at", "id")
     pause = F.coalesce((F.col("at") - F.lag("at").over(order) > COOLDOWN).cast("int"), F.lit(0))
     runs = rising.withColumn("pause", pause).withColumn("run", F.sum("pause").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.select("site", "run", "id", "at", "rank", *PLACE).repartition("site", "run").sortWithinPartitions("site", "run", "at", "id")
-    hits = runs.mapInArrow(_suppress, "site long, id long, suppressed boolean")
-    out = x.join(hits, ["site", "id"], "left")
-    decision = F.when(F.col("rank") == 0, "stored").when(~F.col("rises"), "not risen").when(F.col("suppressed"), "suppressed").otherwise("sent")
-    reason = F.when(decision == "sent", F.when(F.col("before").isNull(), "new").otherwise("escalated"))
-    return out.select(F.col("site").cast("long").alias("site"), F.col("id").cast("long").alias("id"), F.col("at").cast("double").alias("at"), "tier", decision.alias("decision"), reason.alias("reason"))
+    return runs.mapInArrow(_suppress, "site long, id long, suppressed boolean")
+
+
+def decided() -> tuple[Column, Column]:
+    """The decision on an event of rank, before and suppressed, and the reason of a sent one."""
+    decision = F.when(F.col("rank") == 0, "stored").when(~rises(), "not risen").when(F.col("suppressed"), "suppressed").otherwise("sent")
+    return decision, F.when(decision == "sent", F.when(F.col("before").isNull(), "new").otherwise("escalated"))
 
 
 def nearest_km(units: list[tuple[str, float, float]], lat: str = "lat", lon: str = "lon") -> Column:
@@ -143,7 +156,7 @@ def routed_stream(events: DataFrame, forget_s: float = 7 * 86_400.0) -> DataFram
         out.insert(0, "site", key[0])
         yield out
 
-    columns = _placed(events).select("site", "id", "at", "tier", "rank", F.col("track").cast("string").alias("track"), *PLACE)
+    columns = placed(events).withColumn("rank", rank_of("tier")).select("site", "id", "at", "tier", "rank", F.col("track").cast("string").alias("track"), *PLACE)
     return columns.groupBy("site").applyInPandasWithState(update, OUT, "best string, recent string", "append", GroupStateTimeout.NoTimeout)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hazeline.operators import solve
 from hazeline.plans import run
+from hazeline.session import materialize
 
 LAT, LON = 36.4127, 128.7043
 CAMERA = solve.Camera.from_fov(1920, 1080, 73.7)
@@ -186,3 +187,11 @@ def test_perturbed_rays_skip_only_samples_above_ground(rough, monkeypatch):
     assert hit.sum() > 100 and np.array_equal(np.isfinite(got), hit) and np.array_equal(left, ~hit & ((first == 0) | (out < 751)))
     assert ((got[hit] >= t[first[hit] - 1]) & (got[hit] <= t[first[hit]])).all()
     assert sum(seen) < 45 * n
+
+
+def test_whole_run_writes_no_column_that_follows_from_its_row(spark, monkeypatch):
+    written = {}
+    for module in (run, run.store):
+        monkeypatch.setattr(module, "materialize", lambda d, name: (written.setdefault(name, d.columns), materialize(d, name))[1])
+    run.whole_run(spark, SF, [("north", 36.4420, 128.6900)])
+    assert written and not {"criteria", "features", "explanation"} & {c for columns in written.values() for c in columns}
