@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hazeline.session import materialize
+from hazeline.session import materialize, task_count
 
 #: Pixels that a point may stray from the motion, points needed, the margin around a box as a share of its sides,
 #: the least side of a field in pixels, and the pixels below which nothing moves.
@@ -22,6 +24,8 @@ TRIPLES = 64
 #: Steps in ten-millionths that deal the places of a triple evenly over a frame's points.
 DEAL = (4142135, 7320508, 2360679)
 MOTION = ["ax", "bx", "cx", "ay", "by", "cy"]
+#: What the flow in a box shows.
+FIGURES = ["divergence", "upward_ratio", "translation_mag"]
 
 
 def background(points: DataFrame, boxes: DataFrame, keys: list[str], margin: float = MARGIN) -> DataFrame:
@@ -75,7 +79,8 @@ def camera_motion(points: DataFrame, keys: list[str], tolerance: float = TOLERAN
     frame = lambda a, b: reduce(lambda s, c: s & c, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys))
     one = lambda a, rest=(): [*(F.col(f"{a}.{k}") for k in keys), *rest]
 
-    asked = frames.where(F.col("n_points") >= least).withColumn("_h", F.explode(F.sequence(F.lit(1), F.lit(triples))))
+    # few bytes, of which many rows are made; by other columns than frames are grouped by, or the planner leaves it out
+    asked = frames.where(F.col("n_points") >= least).repartition(task_count(points.sparkSession), *keys, "n_points").withColumn("_h", F.explode(F.sequence(F.lit(1), F.lit(triples))))
     nth = lambda m: F.floor(F.pmod(F.col("_h").cast("long") * m, F.lit(10_000_000)) * F.col("n_points") / 10_000_000)
     asked = asked.withColumn("_t", F.explode(F.array(*(F.struct(F.lit(c).alias("corner"), nth(m).alias("place")) for c, m in zip("abc", DEAL, strict=True))))).select(*keys, "_h", "_t.corner", "_t.place")
     # no broadcast of points or triples: rows that explode makes are many more than the planner takes them for
@@ -98,10 +103,59 @@ def camera_motion(points: DataFrame, keys: list[str], tolerance: float = TOLERAN
     return x.select(*one("f"), "n_points", F.coalesce("n_inliers", F.lit(0)).alias("n_inliers"), *MOTION)
 
 
-def _edge(k: Column, n: Column) -> Column:
-    """What a value at place k of a row of n, four at least, counts in the sum of the row's differences: central ones, one-sided at
-    the ends. All but the two at each end cancel."""
-    return F.when(k == 0, -1.5).when(k == 1, 0.5).when(k == n - 1, 1.5).when(k == n - 2, -0.5).otherwise(0.0)
+def _edge(n: int) -> np.ndarray:
+    """What each value in a row of n counts in the sum of the row's differences: central ones, one-sided at the ends. All but the
+    two at each end cancel."""
+    w = np.zeros(n)
+    if n > 1:
+        np.add.at(w, [0, 1, n - 2, n - 1], [-1.5, 0.5, -0.5, 1.5])
+    return w
+
+
+def _figures(small: int, most: int = 1 << 20):
+    """The function of Arrow arrays vx, vy, width and, if a motion is to be taken out, x0, y0 and its columns. Boxes of one shape are
+    worked on together, `most` values at a time."""
+
+    def flat(a: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values, where each row's begin, and their number: -1 without an array or with a null in it."""
+        sizes = a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        values, starts = a.flatten().cast(pa.float64()), np.cumsum(sizes) - sizes
+        gone = np.repeat(np.arange(len(sizes)), sizes)[values.is_null().to_numpy(zero_copy_only=False)]
+        size = np.where(a.is_valid().to_numpy(zero_copy_only=False), sizes, -1)
+        size[gone] = -1
+        return values.to_numpy(zero_copy_only=False), starts, size
+
+    def run(vx: pa.Array, vy: pa.Array, width: pa.Array, *motion: pa.Array) -> pa.Array:
+        (fx, ax, n), (fy, ay, ny) = flat(vx), flat(vy)
+        w = width.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        valid = (n == ny) & (w >= max(small, 1)) & (n >= w * small) & (n % np.maximum(w, 1) == 0)
+        out = np.zeros((3, len(w)))
+        if motion:
+            known = [m.is_valid().to_numpy(zero_copy_only=False) for m in motion]
+            moved, there = np.all(known[2:], axis=0), known[0] & known[1]
+            x0, y0, *m = (m.cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False)[:, None] for m in motion)
+        for wide, size in sorted(set(zip(w[valid].tolist(), n[valid].tolist(), strict=True))):
+            rows, step = np.flatnonzero(valid & (w == wide) & (n == size)), max(most // size, 1)
+            at = np.arange(size)
+            i, j = at % wide, at // wide
+            across, down = _edge(wide)[i], _edge(size // wide)[j]
+            for own in (rows[k : k + step] for k in range(0, len(rows), step)):
+                x, y = fx[ax[own, None] + at], fy[ay[own, None] + at]
+                if motion:
+                    t, u = x0[own] + i, y0[own] + j
+                    still = [v - (a[own] + b[own] * t + c[own] * u) for v, (a, b, c) in ((x, m[:3]), (y, m[3:]))]
+                    x, y = (np.where(moved[own, None], s, v) for s, v in zip(still, (x, y), strict=True))
+                size_of = np.sqrt(x * x + y * y)
+                order = np.sort(size_of, axis=1)
+                half = np.maximum(STILL, (order[:, (size - 1) // 2] + order[:, size // 2]) / 2)[:, None]
+                moving = ~(size_of <= half) & ~np.isnan(half)
+                many = moving.sum(1)
+                up = (moving & (y < 0)).sum(1) / np.maximum(many, 1)
+                figures = np.stack([(x @ across + y @ down) / size, up, np.hypot(x.sum(1) / size, y.sum(1) / size)])
+                out[:, own] = np.where(~moved[own] | there[own], figures, 0.0) if motion else figures
+        return pa.StructArray.from_arrays([pa.array(valid), *map(pa.array, out)], ["valid", *FIGURES])
+
+    return run
 
 
 def residual_flow(fields: DataFrame, small: int = SMALL) -> DataFrame:
@@ -111,28 +165,9 @@ def residual_flow(fields: DataFrame, small: int = SMALL) -> DataFrame:
     first value. Where it has the six columns of a motion that aren't null, that is taken out first. Divergence is the mean of
     both slopes, upward_ratio the share of what moves that goes up (more than 0.2 pixels and more than the median), translation
     the length of the mean. A field of fewer than `small` rows or columns, or without arrays, or whose arrays don't make whole
-    rows of one size, or hold nulls, isn't valid and has zeros. All are columns of a row: no shuffle.
+    rows of one size, or hold nulls, isn't valid and has zeros. No shuffle: a function of the arrays in Arrow batches.
     """
-    w, n = F.col("width").cast("int"), F.size("vx")
-    whole = (F.size("vx") == F.size("vy")) & (w >= small) & (n >= w * small) & (n % w == 0) & ~F.exists("vx", F.isnull) & ~F.exists("vy", F.isnull)
-    d = fields.withColumn("valid", F.coalesce(whole, F.lit(False)))
-    moved = all(c in fields.columns for c in MOTION)
-
-    def still(v: str, k: str) -> Column:
-        a, b, c = (F.col(f"{m}{k}") for m in "abc")
-        out = F.transform(v, lambda s, i: s - (a + b * (F.col("x0") + i % w) + c * (F.col("y0") + F.floor(i / w))))
-        return F.when(F.col("valid"), F.when(F.coalesce(a, b, c).isNotNull(), out).otherwise(F.col(v)) if moved else F.col(v))
-
-    d = d.withColumns({"_vx": still("vx", "x"), "_vy": still("vy", "y"), "_n": n.cast("double")})
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    d = d.withColumns({
-        "_mag": F.zip_with("_vx", "_vy", F.hypot), "_mean": F.hypot(total(F.col("_vx")) / F.col("_n"), total(F.col("_vy")) / F.col("_n")),
-        "_div": total(F.transform("_vx", lambda v, i: v * _edge(i % w, w))) + total(F.transform("_vy", lambda v, i: v * _edge(F.floor(i / w), F.floor(n / w)))),
-    })
-    d = d.withColumn("_order", F.array_sort("_mag"))
-    half = (F.get("_order", F.floor((n - 1) / 2).cast("int")) + F.get("_order", F.floor(n / 2).cast("int"))) / 2
-    d = d.withColumn("_half", F.greatest(F.lit(STILL), half))
-    d = d.withColumn("_moving", F.filter("_vy", lambda v, i: F.get("_mag", i) > F.col("_half")))
-    up = F.when(F.size("_moving") > 0, F.size(F.filter("_moving", lambda v: v < 0)) / F.size("_moving"))
-    figures = {"divergence": F.col("_div") / F.col("_n"), "upward_ratio": up, "translation_mag": F.col("_mean")}
-    return d.withColumns({k: F.when(F.col("valid"), F.coalesce(v, F.lit(0.0))).otherwise(0.0) for k, v in figures.items()}).drop("_vx", "_vy", "_n", "_mag", "_mean", "_div", "_order", "_half", "_moving")
+    motion = ["x0", "y0", *MOTION] if all(c in fields.columns for c in MOTION) else []
+    figures = F.arrow_udf(_figures(small), f"valid boolean, {', '.join(f'{k} double' for k in FIGURES)}")
+    d = fields.withColumn("_figures", figures("vx", "vy", F.col("width").cast("int"), *motion))
+    return d.withColumns({k: F.col(f"_figures.{k}") for k in ("valid", *FIGURES)}).drop("_figures")

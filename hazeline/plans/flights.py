@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +61,20 @@ def camera_motion(spark, sf_dir):
     return m.select("seq_id", "n_points", "n_inliers", *(_r(F.col(c) * (1.0 if c[0] == "a" else 1e4)).alias(c) for c in flow.MOTION))
 
 
+def _flow(*of: pa.Array) -> pa.Array:
+    """The arrays of boxes of det_id, seq_id, k, width and tall; null where one of these is."""
+    known = np.all([a.is_valid().to_numpy(zero_copy_only=False) for a in of], axis=0)
+    d, s, k, w, tall = (a.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for a in of)
+    n = np.where(known, w * tall, 0)
+    ends = np.cumsum(n)
+    i = np.arange(n.sum()) - np.repeat(ends - n, n)
+    d, s, k, w = (np.repeat(a, n) for a in (d, s, k, w))
+    vx = np.fmod(i * 7919 + d * 31, 1009) / 1009 - 0.4 + np.fmod(k, 4) / 20 * (i % w) + np.fmod(s, 7)
+    vy = np.fmod(i * 104729 + d * 17, 997) / 997 - 0.7 + 0.03 * (i // w) - np.fmod(s, 3)
+    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(v), mask=pa.array(~known)) for v in (vx, vy)], ["vx", "vy"])
+
+
 def fields(spark, sf_dir: str, motion: DataFrame | None = None) -> DataFrame:
     """The flow in the box of each detection, as a camera in motion sees it; some boxes are too narrow. The motion of each sequence
     is joined ahead of the arrays, which no shuffle carries then."""
@@ -66,10 +82,9 @@ def fields(spark, sf_dir: str, motion: DataFrame | None = None) -> DataFrame:
     d = detections(spark, sf_dir).select("det_id", "seq_id", "k", F.floor("x1").alias("x0"), F.floor("y1").alias("y0"))
     d = d if motion is None else d.join(motion, "seq_id", "left")
     d = d.withColumns({"width": F.when(c("k") % 11 == 0, 6).otherwise(8 + c("k") % 5), "tall": 8 + c("k") % 3})
-    at = F.sequence(F.lit(0), (c("width") * c("tall") - 1).cast("int"))
-    vx = F.transform(at, lambda i: ((i * 7919 + c("det_id") * 31) % 1009) / 1009 - 0.4 + (c("k") % 4) / 20 * (i % c("width")) + c("seq_id") % 7)
-    vy = F.transform(at, lambda i: ((i * 104729 + c("det_id") * 17) % 997) / 997 - 0.7 + 0.03 * F.floor(i / c("width")) - c("seq_id") % 3)
-    return d.withColumns({"vx": vx, "vy": vy}).drop("k", "tall")
+    flow_ = F.arrow_udf(_flow, "vx array<double>, vy array<double>")
+    d = d.withColumn("_f", flow_("det_id", "seq_id", "k", "width", "tall"))
+    return d.withColumns({"vx": c("_f.vx"), "vy": c("_f.vy")}).drop("k", "tall", "_f")
 
 
 _FIELD = f"""{_MOTION}, bx AS (SELECT det_id, seq_id, k, floor(x1) AS x0, floor(y1) AS y0, CASE WHEN k % 11 = 0 THEN 6 ELSE 8 + k % 5 END AS width, 8 + k % 3 AS tall FROM d),
