@@ -152,10 +152,9 @@ def configured(d: DataFrame, flown: DataFrame, sites: DataFrame, cameras: DataFr
     optics = ["cam_lat", "cam_lon", "cam_alt", "fx", "fy", "cx", "cy", "lens", "distorted"]
     wind = [w for w in ("wind_speed", "wind_from") if w in d.columns]
     rays = solve.aimed(d.select("det_id", "seq_id", "x1", "y1", "x2", "y2", "yaw", "pitch", "roll", *wind), solver).join(f.where("cam_alt IS NOT NULL AND fx IS NOT NULL").select("seq_id", *optics), "seq_id")
-    rays = materialize(rays.withColumnRenamed("det_id", "row_id"), "aims")
-    places = crossing.fixed(rays, cells, grid, None, solver, voids)
+    places = crossing.fixed(rays.withColumnRenamed("det_id", "row_id"), cells, grid, None, solver, voids, wind)
     if drift_s > 0 and len(wind) == 2:
-        places = solve.drifted(places.join(rays.select("row_id", *wind), "row_id"), drift_s)
+        places = solve.drifted(places, drift_s)
     v = verdicts(d.drop("yaw", "pitch", "roll", "lat", "lon", *wind), materialize(places, "fixes"), **how)
     v = v.join(f.select("seq_id", "site", "camera", "units"), "seq_id", "left")
     return v.withColumn("nearest_unit_km", F.when(F.col("geo_ok"), alerts.nearest_of(F.col("units"))))
